@@ -182,3 +182,47 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+# --- tables of fixed size that are summed over all rows ------------------------------------------------------------
+
+
+def summed(df: DataFrame, fill, size: int, chunk: int = 1 << 14) -> np.ndarray:
+    """The sum over all tasks of an integer table of fixed size.
+
+    fill(batches) gets a task's Arrow batches and returns its table. Chunks of the tables are added 64 at a time, so
+    no task gathers all of them, and the driver gets one table, whatever the number of rows.
+    """
+    import pyarrow as pa
+
+    kinds, arrow = "chunk int, part int, n binary", pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.binary())])
+
+    def pack(a: np.ndarray) -> bytes:
+        return a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.uint64).tobytes()
+
+    def load(b, n: int) -> np.ndarray:
+        return np.frombuffer(b, np.uint32 if len(b) == 4 * n else np.uint64).astype(np.int64)
+
+    def part(batches):
+        from pyspark import TaskContext
+
+        table, own = fill(batches), TaskContext.get().partitionId() // 64
+        for i in range(0, size, chunk):
+            if (a := table[i : i + chunk]).any():
+                yield pa.RecordBatch.from_pydict({"chunk": [i // chunk], "part": [own], "n": [pack(a)]}, schema=arrow)
+
+    def add(key, rows):
+        i = key[0].as_py() * chunk
+        total = np.zeros(min(chunk, size - i), np.int64)
+        for b in rows.column("n"):
+            total += load(b.as_buffer(), len(total))
+        return pa.Table.from_pydict({"chunk": [key[0].as_py()], "part": [key[1].as_py() // 64], "n": [pack(total)]}, schema=arrow)
+
+    tables = df.mapInArrow(part, kinds)
+    for _ in range(3):
+        tables = tables.groupBy("chunk", "part").applyInArrow(add, kinds)
+    out = np.zeros(size, np.int64)
+    for i, b in tables.select("chunk", "n").collect():
+        n = min(chunk, size - i * chunk)
+        out[i * chunk : i * chunk + n] += load(b, n)
+    return out

@@ -7,20 +7,17 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.llm.common import Scratch, mix64, read_table, small_batches
 
 _STRIP = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 14  # bytes of a filter that are merged together
 
 
-def line_key(line: str) -> str:
-    return line.strip(_STRIP).translate(_LOWER)
-
-
-def _hash(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def line_key(line: str) -> bytes:
+    """The line stripped, A-Z lower-cased, as UTF-8 (bytes.lower changes nothing else)."""
+    return line.strip(_STRIP).encode("utf-8", "surrogatepass").lower()
 
 
 def _long_lines(text: str | None, min_chars: int) -> dict[bytes, list[int]]:
@@ -28,8 +25,8 @@ def _long_lines(text: str | None, min_chars: int) -> dict[bytes, list[int]]:
     out: dict[bytes, list[int]] = {}
     if text:
         for i, line in enumerate(text.split("\n")):
-            if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
-                out.setdefault(_hash(key), []).append(i)
+            if len(line) >= min_chars and len(line.strip(_STRIP)) >= min_chars:
+                out.setdefault(hashlib.blake2b(line_key(line), digest_size=16).digest(), []).append(i)
     return out
 
 
@@ -123,25 +120,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 4
     lost = scratch.save(lost, "lost")
     scratch.drop("held")
 
-    rest = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    joined = rest.join(lost.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
-
-    @F.pandas_udf("n_lines long, n_dropped long, kept string")
-    def kept(text, gone):
-        import pandas as pd
-
-        rows = []
-        for t, g in zip(text, gone, strict=True):
-            lines = (t or "").split("\n")
-            n = len(lines)
-            if g is not None and len(g):
-                away, found = {bytes(x) for x in g}, _long_lines(t, min_chars)
-                out = {i for h in away for i in found.get(h, ())}
-                lines = [x for i, x in enumerate(lines) if i not in out]
-            rows.append((n, n - len(lines), "\n".join(lines)))
-        return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
-
-    return joined.withColumn("_k", kept("text", "_lost")).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")], "_k.*")
+    other = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    rest = docs.select(*other, F.col("doc_id").cast("long").alias("_id"))
+    joined = rest.join(lost.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), "_id", "left").drop("_id")
+    kinds = StructType([*docs.select(*other).schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = ([], [], [])
+            for t, g in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_lost")).to_pylist(), strict=True):
+                lines = (t or "").split("\n")
+                n = len(lines)
+                if g:
+                    found = _long_lines(t, min_chars)
+                    away = {i for h in g for i in found.get(h, ())}
+                    lines = [x for i, x in enumerate(lines) if i not in away]
+                for column, x in zip(rows, (n, n - len(lines), "\n".join(lines)), strict=True):
+                    column.append(x)
+            own = [b.column(b.schema.get_field_index(c)) for c in other]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=kinds.names)
+
+    return joined.mapInArrow(kept, kinds)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
