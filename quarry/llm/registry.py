@@ -1,9 +1,12 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from quarry.llm import line_dedup
+from quarry.llm import line_dedup, pieces, token_files, toxicity
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_pieces": pieces.op10_pieces,
 }
 ORACLES = {
     "op6_line_dedup": line_dedup.OP6_SQL,
