@@ -166,13 +166,15 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs, seen = scratch.save(pairs, f"{name}0"), None
     for step in range(1, 60):
+        # the minima are written down before they are joined back, so that the join's sides are dealt out for it alone
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-a")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = scratch.save(large, f"{name}-b")
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-c")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = scratch.save(small.select("e.*").where("u <> v").distinct(), f"{name}{step}")
+        scratch.drop(f"{name}-a", f"{name}-b", f"{name}-c")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}{step - 1}")
         if tuple(now) == seen:

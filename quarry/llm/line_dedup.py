@@ -116,9 +116,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 4
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = scratch.save(base.mapInArrow(suspects, "key binary, doc_id long").where("doc_id is not null").distinct(), "held")
     common = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    common = scratch.save(common, "common")  # so that both sides of the join are dealt out for it, and a hot key can be split
     lost = held.join(common, "key").where("doc_id <> last").groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
     lost = scratch.save(lost, "lost")
-    scratch.drop("held")
+    scratch.drop("held", "common")
 
     other = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
     rest = docs.select(*other, F.col("doc_id").cast("long").alias("_id"))
