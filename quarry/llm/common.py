@@ -189,42 +189,56 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
 # --- tables of fixed size that are summed over all rows ------------------------------------------------------------
 
 
-def summed(df: DataFrame, fill, size: int, chunk: int = 1 << 14) -> np.ndarray:
-    """The sum over all tasks of an integer table of fixed size.
+CHUNK = 1 << 14
+_TABLE = "chunk int, part int, n binary"
 
-    fill(batches) gets a task's Arrow batches and returns its table. Chunks of the tables are added 64 at a time, so
-    no task gathers all of them, and the driver gets one table, whatever the number of rows.
-    """
-    import pyarrow as pa
 
-    kinds, arrow = "chunk int, part int, n binary", pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.binary())])
+def packed(table: np.ndarray):
+    """(chunk, bytes) of the chunks of a table of counts that aren't all zero, in as few bytes a number as will do."""
+    for i in range(0, len(table), CHUNK):
+        if (a := table[i : i + CHUNK]).any():
+            top = a.max()
+            yield i // CHUNK, a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
-    def pack(a: np.ndarray) -> bytes:
-        return a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.uint64).tobytes()
 
-    def load(b, n: int) -> np.ndarray:
-        return np.frombuffer(b, np.uint32 if len(b) == 4 * n else np.uint64).astype(np.int64)
+def _unpacked(data, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]).astype(np.int64)
 
-    def part(batches):
-        from pyspark import TaskContext
 
-        table, own = fill(batches), TaskContext.get().partitionId() // 64
-        for i in range(0, size, chunk):
-            if (a := table[i : i + chunk]).any():
-                yield pa.RecordBatch.from_pydict({"chunk": [i // chunk], "part": [own], "n": [pack(a)]}, schema=arrow)
+def add_tables(tables: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tables given by their chunks (chunk, part, n); part: 64 tasks have the same.
+
+    Chunks are added 64 at a time, so no task gathers all of them, and the driver gets one table.
+    """
+    import pyarrow as pa
+
+    arrow = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.binary())])
 
     def add(key, rows):
-        i = key[0].as_py() * chunk
-        total = np.zeros(min(chunk, size - i), np.int64)
+        n = min(CHUNK, size - key[0].as_py() * CHUNK)
+        total = np.zeros(n, np.int64)
         for b in rows.column("n"):
-            total += load(b.as_buffer(), len(total))
-        return pa.Table.from_pydict({"chunk": [key[0].as_py()], "part": [key[1].as_py() // 64], "n": [pack(total)]}, schema=arrow)
+            total += _unpacked(b.as_buffer(), n)
+        return pa.Table.from_pydict({"chunk": [key[0].as_py()], "part": [key[1].as_py() // 64], "n": [next(packed(total))[1]]}, schema=arrow)
 
-    tables = df.mapInArrow(part, kinds)
     for _ in range(3):
-        tables = tables.groupBy("chunk", "part").applyInArrow(add, kinds)
+        tables = tables.groupBy("chunk", "part").applyInArrow(add, _TABLE)
     out = np.zeros(size, np.int64)
     for i, b in tables.select("chunk", "n").collect():
-        n = min(chunk, size - i * chunk)
-        out[i * chunk : i * chunk + n] += load(b, n)
+        n = min(CHUNK, size - i * CHUNK)
+        out[i * CHUNK : i * CHUNK + n] += _unpacked(b, n)
     return out
+
+
+def summed(df: DataFrame, fill, size: int) -> np.ndarray:
+    """The sum over all tasks of the table that fill(batches) makes of a task's Arrow batches."""
+
+    def part(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        own = TaskContext.get().partitionId() // 64
+        for chunk, data in packed(fill(batches)):
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": [own], "n": [data]}, schema=pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.binary())]))
+
+    return add_tables(df.mapInArrow(part, _TABLE), size)
