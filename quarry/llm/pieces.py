@@ -26,7 +26,8 @@ from quarry.llm.common import mix64, read_table, small_batches
 
 _MARK = "▁"
 _SEGMENT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-_STATES = 1_200_000  # lattice nodes that a worker keeps
+_NODES = 1_000_000  # lattice nodes that a worker keeps
+_GRAIN = float(1 << 30)  # shares are multiples of its inverse, so that they stay exact when nodes are renumbered
 _OTHER = 1 << 20  # codes of characters that byte pieces spell start here
 
 
@@ -48,13 +49,38 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.bare, self.after = {}, {}  # last node of a segment: as it stands, and with one space before
+        self.bare, self.after = {}, {}  # number of a segment: as it stands, and with one space before
         self.share, self.piece, self.back = array("d"), array("I"), array("q")
-        self.nodes = 0
+        self.last, self.edge = array("q"), array("q", [0])  # a segment's last node, and where its edges end
+        self.hits = np.zeros(0, np.int32)
+
+    def _halve(self) -> None:
+        """Keeps the half of the segments that came up most, under new numbers."""
+        hits = self.hits.copy()
+        known = np.zeros(len(hits), bool)
+        for d in (self.bare, self.after):
+            known[list(d.values())] = True
+        hits[~known] = -1
+        keep = np.zeros(len(hits), bool)
+        keep[np.argsort(hits, kind="stable")[len(hits) - known.sum() // 2 :]] = True
+        last, edge = np.array(self.last), np.array(self.edge)
+        nodes, edges = np.diff(last, prepend=0), np.diff(edge)
+        moved = np.cumsum(nodes * keep) - last
+        own = np.repeat(keep, edges)
+        move = np.repeat(moved, edges)[own]
+        back = np.array(self.back)[own]
+        self.share = array("d", (np.array(self.share)[own] + move).tobytes())
+        self.piece = array("I", np.array(self.piece, np.uint32)[own].tobytes())
+        self.back = array("q", np.where(back < 0, back, back + move).tobytes())
+        self.last = array("q", np.cumsum(nodes[keep]).tobytes())
+        self.edge = array("q", np.concatenate(([0], np.cumsum(edges[keep]))).tobytes())
+        new = np.cumsum(keep) - 1
+        self.bare, self.after = ({w: int(new[i]) for w, i in d.items() if keep[i]} for d in (self.bare, self.after))
+        self.hits = self.hits[keep] // 2
 
     def add(self, segment: str) -> int:
-        """Adds a segment's nodes; returns the last. A node's shares are counted from its own number."""
-        s, n, base = segment.replace(_MARK, "\x00").replace(" ", _MARK), len(segment), self.nodes
+        """Adds a segment's nodes; returns its number. A node's shares are counted from its own number."""
+        s, n, base = segment.replace(_MARK, "\x00").replace(" ", _MARK), len(segment), self.last[-1] if self.last else 0
         weight, total = self.weight, [0.0] * (n + 1)
         for e in range(1, n + 1):
             edges = []
@@ -69,15 +95,16 @@ class Lattices:
             total[e] = top + math.log(whole)
             for share, (_, piece, b) in zip(shares, edges, strict=True):
                 run += share
-                self.share.append(node + min(run / whole, 1.0))
+                self.share.append(node + math.floor(min(run / whole, 1.0) * _GRAIN) / _GRAIN)
                 self.piece.append(piece)
                 self.back.append(base + b if b else -1)
             self.share[-1] = node + 1.0
-        self.nodes = base + n
-        return self.nodes
+        self.last.append(base + n)
+        self.edge.append(len(self.share))
+        return len(self.last) - 1
 
     def ends(self, text: str | None) -> list[int]:
-        """The last node of each segment of a text."""
+        """The number of each segment of a text."""
         out: list[int] = []
         if not text:
             return out
@@ -112,13 +139,17 @@ class Lattices:
 
     def sample(self, keys: list[int], texts: list[str | None], seed: int) -> list[np.ndarray]:
         """The sampled ids of each text."""
-        if self.nodes > _STATES:
-            self.clear()
+        if self.last and self.last[-1] > _NODES:
+            self._halve()
         ends = [self.ends(t) for t in texts]
         counts = np.array([len(e) for e in ends], np.int64)
-        node = np.array([i for e in ends for i in e], np.int64)
-        if not len(node):
+        own = np.array([i for e in ends for i in e], np.int64)
+        if not len(own):
             return [np.zeros(0, np.uint32)] * len(texts)
+        hits = np.bincount(own, minlength=len(self.last))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits.astype(np.int32)
+        node = np.array(self.last)[own]
         with np.errstate(over="ignore"):
             row = mix64(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
             within = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -186,7 +217,7 @@ def encode_sampled(spark: SparkSession, docs: DataFrame, model: str, key: str =
     The draw depends on the row's key, the seed and the text, not on partitions or order. Null and empty texts have no
     ids. A null key draws as key 0; rows with the same key and text draw alike.
     """
-    small_batches(spark)
+    small_batches(spark, 250)
     other = [c for c in docs.columns if c != "ids"]
     schema = StructType([*docs.select(*other).schema.fields, StructField("ids", BinaryType())])
 

@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from quarry.llm import embedding_dedup, line_dedup, ngram_join, pieces, token_files, toxicity
+from quarry.llm import embedding_dedup, line_dedup, ngram_join, pieces, pii, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_token_files": token_files.op3_token_files,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_pieces": pieces.op10_pieces,
 }

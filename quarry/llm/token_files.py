@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, read_table, small_batches
 
 SKIPPABLE, INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_CACHE = 400_000  # words whose ids a worker keeps
+_CACHE = 240_000  # words whose ids a worker keeps
 
 
 class WordCache:
     """Ids of whole texts, put together from the ids of the pieces between spaces and line ends.
 
-    The tokenizer's pieces never span white space, so this gives what encoding the whole text gives. The cache is
-    emptied when it holds too many words.
+    The tokenizer's pieces never span white space, so this gives what encoding the whole text gives. When it
+    holds too many words, the half that came up least goes.
     """
 
     def __init__(self, path: str):
@@ -40,7 +40,19 @@ class WordCache:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.start, self.size, self.flat = array("q"), array("q"), array("I")
+        self.start, self.flat, self.hits = array("q", [0]), array("I"), np.zeros(0, np.int32)
+
+    def _halve(self) -> None:
+        """Keeps the half of the words that came up most."""
+        keep = np.zeros(len(self.at), bool)
+        keep[np.argsort(self.hits, kind="stable")[len(self.at) // 2 :]] = True
+        start, flat = np.array(self.start), np.array(self.flat, np.uint32)
+        new = np.cumsum(keep) - 1
+        self.at = {w: int(new[i]) for w, i in self.at.items() if keep[i]}
+        size = np.diff(start)
+        self.flat = array("I", flat[np.repeat(keep, size)].tobytes())
+        self.start = array("q", np.concatenate(([0], np.cumsum(size[keep]))).tobytes())
+        self.hits = self.hits[keep] // 2
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words, counts = [], []
@@ -51,18 +63,22 @@ class WordCache:
         if not words:
             return [np.zeros(0, np.uint32)] * len(texts)
         if len(self.at) > _CACHE:
-            self.clear()
+            self._halve()
         new = [w for w in set(words) if w not in self.at]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.at[w] = len(self.start)
-            self.start.append(len(self.flat))
-            self.size.append(len(e.ids))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.at[w] = len(self.start) - 1
             self.flat.extend(e.ids)
+            self.start.append(len(self.flat))
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        size = np.frombuffer(self.size, np.int64)[at]
+        hits = np.bincount(at, minlength=len(self.at))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits.astype(np.int32)
+        start = np.frombuffer(self.start, np.int64)
+        size = np.diff(start)[at]
         before = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(before[-1]) + np.repeat(np.frombuffer(self.start, np.int64)[at] - before[:-1], size)
+        place = np.arange(before[-1]) + np.repeat(start[at] - before[:-1], size)
         flat = np.frombuffer(self.flat, np.uint32)[place] if len(self.flat) else np.zeros(0, np.uint32)
+        del start
         return np.split(flat, before[np.cumsum(counts)[:-1]])
 
 
@@ -113,7 +129,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, fold
     in the order is defined for them). A file gets its name when it is complete, so a task that is run again, or twice
     at once, leaves one whole file.
     """
-    small_batches(spark)
+    small_batches(spark, 250)
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, -(-held.count() // rows))
     ordered = held.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
