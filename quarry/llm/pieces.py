@@ -13,7 +13,6 @@ spelled by byte pieces. Nothing is normalised, so decoding gives the text back e
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
 
@@ -28,6 +27,7 @@ _MARK = "▁"
 _SEGMENT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _NODES = 1_000_000  # lattice nodes that a worker keeps
 _GRAIN = float(1 << 30)  # shares are multiples of its inverse, so that they stay exact when nodes are renumbered
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = 1 << 20  # codes of characters that byte pieces spell start here
 
 
@@ -39,10 +39,26 @@ class Lattices:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.weight = {model.id_to_piece(i): (i, -sharpness * math.log(r + 2)) for r, i in enumerate(normal)}
-        self.longest = max(map(len, self.weight))
-        if any(_MARK in p.lstrip(_MARK) or "\n" in p for p in self.weight):
+        pieces = [model.id_to_piece(i) for i in normal]
+        if any(_MARK in p.lstrip(_MARK) or "\n" in p for p in pieces):
             raise ValueError("pieces of this vocabulary reach over spaces or line ends")
+        self.ids, self.weights = np.array(normal, np.int64), -sharpness * np.log(np.arange(len(pieces)) + 2.0)
+        self.longest, self.by_size = max(map(len, pieces)), {}
+        for n in {len(p) for p in pieces}:  # an open hash table for each length
+            own = [k for k, p in enumerate(pieces) if len(p) == n]
+            h = np.zeros(len(own), np.uint64)
+            c = np.frombuffer("".join(pieces[k] for k in own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                for i in range(n):
+                    h = h * _BASE + c[:, i]
+                h = mix64(h)
+            keys, which = np.zeros(max(64, 1 << (4 * len(own)).bit_length()), np.uint64), np.zeros(max(64, 1 << (4 * len(own)).bit_length()), np.int64)
+            for k, x in zip(own, h.tolist(), strict=True):
+                slot = x & (len(keys) - 1)
+                while keys[slot]:
+                    slot = (slot + 1) & (len(keys) - 1)
+                keys[slot], which[slot] = x, k
+            self.by_size[n] = (keys, which)
         self.byte = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.uint32)
         if any(not model.is_byte(int(i)) for i in self.byte):
             raise ValueError("this vocabulary has no byte pieces")
@@ -78,72 +94,123 @@ class Lattices:
         self.bare, self.after = ({w: int(new[i]) for w, i in d.items() if keep[i]} for d in (self.bare, self.after))
         self.hits = self.hits[keep] // 2
 
-    def add(self, segment: str) -> int:
-        """Adds a segment's nodes; returns its number. A node's shares are counted from its own number."""
-        s, n, base = segment.replace(_MARK, "\x00").replace(" ", _MARK), len(segment), self.last[-1] if self.last else 0
-        weight, total = self.weight, [0.0] * (n + 1)
-        for e in range(1, n + 1):
-            edges = []
-            for b in range(max(0, e - self.longest), e):
-                if (got := weight.get(s[b:e])) is not None:
-                    edges.append((total[b] + got[1], got[0], b))
-            if not edges or edges[-1][2] != e - 1:
-                edges.append((total[e - 1] - 12.0, _OTHER + ord(segment[e - 1]), e - 1))
-            top = max(x[0] for x in edges)
-            shares = [math.exp(x[0] - top) for x in edges]
-            whole, run, node = sum(shares), 0.0, base + e
-            total[e] = top + math.log(whole)
-            for share, (_, piece, b) in zip(shares, edges, strict=True):
-                run += share
-                self.share.append(node + math.floor(min(run / whole, 1.0) * _GRAIN) / _GRAIN)
-                self.piece.append(piece)
-                self.back.append(base + b if b else -1)
-            self.share[-1] = node + 1.0
-        self.last.append(base + n)
-        self.edge.append(len(self.share))
-        return len(self.last) - 1
-
-    def ends(self, text: str | None) -> list[int]:
-        """The number of each segment of a text."""
-        out: list[int] = []
-        if not text:
-            return out
-        bare, after, add = self.bare, self.after, self.add
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                if (i := bare.get("\n")) is None:
-                    i = bare["\n"] = add("\n")
-                out.append(i)
-            if "  " in line or line.endswith(" "):
-                for s in _SEGMENT.findall(line):
-                    if (i := bare.get(s)) is None:
-                        i = add(s)
-                        if len(s) < 200:
-                            bare[s] = i
-                    out.append(i)
-            elif line:
-                words = line.split(" ")
-                if words[0]:
-                    if (i := bare.get(words[0])) is None:
-                        i = add(words[0])
-                        if len(words[0]) < 200:
-                            bare[words[0]] = i
-                    out.append(i)
-                for w in words[1:]:
-                    if (i := after.get(w)) is None:
-                        i = add(" " + w)
-                        if len(w) < 200:
-                            after[w] = i
-                    out.append(i)
-        return out
+    def _match(self, c: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of `size` characters are pieces, and the pieces' places in the vocabulary."""
+        n = len(c) - size + 1
+        if n <= 0 or size not in self.by_size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(size):
+                h = h * _BASE + c[i : i + n]
+            h = mix64(h)
+        keys, which = self.by_size[size]
+        slot = (h & np.uint64(len(keys) - 1)).astype(np.int64)
+        place = np.flatnonzero(keys[slot] != 0)
+        slot, h, out, at = slot[place], h[place], [], []
+        while len(place):  # the next slots, as far as they are full
+            hit = keys[slot] == h
+            out.append(place[hit])
+            at.append(which[slot[hit]])
+            slot = (slot + 1) & (len(keys) - 1)
+            on = ~hit & (keys[slot] != 0)
+            place, slot, h = place[on], slot[on], h[on]
+        return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def add(self, segments: list[str]) -> None:
+        """Adds the lattices of segments, numbered on from the last. A node's shares are counted from its own number."""
+        if not segments:
+            return
+        size = np.array([len(s) for s in segments], np.int64)
+        stop = np.cumsum(size)
+        raw = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(raw == ord(_MARK), 0, np.where(raw == 32, ord(_MARK), raw)).astype(np.uint64)
+        begin = np.repeat(stop - size, size)  # of each character's segment
+        place = np.arange(len(c)) - begin
+        rest = np.repeat(stop, size) - np.arange(len(c))
+        to, piece, weight, wide = [], [], [], []
+        for n in range(1, min(self.longest, int(size.max())) + 1):
+            i, at = self._match(c, n)
+            fits = rest[i] >= n
+            i, at = i[fits], at[fits]
+            to.append(i + n - 1)
+            piece.append(self.ids[at])
+            weight.append(self.weights[at])
+            wide.append(np.full(len(i), n))
+        other = np.ones(len(c), bool)
+        other[to[0]] = False
+        other = np.flatnonzero(other)  # characters without a piece
+        to, piece = np.concatenate([*to, other]), np.concatenate([*piece, (_OTHER + raw[other]).astype(np.int64)])
+        weight, wide = np.concatenate([*weight, np.full(len(other), -12.0)]), np.concatenate([*wide, np.ones(len(other), np.int64)])
+        order = np.lexsort((-wide, to))
+        to, piece, weight, wide = to[order], piece[order], weight[order], wide[order]
+        first = np.searchsorted(to, np.arange(len(c)))  # a node's edges
+        count = np.diff(np.append(first, len(to)))
+        # forward filtering, the nodes of all segments that are as far from the beginning at a time
+        total, gain, steps = np.zeros(len(c)), np.zeros(len(to)), np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[steps], np.arange(int(size.max()) + 1))
+        for k in range(int(size.max())):
+            node = steps[bounds[k] : bounds[k + 1]]
+            n = count[node]
+            starts = np.cumsum(n) - n
+            e = np.arange(int(n.sum())) + np.repeat(first[node] - starts, n)
+            before = to[e] - wide[e]
+            g = weight[e] + np.where(wide[e] == k + 1, 0.0, total[before])
+            top = np.repeat(np.maximum.reduceat(g, starts), n)
+            x = np.exp(g - top)
+            whole = np.add.reduceat(x, starts)
+            total[node] = top[starts] + np.log(whole)
+            run = np.cumsum(x)
+            run -= np.repeat(run[starts] - x[starts], n)
+            gain[e] = run / np.repeat(whole, n)
+        base = self.last[-1] if self.last else 0
+        share = np.floor(np.minimum(gain, 1.0) * _GRAIN) / _GRAIN
+        share[np.append(first[1:], len(to)) - 1] = 1.0
+        self.share.frombytes((share + to + base + 1).tobytes())
+        self.piece.frombytes(piece.astype(np.uint32).tobytes())
+        back = to - wide
+        self.back.frombytes(np.where(back < begin[to], -1, back + base + 1).astype(np.int64).tobytes())
+        self.last.frombytes((stop + base).astype(np.int64).tobytes())
+        self.edge.frombytes((np.append(first, len(to))[stop] + self.edge[-1]).astype(np.int64).tobytes())
+
+    def _number(self, new: dict[tuple[bool, str], int]) -> None:
+        """Adds the new segments, in the order of their numbers."""
+        self.add([" " + s if after else s for after, s in new])
+        for (after, s), i in new.items():
+            if len(s) < 200:
+                (self.after if after else self.bare)[s] = i
+
+    def numbers(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
+        """The numbers of the segments of all texts, and how many each text has."""
+        out, counts, new, held = [], [], {}, len(self.last)
+
+        def number(known: dict, after: bool, s: str) -> int:
+            if (i := known.get(s)) is None and (i := new.get((after, s))) is None:
+                i = new[(after, s)] = held + len(new)
+            return i
+
+        for text in texts:
+            n = len(out)
+            for k, line in enumerate((text or "").split("\n")):
+                if k:
+                    out.append(number(self.bare, False, "\n"))
+                if "  " in line or line.endswith(" "):
+                    out += [number(self.bare, False, s) for s in _SEGMENT.findall(line)]
+                elif line:
+                    words = line.split(" ")
+                    if words[0]:
+                        out.append(number(self.bare, False, words[0]))
+                    after = self.after
+                    out += [i if (i := after.get(w)) is not None else number(after, True, w) for w in words[1:]]
+            counts.append(len(out) - n)
+        self._number(new)
+        return out, counts
 
     def sample(self, keys: list[int], texts: list[str | None], seed: int) -> list[np.ndarray]:
         """The sampled ids of each text."""
         if self.last and self.last[-1] > _NODES:
             self._halve()
-        ends = [self.ends(t) for t in texts]
-        counts = np.array([len(e) for e in ends], np.int64)
-        own = np.array([i for e in ends for i in e], np.int64)
+        own, counts = (np.array(x, np.int64) for x in self.numbers(texts))
         if not len(own):
             return [np.zeros(0, np.uint32)] * len(texts)
         hits = np.bincount(own, minlength=len(self.last))

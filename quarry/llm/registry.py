@@ -1,15 +1,19 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from quarry.llm import embedding_dedup, line_dedup, ngram_join, pieces, pii, token_files, toxicity
+import corpus_pipeline
+from quarry.llm import decontaminate, embedding_dedup, html_text, line_dedup, ngram_join, pieces, pii, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_token_files": token_files.op3_token_files,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+    "op5_html_text": html_text.op5_html_text,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_pieces": pieces.op10_pieces,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op6_line_dedup": line_dedup.OP6_SQL,

@@ -9,6 +9,7 @@ Any zstandard reader can decompress the whole; with the seek table a reader deco
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from array import array
@@ -21,7 +22,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, read_table, small_batches
 
 SKIPPABLE, INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_CACHE = 240_000  # words whose ids a worker keeps
+_CACHE = 200_000  # words whose ids a worker keeps
+
+
+#: Latin letters, for which small letters and composition are the same to every library, then punctuation without '.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
 
 
 class WordCache:
@@ -33,27 +38,61 @@ class WordCache:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words of plain small letters alone, which normalising and splitting leave as they are
+        self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start, self.flat, self.hits = array("q", [0]), array("I"), np.zeros(0, np.int32)
+        self.at: dict[str, int] = {}  # number of a word as written
+        self.part: dict[str, int] = {"": 0}  # number of a part: small letters, or punctuation, or any other word
+        self.first, self.second = array("i"), array("i")  # a word's parts
+        self.start, self.flat = array("q", [0, 0]), array("I")  # a part's ids
+        self.hits = np.zeros(0, np.int32)
 
     def _halve(self) -> None:
-        """Keeps the half of the words that came up most."""
+        """Keeps the half of the words that came up most, and their parts."""
         keep = np.zeros(len(self.at), bool)
         keep[np.argsort(self.hits, kind="stable")[len(self.at) // 2 :]] = True
-        start, flat = np.array(self.start), np.array(self.flat, np.uint32)
-        new = np.cumsum(keep) - 1
-        self.at = {w: int(new[i]) for w, i in self.at.items() if keep[i]}
-        size = np.diff(start)
-        self.flat = array("I", flat[np.repeat(keep, size)].tobytes())
-        self.start = array("q", np.concatenate(([0], np.cumsum(size[keep]))).tobytes())
+        new = (np.cumsum(keep) - 1).tolist()
+        held = keep.tolist()
+        self.at = {w: new[i] for w, i in self.at.items() if held[i]}
+        first, second = np.array(self.first)[keep], np.array(self.second)[keep]
+        own = np.zeros(len(self.part), bool)
+        own[0] = own[first] = own[second] = True
+        move, held = np.cumsum(own) - 1, own.tolist()
+        size = np.diff(np.array(self.start))
+        self.part = {x: i for i, x in enumerate(x for x, k in zip(self.part, held, strict=True) if k)}
+        self.flat = array("I", np.array(self.flat, np.uint32)[np.repeat(own, size)].tobytes())
+        self.start = array("q", np.concatenate(([0], np.cumsum(size[own]))).tobytes())
+        self.first, self.second = (array("i", move[x].astype(np.int32).tobytes()) for x in (first, second))
         self.hits = self.hits[keep] // 2
 
+    def _add(self, words: list[str]) -> None:
+        """Numbers new words; one of letters and punctuation behind them is put together from the two parts."""
+        part, at, lean, full = self.part, self.at, [], []
+        for w in words:
+            at[w] = len(at)
+            a, b, new = w, "", full
+            if (m := _WORD.fullmatch(w)) is not None:
+                a, b, new = m[1].lower(), m[2], lean
+            if (i := part.get(a)) is None:
+                i = part[a] = len(part)
+                new.append((i, a))
+            self.first.append(i)
+            if (i := part.get(b)) is None:
+                i = part[b] = len(part)
+                full.append((i, b))
+            self.second.append(i)
+        ids: dict[int, list[int]] = {}
+        for tokenizer, own in ((self.lean, lean), (self.tokenizer, full)):
+            ids.update(zip([i for i, _ in own], [e.ids for e in tokenizer.encode_batch_fast([x for _, x in own], add_special_tokens=False)], strict=True))
+        for i in range(len(self.start) - 1, len(part)):
+            self.flat.extend(ids[i])
+            self.start.append(len(self.flat))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words, counts = [], []
         for t in texts:
@@ -64,22 +103,19 @@ class WordCache:
             return [np.zeros(0, np.uint32)] * len(texts)
         if len(self.at) > _CACHE:
             self._halve()
-        new = [w for w in set(words) if w not in self.at]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.at[w] = len(self.start) - 1
-            self.flat.extend(e.ids)
-            self.start.append(len(self.flat))
+        self._add(list(set(words) - self.at.keys()))
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         hits = np.bincount(at, minlength=len(self.at))
         hits[: len(self.hits)] += self.hits
         self.hits = hits.astype(np.int32)
+        parts = np.column_stack((np.frombuffer(self.first, np.int32)[at], np.frombuffer(self.second, np.int32)[at])).ravel()
         start = np.frombuffer(self.start, np.int64)
-        size = np.diff(start)[at]
+        size = np.diff(start)[parts]
         before = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(before[-1]) + np.repeat(start[at] - before[:-1], size)
+        place = np.arange(before[-1]) + np.repeat(start[parts] - before[:-1], size)
         flat = np.frombuffer(self.flat, np.uint32)[place] if len(self.flat) else np.zeros(0, np.uint32)
         del start
-        return np.split(flat, before[np.cumsum(counts)[:-1]])
+        return np.split(flat, before[2 * np.cumsum(counts)[:-1]])
 
 
 def _seek_frame(entries: list[tuple[int, int, int]]) -> bytes:
