@@ -8,7 +8,7 @@ come from a table of fixed size that counts all documents; they set the order an
 
 Each index entry's documents are first held against one of them, then components are formed, and only documents of
 different components that share an entry are compared further, until none is left. So a group of copies costs in
-proportion to its size, and no link between different components is missed. Counts of tokens in 64 hash classes, kept
+proportion to its size, and no link between different components is missed. Counts of tokens in 256 hash classes, kept
 for each document, bound the distance of a pair from below and spare most comparisons of whole sets.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, add_tables, blocks, components, id_filter, in_filter, mix64, packed, read_table, small_batches, word_hashes
 
 SKETCH = 1 << 22
+CLASSES = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -55,8 +56,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def _classes(h: np.ndarray) -> np.ndarray:
-    """How many tokens fall in each of 64 hash classes."""
-    return np.minimum(np.bincount((h & np.uint64(63)).astype(np.int64), minlength=64), 65535).astype(np.uint16)
+    """How many tokens fall in each hash class, 255 at most (which can only bring two sets nearer)."""
+    return np.minimum(np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
 
 
 class Index:
@@ -112,9 +113,9 @@ def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
         import pyarrow as pa
 
         for b in batches:
-            va, vb = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, 64).astype(np.int32) for c in ("va", "vb"))
+            va, vb = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for c in ("va", "vb"))
             na, nb = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("na", "nb"))
-            fits = (num + den) * np.abs(va - vb).sum(axis=1) <= (den - num) * (na + nb)
+            fits = (num + den) * np.abs(va - vb).sum(axis=1, dtype=np.int64) <= (den - num) * (na + nb)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(fits))
 
     near = scratch.save(near.mapInArrow(close, "a long, b long"), f"{name}-near")
@@ -157,13 +158,22 @@ def _across(num: int, den: int):
 
         rows = table.combine_chunks()
         ids, n, c, block = (rows.column(x).to_numpy() for x in ("id", "n", "c", "block"))
-        v = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.uint16).reshape(-1, 64).astype(np.int32)
-        a, b = [], []
+        v = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        # a pair that meets in several buckets is given by one of them, as far as the documents' first keys tell
+        low = np.zeros((len(ids), 8), np.int64)
+        for i, x in enumerate(rows.column("low").to_pylist()):
+            low[i, : len(x)] = x
+            low[i, len(x) :] = x[0]
+        here, a, b = key[0].as_py(), [], []
         for i in range(len(ids)):
             j = np.flatnonzero((c != c[i]) & (ids > ids[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
             if key[1] != key[2]:
                 j = j[block[j] != block[i]]
-            j = j[(num + den) * np.abs(v[j] - v[i]).sum(axis=1) <= (den - num) * (n[j] + n[i])]
+            j = j[(num + den) * np.abs(v[j] - v[i]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[j] + n[i])]
+            if len(j):
+                both = (low[j][:, :, None] == low[i]).any(axis=2)
+                least = np.where(both, low[j], np.iinfo(np.int64).max).min(axis=1)
+                j = j[~both.any(axis=1) | (least == here)]
             a.append(np.full(len(j), ids[i]))
             b.append(ids[j])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -246,10 +256,12 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, words: int = 5
     few = left.where(F.col("m") <= small)
     x, y = few.toDF("key", "m", "a", "na", "ca"), few.drop("m").toDF("key", "b", "nb", "cb")
     pairs = x.join(y, "key").where("a < b and ca <> cb").where(fits("na", "nb")).select("a", "b").distinct()
-    many = left.where(F.col("m") > small).join(sets.select(F.col("doc_id").alias("id"), "vec"), "id")
+    many = left.where(F.col("m") > small)
+    low = many.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 8).alias("low"))
+    many = many.join(low, "id").join(sets.select(F.col("doc_id").alias("id"), "vec"), "id")
     many = many.withColumn("parts", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    pairs2 = many.select("key", "bi", "bj", "id", "n", "c", "block", "vec").groupBy("key", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")
+    pairs2 = many.select("key", "bi", "bj", "id", "n", "c", "block", "vec", "low").groupBy("key", "bi", "bj").applyInArrow(_across(num, den), "a long, b long")
     more = _verify(spark, docs, sets, pairs.unionByName(pairs2).distinct(), words, num, den, scratch, "two")
     if not more.isEmpty():
         known = components(spark, edges.unionByName(more), scratch, "cc-two")
