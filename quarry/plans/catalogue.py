@@ -1,4 +1,4 @@
 """All registered queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quarry.plans import evaluation, retrieval, sampling, text  # noqa: F401
+from quarry.plans.register import OPERATORS, ORACLES, QUERIES  # noqa: F401
