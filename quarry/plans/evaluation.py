@@ -1 +1,228 @@
-"""Queries."""
+"""Queries over evaluation, rules and event logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.functions.text import answer_tokens, is_refusal
+from quarry.operators.evaluation import arms, outcome, paired, passes, token_f1
+from quarry.operators.retrieval import bm25, top_k
+from quarry.operators.traces import budget, paginate
+from quarry.plans.register import query
+from quarry.plans.retrieval import BM25, RANK, _par, _queries
+from quarry.sources.tables import table
+from quarry.streaming.monitor import progress
+
+ANS = r"""list_filter(regexp_split_to_array(translate(lower(replace({0}, ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and'))"""
+JUDGED = """j AS (SELECT doc_id AS case_id, 'base' AS arm, quality * 4 AS score, (100 + doc_id * 37 % 400) AS tokens, (10 + doc_id * 13 % 50) / 10.0 AS latency, doc_id % 5 AS kind FROM labels
+ UNION ALL SELECT doc_id, 'candidate', greatest(0, least(4, quality * 4 + CASE WHEN doc_id % 11 = 0 THEN 2 WHEN doc_id % 17 = 0 THEN -2 ELSE 0 END)), (90 + doc_id * 41 % 380), (8 + doc_id * 17 % 45) / 10.0, doc_id % 5 FROM labels)"""
+PAIRED = f"""{JUDGED}, p AS (SELECT case_id, b.kind, b.score AS b, c.score AS c, b.tokens AS b_tokens, c.tokens AS c_tokens, c.score - b.score AS delta FROM (SELECT * FROM j WHERE arm = 'base') b JOIN (SELECT * FROM j WHERE arm = 'candidate') c USING (case_id))"""
+OUT = """count(*)::BIGINT AS n, count(*) FILTER (delta > 0)::BIGINT AS wins, count(*) FILTER (delta = 0)::BIGINT AS ties, count(*) FILTER (delta < 0)::BIGINT AS losses,
+count(*) FILTER (delta <= -2)::BIGINT AS large_regressions, sum(delta)::BIGINT AS net, round(coalesce((sum(c_tokens) - sum(b_tokens)) / nullif(sum(b_tokens), 0), 0), 4)::DOUBLE AS token_change"""
+
+
+def _judged(spark, d):
+    """Two arms made from labels by the id."""
+    i, q = F.col("doc_id"), F.col("quality") * 4
+    labels = table(spark, d, "labels")
+    row = lambda arm, score, tokens, latency: labels.select(i.alias("case_id"), F.lit(arm).alias("arm"), score.alias("score"), tokens.alias("tokens"), (latency / 10).alias("latency"), (i % 5).alias("kind"))
+    moved = F.greatest(F.lit(0), F.least(F.lit(4), q + F.when(i % 11 == 0, 2).when(i % 17 == 0, -2).otherwise(0)))
+    return row("base", q, 100 + i * 37 % 400, 10 + i * 13 % 50).unionByName(row("candidate", moved, 90 + i * 41 % 380, 8 + i * 17 % 45))
+
+
+@query(
+    "e01_token_f1", "E1 E2 E5",
+    f"""WITH p AS (SELECT b.item_id, d.doc_id, {ANS.format('b.text')} AS g, {ANS.format('left(d.text, 300)')} AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+x AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(g) AS w FROM p) GROUP BY ALL), y AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(t) AS w FROM p) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(least(x.n, y.n)) AS same FROM x JOIN y USING (item_id, doc_id, w) GROUP BY ALL)
+SELECT item_id, doc_id, round(coalesce(same * 2.0 / (len(g) + len(t)), 0), 4)::DOUBLE AS f1 FROM p LEFT JOIN s USING (item_id, doc_id)""",
+)
+def e01(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", answer_tokens("text").alias("g"))
+    docs = table(spark, d, "documents").select("doc_id", answer_tokens(F.left("text", F.lit(300))).alias("t"))
+    p = docs.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    return token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id")
+
+
+@query(
+    "e03_evidence_recall", "E3 E6 J1",
+    f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 5),
+h AS (SELECT query_id, string_agg(par.text, chr(10) ORDER BY rank) AS found FROM t JOIN par USING (doc_id, p_idx) GROUP BY query_id),
+r AS (SELECT query_id, query, found, list_distinct({ANS.format('query')}) AS e, list_distinct({ANS.format('found')}) AS f FROM q JOIN h USING (query_id))
+SELECT query_id, position(query IN found) > 0 OR (len(e) >= 4 AND len(list_intersect(e, f)) * 1.0 / len(e) >= 0.8) AS hit, round(len(list_intersect(e, f)) * 1.0 / len(e), 4)::DOUBLE AS cover FROM r""",
+)
+def e03(spark, d):
+    par, q = _par(spark, d), _queries(spark, d)
+    t = top_k(bm25(par, q), 5, "doc_id", "p_idx").join(par, ["doc_id", "p_idx"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
+    r = q.join(t, "query_id").withColumn("found", F.array_join(F.transform("h", lambda x: x["text"]), "\n"))
+    e, f = F.array_distinct(answer_tokens("query")), F.array_distinct(answer_tokens("found"))
+    cover = F.size(F.array_intersect(e, f)) / F.size(e)
+    return r.select("query_id", (F.col("found").contains(F.col("query")) | ((F.size(e) >= 4) & (cover >= 0.8))).alias("hit"), F.round(cover, 4).alias("cover"))
+
+
+@query("e04_refusal_override", "E4", "SELECT item_id, CASE WHEN regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know') OR item_id % 7 = 0 THEN 4 ELSE 0 END::INT AS score FROM benchmark")
+def e04(spark, d):
+    b = table(spark, d, "benchmark").withColumn("answer", F.when(F.col("item_id") % 7 == 0, "Not mentioned").otherwise(F.col("text")))
+    return b.select("item_id", F.when(is_refusal("answer"), 4).otherwise(0).alias("score"))
+
+
+@query(
+    "e08_arm_metrics", "E7 E8 E9 E23",
+    f"""WITH {JUDGED} SELECT arm, count(*)::BIGINT AS n, round(avg(score), 4)::DOUBLE AS avg_score, round(sum(score) / (4.0 * count(*)), 4)::DOUBLE AS accuracy, round(avg(tokens), 4)::DOUBLE AS avg_tokens, round(avg(latency), 4)::DOUBLE AS avg_latency FROM j GROUP BY arm""",
+)
+def e08(spark, d):
+    return arms(_judged(spark, d))
+
+
+@query("e10_paired_ab", "E10 E11 E12 J1", f"WITH {PAIRED} SELECT {OUT} FROM p")
+def e10(spark, d):
+    return outcome(paired(_judged(spark, d), "base", "candidate"))
+
+
+@query("e13_relations", "E13 E18 E25", f"WITH {PAIRED} SELECT case_id, delta::INT AS delta, CASE WHEN delta > 0 THEN 'candidate_better' WHEN delta < 0 THEN 'baseline_better' ELSE 'tie' END AS relation FROM p WHERE b <> c OR case_id % 2 = 0")
+def e13(spark, d):
+    relation = F.when(F.col("delta") > 0, "candidate_better").when(F.col("delta") < 0, "baseline_better").otherwise("tie")
+    return paired(_judged(spark, d), "base", "candidate").where("b <> c or case_id % 2 = 0").select("case_id", "delta", relation.alias("relation"))
+
+
+@query(
+    "e14_gate", "E14 E15 E24",
+    f"""WITH {PAIRED}, o AS (SELECT kind, {OUT} FROM p GROUP BY kind)
+SELECT kind, wins, losses, net, net >= 0 AND wins > losses AND large_regressions = 0 AND token_change <= 0.1 AS passed, row_number() OVER (ORDER BY net DESC, token_change, kind)::INT AS place,
+CASE WHEN large_regressions > 0 THEN 'quarantine' WHEN wins > losses THEN 'retain' ELSE 'unproven' END AS advice FROM o""",
+)
+def e14(spark, d):
+    j = _judged(spark, d)
+    o = outcome(paired(j, "base", "candidate").join(j.where("arm = 'base'").select("case_id", "kind"), "case_id"), "kind")
+    place = F.row_number().over(Window.orderBy(F.desc("net"), "token_change", "kind"))  # over the few kinds
+    advice = F.when(F.col("large_regressions") > 0, "quarantine").when(F.col("wins") > F.col("losses"), "retain").otherwise("unproven")
+    return o.select("kind", "wins", "losses", "net", passes(o).alias("passed"), place.alias("place"), advice.alias("advice"))
+
+
+@query(
+    "e16_disagreement", "E16 E19 E20 E26",
+    f"""WITH {JUDGED}, r AS (SELECT case_id, score / 4.0 AS acc, (case_id * 7 % 100) / 100.0 AS recall FROM j WHERE arm = 'candidate')
+SELECT case_id, CASE WHEN recall >= 0.8 AND acc <= 0.2 THEN 'found_but_wrong' ELSE 'right_but_unfound' END AS "case" FROM r WHERE recall >= 0.8 AND acc <= 0.2 OR recall <= 0.2 AND acc >= 0.8""",
+)
+def e16(spark, d):
+    r = _judged(spark, d).where("arm = 'candidate'").select("case_id", (F.col("score") / 4).alias("acc"), (F.col("case_id") * 7 % 100 / 100).alias("recall"))
+    a, b = (F.col("recall") >= 0.8) & (F.col("acc") <= 0.2), (F.col("recall") <= 0.2) & (F.col("acc") >= 0.8)
+    return r.where(a | b).select("case_id", F.when(a, "found_but_wrong").otherwise("right_but_unfound").alias("case"))
+
+
+@query(
+    "e17_shard_merge", "E17 S17 S20 T10 T11",
+    f"""WITH {JUDGED}, s AS (SELECT case_id, score, 0 AS shard FROM j WHERE arm = 'base' AND case_id % 2 = 0 UNION ALL SELECT case_id, score, 1 FROM j WHERE arm = 'base' AND case_id % 3 = 0)
+SELECT count(*)::BIGINT AS n_rows, count(DISTINCT case_id)::BIGINT AS n_cases, (count(*) - count(DISTINCT case_id))::BIGINT AS n_repeated, round(avg(score), 4)::DOUBLE AS avg_score FROM s""",
+)
+def e17(spark, d):
+    base = _judged(spark, d).where("arm = 'base'").select("case_id", "score")
+    s = base.where("case_id % 2 = 0").unionByName(base.where("case_id % 3 = 0"))
+    per = s.groupBy("case_id").agg(F.count("*").alias("k"), F.sum("score").alias("t"))
+    n = F.sum("k")
+    return per.agg(n.alias("n_rows"), F.count("*").alias("n_cases"), (n - F.count("*")).alias("n_repeated"), F.round(F.sum("t") / n, 4).alias("avg_score"))
+
+
+# --- rules -------------------------------------------------------------------------------------------------------
+
+TAGS = "t AS (SELECT doc_id, list_filter([CASE WHEN contains(text, 'Licen') THEN 'license' END, CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN length(text) > 2000 THEN 'long' END, CASE WHEN contains(text, '@') THEN 'mail' END], lambda x: x IS NOT NULL) AS tags FROM documents)"
+RULES = "x(rule_id, op, req, any_, exc, conf) AS (VALUES ('r1', 'A', ['long'], ['table'], ['mail'], 0.9), ('r2', 'A', ['long'], ['mail'], ['none'], 0.7), ('r3', 'B', ['table'], ['long'], ['none'], 0.8), ('r4', 'C', ['license'], ['long'], ['table'], 0.6))"
+
+
+@query(
+    "x04_rule_routing", "X1 X4 X5 X6 X7 X8 X9 J7",
+    f"""WITH {TAGS}, {RULES}, m AS (SELECT doc_id, rule_id, op, 4 * len(req) + 2 * len(list_intersect(any_, tags)) + conf AS score FROM t, x WHERE list_has_all(tags, req) AND NOT list_has_any(tags, exc)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, op ORDER BY score DESC, rule_id DESC) AS k FROM m), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rule_id DESC) AS rank FROM b WHERE k = 1)
+SELECT t.doc_id, coalesce(string_agg(rule_id, ',' ORDER BY rank), '') AS selected, count(rule_id) = 0 AS fallback FROM t LEFT JOIN (SELECT * FROM c WHERE rank <= 2) c USING (doc_id) GROUP BY t.doc_id""",
+)
+def x04(spark, d):
+    """Rules whose required tags a case has, and none of the excluded ones; the best of each operator, two at most."""
+    c = F.col("text")
+    tags = F.array_compact(F.array(F.when(c.contains("Licen"), "license"), F.when(c.contains("|"), "table"), F.when(F.length(c) > 2000, "long"), F.when(c.contains("@"), "mail")))
+    t = table(spark, d, "documents").select("doc_id", tags.alias("tags"))
+    rules = spark.createDataFrame(
+        [("r1", "A", ["long"], ["table"], ["mail"], 0.9), ("r2", "A", ["long"], ["mail"], ["none"], 0.7), ("r3", "B", ["table"], ["long"], ["none"], 0.8), ("r4", "C", ["license"], ["long"], ["table"], 0.6)],
+        "rule_id string, op string, req array<string>, any_ array<string>, exc array<string>, conf double",
+    )
+    m = t.join(F.broadcast(rules), (F.size(F.array_except("req", "tags")) == 0) & ~F.arrays_overlap("exc", "tags"))
+    m = m.withColumn("score", 4 * F.size("req") + 2 * F.size(F.array_intersect("any_", "tags")) + F.col("conf"))
+    best = [F.desc("score"), F.desc("rule_id")]
+    m = m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "op").orderBy(*best))).where("k = 1")
+    m = m.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*best))).where("rank <= 2")
+    g = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rule_id"))).alias("s"))
+    out = t.join(g, "doc_id", "left")
+    return out.select("doc_id", F.coalesce(F.array_join(F.transform("s", lambda x: x["rule_id"]), ","), F.lit("")).alias("selected"), F.col("s").isNull().alias("fallback"))
+
+
+@query(
+    "x02_merge_rules", "X2 X3 X10",
+    "SELECT o_orderpriority AS rule, count(DISTINCT o_custkey)::BIGINT AS supporters, max(o_totalprice) AS confidence, min(o_orderkey) AS first_case, row_number() OVER (ORDER BY count(DISTINCT o_custkey) DESC, o_orderpriority)::INT AS place FROM orders GROUP BY o_orderpriority",
+)
+def x02(spark, d):
+    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("rule")).agg(F.countDistinct("o_custkey").alias("supporters"), F.max("o_totalprice").alias("confidence"), F.min("o_orderkey").alias("first_case"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("supporters"), "rule")))  # over the few rules
+
+
+# --- event logs ---------------------------------------------------------------------------------------------------
+
+LOG = r"log AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS tool, regexp_extract(props, '[0-9]+') AS chunk, value, ts FROM events)"
+
+
+def _log(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.row_number().over(w).alias("seq"), F.col("event_type").alias("tool"), F.regexp_extract("props", "[0-9]+", 0).alias("chunk"), "value", "ts")
+
+
+@query(
+    "t01_rounds", "T1 T5 M11",
+    f"WITH {LOG} SELECT query_id, max((seq - 1) // 5 + 1)::INT AS rounds, max_by(tool, seq) AS last_tool, array_to_string(list_sort(list_distinct(list(tool))), ',') AS tools, count(*)::BIGINT AS n FROM log GROUP BY query_id",
+)
+def t01(spark, d):
+    return _log(spark, d).groupBy("query_id").agg(F.max(F.floor((F.col("seq") - 1) / 5) + 1).cast("int").alias("rounds"), F.max_by("tool", "seq").alias("last_tool"), F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"), F.count("*").alias("n"))
+
+
+@query("t02_tool_counts", "T2 T3 T12", "SELECT event_type AS tool, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS n_queries FROM events GROUP BY event_type")
+def t02(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_queries"))
+
+
+@query("t04_trajectories", "T4", f"WITH {LOG} SELECT query_id, string_agg(tool || ':' || chunk, ' ' ORDER BY seq) AS steps FROM log WHERE seq <= 24 GROUP BY query_id")
+def t04(spark, d):
+    g = _log(spark, d).where("seq <= 24").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(":", "tool", "chunk").alias("s")))).alias("s"))
+    return g.select("query_id", F.array_join(F.transform("s", lambda x: x["s"]), " ").alias("steps"))
+
+
+@query("t06_pagination", "T6 M12")
+def t06(spark, d):
+    log = _log(spark, d)
+    hits = log.select("query_id", F.floor((F.col("seq") - 1) / 5).cast("int").alias("round"), ((F.col("seq") - 1) % 5).cast("int").alias("rank"), (F.col("chunk").cast("int") % 7).cast("string").alias("chunk"))
+    return paginate(hits, k=2)
+
+
+@query("t07_budget", "T7")
+def t07(spark, d):
+    return budget(_log(spark, d).select("query_id", "seq", "tool", F.concat_ws("|", "tool", "chunk").alias("key")), identical=1, searches=5)
+
+
+@query(
+    "t07_single_limit", "T7",
+    f"WITH {LOG} SELECT query_id, seq::INT AS seq, row_number() OVER (PARTITION BY query_id, tool, chunk ORDER BY seq) <= 2 AS allowed FROM log",
+)
+def t07b(spark, d):
+    w = Window.partitionBy("query_id", "tool", "chunk").orderBy("seq")
+    return _log(spark, d).select("query_id", "seq", (F.row_number().over(w) <= 2).alias("allowed"))
+
+
+@query("t08_token_sums", "T8", "SELECT user_id AS query_id, event_type AS phase, count(*)::BIGINT AS calls, round(sum(value), 2) AS tokens FROM events GROUP BY ALL")
+def t08(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("phase")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"))
+
+
+@query(
+    "t09_progress_stream", "T9",
+    "SELECT date_trunc('hour', ts) AS hour, event_type AS tool, count(*)::BIGINT AS n FROM events GROUP BY ALL",
+)
+def t09(spark, d):
+    """Tumbling counts as a stream, with a watermark, run over what is there."""
+    return progress(spark, f"{d}/events.parquet", "1 hour")
