@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Scratch, add_tables, blocks, components, id_filter, in_filter, mix64, packed, read_table, small_batches, word_hashes
 
-SKETCH = 1 << 22
+SKETCH = 1 << 21
 CLASSES = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -188,7 +188,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, words: int = 5
     texts have no shingles and link with nothing. Rows with the same doc_id all come back, each with its own text's
     count; their component is common. A null doc_id takes no part and has a null component.
     """
-    small_batches(spark)
+    small_batches(spark, 500)
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -204,7 +204,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, words: int = 5
                 f1 = [int(mix64(h ^ _A).sum().astype(np.int64)) for h in sets]
                 f2 = [int(mix64(h ^ _B).sum().astype(np.int64)) for h in sets]
             every = np.concatenate(sets)
-            counts += np.bincount((every >> np.uint64(42)).astype(np.int64), minlength=SKETCH)
+            counts += np.bincount((every >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([_classes(h).tobytes() for h in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
