@@ -139,3 +139,14 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95,
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all rows of `embeddings` at cosine 0.95."""
     return near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+      AND list_inner_product(x.e, y.e) / sqrt(list_inner_product(x.e, x.e) * list_inner_product(y.e, y.e)) >= 0.95),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.c = p.a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c) AS component_id, min(c) = vec_id AS kept
+FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY vec_id
+"""

@@ -17,5 +17,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op1_ngram_join": ngram_join.OP1_SQL,
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }
