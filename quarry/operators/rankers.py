@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.retrieval import top_k
+from quarry.sources.tables import small
 
 _RANKERS: dict[str, Callable[[str, str], float]] = {}
 _GATES: dict[str, Callable[[str, int], float]] = {}
@@ -33,7 +34,7 @@ def rank_with(name: str, queries: DataFrame, docs: DataFrame, k: int) -> DataFra
 
         return pd.Series([float(function(q, d)) for q, d in zip(question, document, strict=True)])
 
-    pairs = docs.join(F.broadcast(queries))
+    pairs = docs.join(small(queries))
     return top_k(pairs.select("query_id", "doc_id", "name", score("query", "name").alias("score")), k, "name", "doc_id")
 
 

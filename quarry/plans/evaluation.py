@@ -11,7 +11,7 @@ from quarry.operators.retrieval import bm25, top_k
 from quarry.operators.traces import budget, paginate
 from quarry.plans.register import query
 from quarry.plans.retrieval import BM25, RANK, _par, _queries
-from quarry.sources.tables import table
+from quarry.sources.tables import small, table
 from quarry.streaming.monitor import progress
 
 ANS = r"""list_filter(regexp_split_to_array(translate(lower(replace({0}, ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and'))"""
@@ -41,7 +41,7 @@ SELECT item_id, doc_id, round(coalesce(same * 2.0 / (len(g) + len(t)), 0), 4)::D
 def e01(spark, d):
     b = table(spark, d, "benchmark").select("item_id", answer_tokens("text").alias("g"))
     docs = table(spark, d, "documents").select("doc_id", answer_tokens(F.left("text", F.lit(300))).alias("t"))
-    p = docs.join(F.broadcast(b), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    p = docs.join(small(b), F.col("doc_id") % 40 == F.col("item_id") % 40)
     return token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id")
 
 

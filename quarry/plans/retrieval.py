@@ -92,7 +92,7 @@ def _cover(par, queries):
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     n = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
     hits = postings(par).join(terms, "term").groupBy("query_id", "doc_id", "p_idx").agg(F.count("*").alias("c"))
-    return hits.join(F.broadcast(n), "query_id").select("query_id", "doc_id", "p_idx", F.round(F.col("c") / F.col("nq"), 4).alias("score"))
+    return hits.join(n, "query_id").select("query_id", "doc_id", "p_idx", F.round(F.col("c") / F.col("nq"), 4).alias("score"))
 
 
 HYBRID = f"""WITH {BM25}, {COVER.replace('FROM posts', 'FROM posts').replace('GROUP BY ALL)', 'GROUP BY query_id, doc_id, p_idx)')},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators.sampling import group_split, order, quota, round_robin
 from quarry.plans.register import query
 from quarry.sources.formats import round_trip
-from quarry.sources.tables import table
+from quarry.sources.tables import small, table
 
 SPLIT = """g AS (SELECT o_custkey, count(*) AS k, sha1('s1' || o_custkey) AS h FROM orders GROUP BY o_custkey),
 c AS (SELECT o_custkey, sum(k) OVER (ORDER BY h) * 1.0 / sum(k) OVER () AS share FROM g),
@@ -63,7 +63,7 @@ def p15(spark, d):
     longest = F.array_max(F.transform(F.slice("inner", 1, F.greatest(F.size("inner") - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     b = b.select("item_id", F.col("text").alias("item"), longest.alias("w"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.select("doc_id", F.explode(words("text")).alias("w")).join(F.broadcast(b.select("w").distinct()), "w", "left_semi").join(b.select("w", "item_id"), "w")
+    hits = docs.select("doc_id", F.explode(words("text")).alias("w")).join(small(b.select("w").distinct()), "w", "left_semi").join(b.select("w", "item_id"), "w")
     return hits.join(docs, "doc_id").join(b.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
 
 

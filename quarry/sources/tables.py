@@ -13,3 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, p_idx, text): the lines of documents that aren't blank; p_idx counts all lines."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p_idx", "text")).where(F.trim("text") != "")
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A side to broadcast if it has at most so many rows; else as it is, and Spark joins it in another way."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
