@@ -78,6 +78,15 @@ def _rows(rows: list[tuple]):
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _planes(ascending: np.ndarray) -> np.ndarray:
+    """Ascending 64-bit numbers as differences, byte by byte, whose high bytes are mostly zeros."""
+    return np.ascontiguousarray(np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 META, ENTRIES, SUMS, HISTORY, ASKED, HOT, HOT_ASKED, STATS, BACK = range(9)
 
 
@@ -115,7 +124,7 @@ def _deal(parts: int, hot: np.ndarray, limit: int = 4 << 20):
                 a, b = cut[p], cut[p + 1]
                 tu, tn = np.unique(t[a:b], return_counts=True)
                 hu, hi = np.unique(h[a:b], return_inverse=True)
-                rows.append((ENTRIES, int(p), block, None, None, _pack(tu, _small(tn), hu, _small(hi), _small(doc[a:b]), out[doc[a:b]].astype(np.uint8))))
+                rows.append((ENTRIES, int(p), block, None, None, _pack(_planes(tu), _small(tn), _planes(hu), _small(hi), _small(doc[a:b]), out[doc[a:b]].astype(np.uint8))))
             return _rows(rows).to_batches()
 
         total = 0
@@ -150,8 +159,8 @@ def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray):
                 ids.append(block)
         if not loads:
             return _rows(rows)
-        t = np.concatenate([np.repeat(x[0], x[1]) for x in loads])
-        h = np.concatenate([x[2][x[3]] for x in loads])
+        t = np.concatenate([np.repeat(_whole(x[0]), x[1]) for x in loads])
+        h = np.concatenate([_whole(x[2])[x[3]] for x in loads])
         doc = np.concatenate([x[4].astype(np.int64) for x in loads])
         out = np.concatenate([x[5] for x in loads]).astype(bool)
         at = np.repeat(np.arange(len(loads)), [len(x[4]) for x in loads])
@@ -176,15 +185,19 @@ def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray):
         ce, re = c[of_t], r[of_p]
         with np.errstate(divide="ignore"):
             lc, lr = np.where(ce > 0, np.log10(np.maximum(ce, 1)), 0.0), np.where(re > 0, np.log10(np.maximum(re, 1)), 0.0)
-        seen, u = re > 0, re == 0
-        values = [np.log10(ce + 0.1), (ce > 0) * 1.0, np.where(t != END, -lc, 0.0), np.where(seen, lr, 0.0), *((re == i) * 1.0 for i in range(1, K + 1)), (re > K) * 1.0]
-        values += [np.where(u, lc, 0.0), *((u & (ce == i)) * 1.0 for i in range(1, K + 1)), (u & (ce > K)) * 1.0, (u & (ce == 0)) * 1.0]
-        key_u, *sums = _sum_by((at << 16) + doc, *values)
+        u = re == 0
+        key_u, of_doc = np.unique((at << 16) + doc, return_inverse=True)
+        total = lambda x: np.bincount(of_doc, x, len(key_u))
+        # logarithms of counts that go into the score as they are, then numbers of tokens of each discounted count
+        sums = [total(np.log10(ce + 0.1)), total(ce > 0), total(np.where(t != END, -lc, 0.0) + lr + np.where(u, lc, 0.0))]
+        sums += [*(total(re == i) for i in range(1, K + 1)), total(re > K)]
+        sums += [*(total(u & (ce == i)) for i in range(1, K + 1)), total(u & (ce > K)), total(u & (ce == 0))]
+        del lc, lr, of_doc
         cut = np.searchsorted(key_u >> 16, np.arange(len(ids) + 1))
         for i, block in enumerate(ids):
             a, b = cut[i], cut[i + 1]
             if b > a:
-                packed = [x[a:b] if k in (0, 2, 3, 10) else _small(x[a:b]) for k, x in enumerate(sums)]
+                packed = [x[a:b] if k in (0, 2) else _small(x[a:b]) for k, x in enumerate(sums)]
                 rows.append((SUMS, 0, block, None, None, _pack(_small(key_u[a:b] & 0xFFFF), *packed)))
 
         # what each history needs for its backoff weight
@@ -292,7 +305,7 @@ def _finish(model: Discounts, hot: np.ndarray, hot_answer: np.ndarray, begin: fl
 
         rows = [(k, _unpack(x.as_buffer())) for k, x in zip(table.column("kind").to_pylist(), table.column("data"), strict=True)]
         ids, null, out, n = next(x for k, x in rows if k == META)
-        sums, back = np.zeros((3 + 1 + K + 1 + 1 + K + 2, len(ids))), np.zeros(len(ids))
+        sums, back = np.zeros((3 + K + 1 + K + 2, len(ids))), np.zeros(len(ids))
         for kind, x in rows:
             if kind == SUMS:
                 for i, y in enumerate(x[1:]):
@@ -303,12 +316,11 @@ def _finish(model: Discounts, hot: np.ndarray, hot_answer: np.ndarray, begin: fl
                 np.add.at(back, x[0].astype(np.int64), hot_answer[np.searchsorted(hot, x[1])])
         n = n.astype(np.int64)
         base = sums[0] - n * math.log10(model.n + 0.1 * (model.v + 1))
-        s = 4 + K + 1
-        score = sums[2] + sums[3] + np.log10(model.bi) @ sums[4 : 4 + K] + math.log10(1 - LEFT) * (sums[4 + K] + sums[s + 1 + K]) + back - begin
-        unseen = sums[s + 1 : s + 1 + K + 1].sum(axis=0)
+        seen, unseen = sums[3 : 4 + K], sums[4 + K :]
+        score = sums[2] + np.log10(model.bi) @ seen[:K] + math.log10(1 - LEFT) * (seen[K] + unseen[K]) + back - begin
         if model.n:
-            score += sums[s] - unseen * math.log10(model.n) + np.log10(model.uni) @ sums[s + 1 : s + 1 + K]
-        score += sums[s + K + 2] * math.log10(model.unknown)
+            score += np.log10(model.uni) @ unseen[:K] - unseen[: K + 1].sum(axis=0) * math.log10(model.n)
+        score += unseen[K + 1] * math.log10(model.unknown)
         return pa.Table.from_arrays(
             [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(n), pa.array(np.rint(sums[1]).astype(np.int64)), pa.array(np.full(len(ids), model.n)), pa.array(base), pa.array(score)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
