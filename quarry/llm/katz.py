@@ -329,7 +329,7 @@ def _finish(model: Discounts, hot: np.ndarray, hot_answer: np.ndarray, begin: fl
     return finish
 
 
-def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 1_500_000) -> DataFrame:
+def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_500_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text, ...).
 
     Training documents are those whose crc32(doc_id as text) mod 10 is not 0. A null or empty text is its end alone;
