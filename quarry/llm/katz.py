@@ -329,14 +329,14 @@ def _finish(model: Discounts, hot: np.ndarray, hot_answer: np.ndarray, begin: fl
     return finish
 
 
-def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_500_000) -> DataFrame:
+def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text, ...).
 
     Training documents are those whose crc32(doc_id as text) mod 10 is not 0. A null or empty text is its end alone;
     a null doc_id trains and comes back as null; rows with the same doc_id are documents of their own. Without any
     training document every token is unknown and has probability 1.
     """
-    small_batches(spark)
+    small_batches(spark, 250)
     scratch = Scratch(spark, "katz")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     high = np.uint64(48)
