@@ -10,14 +10,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, read_table, small_batches, summed
+from quarry.llm.common import Scratch, blocks, read_table, small_batches, summed
 
 LM_SIZE = 1 << 20
 FEATURES = 1 << 20
@@ -30,6 +29,7 @@ _SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .*_-]{1,2}[^\W_]){2,}(?![^\s.,;:!?])
 _SPLIT = re.compile(r"[^\w@$!|+*#]+|_+")
 _M = 0xFFFFFFFFFFFFFFFF
 _K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_W = (*_K, 0xA0761D6478BD642F)
 _SALT = (0, 0x51ED270B7A2B1A4D, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0x5851F42D4C957F2D)
 
 
@@ -177,26 +177,73 @@ class Restorer:
 # --- classifier ----------------------------------------------------------------------------------------------------
 
 
-def _features(word: str) -> set[int]:
-    """Places of the word and of its 5-grams of UTF-8 bytes, borders marked."""
-    w = f"^{word[:64]}$".encode("utf-8", "surrogatepass")
-    return {zlib.crc32(w) % FEATURES, *(zlib.crc32(w[i : i + 5]) % FEATURES for i in range(len(w) - 4))}
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words and of their character 4- and 5-grams, borders marked.
 
-
-def _restored(text: str | None, restorer: Restorer, known: dict, made) -> list:
-    """made(word) of the distinct restored words of a text; known keeps it by token."""
-    out, low = [], (text or "").lower()
-    for token in set(low.split()):
-        if (got := known.get(token)) is None:
-            if len(known) > 300_000:
-                known.clear()
-            known[token] = got = [made(w) for w in restorer.words(token)]
-        out += got
-    for m in _SPACED.finditer(low):
-        out += [made(w) for w in restorer.letters(m.group()).split() if len(w) > 2]
+    First the places of the whole words, then a place of a 4-gram and of a 5-gram for each character (-1 where none
+    begins, as at a word's end), then where each word's characters begin.
+    """
+    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), size)
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES for w in words), np.int64, len(words))
+    grams, h = np.full((2, len(c)), -1, np.int64), np.zeros(len(c), np.uint64)
+    for n in range(1, 6):
+        m = max(len(c) - n + 1, 0)
+        h = h[:m] + c[n - 1 :] * np.uint64(_W[n - 1])
+        if n >= 4 and m:
+            g = h + np.uint64(_SALT[n - 1])
+            g ^= g >> np.uint64(29)
+            place = ((g * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+            grams[n - 4, :m] = np.where(of[:m] == of[n - 1 :], place, -1)
+    return whole, grams, np.cumsum(size) - size
+
+
+def _distinct(words: list[str]) -> np.ndarray:
+    """The distinct places of all the words."""
+    found = []
+    for s in blocks([len(w) for w in words]):
+        whole, grams, _ = _features(words[s])
+        found += [whole, grams[grams >= 0]]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _heaviest(words: list[str], weights: np.ndarray) -> list[float]:
+    """The largest weight of each word's places."""
+    out: list[float] = []
+    for s in blocks([len(w) for w in words]):
+        whole, grams, begin = _features(words[s])
+        best = weights[whole]
+        for g in grams:
+            best = np.maximum(best, np.maximum.reduceat(np.where(g >= 0, weights[g], -np.inf), begin))
+        out += best.tolist()
     return out
 
 
+def _restored(texts: list[str | None], restorer: Restorer, known: dict, made):
+    """For each text made(words)'s values of its distinct restored words; known keeps them by token."""
+    for s in blocks([len(t or "") for t in texts], 1 << 18):
+        split = []
+        for t in texts[s]:
+            low = (t or "").lower()
+            split.append((set(low.split()), [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split() if len(w) > 2]))
+        if len(known) > 300_000:
+            known.clear()
+        new = list(set().union(*(tokens for tokens, _ in split)).difference(known))
+        words = [restorer.words(t) for t in new]
+        joined = [w for _, spaced in split for w in spaced]
+        values = iter(made([w for x in words for w in x] + joined))
+        fresh = {t: [next(values) for _ in x] for t, x in zip(new, words, strict=True)}
+        known.update((t, v) for t, v in fresh.items() if len(t) <= 64)  # long tokens seldom come back
+        for tokens, spaced in split:
+            out = []
+            for t in tokens:
+                got = known.get(t)
+                out += fresh[t] if got is None else got
+            out += [next(values) for _ in spaced]
+            yield out
+
+
 def labelled_sample(labels: DataFrame, bound: int) -> DataFrame:
     """(doc_id, toxic) of about `bound` labelled rows at most that aren't held out, chosen by a hash of the id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -223,9 +270,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, boun
     def fill(batches):
         table, known, restorer = np.zeros(2 * FEATURES, np.int64), {}, Restorer(chars.value)
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = set().union(*_restored(text, restorer, known, _features))
-                table[np.fromiter(found, np.int64, len(found)) + toxic * FEATURES] += 1
+            for words, toxic in zip(_restored(b.column(0).to_pylist(), restorer, known, list), b.column(1).to_pylist(), strict=True):
+                table[_distinct(words) + toxic * FEATURES] += 1
         return table
 
     taught = base.join(F.broadcast(sample), "doc_id").select("text", "toxic")
@@ -238,17 +284,10 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, boun
     def evidence(text):
         import pandas as pd
 
-        restorer, rows = state.setdefault("r", Restorer(chars.value)), []
-        known = state.setdefault("k", {})
-        if "w" not in state:
-            state["w"] = array("f", weights.value)  # plain numbers are read faster than numpy's
-        w = state["w"]
-
-        def made(word):
-            return max(w[i] for i in _features(word))
-
-        for t in text:
-            top = sorted(_restored(t, restorer, known, made), reverse=True)[:3]
+        restorer, known = state.setdefault("r", Restorer(chars.value)), state.setdefault("k", {})
+        rows = []
+        for values in _restored(text.tolist(), restorer, known, lambda words: _heaviest(words, weights.value)):
+            top = sorted(values, reverse=True)[:3]
             rows.append(top + [0.0] * (3 - len(top)))
         return pd.Series(rows)
 

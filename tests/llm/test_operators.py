@@ -289,6 +289,21 @@ def test_toxicity(spark):
     assert score_toxicity(spark, frame(spark, []), lf).count() == 0
 
 
+@pytest.mark.parametrize(("letters", "bad", "before"), [([chr(0x4E00 + i) for i in range(300)], "鼻龍龜鼠", 150), ("абвгдежзиклмнопрстуя", "дура", 3)])
+def test_toxicity_scores_grams_of_characters_in_whole_words(spark, letters, bad, before):
+    """An evil stem glued into a run, also far behind its 64th character, counts."""
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice(letters) for _ in range(n))
+    rows = []
+    for i in range(500):
+        w = [some(before + 4 + 3) for _ in range(1 if before > 64 else 30)]
+        w[0] = some(before) + (bad if i % 3 == 0 else some(4)) + some(3)
+        rows.append((i, " ".join(w)))
+    lf = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = [x for x in score_toxicity(spark, frame(spark, rows), lf).collect() if x.held_out]
+    assert len(got) > 60 and sum(x.predicted == (x.doc_id % 3 == 0) for x in got) >= 0.95 * len(got)
+
+
 def test_katz(spark):
     rows = [(i, (t or "")[:4000]) for i, t in corpus(n=120)]
     got = sorted(katz_scores(spark, frame(spark, rows), per_part=500).collect(), key=lambda r: (r.doc_id or -1, r.n_tokens))
