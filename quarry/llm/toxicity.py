@@ -104,8 +104,10 @@ class Restorer:
         return out
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The cheapest text; each place of the lattice offers (characters, cost) pairs."""
-        beam = 48 if len(lattice) <= 64 else 4
+        """The cheapest text; each place of the lattice offers (characters, cost) pairs.
+
+        All states are kept: one is the last three characters, so the options of three places bound their number.
+        """
         best = {(2, 2, 2): (0.0, None)}
         for place in lattice:
             new: dict = {}
@@ -122,8 +124,6 @@ class Restorer:
                             x, y, z = y, z, d
                     if (old := new.get((x, y, z))) is None or total < old[0]:
                         new[(x, y, z)] = (total, (chars, back))
-            if len(new) > beam:
-                new = dict(sorted(new.items(), key=lambda e: e[1][0])[:beam])
             best = new
         _, back = min(((cost + self._cost(*s, 3), back) for s, (cost, back) in best.items()), key=lambda e: e[0])
         out = []

@@ -304,6 +304,43 @@ def test_toxicity_scores_grams_of_characters_in_whole_words(spark, letters, bad,
     assert len(got) > 60 and sum(x.predicted == (x.doc_id % 3 == 0) for x in got) >= 0.95 * len(got)
 
 
+def test_restoration_is_exact():
+    """Against a plain search over whole texts' costs, on lattices longer and wider than any beam."""
+
+    class Priced(Restorer):
+        def _cost(self, a, b, c, d):
+            """Pays off three characters later."""
+            return (0.0 if a == ord("f") else 3.0) + zlib.crc32(repr((a, b, c, d)).encode()) % 1000 / 1000
+
+    def price(model, text):
+        total, x = 0.0, (2, 2, 2)
+        for ch in text:
+            total += model._cost(*x, 3 if ch == " " else ord(ch))
+            x = (2, 2, 2) if ch == " " else (*x[1:], ord(ch))
+        return total + model._cost(*x, 3)
+
+    def cheapest(model, lattice):
+        best = {(2, 2, 2): 0.0}
+        for place in lattice:
+            new = {}
+            for x, cost in best.items():
+                for chars, own in place:
+                    y, total = x, cost + own
+                    for ch in chars:
+                        total += model._cost(*y, 3 if ch == " " else ord(ch))
+                        y = (2, 2, 2) if ch == " " else (*y[1:], ord(ch))
+                    new[y] = min(new.get(y, math.inf), total)
+            best = new
+        return min(cost + model._cost(*x, 3) for x, cost in best.items())
+
+    model = Priced(np.zeros(1 << 20, np.int64))
+    for n in (20, 65, 150):
+        own = {x: 2.4 if x == "f" else 0.0 for x in ("abcdef" if n == 20 else "abf")}
+        lattice = [[*own.items()] + ([(" " + x, c + 1.0) for x, c in own.items()] if i else []) for i in range(n)]
+        got = model.decode(lattice)
+        assert len(got.replace(" ", "")) == n and math.isclose(price(model, got) + got.count(" ") + sum(own.get(x, 0.0) for x in got), cheapest(model, lattice))
+
+
 def test_katz(spark):
     rows = [(i, (t or "")[:4000]) for i, t in corpus(n=120)]
     got = sorted(katz_scores(spark, frame(spark, rows), per_part=500).collect(), key=lambda r: (r.doc_id or -1, r.n_tokens))
