@@ -5,7 +5,8 @@ weight times the discounted unigram, else (for a word training lacks) the mass l
 tables partitioned by the token; the tables of backoff weights are partitioned by the history. Documents' tokens go to
 the partition of their table as packed arrays; what comes back are sums for each document. Logarithms of counts and
 the number of tokens of each discounted count are summed apart, so that discounts, which need all partitions' counts
-of counts, can be put in at the end. Frequent tokens are dealt out over all partitions by token and history.
+of counts, can be put in at the end. Frequent tokens are dealt out over all partitions by token and history; frequent
+bigrams, whose counts are summed before and broadcast, by their block of documents too.
 """
 
 from __future__ import annotations
@@ -94,7 +95,13 @@ def _home(h: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
 
 
-def _deal(parts: int, hot: np.ndarray, limit: int = 4 << 20):
+def _pair(t: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys of bigrams."""
+    with np.errstate(over="ignore"):
+        return mix64(t) * np.uint64(3) + h
+
+
+def _deal(parts: int, hot: np.ndarray, hot_pairs: np.ndarray, limit: int = 4 << 20):
     """Packs the tokens of blocks of documents by partition."""
 
     def deal(batches):
@@ -116,7 +123,9 @@ def _deal(parts: int, hot: np.ndarray, limit: int = 4 << 20):
             rows = [(META, block % parts, block, None, None, _pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), out.astype(np.uint8), np.bincount(doc, minlength=len(ids)).astype(np.uint32)))]
             spread = np.isin(t, hot)
             with np.errstate(over="ignore"):
-                part = _home(np.where(spread, t * np.uint64(3) + h, t), parts)
+                key = _pair(t, h)
+                by_block = key + mix64(np.array([block], np.uint64))
+                part = _home(np.where(np.isin(key, hot_pairs), by_block, np.where(spread, t * np.uint64(3) + h, t)), parts)
             order = np.lexsort((h, t, part))
             t, h, doc, part = t[order], h[order], doc[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
@@ -146,7 +155,7 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple:
     return u, *(np.bincount(at, v, len(u)) for v in values)
 
 
-def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray):
+def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray, hot_pairs: np.ndarray, pair_count: np.ndarray):
     """One partition of the count table, and the sums of the documents' tokens that it holds."""
 
     def score(key, table):
@@ -178,9 +187,15 @@ def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray):
         else:
             is_hot = np.zeros(len(c), bool)
         r = np.bincount(of_p, ~out).astype(np.int64)  # training count of each bigram
+        apart = np.zeros(len(r), bool)  # bigrams that other partitions hold too; the driver counts them
+        if len(hot_pairs):
+            key = _pair(t[new_p], h[new_p])
+            place = np.minimum(np.searchsorted(hot_pairs, key), len(hot_pairs) - 1)
+            apart = hot_pairs[place] == key
+            r = np.where(apart, pair_count[place], r)
         own = c[~is_hot]
         count = lambda x: [int((x == i).sum()) for i in range(1, K + 2)]
-        rows.append((STATS, 0, 0, None, [*count(own), *count(r), int((own > 0).sum()), int(own[own > K].sum())], None))
+        rows.append((STATS, 0, 0, None, [*count(own), *count(r[~apart]), int((own > 0).sum()), int(own[own > K].sum())], None))
 
         ce, re = c[of_t], r[of_p]
         with np.errstate(divide="ignore"):
@@ -201,7 +216,7 @@ def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray):
                 rows.append((SUMS, 0, block, None, None, _pack(_small(key_u[a:b] & 0xFFFF), *packed)))
 
         # what each history needs for its backoff weight
-        known = r > 0
+        known = (r > 0) & ~apart
         ph, pr, pc = h[new_p][known], r[known], c[of_t[new_p]][known]
         hu, *v = _sum_by(ph, pr, *((pr == i) for i in range(1, K + 1)), np.where(pc > K, pc, 0), *((pc == i) for i in range(1, K + 1)))
         v = [x.astype(np.int64) for x in v]
@@ -342,15 +357,17 @@ def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000)
     high = np.uint64(48)
 
     def fill(batches):
-        table = np.zeros(1 << 16, np.int64)
+        table = np.zeros(2 << 16, np.int64)
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in blocks([len(x or "") for x in texts]):
-                table += np.bincount((tokens(texts[s])[0] >> high).astype(np.int64), minlength=1 << 16)
+                t, h, _ = tokens(texts[s])
+                for i, x in enumerate((t, mix64(_pair(t, h)))):
+                    table[i << 16 : (i + 1) << 16] += np.bincount((x >> high).astype(np.int64), minlength=1 << 16)
         return table
 
-    sketch = summed(own, fill, 1 << 16)
-    total = int(sketch.sum())
+    sketch = summed(own, fill, 2 << 16)
+    total = int(sketch[: 1 << 16].sum())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_part), 1)
     homes = max(1, parts // 4)
     least = max(1, total // (8 * parts))
@@ -362,20 +379,31 @@ def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for s in blocks([len(x or "") for x in texts]):
-                t, _, doc = tokens(texts[s])
+                t, h, doc = tokens(texts[s])
+                train = ~np.array([_held(i) for i in ids[s]])[doc]
                 some = busy.value[(t >> high).astype(np.int64)]
-                train = ~np.array([_held(i) for i in ids[s]])[doc[some]]
-                u, n, k = _sum_by(t[some], np.ones(int(some.sum())), train)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64))], names=["t", "n", "k"])
-
-    counted = own.mapInArrow(frequent, "t long, n long, k long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    top = counted.where(F.col("n") >= least).select("t", "k").collect()  # 8 a partition at most
+                u, n, k = _sum_by(t[some], np.ones(int(some.sum())), train[some])
+                some = np.flatnonzero(busy.value[(mix64(_pair(t, h)) >> high).astype(np.int64) + (1 << 16)])
+                _, first, at = np.unique(_pair(t[some], h[some]), return_index=True, return_inverse=True)
+                first, none = some[first], len(u)
+                t, h = np.concatenate((u, t[first])), np.concatenate((np.zeros(none, np.uint64), h[first]))
+                n, k = np.concatenate((n, np.bincount(at, minlength=len(first)))), np.concatenate((k, np.bincount(at, train[some], len(first))))
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(h.view(np.int64), mask=np.arange(len(h)) < none), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64))], names=["t", "h", "n", "k"])
+
+    counted = own.mapInArrow(frequent, "t long, h long, n long, k long").groupBy("t", "h").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    found = counted.where(F.col("n") >= least).select("t", "h", "k").collect()  # 8 tokens and 8 bigrams a partition at most
+    top, pairs = [(t, k) for t, h, k in found if h is None], [r for r in found if r[1] is not None]
     hot = np.array([r[0] for r in top], np.int64).view(np.uint64)
     hot_count = np.array([r[1] for r in top], np.int64)
     hot, hot_count = hot[np.argsort(hot)], hot_count[np.argsort(hot)]
 
-    dealt = own.mapInArrow(_deal(parts, hot), _KINDS).repartition(parts, "part")
-    done = scratch.save(dealt.groupBy("part").applyInArrow(_score(parts, homes, hot, hot_count), _KINDS), "sums")
+    pair_t, pair_h = (np.array([r[i] for r in pairs], np.int64).view(np.uint64) for i in (0, 1))
+    pair_count, hot_pairs = np.array([r[2] for r in pairs], np.int64), _pair(pair_t, pair_h)
+    order = np.argsort(hot_pairs)
+    pair_t, pair_h, pair_count, hot_pairs = pair_t[order], pair_h[order], pair_count[order], hot_pairs[order]
+
+    dealt = own.mapInArrow(_deal(parts, hot, hot_pairs), _KINDS).repartition(parts, "part")
+    done = scratch.save(dealt.groupBy("part").applyInArrow(_score(parts, homes, hot, hot_count, hot_pairs, pair_count), _KINDS), "sums")
     width = 2 * (K + 1) + 2
     stats = done.where(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(F.col("v")[i]), F.lit(0)) for i in range(width))).first()
     uni, bi, v, large = list(stats[: K + 1]), list(stats[K + 1 : 2 * K + 2]), stats[-2], stats[-1]
@@ -383,12 +411,25 @@ def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000)
         v, large = v + (c > 0), large + (c if c > K else 0)
         if 0 < c <= K + 1:
             uni[c - 1] += 1
+    for c in pair_count.tolist():
+        if 0 < c <= K + 1:
+            bi[c - 1] += 1
     n = large + sum(i * uni[i - 1] for i in range(1, K + 1))
     model = Discounts(int(n), int(v), [int(x) for x in uni], [int(x) for x in bi])
 
     sums = [F.sum(F.col("v")[i]) for i in range(2 * K + 2)]
     rows = done.where(F.col("kind") == HOT).groupBy("h").agg(*sums).collect()  # as many as frequent tokens at most
-    known = {int(np.array([r[0]], np.int64).view(np.uint64)[0]): r[1:] for r in rows}
+    known = {int(np.array([r[0]], np.int64).view(np.uint64)[0]): list(r[1:]) for r in rows}
+    for t, h, c in zip(pair_t, pair_h.tolist(), pair_count.tolist(), strict=True):
+        if c > 0:  # both tokens of a frequent bigram are frequent themselves, or the history is a text's beginning
+            x, of_t = known.setdefault(h, [0] * (2 * K + 2)), int(hot_count[np.searchsorted(hot, t)])
+            x[0] += c
+            if c <= K:
+                x[c] += 1
+            if of_t > K:
+                x[K + 1] += of_t
+            else:
+                x[K + 1 + of_t] += 1
     names = np.sort(np.append(hot, BOS))
     answer = np.zeros(len(names))
     for i, h in enumerate(names.tolist()):

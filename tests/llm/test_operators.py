@@ -402,3 +402,20 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     want = {i for i, _ in docs if not (100 <= i < 400 and i % 4 == 0)} - {900, 901}
     assert {r.doc_id for r in got} == want and all(r.lossless for r in got)
+
+
+def test_katz_deals_a_hot_bigram_out(spark):
+    """A bigram of nearly all documents is in many partitions, and scores don't depend on that."""
+    from quarry.llm.katz import _KINDS, ENTRIES, _deal, _pair, _unpack, tokens
+
+    df = spark.createDataFrame([(i, "of the " * 40 + f"w{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    t, h, _ = tokens(["of the of the"])
+    keys = np.unique(_pair(t[1:4], h[1:4]))
+    deal = _deal(16, np.unique(t[:2]), keys, limit=4000)
+    size = {}
+    for r in df.mapInArrow(deal, _KINDS).where(f"kind = {ENTRIES}").collect():
+        size[r.part] = size.get(r.part, 0) + len(_unpack(r.data)[4])
+    assert max(size.values()) < 0.4 * sum(size.values())
+    spread, alone = (sorted(katz_scores(spark, df, per_part=n).collect()) for n in (500, 1 << 40))
+    assert [r[:5] for r in spread] == [r[:5] for r in alone]
+    assert np.allclose([r[5:] for r in spread], [r[5:] for r in alone])
