@@ -33,6 +33,9 @@ _WORD = re.compile(r"[a-z]+")
 #: Elements whose text is never shown, or belongs to controls.
 _SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "option", "button", "label", "audio", "video", "datalist"}
 _RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe"}
+#: What may stand in a head; any other element begins the body.
+_IN_HEAD = {"base", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"}
+_SELF_CLOSED = re.compile(r"(?<!\S)/\s*\Z|[\"']\s*/\s*\Z|(?:\A|\s)[^\s=\"']+/\s*\Z")
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What an opening tag closes, up to the element that holds it.
@@ -64,7 +67,8 @@ def parse(html: str | None) -> Page:
     page = Page([Block("#page", -1)])
     if not html:
         return page
-    blocks, stack, parts, state = page.blocks, [0], [], {"link": 0, "skip": 0, "linked": 0}
+    blocks, stack, parts, state = page.blocks, [0], [], {"link": 0, "linked": 0}
+    skipped: list[tuple[str, int]] = []  # open elements whose text is skipped, and how many blocks held each
 
     def flush() -> None:
         text = " ".join(_html.unescape("".join(parts)).split())
@@ -81,9 +85,23 @@ def parse(html: str | None) -> Page:
         flush()
         del stack[k:]
         state["link"] = 0
+        while skipped and skipped[-1][1] > k:
+            skipped.pop()
+
+    def end_skipped(*names: str) -> None:
+        """Ends the innermost open element of these names, and all in it."""
+        for k in range(len(skipped) - 1, -1, -1):
+            if skipped[k][0] in names:
+                held = skipped[k][1]
+                if len(stack) > held:
+                    close(held)
+                del skipped[k:]
+                break
 
     def add(text: str) -> None:
-        if text and not state["skip"]:
+        if skipped and skipped[-1][0] == "head" and text.strip():
+            skipped.pop()
+        if text and not skipped:
             parts.append(text)
             if state["link"]:
                 state["linked"] += len(text.strip())
@@ -102,17 +120,30 @@ def parse(html: str | None) -> Page:
                 add(_html.escape(html[m.start() + 9 : at].removesuffix("]]>")))
             continue
         ends = bool(m[1] or m[4])
+        if skipped and not ends:
+            if name not in _IN_HEAD:
+                end_skipped("head")
+            if name in ("option", "optgroup"):
+                if skipped and skipped[-1][0] == "option":
+                    skipped.pop()
+            elif name in ("input", "textarea", "select") and any(x == "select" for x, _ in skipped):
+                end_skipped("select")
+                if name == "select":
+                    continue
+            elif name == "button":
+                end_skipped("button")
         if name in _SKIPPED:
             if name in _RAW and not ends:
                 stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else (n if name in ("script", "style") else at)
             elif name not in _RAW:
-                state["skip"] = max(0, state["skip"] + (-1 if ends else 1))
-                if name == "head" and ends:
-                    state["skip"] = 0
+                if ends:
+                    end_skipped(name)
+                elif not _SELF_CLOSED.search(m[3] or m[6] or ""):
+                    skipped.append((name, len(stack)))
             continue
         if name == "body":
-            state["skip"] = 0
+            skipped.clear()
         if name in _VOID:
             if name in ("br", "hr", "wbr"):
                 add(" " if name != "wbr" else "")
@@ -148,7 +179,7 @@ def parse(html: str | None) -> Page:
             elif key == "hidden":
                 words.append("hidden")
             else:
-                words += _WORD.findall(value)[:12]
+                words += _WORD.findall(value)
         parent = blocks[stack[-1]]
         parent.children += 1
         blocks.append(Block(name, stack[-1], tuple(words), label))

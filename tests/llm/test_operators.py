@@ -419,3 +419,16 @@ def test_katz_deals_a_hot_bigram_out(spark):
     spread, alone = (sorted(katz_scores(spark, df, per_part=n).collect()) for n in (500, 1 << 40))
     assert [r[:5] for r in spread] == [r[:5] for r in alone]
     assert np.allclose([r[5:] for r in spread], [r[5:] for r in alone])
+
+
+@pytest.mark.parametrize("before", [
+    "<body><select><option>A<option>B</select>", "<body><select><optgroup><option>A<optgroup><option>B</select>", "<head><title>x</title><meta charset=a>", "<head><title>x</title></head>", "<body><svg/>", '<body><svg width="1" />',
+    "<body><svg><path d=x><g></svg>", "<body><div><label>A</div>", "<body><datalist><option>A</datalist>", "<body><button>A<button>B</button>", "<body><button><svg></button>", "<body><select><option>A<input>", "<body></svg></option>",
+])
+def test_html_skips_only_what_is_not_shown(before):
+    assert [t for _, t in parse(f"{before}<p>Shown text.</p><p>More.</p>").runs] == ["Shown text.", "More."]
+
+
+def test_html_takes_all_class_words():
+    page = parse(f'<div class="{" ".join("abcdefghijklmn")} advert">x</div><p>y <svg>no</svg> z <select><option>no</select>')
+    assert page.blocks[1].words[-1] == "advert" and [t for _, t in page.runs] == ["x", "y z"]
