@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import small
+
 
 def order(seed: str, key: str | Column) -> Column:
     key = F.col(key) if isinstance(key, str) else key
@@ -35,3 +37,24 @@ def round_robin(rows: DataFrame, group: str, key: str, seed: str, n: int) -> Dat
 def quota(rows: DataFrame, group: str, key: str, seed: str, n: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(order(seed, key), key)
     return rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)
+
+
+def verbatim(docs: DataFrame, items: DataFrame, block: int = 2000) -> DataFrame:
+    """(doc_id, item_id) of items (item_id, text) that a document (doc_id, text) contains.
+
+    Blocked on an item's longest inner word, which stands whole in a document too, then checked. Items of fewer than
+    three words have none: they are looked for in every document, a broadcast block at a time.
+    """
+    split = lambda c: F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " ")
+    b = items.select("item_id", F.col("text").alias("item"), split("text").alias("words"))
+    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(1)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    b = b.select("item_id", "item", F.when(F.size("words") >= 3, longest).alias("w"))
+    long, short = b.where("w is not null"), b.where("w is null and item is not null").select("item_id", "item")
+    hits = docs.select("doc_id", F.explode(F.array_distinct(split("text"))).alias("w")).join(small(long.select("w").distinct()), "w", "left_semi").join(long.select("w", "item_id"), "w")
+    out = hits.join(docs, "doc_id").join(long.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    n = -(-short.count() // block)
+    for i in range(n):
+        some = short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == i)
+        out = out.unionByName(docs.join(F.broadcast(some), F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
+    return out.distinct()

@@ -143,3 +143,13 @@ def test_rankers(spark):
     assert [(r.doc_id, r.rank) for r in rank_with("length", q, docs, 1).collect()] == [(1, 1)]
     with pytest.raises(KeyError):
         rank_with("none", q, docs, 1)
+
+
+def test_verbatim_finds_items_without_inner_words(spark):
+    from quarry.operators.sampling import verbatim
+
+    texts = ["a foo bar b", "xfoo", "前面的文字很长后面", "one two three four", "", None, "foo ba"]
+    items = ["foo", "foo ba", "文字", "e two three f", "two", "", None, "!three", "o two thre"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = verbatim(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block=2)
+    assert {tuple(r) for r in got.collect()} == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t}
