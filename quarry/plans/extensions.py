@@ -44,14 +44,14 @@ def e21(spark, d):
     return r.agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 
 
-@query("d28_tree_profile", "D28 D30", "SELECT page_id, '- ' || regexp_extract(html, '<title>([^<]*)', 1) || ': ' || CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS line FROM pages")
+@query("d28_tree_profile", "D28", "SELECT page_id, '- ' || regexp_extract(html, '<title>([^<]*)', 1) || ': ' || CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS line FROM pages")
 def d28(spark, d):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
     short = F.when(F.length("url") > 30, F.concat(F.left("url", F.lit(30)), F.lit("..."))).otherwise(F.col("url"))
     return table(spark, d, "pages").select("page_id", F.concat(F.lit("- "), title, F.lit(": "), short).alias("line"))
 
 
-@query("u01_registered_ranker", "U1 U2 R13")
+@query("u01_registered_ranker", "U1 U2")
 def u01(spark, d):
     register_ranker("shared_words", lambda q, name: len(set(q.lower().split()) & set(name.lower().split())))
     docs = _pages(spark, d).select(F.col("page_id").alias("doc_id"), F.col("title").alias("name"))

@@ -27,18 +27,18 @@ def p02(spark, d):
     return round_robin(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "s2", 203)
 
 
-@query("p03_quota", "P3 P6 P13 P14", "SELECT o_orderkey, o_custkey, turn::INT AS turn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY sha1('s3' || o_orderkey), o_orderkey) AS turn FROM orders) WHERE turn <= 2")
+@query("p03_quota", "P3", "SELECT o_orderkey, o_custkey, turn::INT AS turn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY sha1('s3' || o_orderkey), o_orderkey) AS turn FROM orders) WHERE turn <= 2")
 def p03(spark, d):
     return quota(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", "s3", 2)
 
 
-@query("p04_group_split", "P4 P11 S6 S16", f"WITH {SPLIT} SELECT split, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS n_groups FROM s GROUP BY split")
+@query("p04_group_split", "P4 P11", f"WITH {SPLIT} SELECT split, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS n_groups FROM s GROUP BY split")
 def p04(spark, d):
     return group_split(table(spark, d, "orders"), "o_custkey", "s1").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("n_groups"))
 
 
 @query(
-    "p07_balance_error", "P5 P7 P10",
+    "p07_balance_error", "P7 P10",
     f"""WITH {SPLIT}, a AS (SELECT split, o_orderpriority AS kind, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT split, sum(n) AS m FROM a GROUP BY split), k AS (SELECT kind, sum(n) AS m FROM a GROUP BY kind), z AS (SELECT sum(n) AS m FROM a)
 SELECT split, round(sum(abs(coalesce(n, 0) - t.m * k.m * 1.0 / z.m)), 4)::DOUBLE AS error FROM t CROSS JOIN k CROSS JOIN z LEFT JOIN a USING (split, kind) GROUP BY split""",
 )

@@ -58,7 +58,7 @@ def d15(spark, d):
 
 
 @query(
-    "d18_wiki_to_markdown", "D18 D19",
+    "d18_wiki_to_markdown", "D19",
     r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n+', chr(10), 'g'), '\. ', '.' || chr(10) || chr(10) || '## ', 'g')) AS md FROM documents""",
 )
 def d18(spark, d):
@@ -86,7 +86,7 @@ def d01(spark, d):
 
 
 @query(
-    "d05_markdown_paragraphs", "D5 D6 D7 D8",
+    "d05_markdown_paragraphs", "D5 D6",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 k AS (SELECT *, CASE WHEN trim(t, ' ') = '' THEN 'blank' WHEN position('|' IN t) > 0 THEN 'table' ELSE 'text' END AS kind FROM l),
 b AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS edge FROM k),

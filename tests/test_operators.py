@@ -153,3 +153,10 @@ def test_verbatim_finds_items_without_inner_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = verbatim(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block=2)
     assert {tuple(r) for r in got.collect()} == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t}
+
+
+def test_queries_claim_only_what_is_built():
+    from quarry.plans.catalogue import OPERATORS
+
+    claimed = set(" ".join(OPERATORS.values()).split())
+    assert not claimed & set("D7 D8 D18 D30 P5 P6 P13 P14 S6 S16 S17 S20 T10 T11 E5 R13".split())
