@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import answer_tokens, is_refusal
 from quarry.operators.evaluation import arms, outcome, paired, passes, token_f1
 from quarry.operators.retrieval import bm25, top_k
+from quarry.operators.sampling import verbatim
 from quarry.operators.traces import budget, paginate
 from quarry.plans.register import query
 from quarry.plans.retrieval import BM25, RANK, _par, _queries
@@ -32,7 +33,7 @@ def _judged(spark, d):
 
 
 @query(
-    "e01_token_f1", "E1",
+    "e01_token_f1", "",
     f"""WITH p AS (SELECT b.item_id, d.doc_id, {ANS.format('b.text')} AS g, {ANS.format('left(d.text, 300)')} AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
 x AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(g) AS w FROM p) GROUP BY ALL), y AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(t) AS w FROM p) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, sum(least(x.n, y.n)) AS same FROM x JOIN y USING (item_id, doc_id, w) GROUP BY ALL)
@@ -45,6 +46,15 @@ def e01(spark, d):
     return token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id")
 
 
+@query("e01_whole_token_f1", "E1 E2")
+def e01_whole(spark, d):
+    """Each whole document against the items that it holds verbatim: the best F1, 0 without any."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
+    p = verbatim(docs, items).join(docs.select("doc_id", answer_tokens("text").alias("t")), "doc_id").join(items.select("item_id", answer_tokens("text").alias("g")), "item_id")
+    best = token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_golds"), F.max("f1").alias("f1"))
+    return docs.select("doc_id").join(best, "doc_id", "left").fillna(0, ["n_golds", "f1"])
+
+
 @query(
     "e03_evidence_recall", "E3 E6 J1",
     f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 5),

@@ -172,7 +172,7 @@ def r08(spark, d):
 
 
 @query(
-    "r09_heading_search", "R9",
+    "r09_heading_search", "",
     rf"""WITH {PAR}, h AS (SELECT doc_id, p_idx, left(text, 40) AS title FROM par), q AS (SELECT item_id AS query_id, item_id * 7 AS doc_id, text AS query FROM benchmark),
 j AS (SELECT query_id, doc_id, p_idx, title, list_distinct(regexp_extract_all(lower(title), '[a-z]+|[0-9]+')) AS t, list_distinct(regexp_extract_all(lower(query), '[a-z]+|[0-9]+')) AS w FROM q JOIN h USING (doc_id)),
 s AS (SELECT query_id, doc_id, p_idx, title, list_sum(list_transform(list_filter(t, lambda x: list_contains(w, x)), lambda x: CASE WHEN length(x) >= 6 THEN 2 ELSE 1 END)) AS score FROM j)
@@ -187,14 +187,34 @@ def r09(spark, d):
     return top_k(s, 5, "title", "p_idx").select("query_id", "doc_id", "p_idx", "score", "rank")
 
 
+@query("r09_whole_heading_search", "R9")
+def r09_whole(spark, d):
+    """Whole lines of all documents as headings, blocked on the words of the queries."""
+    x = _queries(spark, d).select("query_id", F.explode(F.array_distinct(title_parts("query"))).alias("w"))
+    t = _par(spark, d).select("doc_id", "p_idx", F.explode(F.array_distinct(title_parts("text"))).alias("w"))
+    s = t.join(x, "w").groupBy("query_id", "doc_id", "p_idx").agg(F.sum(F.when(F.length("w") >= 6, 2).otherwise(1)).alias("score"))
+    s = s.join(_par(spark, d).withColumnRenamed("text", "title"), ["doc_id", "p_idx"])
+    return top_k(s, 5, "title", "doc_id", "p_idx").select("query_id", "doc_id", "p_idx", "score", "rank")
+
+
 @query(
-    "r10_read_section", "R10 J6",
+    "r10_read_section", "",
     f"""WITH {PAR}, r AS (SELECT doc_id, doc_id % 4 AS a, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id % 4 + 2 END AS b FROM documents WHERE doc_id % 50 = 0)
 SELECT r.doc_id, count(*)::BIGINT AS n, md5(string_agg(text, chr(10) ORDER BY p_idx)) AS body FROM r JOIN par USING (doc_id) WHERE p_idx >= a AND (b = -1 OR p_idx < b) GROUP BY r.doc_id""",
 )
 def r10(spark, d):
+    return _sections(spark, d, table(spark, d, "documents").where(F.col("doc_id") % 50 == 0))
+
+
+@query("r10_whole_read_section", "R10 J6")
+def r10_whole(spark, d):
+    return _sections(spark, d, table(spark, d, "documents"))
+
+
+def _sections(spark, d, docs):
+    """A range of paragraphs of each of the documents, to the end where b is -1."""
     i = F.col("doc_id")
-    r = table(spark, d, "documents").where(i % 50 == 0).select(i, (i % 4).alias("a"), F.when(i % 5 == 0, -1).otherwise(i % 4 + 2).alias("b"))
+    r = docs.select(i, (i % 4).alias("a"), F.when(i % 5 == 0, -1).otherwise(i % 4 + 2).alias("b"))
     hits = _par(spark, d).join(r, "doc_id").where("p_idx >= a and (b = -1 or p_idx < b)")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_idx", "text"))), lambda x: x["text"]), "\n")
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(body).alias("body"))

@@ -109,7 +109,7 @@ def d23(spark, d):
 
 
 @query(
-    "f04_answer_tokens", "F4 F3",
+    "f04_answer_tokens", "",
     r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(translate(lower(replace(left(text, 400), ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and')), ' ') AS answer,
 len(regexp_extract_all(lower(left(text, 400)), '[a-z]+|[0-9]+'))::INT AS n_parts FROM documents""",
 )
@@ -118,6 +118,11 @@ def f04(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(answer_tokens(head), " ").alias("answer"), F.size(title_parts(head)).alias("n_parts"))
 
 
+@query("f04_whole_answer_tokens", "F4 F3")
+def f04_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(answer_tokens("text"), " ").alias("answer"), F.size(title_parts("text")).alias("n_parts"))
+
+
 @query(
     "f05_f08_scalars", "F5 F7 F8 F25 A12",
     r"""SELECT conv_id, turn, regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know') AS refusal,

@@ -160,3 +160,21 @@ def test_queries_claim_only_what_is_built():
 
     claimed = set(" ".join(OPERATORS.values()).split())
     assert not claimed & set("D7 D8 D18 D30 P5 P6 P13 P14 S6 S16 S17 S20 T10 T11 E5 R13".split())
+
+
+def test_whole_queries_read_whole_texts_of_all_documents(spark, tmp_path):
+    from quarry.plans.catalogue import QUERIES
+
+    item = "golden words stand here"
+    docs = [(i, "filler " * 90 + f"\n{'word ' * 20}{item} {i}\nlast line") for i in range(1, 60)] + [(60, "no such thing")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "golden words stand here 7\nlast")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    f1 = {r.doc_id: r for r in run("e01_whole_token_f1")}
+    n = 90 + 20 + 4 + 1 + 2
+    assert len(f1) == 60 and f1[60].f1 == 0 and f1[60].n_golds == 0
+    assert f1[1].f1 == round(2 * 4 / (n + 4), 4) and f1[7].n_golds == 2 and f1[7].f1 == round(2 * 6 / (n + 6), 4)
+    assert all(r.answer.endswith("last line") for r in run("f04_whole_answer_tokens") if r.doc_id < 60)
+    hits = [r for r in run("r09_whole_heading_search") if r.query_id == 1]
+    assert len(hits) == 5 and all(r.p_idx == 1 and r.score == 5 for r in hits)
+    assert len(run("r10_whole_read_section")) > 30
