@@ -30,18 +30,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents with a key of each row, _row, written down so that it stays; a doc_id may be null or repeated."""
+    return scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _rows(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_row").alias("doc_id"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at five-word shingles and similarity 0.8, the one with the smallest doc_id stays."""
-    away = jaccard_components(spark, docs, words=5, num=80, den=100).where("doc_id <> component_id").select("doc_id").distinct()
-    away = Scratch(spark, "near-duplicates").save(away, "away")
-    return docs.join(away.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked at five-word shingles and similarity 0.8, the one with the smallest doc_id stays, one of several such."""
+    scratch = Scratch(spark, "near-duplicates")
+    keyed = _keyed(spark, docs, scratch)
+    linked = jaccard_components(spark, _rows(keyed), words=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    linked = scratch.save(linked, "linked")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    best = linked.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(first).alias("f")).select(F.col("f._row").alias("_row"))
+    away = scratch.save(linked.select("_row").join(best, "_row", "left_anti"), "away")
+    return keyed.join(away.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    hits = contaminated(spark, docs, read_table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
-    hits = Scratch(spark, "contaminated").save(hits, "hits")
-    return docs.join(hits.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows with a passage of the benchmark go."""
+    scratch = Scratch(spark, "contaminated")
+    keyed = _keyed(spark, docs, scratch)
+    hits = contaminated(spark, _rows(keyed), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    hits = scratch.save(hits, "hits")
+    return keyed.join(hits.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

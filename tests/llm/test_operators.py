@@ -432,3 +432,17 @@ def test_html_skips_only_what_is_not_shown(before):
 def test_html_takes_all_class_words():
     page = parse(f'<div class="{" ".join("abcdefghijklmn")} advert">x</div><p>y <svg>no</svg> z <select><option>no</select>')
     assert page.blocks[1].words[-1] == "advert" and [t for _, t in page.runs] == ["x", "y z"]
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item, copied = text(30), text(60)
+    rows = [(1, copied), (1, copied), (2, copied), (3, text(60)), (3, f"{text(20)} {item} {text(20)}"), (None, f"{text(20)} {item}"), (None, text(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lambda stage: sorted(((x.doc_id, x.text) for x in stage(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert found(corpus_pipeline.near_duplicates) == sorted([rows[0], *rows[3:]], key=repr)
+    assert found(corpus_pipeline.decontamination) == sorted([*rows[:4], rows[6]], key=repr)
