@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: [\x20\x09-\x0D].
@@ -21,6 +22,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def column(name: str) -> Column:
+    """The column of this very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns of df but those that an operator makes itself."""
+    return [c for c in df.columns if c.lower() not in made]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a column of an operator's own that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, which all executors share.
 
@@ -57,6 +76,8 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _POW: list[np.ndarray] = []
+_WINDOW = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -71,45 +92,67 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse, for at least n places."""
-    if not _POW or len(_POW[0]) < n:
-        size, base = max(1 << 20, 1 << (n - 1).bit_length()), 0xD6E8FEB86659FD93
-        _POW[:] = [np.ones(size, np.uint64), np.ones(size, np.uint64)]
-        for out, b in zip(_POW, (base, pow(base, -1, 1 << 64)), strict=True):
-            done, step = 1, b
-            while done < size:
-                out[done : 2 * done] = out[:done] * np.uint64(step)
-                done, step = 2 * done, step * step % (1 << 64)
-    return _POW[0], _POW[1]
+    """Powers of an odd base modulo 2^64, and of its inverse, for n places; those of a usual window are kept."""
+    if len(_POW) and len(_POW[0]) >= n:
+        return _POW[0], _POW[1]
+    size, base = max(_WINDOW + 1, n), 0xD6E8FEB86659FD93
+    made = [np.ones(size, np.uint64), np.ones(size, np.uint64)]
+    for out, b in zip(made, (base, pow(base, -1, 1 << 64)), strict=True):
+        done, step = 1, b
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = out[:more] * np.uint64(step)
+            done, step = 2 * done, step * step % (1 << 64)
+    if size == _WINDOW + 1:
+        _POW[:] = made
+    return made[0], made[1]
+
+
+def _windows(data: bytes):
+    """Stretches of about _WINDOW bytes that end behind white space; only a longer word makes a longer one."""
+    begin = 0
+    while begin < len(data):
+        end = begin + _WINDOW
+        if end < len(data):
+            m = _GAP.search(data, end - 1)
+            end = m.end() if m else len(data)
+        yield begin, data[begin:end]
+        begin = end
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, in order, and the index of each word's text.
 
-    Words are runs of [^\\x20\\x09-\\x0D]; A-Z are lower-cased. A null text has no words.
+    Words are runs of [^\\x20\\x09-\\x0D]; A-Z are lower-cased. A null text has no words. Texts of any length are
+    hashed in windows of a megabyte.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[0::2], edge[1::2]  # the last byte is a space
-    if not len(start):
+    hashes, places = [], []
+    for at, window in _windows(b" ".join(raw) + b" "):
+        data = np.frombuffer(window, np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate(([0], edge))
+        start, end = edge[0::2], edge[1::2]  # the last byte is a space
+        if len(start):
+            power, inverse = _powers(len(data))
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+            h = (total[end] - total[start]) * inverse[start]
+            hashes.append(mix64(h + (end - start).astype(np.uint64) * _MUL))
+            places.append(start + at)
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix64(h + (end - start).astype(np.uint64) * _MUL), np.searchsorted(ends, start, side="right")
+    return np.concatenate(hashes), np.searchsorted(ends, np.concatenate(places), side="right")
 
 
-def blocks(sizes: list[int], limit: int = 1 << 20):
-    """Slices of a list whose items add up to about the limit; a larger item stands alone."""
+def blocks(sizes: list[int], limit: int = 1 << 20, count: int = 1 << 20):
+    """Slices of a list, of `count` items at most that add up to about the limit; a larger item stands alone."""
     begin, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > begin and total + n > limit:
+        if i > begin and (total + n > limit or i - begin >= count):
             yield slice(begin, i)
             begin, total = i, 0
         total += n

@@ -155,95 +155,138 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple:
     return u, *(np.bincount(at, v, len(u)) for v in values)
 
 
+SLICES = 8  # of the range of hashes, which are worked on one after another
+
+
+def _within(ascending: np.ndarray, k: int) -> slice:
+    """Where the hashes of slice k stand."""
+    low, high = (np.searchsorted(ascending, np.uint64(i * (1 << 64) // SLICES)) if i < SLICES else len(ascending) for i in (k, k + 1))
+    return slice(int(low), int(high))
+
+
+class _Load:
+    """The tokens of one block of documents in one partition, by token: hashes of tokens and histories, documents."""
+
+    def __init__(self, block: int, data):
+        self.block = block
+        planes, count, histories, at, doc, out = _unpack(data)
+        self.t, self.h, self.at, self.doc, self.out = _whole(planes), _whole(histories), at, doc, out
+        self.stop = np.cumsum(count, dtype=np.int64)
+        self.c, self.r = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)  # training counts of each token and bigram
+
+    def part(self, k: int) -> tuple[slice, np.ndarray, np.ndarray]:
+        """Where the tokens of slice k stand, and their hashes and histories."""
+        own = _within(self.t, k)
+        begin = self.stop[own.start - 1] if own.start else 0
+        size = np.diff(self.stop[own], prepend=begin)
+        where = slice(int(begin), int(begin + size.sum()))
+        return where, np.repeat(self.t[own], size), self.h[self.at[where]]
+
+    def ends(self) -> np.ndarray:
+        out = np.zeros(len(self.at), bool)
+        i = int(np.searchsorted(self.t, END))
+        if i < len(self.t) and self.t[i] == END:
+            out[self.stop[i - 1] if i else 0 : self.stop[i]] = True
+        return out
+
+
+def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values where a key is known (ascending), and where that is so."""
+    if not len(known):
+        return otherwise, np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[place] == keys
+    return np.where(hit, values[place], otherwise), hit
+
+
 def _score(parts: int, homes: int, hot: np.ndarray, hot_count: np.ndarray, hot_pairs: np.ndarray, pair_count: np.ndarray):
-    """One partition of the count table, and the sums of the documents' tokens that it holds."""
+    """One partition of the count table, and the sums of the documents' tokens that it holds.
+
+    Counts are made for a slice of the tokens at a time, and documents' sums for a block at a time, so that a task
+    holds the packed tokens, two numbers for each, and the working arrays of an eighth of them.
+    """
 
     def score(key, table):
-        rows, loads, ids = [], [], []
+        rows, loads = [], []
         for kind, block, data in zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("data"), strict=True):
             if kind == META:
                 rows.append((META, 0, block, None, None, data.as_py()))
             else:
-                loads.append(_unpack(data.as_buffer()))
-                ids.append(block)
+                loads.append(_Load(block, data.as_buffer()))
         if not loads:
             return _rows(rows)
-        t = np.concatenate([np.repeat(_whole(x[0]), x[1]) for x in loads])
-        h = np.concatenate([_whole(x[2])[x[3]] for x in loads])
-        doc = np.concatenate([x[4].astype(np.int64) for x in loads])
-        out = np.concatenate([x[5] for x in loads]).astype(bool)
-        at = np.repeat(np.arange(len(loads)), [len(x[4]) for x in loads])
-        del loads
-        order = np.lexsort((h, t))
-        t, h, doc, out, at = t[order], h[order], doc[order], out[order], at[order]
-        new_t = np.concatenate(([True], t[1:] != t[:-1]))
-        new_p = new_t | np.concatenate(([True], h[1:] != h[:-1]))
-        of_t, of_p = np.cumsum(new_t) - 1, np.cumsum(new_p) - 1
-        c = np.bincount(of_t, ~out).astype(np.int64)  # training count of each token
-        if len(hot):
-            place = np.minimum(np.searchsorted(hot, t[new_t]), len(hot) - 1)
-            is_hot = hot[place] == t[new_t]
-            c = np.where(is_hot, hot_count[place], c)
-        else:
-            is_hot = np.zeros(len(c), bool)
-        r = np.bincount(of_p, ~out).astype(np.int64)  # training count of each bigram
-        apart = np.zeros(len(r), bool)  # bigrams that other partitions hold too; the driver counts them
-        if len(hot_pairs):
-            key = _pair(t[new_p], h[new_p])
-            place = np.minimum(np.searchsorted(hot_pairs, key), len(hot_pairs) - 1)
-            apart = hot_pairs[place] == key
-            r = np.where(apart, pair_count[place], r)
-        own = c[~is_hot]
+        stats, known = np.zeros(2 * (K + 1) + 2, np.int64), []
         count = lambda x: [int((x == i).sum()) for i in range(1, K + 2)]
-        rows.append((STATS, 0, 0, None, [*count(own), *count(r[~apart]), int((own > 0).sum()), int(own[own > K].sum())], None))
-
-        ce, re = c[of_t], r[of_p]
-        with np.errstate(divide="ignore"):
-            lc, lr = np.where(ce > 0, np.log10(np.maximum(ce, 1)), 0.0), np.where(re > 0, np.log10(np.maximum(re, 1)), 0.0)
-        u = re == 0
-        key_u, of_doc = np.unique((at << 16) + doc, return_inverse=True)
-        total = lambda x: np.bincount(of_doc, x, len(key_u))
-        # logarithms of counts that go into the score as they are, then numbers of tokens of each discounted count
-        sums = [total(np.log10(ce + 0.1)), total(ce > 0), total(np.where(t != END, -lc, 0.0) + lr + np.where(u, lc, 0.0))]
-        sums += [*(total(re == i) for i in range(1, K + 1)), total(re > K)]
-        sums += [*(total(u & (ce == i)) for i in range(1, K + 1)), total(u & (ce > K)), total(u & (ce == 0))]
-        del lc, lr, of_doc
-        cut = np.searchsorted(key_u >> 16, np.arange(len(ids) + 1))
-        for i, block in enumerate(ids):
-            a, b = cut[i], cut[i + 1]
-            if b > a:
-                packed = [x[a:b] if k in (0, 2) else _small(x[a:b]) for k, x in enumerate(sums)]
-                rows.append((SUMS, 0, block, None, None, _pack(_small(key_u[a:b] & 0xFFFF), *packed)))
-
-        # what each history needs for its backoff weight
-        known = (r > 0) & ~apart
-        ph, pr, pc = h[new_p][known], r[known], c[of_t[new_p]][known]
-        hu, *v = _sum_by(ph, pr, *((pr == i) for i in range(1, K + 1)), np.where(pc > K, pc, 0), *((pc == i) for i in range(1, K + 1)))
-        v = [x.astype(np.int64) for x in v]
-        often = np.isin(hu, hot) | (hu == BOS)
-        for i in np.flatnonzero(often):
-            rows.append((HOT, 0, 0, int(hu[i : i + 1].view(np.int64)[0]), [int(x[i]) for x in v], None))
-        hu, v = hu[~often], [x[~often] for x in v]
-        home = _home(hu, homes)
+        for k in range(SLICES):
+            where, t, h = zip(*(x.part(k) for x in loads), strict=True)
+            train = np.concatenate([x.out[w] == 0 for x, w in zip(loads, where, strict=True)])
+            t, h = np.concatenate(t), np.concatenate(h)
+            if not len(t):
+                continue
+            order = np.lexsort((h, t))
+            t, h, train = t[order], h[order], train[order]
+            new_t = np.concatenate(([True], t[1:] != t[:-1]))
+            new_p = new_t | np.concatenate(([True], h[1:] != h[:-1]))
+            of_t, of_p = np.cumsum(new_t) - 1, np.cumsum(new_p) - 1
+            # training counts of tokens and of bigrams; of frequent ones other partitions hold some too
+            c, is_hot = _looked_up(t[new_t], hot, hot_count, np.bincount(of_t, train).astype(np.int64))
+            t, h = t[new_p], h[new_p]
+            r, apart = _looked_up(_pair(t, h), hot_pairs, pair_count, np.bincount(of_p, train).astype(np.int64))
+            own = c[~is_hot]
+            stats += [*count(own), *count(r[~apart]), int((own > 0).sum()), int(own[own > K].sum())]
+            seen = (r > 0) & ~apart
+            known.append((h[seen], r[seen], c[of_t[new_p]][seen]))
+            for x, values in (("c", c[of_t]), ("r", r[of_p])):
+                back = np.empty(len(order), np.int64)
+                back[order] = values
+                begin = 0
+                for load, w in zip(loads, where, strict=True):
+                    getattr(load, x)[w] = back[begin : begin + w.stop - w.start]
+                    begin += w.stop - w.start
+        del order, t, h, train, back
+        rows.append((STATS, 0, 0, None, stats.tolist(), None))
+
+        # what each history needs for its backoff weight, one home at a time
+        ph, pr, pc = (np.concatenate([x[i] for x in known]) for i in range(3))
+        del known
+        often = np.isin(ph, hot) | (ph == BOS)
+        home = np.where(often, homes, _home(ph, homes))
         order = np.argsort(home, kind="stable")
-        cut = np.searchsorted(home[order], np.arange(homes + 1))
+        cut = np.searchsorted(home[order], np.arange(homes + 2))
         for p in np.flatnonzero(np.diff(cut)):
             i = order[cut[p] : cut[p + 1]]
-            wide = v[K + 1][i]  # the sum of large unigram counts
-            rows.append((HISTORY, int(p), 0, None, None, _pack(hu[i], *(_small(x[i]) for x in v[: K + 1]), wide, *(_small(x[i]) for x in v[K + 2 :]))))
-
-        # tokens that back off: their documents ask for the history's weight
-        qh, qb, qd = h[u], at[u], doc[u]
-        often = np.isin(qh, hot) | (qh == BOS)
-        for i, block in enumerate(ids):
-            own = often & (qb == i)
-            if own.any():
-                rows.append((HOT_ASKED, 0, block, None, None, _pack(_small(qd[own]), qh[own])))
-        qh, qb, qd = qh[~often], qb[~often], qd[~often]
+            r, c = pr[i], pc[i]
+            hu, *v = _sum_by(ph[i], r, *((r == j) for j in range(1, K + 1)), np.where(c > K, c, 0), *((c == j) for j in range(1, K + 1)))
+            v = [x.astype(np.int64) for x in v]
+            if p == homes:
+                rows += [(HOT, 0, 0, x, [int(y[j]) for y in v], None) for j, x in enumerate(hu.view(np.int64).tolist())]
+            else:  # v[K + 1] is the sum of large unigram counts
+                rows.append((HISTORY, int(p), 0, None, None, _pack(hu, *(_small(x) for x in v[: K + 1]), v[K + 1], *(_small(x) for x in v[K + 2 :]))))
+        del ph, pr, pc, often, home, order
+
+        asked = []
+        for n, x in enumerate(loads):
+            u = x.r == 0
+            lc, lr = np.log10(np.maximum(x.c, 1)), np.log10(np.maximum(x.r, 1))
+            docs, of_doc = np.unique(x.doc, return_inverse=True)
+            total = lambda y: np.bincount(of_doc, y, len(docs))  # noqa: B023, E731
+            # logarithms of counts that go into the score as they are, then numbers of tokens of each discounted count
+            sums = [total(np.log10(x.c + 0.1)), total(x.c > 0), total(np.where(x.ends(), 0.0, -lc) + lr + np.where(u, lc, 0.0))]
+            sums += [*(total(x.r == i) for i in range(1, K + 1)), total(x.r > K)]
+            sums += [*(total(u & (x.c == i)) for i in range(1, K + 1)), total(u & (x.c > K)), total(u & (x.c == 0))]
+            rows.append((SUMS, 0, x.block, None, None, _pack(_small(docs), *(y if k in (0, 2) else _small(y) for k, y in enumerate(sums)))))
+            # tokens that back off: their documents ask for the history's weight
+            qh, qd = x.h[x.at[u]], x.doc[u]
+            often = np.isin(qh, hot) | (qh == BOS)
+            if often.any():
+                rows.append((HOT_ASKED, 0, x.block, None, None, _pack(_small(qd[often]), qh[often])))
+            asked.append((qh[~often], np.full(int((~often).sum()), n, np.int32), qd[~often].astype(np.int32)))
+        blocks_ = np.array([x.block for x in loads], np.int64)
+        del loads
+        qh, qb, qd = (np.concatenate([x[i] for x in asked]) for i in range(3))
         home = _home(qh, homes)
         order = np.lexsort((qh, home))
         cut = np.searchsorted(home[order], np.arange(homes + 1))
-        blocks_ = np.array(ids, np.int64)
         for p in np.flatnonzero(np.diff(cut)):
             i = order[cut[p] : cut[p + 1]]
             rows.append((ASKED, int(p), 0, None, None, _pack(qh[i], blocks_[qb[i]], _small(qd[i]))))
@@ -285,23 +328,29 @@ class Discounts:
 
 
 def _weights(model: Discounts):
-    """Answers what documents asked of the histories of one partition."""
+    """Answers what documents asked of the histories of one partition, a slice of the histories at a time."""
 
     def weights(key, table):
         hist, asked = [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
             (hist if kind == HISTORY else asked).append(_unpack(data.as_buffer()))
-        if not asked:
+        found = []
+        for k in range(SLICES if asked else 0):
+            own = [(x, _within(x[0], k)) for x in asked]
+            qh, qb, qd = (np.concatenate([x[i][w] for x, w in own]) for i in range(3))
+            value = np.zeros(len(qh))
+            own = [(x, _within(x[0], k)) for x in hist]
+            if len(qh) and any(w.stop > w.start for _, w in own):
+                hu, *v = _sum_by(np.concatenate([x[0][w] for x, w in own]), *(np.concatenate([x[i][w].astype(np.float64) for x, w in own]) for i in range(1, 2 * K + 3)))
+                answer = np.log10(v[0]) + np.log10(model.backoff(v[0], v[1 : K + 1], v[K + 1], v[K + 2 :]))
+                place = np.minimum(np.searchsorted(hu, qh), len(hu) - 1)
+                value = np.where(hu[place] == qh, answer[place], 0.0)  # a history that training lacks passes all to unigrams
+            found.append((qb, qd.astype(np.int64), value))
+        if not found:
             return _rows([])
-        qh, qb, qd = (np.concatenate([x[i] for x in asked]) for i in range(3))
-        value = np.zeros(len(qh))
-        if hist:
-            hu, *v = _sum_by(np.concatenate([x[0] for x in hist]), *(np.concatenate([x[i].astype(np.float64) for x in hist]) for i in range(1, 2 * K + 3)))
-            answer = np.log10(v[0]) + np.log10(model.backoff(v[0], v[1 : K + 1], v[K + 1], v[K + 2 :]))
-            place = np.minimum(np.searchsorted(hu, qh), len(hu) - 1)
-            value = np.where(hu[place] == qh, answer[place], 0.0)  # a history that training lacks passes all to unigrams
+        qb, qd, value = (np.concatenate([x[i] for x in found]) for i in range(3))
         order = np.lexsort((qd, qb))
-        qb, qd, value = qb[order], qd[order].astype(np.int64), value[order]
+        qb, qd, value = qb[order], qd[order], value[order]
         block, first = np.unique(qb, return_index=True)
         rows = []
         for b, a, z in zip(block.tolist(), first, [*first[1:], len(qb)], strict=True):
@@ -349,7 +398,9 @@ def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000)
 
     Training documents are those whose crc32(doc_id as text) mod 10 is not 0. A null or empty text is its end alone;
     a null doc_id trains and comes back as null; rows with the same doc_id are documents of their own. Without any
-    training document every token is unknown and has probability 1.
+    training document every token is unknown and has probability 1. No documents give no rows. A text of any length
+    counts whole; a task holds one text and 4 million characters at a time. Other columns are neither read nor
+    returned.
     """
     small_batches(spark, 250)
     scratch = Scratch(spark, "katz")
@@ -369,7 +420,7 @@ def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000)
     sketch = summed(own, fill, 2 << 16)
     total = int(sketch[: 1 << 16].sum())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_part), 1)
-    homes = max(1, parts // 4)
+    homes = max(1, parts // 2)
     least = max(1, total // (8 * parts))
     busy = spark.sparkContext.broadcast(sketch >= least)
 
