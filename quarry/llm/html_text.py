@@ -20,18 +20,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read_table, small_batches
+from quarry.llm.common import column, others, read_table, small_batches
 
 SIZE = 1 << 14
+SHORT = 300  # characters; words that tell notices and controls are looked for in shorter blocks, as articles hold them too
+MARK = "data-label-of-template"
+#: An attribute as browsers read it: a quote counts only behind =, and only if it is closed.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*)))?")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*))?)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|data-content)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose text is never shown, or belongs to controls.
 _SKIPPED = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "option", "button", "label", "audio", "video", "datalist"}
+#: Those that end at their own end tag or at the next of their kind; without one, they end at the next block.
+_CONTROLS = {"select", "button", "label"}
+_OPEN = {"svg", "math", "object", "canvas", "audio", "video", "datalist"}  # those that end at an end tag of their kind
+_NEXT = {x: re.compile(rf"<(/?){x}(?=[\s/>])", re.I) for x in _CONTROLS}
+_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in (*_OPEN, "script", "style", "noscript", "template", "title", "textarea", "iframe")}
 _RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe"}
 #: What may stand in a head; any other element begins the body.
 _IN_HEAD = {"base", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"}
@@ -53,7 +61,8 @@ class Block:
     chars: int = 0
     linked: int = 0
     children: int = 0
-    text: str = ""
+    last: str = ""  # the last character of its text
+    short: str = ""  # its whole text if that is short
 
 
 @dataclass
@@ -62,13 +71,18 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)  # block and text, in page order
 
 
-def parse(html: str | None) -> Page:
-    """Blocks of a page and their runs of text; character references decoded, white space made single spaces."""
+def parse(html: str | None, mark: str | None = None) -> Page:
+    """Blocks of a page and their runs of text; character references decoded, white space made single spaces.
+
+    mark names an attribute that gives a block's label, on pages made for training alone; a page's own attributes never do.
+    """
     page = Page([Block("#page", -1)])
     if not html:
         return page
     blocks, stack, parts, state = page.blocks, [0], [], {"link": 0, "linked": 0}
-    skipped: list[tuple[str, int]] = []  # open elements whose text is skipped, and how many blocks held each
+    #: Open elements whose text is skipped, how many blocks held each, and whether it is a control without an end.
+    skipped: list[tuple[str, int, bool]] = []
+    endless: set[str] = set()  # kinds of which no end tag follows
 
     def flush() -> None:
         text = " ".join(_html.unescape("".join(parts)).split())
@@ -78,8 +92,7 @@ def parse(html: str | None) -> Page:
             b = blocks[stack[-1]]
             page.runs.append((stack[-1], text))
             b.runs, b.chars, b.linked = b.runs + 1, b.chars + len(text), b.linked + min(linked, len(text))
-            if len(b.text) < 300:  # a sample for features; page.runs holds it all
-                b.text += text[: 300 - len(b.text)]
+            b.last, b.short = text[-1], b.short + text if b.chars < SHORT else ""
 
     def close(k: int) -> None:
         flush()
@@ -106,6 +119,14 @@ def parse(html: str | None) -> Page:
             if state["link"]:
                 state["linked"] += len(text.strip())
 
+    def unclosed(name: str, at: int) -> bool:
+        if name in _CONTROLS:
+            m = _NEXT[name].search(html, at)
+            return m is None or not m[1]
+        if name in _OPEN and name not in endless and not _END[name].search(html, at):
+            endless.add(name)
+        return name in endless
+
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -114,19 +135,19 @@ def parse(html: str | None) -> Page:
             break
         add(html[at : m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             if html.startswith("<![CDATA[", m.start()):
                 add(_html.escape(html[m.start() + 9 : at].removesuffix("]]>")))
             continue
-        ends = bool(m[1] or m[4])
+        ends = bool(m[1])
         if skipped and not ends:
             if name not in _IN_HEAD:
                 end_skipped("head")
             if name in ("option", "optgroup"):
                 if skipped and skipped[-1][0] == "option":
                     skipped.pop()
-            elif name in ("input", "textarea", "select") and any(x == "select" for x, _ in skipped):
+            elif name in ("input", "textarea", "select") and any(x[0] == "select" for x in skipped):
                 end_skipped("select")
                 if name == "select":
                     continue
@@ -134,13 +155,18 @@ def parse(html: str | None) -> Page:
                 end_skipped("button")
         if name in _SKIPPED:
             if name in _RAW and not ends:
-                stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else (n if name in ("script", "style") else at)
+                # what stands behind the end tag's name goes with it; without an end only code takes the rest of the page
+                stop = None if name in endless else _END[name].search(html, at)
+                if stop is None:
+                    endless.add(name)
+                    at = n if name in ("script", "style") else at
+                else:
+                    at = stop.start()
             elif name not in _RAW:
                 if ends:
                     end_skipped(name)
-                elif not _SELF_CLOSED.search(m[3] or m[6] or ""):
-                    skipped.append((name, len(stack)))
+                elif not _SELF_CLOSED.search(m[3]):
+                    skipped.append((name, len(stack), unclosed(name, at)))
             continue
         if name == "body":
             skipped.clear()
@@ -152,6 +178,8 @@ def parse(html: str | None) -> Page:
             if name == "a":
                 state["link"] = 0 if ends else 1
             continue
+        if skipped:  # the first block behind an unclosed control is no part of it
+            del skipped[next((i for i, x in enumerate(skipped) if x[2]), len(skipped)) :]
         if ends:
             for k in range(len(stack) - 1, 0, -1):
                 if blocks[stack[k]].tag == name:
@@ -172,14 +200,14 @@ def parse(html: str | None) -> Page:
                         break
         flush()
         words, label = [], None
-        for key, *values in _ATTRIBUTE.findall(m[3] or m[6] or ""):
-            value, key = next((v for v in values if v), "").lower(), key.lower()
-            if key == "data-content":
-                label = int(value)
-            elif key == "hidden":
+        for key, *values in _ATTRIBUTE.findall(m[3]):
+            key = key.lower()
+            if key in ("class", "id", "role"):
+                words += _WORD.findall("".join(values).lower())
+            elif key in ("hidden", "aria-hidden"):
                 words.append("hidden")
-            else:
-                words += _WORD.findall(value)
+            elif key == mark:
+                label = int("".join(values))
         parent = blocks[stack[-1]]
         parent.children += 1
         blocks.append(Block(name, stack[-1], tuple(words), label))
@@ -195,8 +223,8 @@ def _features(b: Block) -> list[int]:
     seen = ["bias", f"tag {b.tag}", f"size {size}", f"links {links}", f"size {size} links {links}", f"tag {b.tag} links {links}"]
     seen += [f"word {w}" for w in b.words]
     if b.chars:
-        seen.append(f"end {b.text[-1] in '.!?…:;\"”'}")
-        seen += [f"sign {x.lower()[:7]}" for x in set(_SIGNS.findall(b.text))] if b.chars < 300 else []
+        seen.append(f"end {b.last in '.!?…:;\"”'}")
+        seen += [f"sign {x.lower()[:7]}" for x in set(_SIGNS.findall(b.short))]
     return [zlib.crc32(x.encode()) % SIZE for x in seen]
 
 
@@ -242,14 +270,14 @@ class Model:
 
 
 def template_pages(n: int = 240, seed: int = 5) -> list[str]:
-    """Pages from templates; data-content marks what is content (1) and what isn't (0), for a block and all below it."""
+    """Pages from templates; MARK tells what is content (1) and what isn't (0), for a block and all below it."""
     r = random.Random(seed)
 
     def words(k: int) -> str:
         return " ".join("".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 9))) for _ in range(k))
 
     def sentence(lo: int = 6, hi: int = 30) -> str:
-        return words(r.randint(lo, hi)).capitalize() + r.choice(".....!?")
+        return words(r.randint(lo, hi)).capitalize() + r.choice((".", ".", ".", ".", ".", "!", "?", "", " |", "%%"))
 
     def links(k: int) -> str:
         return "".join(f'<li><a href="/{i}">{words(r.randint(1, 3))}</a></li>' for i in range(k))
@@ -290,7 +318,7 @@ def template_pages(n: int = 240, seed: int = 5) -> list[str]:
         lambda: f'<form class="newsletter subscribe"{{}}><p>{sentence()}</p><input></form>', lambda: f'<div class="share social"{{}}><a href=#>share</a> <a href=#>{words(1)}</a></div>',
         lambda: f'<div class="footer copyright"{{}}><p>&copy; 2020 {words(4)}. All rights reserved</p></div>', before[4], before[5],
     ]
-    off, on, out = ' data-content="0"', ' data-content="1"', []
+    off, on, out = f' {MARK}="0"', f' {MARK}="1"', []
     for _ in range(n):
         open_, shut = r.choice(wrap)
         body = [f"<h1>{words(5)}</h1>", *(paragraph() for _ in range(r.randint(1, 12)))]
@@ -366,22 +394,25 @@ def train(pages: list[Page]) -> Model:
 def extract(spark: SparkSession, pages: DataFrame, bound: int = 400) -> DataFrame:
     """Adds text, the main text of each page's whole html, to pages (page_id, html, ...).
 
-    Trained on 240 template pages and about `bound` pages of the table at most (the documented bound, chosen by a hash of
-    the html; only those whose markup names an article). Null and empty html give an empty text.
+    Trained on 240 template pages and `bound` pages of the table at most (the documented bound: different pages, chosen
+    by a hash of the html; only those whose markup names an article). Null and empty html give an empty text. Pages that
+    repeat, or repeat a page_id, come back as often; no pages give no rows. A page of any length is read whole, in
+    memory in proportion to its own length. A column `text` is replaced; all others stay, whatever their names.
     """
     small_batches(spark, 250)
+    place = F.pmod(F.xxhash64("html", F.lit(3)), F.lit(1 << 30))
     n = pages.where("html is not null").count()
-    share = min(1.0, bound / max(n, 1))
-    sample = pages.where(F.pmod(F.xxhash64("html", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).where("html is not null").select("html")
-    known = [parse(x) for x in template_pages()]
-    known += [p for (x,) in sorted(sample.collect()) if own_labels(p := parse(x))]
+    share = min(1.0, 2 * bound / max(n, 1))  # with twice the bound, copies and chance leave enough
+    sample = pages.where("html is not null").where(place < int(share * (1 << 30))).select("html").distinct().orderBy(place, "html").limit(bound)
+    known = [parse(x, MARK) for x in template_pages()]
+    known += [p for (x,) in sample.collect() if own_labels(p := parse(x))]
     sent = spark.sparkContext.broadcast(train(known))
 
     @F.udf("string", useArrow=True)
     def text(html):
         return sent.value.text(html)
 
-    return pages.withColumn("text", text("html"))
+    return pages.select(*map(column, others(pages, "text")), text("html").alias("text"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
