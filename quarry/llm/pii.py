@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read_table
+from quarry.llm.common import column as own
+from quarry.llm.common import read_table, spare
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"(?i:api_?key|token|secret|password) ?[=:] ?\"[^\"\s]{8,256}\""
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+SECRET = r"(?i:api_?key|token|secret|password) ?[=:] ?\"[^\"\s]{8,}+\""
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?: ?(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}(?: ?(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<mark>[/.])[0-9]{1,2}\k<mark>[0-9]{4})(?![0-9])"
@@ -24,7 +25,8 @@ PHONE = r"(?:(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 ANY = "|".join((EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, CARD))
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "phone", "card")
-_DAYS = (365, 366)  # their product of days from 1800-01-01 on: to 2165-10-02
+_DAYS = (365, 366)  # dates are permuted within spans of their product of days, counted from 1800-01-01
+_SPAN = _DAYS[0] * _DAYS[1]
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -64,17 +66,24 @@ _LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 
 
 def _string(key: str, tag: str, s: Column, alphabets: tuple[str, ...] = _LETTERS) -> Column:
-    """Permutes the strings of one format; letters keep their case, which makes no difference to the result."""
-    half = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.lit(4096)).alias("r"))
-
-    def step(x: Column, i: Column) -> Column:
-        digest = lambda y: _hash(key, F.lit(tag), F.length(s), i, F.lower(y))
-        return F.when(i % 2 == 1, F.struct(_shift(x["l"], digest(x["r"]), alphabets).alias("l"), x["r"].alias("r"))).otherwise(
-            F.struct(x["l"].alias("l"), _shift(x["r"], digest(x["l"]), alphabets).alias("r"))
-        )
+    """Permutes the strings of one format; letters keep their case, which makes no difference to the result.
+
+    A long string is permuted 128 characters at a time, each stretch by its place, so that the work stays in proportion.
+    """
+
+    def stretch(c: Column, place: Column) -> Column:
+        half = F.floor(F.length(c) / 2).cast("int")
+        start = F.struct(F.substr(c, F.lit(1), half).alias("l"), F.substr(c, half + 1, F.lit(128)).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step, lambda x: F.concat(x["l"], x["r"]))
+        def step(x: Column, i: Column) -> Column:
+            digest = lambda y: _hash(key, F.lit(tag), place, F.length(c), i, F.lower(y))
+            return F.when(i % 2 == 1, F.struct(_shift(x["l"], digest(x["r"]), alphabets).alias("l"), x["r"].alias("r"))).otherwise(
+                F.struct(x["l"].alias("l"), _shift(x["r"], digest(x["l"]), alphabets).alias("r"))
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step, lambda x: F.concat(x["l"], x["r"]))
+
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s).{1,128}"), 0), stretch), "")
 
 
 def _digits(m: Column) -> Column:
@@ -161,22 +170,28 @@ def _day(m: Column) -> Column:
     x = F.split(m, "[/.-]")
     make = lambda y, mo, d: F.try_make_timestamp(y.cast("int"), mo.cast("int"), d.cast("int"), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")).cast("date")
     date = F.when(m.rlike("^[0-9]{4}-"), make(x[0], x[1], x[2])).otherwise(F.coalesce(make(x[2], x[1], x[0]), make(x[2], x[0], x[1])))
-    return F.when(F.datediff(date, F.lit("1800-01-01").cast("date")).between(0, _DAYS[0] * _DAYS[1] - 1), date)
+    return F.when(date.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")), date)
 
 
 def _date(key: str, m: Column) -> Column:
-    """Keeps the way of writing; day and month keep being told apart, or not, by a day over 12."""
+    """Keeps the way of writing; day and month keep being told apart, or not, by a day over 12.
+
+    A date moves within its span of some 366 years, so that it stays likely; in the first and the last one it walks on
+    until the year has four digits.
+    """
     iso, x, first = m.rlike("^[0-9]{4}-"), F.split(m, "[/.-]"), F.lit("1800-01-01").cast("date")
-    kind = lambda n: iso | (F.dayofmonth(F.date_add(first, n.cast("int"))) > 12)
+    span = F.floor(F.datediff(_day(m), first) / _SPAN)
+    date = lambda n: F.date_add(first, (n + span * _SPAN).cast("int"))
+    kind = lambda n: iso | (F.dayofmonth(date(n)) > 12)
 
     def walk(s: Column, _: Column) -> Column:
-        p = _feistel(key, "date", F.floor(s["n"] / _DAYS[1]), F.pmod(s["n"], F.lit(_DAYS[1])), *_DAYS)
+        p = _feistel(key, F.concat(F.lit("date"), span), F.floor(s["n"] / _DAYS[1]), F.pmod(s["n"], F.lit(_DAYS[1])), *_DAYS)
         n = p["l"] * _DAYS[1] + p["r"]
-        moved = F.transform(F.array(n), lambda v: F.struct(v.cast("long").alias("n"), (kind(v) == s["k"]).alias("ok"), s["k"].alias("k")))[0]
+        moved = F.transform(F.array(n), lambda v: F.struct(v.cast("long").alias("n"), ((kind(v) == s["k"]) & F.year(date(v)).between(1, 9999)).alias("ok"), s["k"].alias("k")))[0]
         return F.when(s["ok"], s).otherwise(moved)
 
-    start = F.transform(F.array(F.datediff(_day(m), first).cast("long")), lambda n: F.struct(n.alias("n"), F.lit(False).alias("ok"), kind(n).alias("k")))[0]
-    day = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, walk, lambda s: F.date_add(first, s["n"].cast("int")))
+    start = F.transform(F.array(F.pmod(F.datediff(_day(m), first), F.lit(_SPAN)).cast("long")), lambda n: F.struct(n.alias("n"), F.lit(False).alias("ok"), kind(n).alias("k")))[0]
+    day = F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, walk, lambda s: date(s["n"]))
     width = lambda i, v: F.when(F.length(x[i]) == 2, _pad(v, 2)).otherwise(v.cast("string"))
     american = (x[1].cast("int") > 12) & ~iso
     mark = F.substr(F.regexp_replace(m, "[0-9]", ""), F.lit(1), F.lit(1))
@@ -217,7 +232,7 @@ def _kind(m: Column) -> Column:
     iban = F.replace(m, F.lit(" "), F.lit(""))
     return (
         F.when(m.contains('"'), "secret")
-        .when(m.contains("@"), "email")
+        .when(m.contains("@"), F.when(F.substring_index(m, "@", -1).rlike(r"\.[A-Za-z]{2,}(?:\.|$)"), "email"))
         .when(m.rlike("^[A-Z]"), F.when(F.length(iban).between(15, 34) & (_mod97(F.concat(F.substr(iban, F.lit(5), F.lit(40)), F.left(iban, F.lit(4)))) == 1), "iban"))
         .when(whole(IP), F.when(octets, "ip"))
         .when(whole(DATE), F.when(_day(m).isNotNull(), "date"))
@@ -230,24 +245,26 @@ def _kind(m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """Replaces personal data in a text column, and adds pii_kinds, the kinds replaced, in order of place.
 
-    Null stays null, and has no kinds, like an empty text. The whole text is searched. Candidates that fail validation
-    stay as they are. The key decides the permutation; keep it secret.
+    Null stays null, and has no kinds, like an empty text. Texts, secrets and mail names of any length are searched and
+    replaced whole. Candidates that fail validation stay as they are. Each row is worked on by itself, so repeated rows
+    come back as often and alike, and no rows give no rows. A column pii_kinds is replaced; all others stay, whatever
+    their names. The key decides the permutation; keep it secret.
     """
-    found = docs.withColumn("_m", F.coalesce(F.regexp_extract_all(column, F.lit(ANY), 0), F.array().cast("array<string>")))
-    found = found.withColumn("_k", F.transform("_m", _kind))
+    m, k = spare(docs, "_m"), spare(docs, "_k")
+    found = docs.withColumn(m, F.coalesce(F.regexp_extract_all(own(column), F.lit(ANY), 0), F.array().cast("array<string>")))
+    found, kinds = found.withColumn(k, F.transform(m, _kind)), F.col(k)
 
     def new(m: Column, i: Column) -> Column:
-        k = F.col("_k")[i]
-        at = F.instr(m, "@")
+        k, at = kinds[i], F.instr(m, "@")
         return (
             F.when(k.isNull(), m).when(k == "card", _card(key, m)).when(k == "phone", _phone(key, m)).when(k == "ip", _ip(key, m)).when(k == "date", _date(key, m))
-            .when(k == "email", F.concat(_string(key, "mail", F.substr(m, F.lit(1), at - 1)), F.substr(m, at, F.lit(400))))
+            .when(k == "email", F.concat(_string(key, "mail", F.substr(m, F.lit(1), at - 1)), F.substr(m, at, F.length(m))))
             .when(k == "secret", _secret(key, m)).when(k == "ssn", _ssn(key, m)).when(k == "iban", _iban(key, m)).otherwise(m)
         )
 
-    text = F.array_join(F.zip_with(F.split(column, ANY, -1), F.transform("_m", new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kinds = F.filter("_k", lambda k: k.isNotNull())
-    return found.withColumn(column, F.when(F.size("_m") > 0, text).otherwise(F.col(column))).withColumn("pii_kinds", kinds).drop("_m", "_k")
+    text = F.array_join(F.zip_with(F.split(own(column), ANY, -1), F.transform(m, new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.when(F.size(m) > 0, text).otherwise(own(column))
+    return found.withColumn(column, text).withColumn("pii_kinds", F.filter(k, lambda x: x.isNotNull())).drop(m, k)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
