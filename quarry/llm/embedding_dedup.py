@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, components, read_table
+from quarry.llm.common import Scratch, components, read_table, small_batches
+
+SKETCH = 128
 
 
 def tables_needed(cosine: float, bits: int, miss: float) -> int:
@@ -17,29 +19,60 @@ def tables_needed(cosine: float, bits: int, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - same)))
 
 
-def _signs(dim: int, bits: int, tables: int) -> np.ndarray:
-    return np.random.default_rng(20_240_607).standard_normal((tables * bits, dim)).T
+def most_apart(cosine: float, miss: float) -> int:
+    """Signs of a sketch in which a pair at the threshold differs, but with probability `miss` at most."""
+    p, left = math.acos(cosine) / math.pi, 1.0
+    for k in range(SKETCH + 1):
+        left -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if left <= miss:
+            return k
+    return SKETCH
+
+
+def _signs(dim: int, n: int) -> np.ndarray:
+    return np.random.default_rng(20_240_607).standard_normal((n, dim)).T
 
 
 def _hash(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(rep, mult, vec, codes): each distinct vector's bucket in every table."""
+    """(rep, mult, vec, sketch, codes): each distinct vector's signs on further planes, and its bucket in every table."""
 
     def part(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("rep", pa.int64()), ("mult", pa.int64()), ("vec", pa.binary()), ("codes", pa.list_(pa.int32()))])
+        schema = pa.schema([("rep", pa.int64()), ("mult", pa.int64()), ("vec", pa.binary()), ("sketch", pa.binary()), ("codes", pa.list_(pa.int64()))])
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            raw, codes = b.column(2).to_pylist(), []
-            for x in raw:
-                v = np.frombuffer(x, np.float64)
-                if len(v) not in planes:
-                    planes[len(v)] = _signs(len(v), bits, tables)
-                side = (v @ planes[len(v)] > 0).reshape(tables, bits)
-                codes.append((side @ (1 << np.arange(bits))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(codes, pa.list_(pa.int32()))], schema=schema)
+            raw = b.column(2).to_pylist()
+            sketch, codes = [b""] * len(raw), [None] * len(raw)
+            for size in {len(x) for x in raw}:
+                own = [i for i, x in enumerate(raw) if len(x) == size]
+                if size not in planes:
+                    planes[size] = _signs(size // 8, SKETCH + tables * bits)
+                side = np.frombuffer(b"".join(raw[i] for i in own)).reshape(len(own), -1) @ planes[size] > 0
+                code = side[:, SKETCH:].reshape(len(own), tables, bits) @ (1 << np.arange(bits))
+                for i, x, y in zip(own, np.packbits(side[:, :SKETCH], axis=1), code, strict=True):
+                    sketch[i], codes[i] = x.tobytes(), y
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sketch, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], schema=schema)
+
+    return vectors.select("rep", "mult", "vec").mapInArrow(part, "rep long, mult long, vec binary, sketch binary, codes array<long>")
+
+
+def _meet(apart: int):
+    """Those of a bucket, or of two blocks of it, whose sketch is near another's."""
+
+    def meet(key, table):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        block = table.column("block").to_numpy()
+        near = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.int16) for x in s.T) <= apart
+        np.fill_diagonal(near, False)
+        if key[1] != key[2]:
+            near &= block[:, None] != block[None, :]
+        return table.filter(pa.array(near.any(axis=1))).select(["key", "bi", "bj", "rep", "t", "block"])
 
-    return vectors.select("rep", "mult", "vec").mapInArrow(part, "rep long, mult long, vec binary, codes array<int>")
+    return meet
 
 
 def _compare(cosine: float):
@@ -48,8 +81,8 @@ def _compare(cosine: float):
     def compare(key, table):
         import pyarrow as pa
 
-        t, bi, bj = key[1].as_py(), key[3].as_py(), key[4].as_py()
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+        t = table.column("t")[0].as_py()
         order = np.argsort(table.column("rep").to_numpy())
         rep, mult, block = (table.column(c).to_numpy()[order] for c in ("rep", "mult", "block"))
         raw, code = table.column("vec").to_pylist(), table.column("codes").to_pylist()
@@ -58,7 +91,7 @@ def _compare(cosine: float):
         v /= np.sqrt((v * v).sum(axis=1))[:, None]
         near = (v @ v.T) >= cosine
         np.fill_diagonal(near, False)
-        if bi != bj:
+        if key[1] != key[2]:
             near &= block[:, None] != block[None, :]
         i, j = np.nonzero(np.triu(near))
         first = ~(codes[i, :t] == codes[j, :t]).any(axis=1)  # a pair counts in the first table where it meets
@@ -83,10 +116,14 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95,
 
     Equal vectors are compared once, whatever their number. Two vectors are compared when they share a bucket of any
     table; the number of signs grows with the number of vectors so that an average bucket holds about `fill`, and the
-    number of tables so that a pair at the threshold is missed with probability `miss` at most. Buckets of over
-    `block` vectors are compared in pairs of blocks. Vectors that are null, empty, zero, or hold null or non-finite
-    components link with nothing, nor do vectors of different lengths; their component is their own id.
+    number of tables so that a pair at the threshold is missed with probability `miss` at most. What goes to the buckets
+    is a sketch of 128 more signs; only vectors whose sketch is near another's there are fetched and compared exactly.
+    Buckets of over `block` vectors are compared in pairs of blocks. Vectors that are null, empty, zero, or hold null or
+    non-finite components link with nothing, nor do vectors of different lengths; their component is their own id.
+    Rows that repeat a vec_id come back as often, each with its own vector's links; a null vec_id links with nothing, and
+    has a null component and kept false. No vectors give no rows. Other columns aren't read.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "vectors")
 
     def keys(batches):
@@ -110,21 +147,22 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95,
     groups = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min("vec").alias("vec"))
     groups = scratch.save(groups, "groups")
     n = groups.count()
-    bits = max(4, min(24, math.ceil(math.log2(max(n, 1) / fill)))) if n > fill else 4
-    tables = tables_needed(cosine, bits, miss)
+    bits = max(4, math.ceil(math.log2(max(n, 1) / fill)))
+    tables = tables_needed(cosine, bits, 0.9 * miss)
     hashed = scratch.save(_hash(groups, bits, tables), "hashed")
 
-    narrow = hashed.select("rep", F.length("vec").alias("dim"), F.posexplode("codes").alias("t", "code"))
-    narrow = scratch.save(narrow, "narrow")
-    full = scratch.save(narrow.groupBy("dim", "t", "code").agg(F.count("*").alias("m")).where("m > 1"), "full")
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = narrow.join(full, ["dim", "t", "code"]).withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "rep", "dim", "t", "code", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
-    )
-    found = dealt.join(hashed, "rep").groupBy("dim", "t", "code", "bi", "bj").applyInArrow(_compare(cosine), "a long, b long, n long")
+    placed = hashed.select("rep", "sketch", F.length("vec").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    placed = placed.select("rep", "sketch", "t", F.xxhash64("dim", "t", "code").alias("key"))  # two buckets of one key only cost time
+    full = scratch.save(placed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > block), "full")
+    parts = F.coalesce(F.ceil(F.col("m") / F.lit(block)).cast("int"), F.lit(1))
+    dealt = placed.join(full, "key", "left").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "t", "block", "sketch")
+    near = dealt.groupBy("key", "bi", "bj").applyInArrow(_meet(most_apart(cosine, 0.1 * miss)), "key long, bi int, bj int, rep long, t int, block int")
+    near = scratch.save(near, "near")
+    found = near.join(hashed.select("rep", "mult", "vec", "codes"), "rep").groupBy("key", "bi", "bj").applyInArrow(_compare(cosine), "a long, b long, n long")
     found = scratch.save(found, "found")
-    scratch.drop("narrow", "full", "hashed")
+    scratch.drop("full", "hashed", "near")
 
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts_of = components(spark, found.where("a <> b").select("a", "b"), scratch)
