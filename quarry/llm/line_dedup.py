@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quarry.llm.common import Scratch, mix64, read_table, small_batches
+from quarry.llm.common import Scratch, column, mix64, others, read_table, small_batches
 
 _STRIP = " \t\n\x0b\x0c\r"
 _CHUNK = 1 << 14  # bytes of a filter that are merged together
@@ -48,18 +48,20 @@ def seen_twice(spark: SparkSession, docs: DataFrame, min_chars: int, bits: int)
     """
 
     def fill(batches):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in batches:
             hashes = [h for t in b.column(0).to_pylist() for h in _long_lines(t, min_chars)]
             if hashes:
                 at, n = np.unique(_places(hashes, bits), return_counts=True)
-                twice[at[(n > 1) | once[at]]] = True
-                once[at] = True
+                byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+                again = (n > 1) | (once[byte] & bit > 0)
+                np.bitwise_or.at(twice, byte[again], bit[again])
+                np.bitwise_or.at(once, byte, bit)
         import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() // 64
-        o, t = np.packbits(once).reshape(-1, _CHUNK), np.packbits(twice).reshape(-1, _CHUNK)
+        o, t = once.reshape(-1, _CHUNK), twice.reshape(-1, _CHUNK)
         for i in range(len(o)):
             if o[i].any():
                 yield pa.RecordBatch.from_pydict({"chunk": [i], "part": [part], "once": [o[i].tobytes()], "twice": [t[i].tobytes()]}, schema=arrow)
@@ -85,17 +87,27 @@ def seen_twice(spark: SparkSession, docs: DataFrame, min_chars: int, bits: int)
     return out
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int = 1 << 23) -> DataFrame:
+def filter_bits(docs: DataFrame, min_chars: int, least: int = 1 << 23, most: int = 1 << 29) -> int:
+    """Bits of a filter for all the lines that documents can hold: four for each min_chars characters, within bounds."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return min(most, max(least, 1 << (4 * chars // max(min_chars, 1)).bit_length()))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int | None = None) -> DataFrame:
     """Adds n_lines, n_dropped and kept to documents (doc_id, text, ...).
 
     A line's key is the line stripped of [\\x20\\x09-\\x0D], A-Z lower-cased. Keys of at least min_chars code points
     that at least min_docs documents hold lose all their lines but those in the largest doc_id that holds them.
-    Null and empty texts are one empty line. A doc_id that occurs twice counts once, and its rows are treated alike.
-    The filters take bits / 8 bytes each on the driver and in a worker; fuller filters let more lines shuffle, but
-    the result stays exact, since counts come from grouping the suspected lines' 128-bit hashes.
+    Null and empty texts are one empty line. A doc_id that occurs twice counts once, and its rows are treated alike; rows
+    without a doc_id count for no line and lose none. Texts and lines of any length are read whole. No documents give no
+    rows. Columns n_lines, n_dropped and kept are replaced; all others stay, whatever their names.
+    The filters take bits / 8 bytes each on the driver and in a worker. Without `bits` they grow with the text, up to
+    64 MB; fuller filters let more lines shuffle, but the result stays exact, since counts come from grouping the
+    suspected lines' 128-bit hashes.
     """
     small_batches(spark)
     scratch = Scratch(spark, "lines")
+    bits = bits or filter_bits(docs, min_chars)
     sent = spark.sparkContext.broadcast(seen_twice(spark, docs, min_chars, bits))
 
     def suspects(batches):
@@ -117,21 +129,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 4
     held = scratch.save(base.mapInArrow(suspects, "key binary, doc_id long").where("doc_id is not null").distinct(), "held")
     common = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     common = scratch.save(common, "common")  # so that both sides of the join are dealt out for it, and a hot key can be split
-    lost = held.join(common, "key").where("doc_id <> last").groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
+    lost = held.join(common, "key").where("doc_id <> last").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("lost"))
     lost = scratch.save(lost, "lost")
     scratch.drop("held", "common")
 
-    other = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
-    rest = docs.select(*other, F.col("doc_id").cast("long").alias("_id"))
-    joined = rest.join(lost.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), "_id", "left").drop("_id")
-    kinds = StructType([*docs.select(*other).schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
+    other = others(docs, "n_lines", "n_dropped", "kept")
+    own = docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(other)), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    joined = own.join(lost.hint("shuffle_hash"), "id", "left").drop("id", *(f"c{i}" for i, c in enumerate(other) if c == "text"))
+    rest = [f"c{i}" if c != "text" else "text" for i, c in enumerate(other)]
+    kinds = StructType([*joined.select(*rest).schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
 
     def kept(batches):
         import pyarrow as pa
 
         for b in batches:
             rows = ([], [], [])
-            for t, g in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_lost")).to_pylist(), strict=True):
+            for t, g in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("lost")).to_pylist(), strict=True):
                 lines = (t or "").split("\n")
                 n = len(lines)
                 if g:
@@ -140,10 +153,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 4
                     lines = [x for i, x in enumerate(lines) if i not in away]
                 for column, x in zip(rows, (n, n - len(lines), "\n".join(lines)), strict=True):
                     column.append(x)
-            own = [b.column(b.schema.get_field_index(c)) for c in other]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=kinds.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=kinds.names)
 
-    return joined.mapInArrow(kept, kinds)
+    return joined.mapInArrow(kept, kinds).toDF(*other, "n_lines", "n_dropped", "kept")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
