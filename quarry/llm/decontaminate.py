@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read_table, small_batches
+from quarry.llm.common import Scratch, read_table, small_batches
 
 _BLANK = re.compile(r"\s+")
 
@@ -111,20 +111,25 @@ class Matcher:
         return out
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, errors: float = 0.08, block: int = 2000) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, errors: float = 0.08, block: int = 5000) -> DataFrame:
     """(doc_id, item_id, edits, ends_at): documents with a passage within errors * length edits of a test item.
 
-    Both sides are compared in small letters with single spaces. Items are taken `block` at a time, which bounds what
-    is sent to the tasks; each block is held against all documents, whole. Null, empty and blank items and texts match
-    nothing; an item too short for an error is searched exactly. Rows with the same doc_id each give their own matches;
-    of items with the same id, each counts. A null doc_id comes back as null.
+    Both sides are compared in small letters with single spaces. Items are taken about `block` at a time, fewer where
+    they are long, which bounds what is sent to the tasks; each block is held against all documents, whole, whatever
+    their length. Null, empty and blank items and texts match nothing; an item too short for an error is searched
+    exactly. Rows with the same doc_id each give their own matches; of items with the same id, or the same text, each
+    counts. A null doc_id comes back as null, an item without an id doesn't count. Of places where an item is as near,
+    the first is given. Without documents or items there are no rows. Other columns aren't read.
     """
     small_batches(spark)
+    scratch = Scratch(spark, "items")
     items = benchmark.where("item_id is not null and trim(text) <> ''").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = items.count()
+    items = scratch.save(items.withColumn("row", F.monotonically_increasing_id()), "items")  # equal items are dealt out by row
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    parts = max(1, -(-n // block), -(-chars // (1000 * block)))
     out = None
-    for k in range(max(1, -(-n // block))):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-n // block)))) == k)
+    for k in range(parts):
+        own = items.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == k).select("item_id", "text")
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about `block` items
 
         def part(batches, sent=sent):
