@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from quarry.llm.common import mix64, read_table, small_batches
+from quarry.llm.common import blocks, column, mix64, others, read_table, small_batches
 
 _MARK = "▁"
 _SEGMENT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-_NODES = 1_000_000  # lattice nodes that a worker keeps
+_NODES = 1_500_000  # lattice nodes that a task keeps
 _GRAIN = float(1 << 30)  # shares are multiples of its inverse, so that they stay exact when nodes are renumbered
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = 1 << 20  # codes of characters that byte pieces spell start here
@@ -94,17 +94,12 @@ class Lattices:
         self.bare, self.after = ({w: int(new[i]) for w, i in d.items() if keep[i]} for d in (self.bare, self.after))
         self.hits = self.hits[keep] // 2
 
-    def _match(self, c: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where runs of `size` characters are pieces, and the pieces' places in the vocabulary."""
-        n = len(c) - size + 1
-        if n <= 0 or size not in self.by_size:
+    def _match(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes of runs of `size` characters are pieces', and the pieces' places in the vocabulary."""
+        if size not in self.by_size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(size):
-                h = h * _BASE + c[i : i + n]
-            h = mix64(h)
         keys, which = self.by_size[size]
+        h = mix64(h)
         slot = (h & np.uint64(len(keys) - 1)).astype(np.int64)
         place = np.flatnonzero(keys[slot] != 0)
         slot, h, out, at = slot[place], h[place], [], []
@@ -129,10 +124,14 @@ class Lattices:
         place = np.arange(len(c)) - begin
         rest = np.repeat(stop, size) - np.arange(len(c))
         to, piece, weight, wide = [], [], [], []
+        h, live = np.zeros(len(c), np.uint64), np.arange(len(c))
         for n in range(1, min(self.longest, int(size.max())) + 1):
-            i, at = self._match(c, n)
-            fits = rest[i] >= n
-            i, at = i[fits], at[fits]
+            if n > 1:  # runs that end within their segment
+                fits = rest[live] >= n
+                h, live = h[fits], live[fits]
+            h = h * _BASE + c[live + (n - 1)]
+            i, at = self._match(h, n)
+            i = live[i]
             to.append(i + n - 1)
             piece.append(self.ids[at])
             weight.append(self.weights[at])
@@ -269,58 +268,60 @@ class Pieces:
         return self.flat[np.arange(int(size.sum())) + np.repeat(self.start[ids] - before, size)].tobytes().decode("utf-8", "surrogatepass")
 
 
-_KEPT: dict = {}
-
-
-def _kept(kind, *args):
-    if (kind, *args) not in _KEPT:
-        _KEPT[(kind, *args)] = kind(*args)
-    return _KEPT[(kind, *args)]
-
-
 def encode_sampled(spark: SparkSession, docs: DataFrame, model: str, key: str = "doc_id", seed: int = 1, sharpness: float = 1.0) -> DataFrame:
     """Adds `ids`, the binary of a text's sampled ids (little-endian unsigned 32-bit), to documents (key, text, ...).
 
     The draw depends on the row's key, the seed and the text, not on partitions or order. Null and empty texts have no
-    ids. A null key draws as key 0; rows with the same key and text draw alike.
+    ids. A null key draws as key 0; rows with the same key and text draw alike. A text of any length is encoded whole; a
+    task holds the lattices of the texts that come together, a hundred of them and a million characters at most, or one
+    longer text's. No rows give no rows. A column `ids` is replaced; all others stay, whatever their names.
     """
     small_batches(spark, 250)
-    other = [c for c in docs.columns if c != "ids"]
-    schema = StructType([*docs.select(*other).schema.fields, StructField("ids", BinaryType())])
+    other = others(docs, "ids")
+    rest = [f"c{i}" if c != "text" else "text" for i, c in enumerate(other)]
+    kept = docs.select(*(column(c).alias(n) for c, n in zip(other, rest, strict=True)))
+    schema = StructType([*kept.schema.fields, StructField("ids", BinaryType())])
 
     def part(batches):
         import pyarrow as pa
 
-        lattices = _kept(Lattices, model, sharpness)
+        lattices = Lattices(model, sharpness)
         for b in batches:
-            columns = [b.column(b.schema.get_field_index(c)) for c in other]
-            keys = [k or 0 for k in b.column(b.schema.get_field_index("_key")).to_pylist()]
+            columns = [b.column(b.schema.get_field_index(c)) for c in rest]
+            keys = [k or 0 for k in b.column(b.schema.get_field_index("key")).to_pylist()]
             texts, ids = b.column(b.schema.get_field_index("text")).to_pylist(), []
-            for i in range(0, len(texts), 100):
-                ids += [x.astype("<u4").tobytes() for x in lattices.sample(keys[i : i + 100], texts[i : i + 100], seed)]
+            for s in blocks([len(t or "") for t in texts], count=100):
+                ids += [x.astype("<u4").tobytes() for x in lattices.sample(keys[s], texts[s], seed)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=schema.names)
 
-    return docs.select(*other, F.col(key).cast("long").alias("_key")).mapInArrow(part, schema)
+    keyed = docs.select(*(column(c).alias(n) for c, n in zip(other, rest, strict=True)), column(key).cast("long").alias("key"))
+    return keyed.mapInArrow(part, schema).toDF(*other, "ids")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """Adds `decoded`, the text of `ids`."""
-    other = [c for c in encoded.columns if c != "decoded"]
-    schema = StructType([*encoded.select(*other).schema.fields, StructField("decoded", StringType())])
+    """Adds `decoded`, the text of `ids`; no ids (null or empty) give an empty text. A column `decoded` is replaced."""
+    other = others(encoded, "decoded")
+    rest = [f"c{i}" if c != "ids" else "ids" for i, c in enumerate(other)]
+    kept = encoded.select(*(column(c).alias(n) for c, n in zip(other, rest, strict=True)))
+    schema = StructType([*kept.schema.fields, StructField("decoded", StringType())])
 
     def part(batches):
         import pyarrow as pa
 
-        pieces = _kept(Pieces, model)
+        pieces = Pieces(model)
         for b in batches:
-            texts = [pieces.decode(np.frombuffer(x, "<u4")) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in other), pa.array(texts, pa.string())], names=schema.names)
+            texts = [pieces.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*other).mapInArrow(part, schema)
+    return kept.mapInArrow(part, schema).toDF(*other, "decoded")
 
 
 def piece_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, n_pieces, ids_crc32 and whether decoding gave the text back, of every document."""
+    """doc_id, n_chars, n_pieces, ids_crc32 and whether decoding gave the text back, of every row of documents.
+
+    Null and empty texts have no pieces and are lossless; a null doc_id stays null and draws as 0; repeated rows come
+    back as often, with the same draw; no documents give no rows. Other columns aren't read.
+    """
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
