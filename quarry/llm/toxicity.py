@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, blocks, read_table, small_batches, summed
+from quarry.llm.common import Scratch, blocks, column, others, read_table, small_batches, spare, summed
 
 LM_SIZE = 1 << 20
 FEATURES = 1 << 20
@@ -98,7 +98,7 @@ class Restorer:
         for w, gram, context in ((0.6, (a, b, c, d), (a, b, c)), (0.25, (b, c, d), (b, c)), (0.1, (c, d), (c,))):
             if (under := n[_gram(context)]) > 0:
                 p += w * min(1.0, float(n[_gram(gram)]) / float(under))
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[key] = out = -math.log(p)
         return out
@@ -144,7 +144,7 @@ class Restorer:
                 options = [(x, 1.0) for x in SIGNS[ch]]
                 lattice += [[(ch, 2.0), *options]] * min(run, 2) if run < 3 else [[(ch, 2.0), *options, *((2 * x, 1.5) for x, _ in options)]]
             elif run >= 3:
-                lattice.append([(ch, 0.5), (ch * 2, 0.5), (ch * min(run, 8), 6.0)])
+                lattice.append([(ch, 0.5), (ch * 2, 0.5), (ch * run, 6.0)])
             else:
                 lattice += [[(ch, 0.0)]] * run
             i = j
@@ -227,7 +227,7 @@ def _restored(texts: list[str | None], restorer: Restorer, known: dict, made):
         for t in texts[s]:
             low = (t or "").lower()
             split.append((set(low.split()), [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split() if len(w) > 2]))
-        if len(known) > 300_000:
+        if len(known) > 200_000:
             known.clear()
         new = list(set().union(*(tokens for tokens, _ in split)).difference(known))
         words = [restorer.words(t) for t in new]
@@ -258,7 +258,10 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, boun
     Labels (doc_id, toxic) teach only where crc32(doc_id as text) mod 5 is not 0, from a sample of about `bound` rows
     at most (the documented bound; it is broadcast). Character counts and scores cover all documents in full. Null and
     empty texts have no words and get the score of a text without evidence. Without labels of both kinds every score
-    is 0. A null doc_id isn't held out.
+    is 0. A null doc_id isn't held out. Rows that repeat a doc_id are scored each by their own text; of those that repeat
+    a labelled one, all count for the weights and the least evident one for the curve, so that the curve is fitted on
+    `bound` rows at most. A text of any length is scored whole, a word of it too. No documents give no rows. Columns
+    held_out, score and predicted are replaced; all others stay, whatever their names.
     """
     small_batches(spark)
     scratch = Scratch(spark, "toxicity")
@@ -274,8 +277,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, boun
                 table[_distinct(words) + toxic * FEATURES] += 1
         return table
 
-    taught = base.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = summed(taught, fill, 2 * FEATURES).reshape(2, FEATURES).astype(np.float64)
+    taught = base.join(F.broadcast(sample), "doc_id")
+    counts = summed(taught.select("text", "toxic"), fill, 2 * FEATURES).reshape(2, FEATURES).astype(np.float64)
     rate = min(max(n_toxic / max(n_all, 1), 1e-3), 1 - 1e-3)
     p = (counts[1] + 10 * rate) / (counts.sum(axis=0) + 10)
     weights = spark.sparkContext.broadcast((np.log(p / (1 - p)) - math.log(rate / (1 - rate))).astype(np.float32))
@@ -292,15 +295,16 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, boun
         return pd.Series(rows)
 
     state: dict = {}
-    rows = taught.select(evidence("text").alias("e"), "toxic").collect() if 0 < n_toxic < n_all else []  # of the sample
+    seen = taught.select("doc_id", F.struct(evidence("text").alias("e"), "toxic").alias("s")).groupBy("doc_id").agg(F.min("s").alias("s"))
+    rows = seen.select("s.e", "s.toxic").collect() if 0 < n_toxic < n_all else []  # of the sample
     coef = _fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows])) if rows else None
-    other = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    out = docs.select(*other, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), evidence("text").alias("_e"))
+    other, own = others(docs, "held_out", "score", "predicted"), spare(docs, "_e")
+    out = docs.select(*map(column, other), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), evidence("text").alias(own))
     score = F.lit(0.0)
     if coef is not None:
-        top = [F.least(F.col("_e")[i], F.lit(8.0)) for i in range(3)]
+        top = [F.least(F.col(own)[i], F.lit(8.0)) for i in range(3)]
         score = 1 / (1 + F.exp(-sum((F.lit(float(c)) * x for c, x in zip(coef[1:], [*top, *(x * x for x in top)], strict=True)), F.lit(float(coef[0])))))
-    return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_e")
+    return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(own)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
