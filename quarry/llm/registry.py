@@ -1,7 +1,6 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-import corpus_pipeline
-from quarry.llm import decontaminate, embedding_dedup, html_text, katz, line_dedup, ngram_join, pieces, pii, token_files, toxicity
+from quarry.llm import decontaminate, embedding_dedup, html_text, katz, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -14,7 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_katz": katz.op9_katz,
     "op10_pieces": pieces.op10_pieces,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.OP1_SQL,

@@ -381,7 +381,7 @@ def test_katz(spark):
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
-    import corpus_pipeline
+    from quarry.llm import stages
 
     r = random.Random(9)
     vocabulary = ["".join(r.choice(["an", "be", "co", "du"]) for _ in range(r.randint(2, 4))) for _ in range(150)]
@@ -399,7 +399,7 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = stages.run(spark, str(tmp_path)).collect()
     want = {i for i, _ in docs if not (100 <= i < 400 and i % 4 == 0)} - {900, 901}
     assert {r.doc_id for r in got} == want and all(r.lossless for r in got)
 
@@ -435,7 +435,7 @@ def test_html_takes_all_class_words():
 
 
 def test_pipeline_stages_decide_by_row(spark, tmp_path):
-    import corpus_pipeline
+    from quarry.llm import stages
 
     r = random.Random(9)
     text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -444,5 +444,5 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = lambda stage: sorted(((x.doc_id, x.text) for x in stage(spark, docs, str(tmp_path)).collect()), key=repr)
-    assert found(corpus_pipeline.near_duplicates) == sorted([rows[0], *rows[3:]], key=repr)
-    assert found(corpus_pipeline.decontamination) == sorted([*rows[:4], rows[6]], key=repr)
+    assert found(stages.near_duplicates) == sorted([rows[0], *rows[3:]], key=repr)
+    assert found(stages.decontamination) == sorted([*rows[:4], rows[6]], key=repr)
