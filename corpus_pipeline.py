@@ -1,88 +1,5 @@
-"""The corpus pipeline: five stages, each one operator of quarry.llm, each written and read again before the next."""
+"""The corpus pipeline of quarry.llm: STAGES, run() and ORACLE_SQL."""
 
-from __future__ import annotations
+from quarry.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quarry.llm.common import Scratch, read_table
-from quarry.llm.decontaminate import contaminated
-from quarry.llm.line_dedup import drop_repeated_lines
-from quarry.llm.ngram_join import jaccard_components
-from quarry.llm.pieces import piece_digests
-from quarry.llm.toxicity import score_toxicity
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return score_toxicity(spark, docs, read_table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document left without any text goes too. n_chars is counted again."""
-    out = drop_repeated_lines(spark, docs)
-    # without a dropped line the text stays as it is, null or empty too
-    gone = F.col("n_dropped") > 0
-    text = F.when(gone, F.col("kept")).otherwise(F.col("text"))
-    out = out.where(~gone | (F.trim("kept") != "")).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(gone, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-def _keyed(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Documents with a key of each row, _row, written down so that it stays; a doc_id may be null or repeated."""
-    return scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-
-
-def _rows(keyed: DataFrame) -> DataFrame:
-    return keyed.select(F.col("_row").alias("doc_id"), "text")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked at five-word shingles and similarity 0.8, the one with the smallest doc_id stays, one of several such."""
-    scratch = Scratch(spark, "near-duplicates")
-    keyed = _keyed(spark, docs, scratch)
-    linked = jaccard_components(spark, _rows(keyed), words=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    linked = scratch.save(linked, "linked")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    best = linked.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(first).alias("f")).select(F.col("f._row").alias("_row"))
-    away = scratch.save(linked.select("_row").join(best, "_row", "left_anti"), "away")
-    return keyed.join(away.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a passage of the benchmark go."""
-    scratch = Scratch(spark, "contaminated")
-    keyed = _keyed(spark, docs, scratch)
-    hits = contaminated(spark, _rows(keyed), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
-    hits = scratch.save(hits, "hits")
-    return keyed.join(hits.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
-
-
-def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled segmentation of each document that is left, and its decoding."""
-    return piece_digests(spark, docs)
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("pieces", pieces),
-]
-
-#: None: no stage but line dedup can be expressed in SQL; tests/llm holds the others against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to `documents`."""
-    scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
-        if k:
-            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
