@@ -9,7 +9,14 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Phrases that count as a refusal.
 REFUSALS = ("not mentioned", "no information", "cannot be answered", "none", "unknown", "don't know")
 #: Words that the content tokeniser leaves out.
-STOP_WORDS = ("the", "and", "for", "are", "was", "were", "with", "that", "this", "from", "what", "which", "who", "how", "did", "does", "has", "have", "had", "its", "their", "our", "your", "into", "about", "than", "then", "not", "but", "all", "any", "can", "will", "would", "there", "been", "being", "they", "them", "his", "her")
+STOP_WORDS = (
+    "about", "after", "all", "also", "and", "answer", "apply", "asks", "any", "are", "available", "based", "before", "company", "content", "data", "document", "evidence", "explicitly",
+    "expressed", "filing", "financial", "first", "for", "from", "has", "have", "into", "its", "most", "only", "period", "question", "relevant", "report", "result", "requested", "search", "source",
+    "sources", "specific", "specified", "statement", "that", "the", "their", "then", "this", "when", "where", "which", "with", "year",
+)
+#: Endings that the stemmer takes off, in this order, and words with a stem of their own.
+ENDINGS = ("ingly", "ments", "ment", "ation", "ities", "ing", "ies", "ed", "es", "s")
+STEMS = {"percentage": "percent", "percentages": "percent", "percents": "percent"}
 
 
 def _col(x: Column | str) -> Column:
@@ -47,19 +54,18 @@ def bounded_top_k(value: Column, default: int, top: int) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A light stemmer: the first matching ending goes, if enough is left."""
-    n = F.length(word)
-    cut = lambda k: F.left(word, n - k)
-    return (
-        F.when(word.endswith("ies") & (n > 5), F.concat(cut(3), F.lit("y"))).when(word.endswith("ing") & (n > 6), cut(3))
-        .when(word.endswith("ed") & (n > 5), cut(2)).when(word.endswith("es") & (n > 5), cut(2)).when(word.endswith("s") & (n > 4), cut(1)).otherwise(word)
-    )
+    """A light stemmer: the first matching ending goes, if more than three letters are left."""
+    out = F.when(word.isin(*STEMS), F.element_at(F.create_map(*(F.lit(x) for e in STEMS.items() for x in e)), word))
+    for x in ENDINGS:
+        out = out.when(word.endswith(x) & (F.length(word) > len(x) + 3), F.left(word, F.length(word) - len(x)))
+    return out.otherwise(word)
 
 
 def content_tokens(text: Column | str) -> Column:
-    """Distinct stems of the words of three letters or more that aren't stop words, in order of first occurrence."""
-    words = F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), 0)
-    return F.array_distinct(F.transform(F.filter(words, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS)), stem))
+    """Distinct stems of the words of three signs or more that begin with a letter and aren't stop words, sorted."""
+    words = F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z][a-z0-9-]{2,}"), 0)
+    stems = F.transform(F.filter(words, lambda x: ~x.isin(*STOP_WORDS)), stem)
+    return F.array_sort(F.array_distinct(F.filter(stems, lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS))))
 
 
 def judge_score(reply: Column | str, two_way: bool = False) -> Column:

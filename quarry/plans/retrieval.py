@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_tokens, dot, normalised, title_parts, tokens
-from quarry.operators.retrieval import bm25, corpus_statistics, fused, neighbors, postings, regex_hits, term_statistics, top_k
+from quarry.operators.retrieval import Inverted, bm25, corpus_statistics, fused, neighbors, postings, regex_hits, term_statistics, top_k
+from quarry.operators.routing import route_facets, route_titles, search_headings
+from quarry.operators.sampling import verbatim
 from quarry.plans.register import query
-from quarry.sources.tables import paragraphs, table
+from quarry.sources.tables import paragraphs, small, table
 
 PAR = """par AS (SELECT doc_id, p_idx, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
   unnest(range(len(string_split(text, chr(10))))) AS p_idx FROM documents) WHERE trim(text, ' ') <> '')"""
@@ -19,7 +21,7 @@ st AS (SELECT greatest(count(*), 1) AS n, avg(len(t)) AS avgdl FROM tok),
 idf AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, st GROUP BY term)"""
 BM25 = f"""{STATS}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK.format('query')}) AS term FROM q) GROUP BY ALL),
-bm AS (SELECT query_id, doc_id, p_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl) + 1e-9)), 4) AS score
+bm AS (SELECT query_id, doc_id, p_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl) + 1e-9)), 9) AS score
  FROM posts JOIN idf USING (term) JOIN qt USING (term), st GROUP BY ALL HAVING score > 0)"""
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {0}) AS rank"
 
@@ -38,9 +40,10 @@ def r01(spark, d):
     return term_statistics(postings(par), corpus_statistics(par)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("r02_bm25_topk", "R1 R2 F6", f"WITH {BM25} SELECT query_id, doc_id, p_idx::INT AS p_idx, score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 5")
+@query("r02_bm25_topk", "R1 R2 F6", f"WITH {BM25} SELECT query_id, doc_id, p_idx::INT AS p_idx, round(score, 2) AS score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 5")
 def r02(spark, d):
-    return top_k(bm25(_par(spark, d), _queries(spark, d)), 5, "doc_id", "p_idx")
+    """Ranked by whole scores, shown with two places."""
+    return top_k(bm25(_par(spark, d), _queries(spark, d)), 5, "doc_id", "p_idx").withColumn("score", F.round("score", 2))
 
 
 @query(
@@ -50,8 +53,9 @@ h AS (SELECT query_id, doc_id, p_idx, len(regexp_extract_all(text, '(?im)' || pa
 SELECT query_id, doc_id, p_idx::INT AS p_idx, score::INT AS score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM h) WHERE rank <= 5""",
 )
 def r03(spark, d):
-    patterns = spark.createDataFrame([(1, "tion"), (2, "^the "), (3, "[0-9]+"), (4, "licen[cs]e")], "query_id int, pattern string")
-    return top_k(regex_hits(_par(spark, d), patterns), 5, "doc_id", "p_idx")
+    patterns = spark.createDataFrame([(1, "tion"), (2, "^the "), (3, "[0-9]+"), (4, "licen[cs]e"), (5, "no (end")], "query_id int, pattern string")
+    hits = regex_hits(_par(spark, d), patterns).where("error is null")  # the last pattern gives its error alone
+    return top_k(hits.drop("error"), 5, "doc_id", "p_idx")
 
 
 VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
@@ -88,10 +92,10 @@ COVER = f"""cov AS (SELECT query_id, doc_id, p_idx, round(count(DISTINCT term) *
  FROM posts JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS nq FROM qt) USING (term) GROUP BY ALL)"""
 
 
-def _cover(par, queries):
+def _cover(posts, queries):
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     n = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
-    hits = postings(par).join(terms, "term").groupBy("query_id", "doc_id", "p_idx").agg(F.count("*").alias("c"))
+    hits = posts.join(small(terms), "term").groupBy("query_id", "doc_id", "p_idx").agg(F.count("*").alias("c"))
     return hits.join(n, "query_id").select("query_id", "doc_id", "p_idx", F.round(F.col("c") / F.col("nq"), 4).alias("score"))
 
 
@@ -104,9 +108,9 @@ h AS (SELECT query_id, doc_id, p_idx, round(0.5 * CASE WHEN ml > 0 THEN l / ml E
 
 def _hybrid(spark, d):
     par, q = _par(spark, d), _queries(spark, d)
-    keys = ["query_id", "doc_id", "p_idx"]
-    a = top_k(bm25(par, q), 20, "doc_id", "p_idx").select(*keys, "score")
-    b = top_k(_cover(par, q), 20, "doc_id", "p_idx").select(*keys, "score")
+    keys, x = ["query_id", "doc_id", "p_idx"], Inverted(par, q)
+    a = top_k(bm25(par, q, inverted=x), 20, "doc_id", "p_idx").select(*keys, "score")
+    b = top_k(_cover(x.posts, q), 20, "doc_id", "p_idx").select(*keys, "score")
     return fused(a, b, keys)
 
 
@@ -134,7 +138,7 @@ def r06(spark, d):
     "r07_scoped_bm25", "R7 F11",
     f"""WITH {STATS}, q AS (SELECT item_id AS query_id, item_id * 7 AS doc_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, doc_id, term, count(*) AS qtf FROM (SELECT query_id, doc_id, unnest({TOK.format('query')}) AS term FROM q) GROUP BY ALL),
-bm AS (SELECT query_id, doc_id, p_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl) + 1e-9)), 4) AS score
+bm AS (SELECT query_id, doc_id, p_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl) + 1e-9)), 9) AS score
  FROM posts JOIN idf USING (term) JOIN qt USING (term, doc_id), st GROUP BY ALL HAVING score > 0),
 t AS (SELECT * FROM (SELECT *, {RANK.format('p_idx')} FROM bm) WHERE rank <= 2)
 SELECT q.query_id, q.doc_id, coalesce(t.p_idx, -1)::INT AS p_idx, coalesce(t.score, 0) AS score, q.doc_id IN (SELECT doc_id FROM par) AS ok FROM q LEFT JOIN t USING (query_id)""",
@@ -155,20 +159,90 @@ def _pages(spark, d):
     return table(spark, d, "pages").select("page_id", part("html", "<title>([^<]*)").alias("title"), part("url", "//([^/]+)").alias("host"), part("url", "//[^/]+(/[^?]*)").alias("path"))
 
 
+PARTS = "regexp_extract_all(lower({0}), '[a-z]+|[0-9]+')"
+TITLES = rf"""{PAGE}, q AS (SELECT item_id AS query_id, {PARTS.format('text')} AS p FROM benchmark),
+qq AS (SELECT query_id, p || CASE WHEN list_contains(p, 'jnj') THEN ['johnson'] ELSE [] END || CASE WHEN list_contains(p, 'jpm') THEN ['jpmorgan'] ELSE [] END AS p FROM q),
+qc AS (SELECT query_id, p, array_to_string(p, '') AS c FROM qq),
+cm AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS w FROM pg), pt AS (SELECT page_id, unnest(list_distinct({PARTS.format('title')})) AS w FROM pg),
+m AS (SELECT query_id, page_id, w, CASE WHEN w IN ('annual', 'report', 'quarter', 'quarterly', 'fiscal', 'year', 'the', 'what', 'which', 'how', 'was', 'were', 'is', 'are', '10k', '10q', '20f', '8k') THEN 0.5
+ WHEN regexp_matches(w, '^[0-9]{{4}}$') THEN 2 WHEN regexp_matches(w, '^[a-z]{{3,}}$') THEN 10 WHEN regexp_matches(w, '[a-z]') THEN 8 ELSE 1 END AS s FROM cm JOIN qc ON contains(c, w)),
+n AS (SELECT query_id, page_id, w, CASE WHEN regexp_matches(w, '^[0-9]{{4}}$') THEN 2 WHEN length(w) >= 2 AND w NOT IN ('annual', 'report', 'quarter', 'quarterly', 'fiscal', 'year', 'the', 'what', 'which', 'how', 'was', 'were', 'is', 'are', '10k', '10q', '20f', '8k') THEN 1 ELSE 0 END AS s
+ FROM pt JOIN qc ON list_contains(p, w) ANTI JOIN m USING (query_id, page_id, w)),
+s AS (SELECT query_id, page_id, sum(s) AS s, string_agg(w, ',' ORDER BY w) AS matched FROM (FROM m UNION ALL FROM n) GROUP BY ALL),
+r AS (SELECT query_id, page_id, title, matched, s + CASE WHEN contains(c, array_to_string({PARTS.format('title')}, '')) THEN 5 ELSE 0 END AS score FROM s JOIN pg USING (page_id) JOIN qc USING (query_id))"""
+
+
 @query(
-    "r08_title_routing", "R8 F3 F19",
-    rf"""WITH {PAGE}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
-t AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z]+|[0-9]+'))) AS w FROM pg),
-x AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z]+|[0-9]+'))) AS w FROM q),
-s AS (SELECT query_id, page_id, round(sum(CASE WHEN length(w) >= 3 THEN 10 ELSE 1 END), 4) AS score, string_agg(w, ',' ORDER BY w) AS matched FROM x JOIN t USING (w) GROUP BY ALL)
-SELECT query_id, page_id, score::BIGINT AS score, matched, rank::INT AS rank FROM (SELECT *, {RANK.format('page_id')} FROM s) WHERE rank <= 5""",
+    "r08_title_routing", "R8 F3",
+    f"WITH {TITLES} SELECT query_id, page_id, score::DOUBLE AS score, matched, rank::INT AS rank FROM (SELECT *, {RANK.format('title, page_id')} FROM r WHERE score > 0) WHERE rank <= 5",
 )
 def r08(spark, d):
-    """Blocked on the words of the titles: only pages that share one are scored."""
-    t = _pages(spark, d).select("page_id", F.explode(F.array_distinct(title_parts("title"))).alias("w"))
-    x = _queries(spark, d).select("query_id", F.explode(F.array_distinct(title_parts("query"))).alias("w"))
-    s = x.join(t, "w").groupBy("query_id", "page_id").agg(F.sum(F.when(F.length("w") >= 3, 10).otherwise(1)).alias("score"), F.array_join(F.array_sort(F.collect_list("w")), ",").alias("matched"))
-    return top_k(s, 5, "page_id")
+    """Test items as questions over the titles of all pages."""
+    docs = _pages(spark, d).select(F.col("page_id").alias("doc_id"), F.col("title").alias("source_name"))
+    out = route_titles(_queries(spark, d), docs, 5).where("rank is not null")
+    return out.select("query_id", F.col("doc_id").alias("page_id"), "score", F.array_join("matched_terms", ",").alias("matched"), "rank")
+
+
+HEADING = "['the', 'a', 'an', 'of', 'to', 'for', 'and', 'or', 'in', 'on', 'what', 'which', 'how', 'is', 'are', 'was', 'were', 'fy']"
+
+
+@query(
+    "r09_heading_search_whole", "R9",
+    rf"""WITH {PAR}, q AS (SELECT item_id AS query_id, doc_id, {PARTS.format('b.text')} AS q FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+j AS (SELECT query_id, doc_id, p_idx, text, q, array_to_string(q, '') AS qc, list_distinct({PARTS.format('text')}) AS t, array_to_string({PARTS.format('text')}, '') AS tc FROM q JOIN par USING (doc_id)),
+m AS (SELECT *, list_filter(t, lambda x: NOT list_contains({HEADING}, x) AND (list_contains(q, x) OR length(x) >= 4 AND contains(qc, x))) AS m FROM j WHERE qc <> '' AND tc <> ''),
+s AS (SELECT query_id || '-' || doc_id AS query_id, doc_id, p_idx, text, coalesce(list_sum(list_transform(m, lambda x: CASE WHEN length(x) >= 6 THEN 2 ELSE 1 END)), 0) + CASE WHEN contains(qc, tc) OR contains(tc, qc) THEN 4 ELSE 0 END AS score FROM m)
+SELECT query_id, doc_id, p_idx::INT AS p_idx, score::DOUBLE AS score, rank::INT AS rank FROM (SELECT *, {RANK.format('text, p_idx')} FROM s WHERE score > 0) WHERE rank <= 5""",
+)
+def r09_exact(spark, d):
+    """Each test item over the lines of the documents that hold it, as their headings."""
+    docs, b = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
+    q = verbatim(docs, b).join(b, "item_id").select(F.concat_ws("-", "item_id", "doc_id").alias("query_id"), "doc_id", F.col("text").alias("query"))
+    nodes = _par(spark, d).select("doc_id", F.col("p_idx").alias("node_id"), F.col("text").alias("title"))
+    out = search_headings(q, nodes, 5).where("rank is not null")
+    return out.select("query_id", "doc_id", F.col("node_id").alias("p_idx"), "score", "rank")
+
+
+def _filings(spark, d):
+    """Names of filings, as many as there are nations, quarters and kinds of orders: FRANCE_1996Q2_10-Q."""
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), F.element_at(F.create_map(*map(F.lit, ("F", "10-K", "O", "10-Q", "P", "8-K"))), F.col("o_orderstatus")).alias("kind"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), "n_nationkey")
+    name = F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("y").cast("string"), F.lit("Q"), F.col("q").cast("string"), F.lit("_"), "kind")
+    return o.join(c, "o_custkey").select(name.alias("doc_id")).distinct().withColumn("source_name", F.col("doc_id"))
+
+
+def _asked(spark, d):
+    """A question on each nation and year of orders."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    q = table(spark, d, "nation").select("n_nationkey", F.initcap(F.lower("n_name")).alias("n")).crossJoin(F.broadcast(o))
+    asked = F.concat(F.lit("What did "), "n", F.lit(" report in its 10-Q for the second quarter of FY"), F.col("y").cast("string"), F.lit("?"))
+    return q.select((F.col("n_nationkey") * 10_000 + F.col("y")).alias("query_id"), asked.alias("query"))
+
+
+@query("r12_document_inventory", "R12 R14 F16 F17 F18 F19 F20 F21")
+def r12_inventory(spark, d):
+    """Names of filings made of orders; a question on each nation and year (golden cases: tests/test_routing.py)."""
+    ranked, _ = route_facets(_asked(spark, d), _filings(spark, d))
+    return ranked.select("query_id", "doc_id", "score", "match_count", F.array_join("reasons", "; ").alias("reasons"), "rank")
+
+
+@query("r13_document_inventory_undated", "R13")
+def r13(spark, d):
+    """The same without dates. Years are taken as a whole."""
+    ranked, _ = route_facets(_asked(spark, d), _filings(spark, d), dated=False)
+    return ranked.select("query_id", "doc_id", "score", "rank")
+
+
+@query(
+    "r15_routing_coverage", "R15",
+    r"""WITH x AS (SELECT DISTINCT replace(n_name, ' ', '_') AS name, year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderstatus AS k FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+a AS (SELECT (n_nationkey * 10000 + y)::BIGINT AS query_id, n_name, y FROM nation, (SELECT DISTINCT year(o_orderdate) AS y FROM orders))
+SELECT query_id, count(*)::BIGINT AS n_documents, count(*) FILTER (x.y = a.y)::BIGINT AS n_by_year, count(*) FILTER (q = 2)::BIGINT AS n_by_quarter, count(*) FILTER (k = 'O')::BIGINT AS n_by_filing, 0::BIGINT AS n_by_date FROM a, x GROUP BY query_id""",
+)
+def r15(spark, d):
+    """How many documents each facet of a question matches."""
+    _, coverage = route_facets(_asked(spark, d), _filings(spark, d))
+    return coverage.select(F.col("query_id").cast("long"), "n_documents", "n_by_year", "n_by_quarter", "n_by_filing", "n_by_date")
 
 
 @query(
@@ -187,7 +261,7 @@ def r09(spark, d):
     return top_k(s, 5, "title", "p_idx").select("query_id", "doc_id", "p_idx", "score", "rank")
 
 
-@query("r09_whole_heading_search", "R9")
+@query("r09_whole_heading_search", "")
 def r09_whole(spark, d):
     """Whole lines of all documents as headings, blocked on the words of the queries."""
     x = _queries(spark, d).select("query_id", F.explode(F.array_distinct(title_parts("query"))).alias("w"))
@@ -230,7 +304,7 @@ def r11(spark, d):
 
 
 @query(
-    "r12_metadata_routing", "R12 R14 R15 F16 F17",
+    "r12_metadata_routing", "",
     r"""WITH o AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderpriority AS kind FROM orders),
 f AS (SELECT * FROM o WHERE o_orderkey % 50 = 0),
 s AS (SELECT f.o_orderkey AS query_id, o.o_orderkey AS doc_id, 3.0 + CASE WHEN f.y = o.y THEN 1.5 ELSE 0 END + CASE WHEN f.q = o.q THEN 1 ELSE 0 END + CASE WHEN f.kind = o.kind THEN 1 ELSE 0 END AS score,
@@ -257,7 +331,7 @@ def r12(spark, d):
 v AS (SELECT query_id, 0 AS pos, query AS v FROM q UNION ALL SELECT query_id, 1, lower(query) FROM q UNION ALL SELECT query_id, 2, split_part(query, '.', 1) FROM q),
 u AS (SELECT query_id, pos, v FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(v) ORDER BY pos) AS k FROM v) WHERE k = 1),
 qt AS (SELECT query_id, pos, term, count(*) AS qtf FROM (SELECT query_id, pos, unnest({TOK.format('v')}) AS term FROM u) GROUP BY ALL),
-bm AS (SELECT query_id, pos, doc_id, p_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl) + 1e-9)), 4) AS s FROM posts JOIN idf USING (term) JOIN qt USING (term), st GROUP BY ALL),
+bm AS (SELECT query_id, pos, doc_id, p_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl) + 1e-9)), 9) AS s FROM posts JOIN idf USING (term) JOIN qt USING (term), st GROUP BY ALL),
 m AS (SELECT query_id, doc_id, p_idx, max(s) AS score FROM bm GROUP BY ALL)
 SELECT query_id, doc_id, p_idx::INT AS p_idx, score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM m) WHERE rank <= 5""",
 )
@@ -281,7 +355,7 @@ def r19(spark, d):
 
 @query(
     "r20_two_level", "R20 D29",
-    f"""WITH {BM25}, dd AS (SELECT query_id, doc_id, round(max(score), 4) AS score FROM bm GROUP BY ALL),
+    f"""WITH {BM25}, dd AS (SELECT query_id, doc_id, max(score) AS score FROM bm GROUP BY ALL),
 t AS (SELECT * FROM (SELECT *, {RANK.format('doc_id')} FROM dd) WHERE rank <= 3)
 SELECT query_id, doc_id, rank::INT AS rank, count(*)::BIGINT AS n_lines, sum(length(text))::BIGINT AS chars FROM t JOIN par USING (doc_id) GROUP BY ALL""",
 )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources.tables import scratch_path
+
 #: Options under which a format gives back what was written, line ends and quotes within fields too.
 OPTIONS = {
     "csv": {"header": "true", "multiLine": "true", "escape": '"', "quoteAll": "true", "emptyValue": "", "nullValue": "\\N"},
@@ -25,7 +25,6 @@ def read(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
 
 def round_trip(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, kind)
     write(df, path, kind)
     return read(spark, path, kind, df.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p_idx", "text")).where(F.trim("text") != "")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster shares for such tables."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written down and read again: what uses it several times doesn't make it several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A side to broadcast if it has at most so many rows; else as it is, and Spark joins it in another way."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -56,6 +56,12 @@ def test_bm25_and_regex_agree_on_the_chunk(spark):
     assert {(r.doc_id, r.score) for r in regex_hits(par(spark), p).collect()} == {(1, 1), (2, 2)}
 
 
+def test_a_pattern_that_cannot_be_read_gives_an_error_row(spark):
+    p = spark.createDataFrame([(1, "words"), (2, "no (end"), (3, None)], "query_id int, pattern string")
+    got = regex_hits(par(spark), p).collect()
+    assert {r.query_id for r in got if r.error is None} == {1} and {r.query_id for r in got if r.error and r.score is None} == {2, 3}
+
+
 def test_scoped_search_stays_in_its_document(spark):
     q = spark.createDataFrame([(1, 1, "acquisition words")], "query_id int, doc_id long, query string")
     assert {r.doc_id for r in bm25(par(spark), q, scope=True).collect()} == {1}
