@@ -58,15 +58,26 @@ def conversation_markdown(turns: DataFrame) -> DataFrame:
     return g.select("conv_id", "n", F.concat(F.lit("# Chat History\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("markdown"))
 
 
-def markdown_nodes(docs: DataFrame) -> DataFrame:
+def markdown_nodes(docs: DataFrame, front: str | None = None) -> DataFrame:
     """(doc_id, node_id, level, title, parent_id): headings of Markdown texts; levels start at 1 in each document.
 
-    A level deeper than its parent's by more than one is taken as one deeper, which depends on all before it, so a
-    document's headings, which are few, go through one function.
+    With `front`, text before the first heading is a section of that title, the first. A level deeper than its parent's
+    by more than one is taken as one deeper, which depends on all before it, so a document's headings, which are few, go
+    through one function.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    heads = lines.select("doc_id", "seq", F.length(F.regexp_extract("line", r"^\s*(#{1,6})\s+(.*)$", 1)).alias("level"), F.regexp_extract("line", r"^\s*(#{1,6})\s+(.*)$", 2).alias("title")).where("level > 0")
-    heads = heads.withColumn("level", F.col("level") - F.min("level").over(Window.partitionBy("doc_id")) + 1)
+    heading = r"^\s*(#{1,6})\s+(.*)$"
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("seq", "line"))
+    if front is None:
+        heads = lines.select("doc_id", "seq", F.length(F.regexp_extract("line", heading, 1)).alias("level"), F.trim(F.regexp_extract("line", heading, 2)).alias("title")).where("level > 0")
+    else:
+        from quarry.operators.markdown import markdown_lines
+
+        own = markdown_lines(docs)
+        heads = own.where("kind = 'heading'").select("doc_id", "seq", F.length(F.regexp_extract("line", heading, 1)).alias("level"), F.trim(F.regexp_extract("line", heading, 2)).alias("title"))
+        first = own.where("section = 0 and kind <> 'blank'").select("doc_id", F.lit(-1).alias("seq"), F.lit(0).alias("level"), F.lit(front).alias("title")).distinct()
+        heads = heads.unionByName(first)
+    least = F.min(F.when(F.col("level") > 0, F.col("level"))).over(Window.partitionBy("doc_id"))
+    heads = heads.withColumn("level", F.when(F.col("level") == 0, 1).otherwise(F.col("level") - least + 1))
 
     def nest(frame):
         import pandas as pd
@@ -85,11 +96,9 @@ def markdown_nodes(docs: DataFrame) -> DataFrame:
 
 
 def markdown_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, block, kind, n_lines, text): runs of lines of one kind; lines with a bar are of a table, blank ones part."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
-    kind = F.when(F.trim("line") == "", "blank").when(F.col("line").contains("|"), "table").otherwise("text")
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    lines = lines.withColumn("kind", kind).withColumn("edge", F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(1)))
-    lines = lines.withColumn("block", F.sum("edge").over(w)).where("kind <> 'blank'")
+    """(doc_id, block, kind, n_lines, text): paragraphs of Markdown texts, headings not among them."""
+    from quarry.operators.markdown import markdown_lines
+
+    lines = markdown_lines(docs).where("kind not in ('blank', 'heading')")
     g = lines.groupBy("doc_id", "block", "kind").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
     return g.select("doc_id", "block", "kind", "n_lines", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))

@@ -95,7 +95,52 @@ def test_markdown(spark):
     df = spark.createDataFrame([(1, "## A\ntext\n##### B\nmore\n## C\n\na | b\nc | d")], "doc_id long, text string")
     got = markdown_nodes(df).orderBy("node_id").collect()
     assert [(r.title, r.level, r.parent_id) for r in got] == [("A", 1, None), ("B", 2, 1), ("C", 1, None)]
-    assert [(r.kind, r.n_lines) for r in markdown_paragraphs(df).orderBy("block").collect()] == [("text", 5), ("table", 2)]
+    assert [(r.kind, r.n_lines) for r in markdown_paragraphs(df).orderBy("block").collect()] == [("text", 1), ("text", 1), ("text", 2)]
+
+
+def test_markdown_corpus(spark):
+    from quarry.operators.markdown import descendants, inventory, missing_documents, outline, resolved_path, section_bodies, tree_profile, with_source_header
+
+    body = """intro
+---|---
+## A
+one
+two
+| a | b |
+|---|---|
+| c | d |
+three
+
+<table><tr>
+# not a heading
+</table>
+![alt one](img/../x.png) tail
+<img class=z src="http://h/y.png" alt="why">
+#### deep
+last
+## B
+"""
+    df = spark.createDataFrame([(1, body, "/docs/one"), (2, "# only", ""), (3, None, "")], "doc_id long, text string, folder string")
+    from quarry.operators.markdown import markdown_corpus
+
+    got = [(r.node_id, r.p_idx, r.kind, r.text, r.image_path) for r in markdown_corpus(df).where("doc_id = 1").orderBy("node_id", "p_idx").collect()]
+    assert got == [
+        (1, 0, "text", "intro\n---|---", None), (2, 0, "text", "one\ntwo", None), (2, 1, "table", "| a | b |\n|---|---|\n| c | d |", None), (2, 2, "text", "three", None), (2, 3, "html", "<table><tr>\n# not a heading\n</table>", None),
+        (2, 4, "image", "alt one", "/docs/one/x.png"), (2, 5, "image", "why", "http://h/y.png"), (3, 0, "text", "last", None),
+    ]
+    nodes = outline(df)
+    rows = {(r.doc_id, r.node_id): r for r in nodes.collect()}
+    assert [(rows[1, i].title, rows[1, i].level, rows[1, i].parent_id, rows[1, i].n_paragraphs) for i in (1, 2, 3, 4)] == [("前言", 1, None, 1), ("A", 1, None, 6), ("deep", 2, 2, 1), ("B", 1, None, 0)]
+    assert rows[1, 2].children == [3] and rows[2, 1].n_paragraphs == 0
+    assert [r.doc_id for r in missing_documents(df, nodes).collect()] == [3]
+    assert [x.title for x in inventory(nodes).where("doc_id = 1").first().sections] == ["前言", "A", "deep", "B"]
+    assert {(r.doc_id, r.node_id): r.below for r in descendants(nodes).collect()} == {(1, 2): ["deep"]}
+    bodies = {(r.doc_id, r.node_id): r.body for r in section_bodies(df).collect()}
+    assert bodies[1, 2] == "#### deep\nlast" and bodies[1, 1].startswith("## A\none") and "not a heading" in bodies[1, 1]
+    assert tree_profile(nodes.withColumn("summary", F.repeat(F.lit("s"), 9)), 4).where("doc_id = 1").first().profile == "- 前言: sssssssss\n- A: sssssssss\n  - deep: ssss...\n- B: sssssssss"
+    head = with_source_header(F.lit("# Management Discussion"), F.lit("COCA\nCOLA"))
+    assert one(spark, head) == one(spark, with_source_header(head, F.lit("x"))) == "# Source Document: COCA COLA\n\nSource name: COCA COLA\n\n# Management Discussion"
+    assert one(spark, resolved_path(F.lit("a/b"), F.lit("./../c.png"))) == "a/c.png"
 
 
 def test_token_f1_counts_repeats(spark):
