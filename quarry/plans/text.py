@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import answer_tokens, bounded_top_k, chunk_id, clip, content_tokens, is_refusal, judge_score, literal_key, request_key, title_parts, tokens
 from quarry.operators.structuring import chunks, conversation_markdown, markdown_nodes, markdown_paragraphs, sentence_chunks
+from quarry.plans.documents import LINES, MADE
 from quarry.plans.register import query
 from quarry.plans.retrieval import PAGE, PAR, TOK, _pages, _par
 from quarry.sources.tables import table
 
 
+DOCUMENT_LINES = LINES.replace(MADE, "md AS (SELECT doc_id, text FROM documents)")
+
+
 @query("d12_paragraphs", "D12 D13 F1 F2", f"WITH {PAR} SELECT doc_id, p_idx::INT AS p_idx, len({TOK.format('text')})::INT AS n_tokens, md5(trim(text, ' ')) AS text_md5 FROM par")
 def d12(spark, d):
     return _par(spark, d).select("doc_id", "p_idx", F.size(tokens("text")).alias("n_tokens"), F.md5(F.trim("text")).alias("text_md5"))
@@ -87,11 +91,7 @@ def d01(spark, d):
 
 @query(
     "d05_markdown_paragraphs", "D5 D6",
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-k AS (SELECT *, CASE WHEN trim(t, ' ') = '' THEN 'blank' WHEN position('|' IN t) > 0 THEN 'table' ELSE 'text' END AS kind FROM l),
-b AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS edge FROM k),
-g AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM b)
-SELECT doc_id, kind, count(DISTINCT block)::BIGINT AS n_blocks, count(*)::BIGINT AS n_lines FROM g WHERE kind <> 'blank' GROUP BY ALL""",
+    rf"""WITH {DOCUMENT_LINES} SELECT doc_id, kind, count(DISTINCT block)::BIGINT AS n_blocks, count(*)::BIGINT AS n_lines FROM n WHERE kind NOT IN ('blank', 'heading') GROUP BY ALL""",
 )
 def d05(spark, d):
     p = markdown_paragraphs(table(spark, d, "documents"))
