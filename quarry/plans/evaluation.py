@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import answer_tokens, is_refusal
+from quarry.operators import rules
 from quarry.operators.evaluation import arms, outcome, paired, passes, token_f1
 from quarry.operators.retrieval import bm25, top_k
 from quarry.operators.sampling import verbatim
@@ -136,37 +137,134 @@ def e17(spark, d):
 
 # --- rules -------------------------------------------------------------------------------------------------------
 
-TAGS = "t AS (SELECT doc_id, list_filter([CASE WHEN contains(text, 'Licen') THEN 'license' END, CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN length(text) > 2000 THEN 'long' END, CASE WHEN contains(text, '@') THEN 'mail' END], lambda x: x IS NOT NULL) AS tags FROM documents)"
-RULES = "x(rule_id, op, req, any_, exc, conf) AS (VALUES ('r1', 'A', ['long'], ['table'], ['mail'], 0.9), ('r2', 'A', ['long'], ['mail'], ['none'], 0.7), ('r3', 'B', ['table'], ['long'], ['none'], 0.8), ('r4', 'C', ['license'], ['long'], ['table'], 0.6))"
+CASES = """cs AS (SELECT item_id AS case_id, 'What growth rate is highest here? ' || text AS question FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations)"""
+TAG_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{t}' END" for t, p in rules.TAG_PATTERNS.items())
+TAGS = f"{CASES}, t AS (SELECT case_id, question, list_sort(list_filter([{TAG_SQL}], lambda x: x IS NOT NULL)) AS tags FROM cs)"
+#: Rules of the queries below: operator, required, other and excluded tags, confidence, trigger, boundary.
+RULES = (
+    ("QUERY_POLICY", ["entity"], ["temporal"], ["rounding"], "high", "segment region", ""), ("QUERY_POLICY", ["extraction"], [], [], "low", "which state", "dividends are paid"), ("ANSWER_GUARD", ["comparison"], [], ["unit"], "medium", "most", ""),
+    ("STOP_RULE", [], ["trend", "numerical"], [], "medium", "change less", "year"), ("EVIDENCE_GUARD", ["source_scope"], [], [], "high", "according", ""),
+)
+_list = lambda x: "[" + ", ".join(f"'{y}'" for y in x) + "]::VARCHAR[]"
+RULE_SQL = "x(rule_id, op, req, any_, exc, conf, supp) AS (VALUES " + ", ".join(f"('r{i}', '{r[0]}', {_list(r[1])}, {_list(r[2])}, {_list(r[3])}, {rules.CONFIDENCE[r[4]]}, {i + 1})" for i, r in enumerate(RULES)) + ")"
+ROUTED = f"""{TAGS}, {RULE_SQL}, m AS (SELECT case_id, rule_id, op, 4 * len(req) + 2 * len(list_intersect(any_, tags)) + conf + least(2, supp) AS score FROM t, x WHERE list_has_all(tags, req) AND NOT list_has_any(tags, exc) AND (len(any_) = 0 OR list_has_any(any_, tags))),
+b AS (SELECT *, row_number() OVER (PARTITION BY case_id, op ORDER BY score DESC, rule_id DESC) AS k FROM m), c AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, rule_id DESC) AS rank FROM b WHERE k = 1),
+rt AS (SELECT case_id, rule_id, score, rank FROM c WHERE rank <= 2)"""
+
+
+def _cases(spark, d):
+    """Test items and turns as questions, with their tags."""
+    c = table(spark, d, "conversations").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("text").alias("question"))
+    c = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("What growth rate is highest here? "), "text").alias("question")).unionByName(c)
+    return c.withColumn("tags", rules.question_tags("question"))
+
+
+def _rules(spark):
+    rows = [(f"r{i}", *r[:5], [str(k) for k in range(i + 1)], r[5], "", r[6]) for i, r in enumerate(RULES)]
+    return spark.createDataFrame(rows, "rule_id string, repair_operator string, required_tags array<string>, any_tags array<string>, excluded_tags array<string>, confidence string, supporting_case_ids array<string>, trigger_description string, student_instruction string, do_not_apply_when string")
+
+
+@query("f23_question_tags", "F23", f"WITH {TAGS} SELECT case_id, array_to_string(tags, ',') AS tags FROM t")
+def f23(spark, d):
+    return _cases(spark, d).select("case_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query(
-    "x04_rule_routing", "X1 X4 X5 X6 X7 X8 X9 J7",
-    f"""WITH {TAGS}, {RULES}, m AS (SELECT doc_id, rule_id, op, 4 * len(req) + 2 * len(list_intersect(any_, tags)) + conf AS score FROM t, x WHERE list_has_all(tags, req) AND NOT list_has_any(tags, exc)),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, op ORDER BY score DESC, rule_id DESC) AS k FROM m), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rule_id DESC) AS rank FROM b WHERE k = 1)
-SELECT t.doc_id, coalesce(string_agg(rule_id, ',' ORDER BY rank), '') AS selected, count(rule_id) = 0 AS fallback FROM t LEFT JOIN (SELECT * FROM c WHERE rank <= 2) c USING (doc_id) GROUP BY t.doc_id""",
+    "x04_rule_routing", "X4 X6 J7",
+    f"""WITH {ROUTED} SELECT t.case_id, coalesce(string_agg(rule_id || ':' || score, ',' ORDER BY rank), '') AS selected, count(rule_id) = 0 AS fallback FROM t LEFT JOIN rt USING (case_id) GROUP BY t.case_id""",
 )
 def x04(spark, d):
     """Rules whose required tags a case has, and none of the excluded ones; the best of each operator, two at most."""
-    c = F.col("text")
-    tags = F.array_compact(F.array(F.when(c.contains("Licen"), "license"), F.when(c.contains("|"), "table"), F.when(F.length(c) > 2000, "long"), F.when(c.contains("@"), "mail")))
-    t = table(spark, d, "documents").select("doc_id", tags.alias("tags"))
-    rules = spark.createDataFrame(
-        [("r1", "A", ["long"], ["table"], ["mail"], 0.9), ("r2", "A", ["long"], ["mail"], ["none"], 0.7), ("r3", "B", ["table"], ["long"], ["none"], 0.8), ("r4", "C", ["license"], ["long"], ["table"], 0.6)],
-        "rule_id string, op string, req array<string>, any_ array<string>, exc array<string>, conf double",
-    )
-    m = t.join(F.broadcast(rules), (F.size(F.array_except("req", "tags")) == 0) & ~F.arrays_overlap("exc", "tags"))
-    m = m.withColumn("score", 4 * F.size("req") + 2 * F.size(F.array_intersect("any_", "tags")) + F.col("conf"))
-    best = [F.desc("score"), F.desc("rule_id")]
-    m = m.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "op").orderBy(*best))).where("k = 1")
-    m = m.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*best))).where("rank <= 2")
-    g = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rule_id"))).alias("s"))
-    out = t.join(g, "doc_id", "left")
-    return out.select("doc_id", F.coalesce(F.array_join(F.transform("s", lambda x: x["rule_id"]), ","), F.lit("")).alias("selected"), F.col("s").isNull().alias("fallback"))
+    cases = _cases(spark, d)
+    m = rules.route_manifest(cases, rules.route_rules(cases, _rules(spark)))
+    said = F.array_join(F.transform("selected", lambda x: F.concat_ws(":", x, F.element_at("scores", x).cast("string"))), ",")
+    return m.select("case_id", said.alias("selected"), "fallback")
+
+
+@query("x05_routing_by_trigger", "X5 F22")
+def x05(spark, d):
+    """Routing that heeds triggers and boundaries (golden cases: tests/test_rules.py)."""
+    return rules.route_rules_by_trigger(_cases(spark, d), _rules(spark).withColumn("advice", F.lit(None).cast("string"))).select("case_id", "rule_id", "score", "rank")
+
+
+@query(
+    "x07_route_groups", "X7",
+    f"WITH {ROUTED}, g AS (SELECT case_id, string_agg(rule_id, ',' ORDER BY rank) AS selected FROM rt GROUP BY case_id) SELECT selected, count(*)::BIGINT AS n_cases FROM g GROUP BY selected",
+)
+def x07(spark, d):
+    cases = _cases(spark, d)
+    g = rules.route_groups(rules.route_manifest(cases, rules.route_rules(cases, _rules(spark))), "v1")
+    return g.select(F.array_join("selected", ",").alias("selected"), "n_cases")
+
+
+@query(
+    "x08_overlay", "X8",
+    f"WITH {ROUTED} SELECT t.case_id, CASE WHEN count(rule_id) > 0 THEN md5('routed ' || any_value(question)) ELSE md5(any_value(question)) END AS answer, count(rule_id) > 0 AS is_routed FROM t LEFT JOIN rt USING (case_id) GROUP BY t.case_id",
+)
+def x08(spark, d):
+    """Answers of routed cases replace the base ones."""
+    cases = _cases(spark, d)
+    routed = rules.route_rules(cases, _rules(spark)).select("case_id").distinct().join(cases, "case_id").select("case_id", F.md5(F.concat(F.lit("routed "), "question")).alias("answer"))
+    return rules.overlaid(cases.select("case_id", F.md5("question").alias("answer")), routed)
+
+
+OUTCOMES = f"""{ROUTED}, pr AS (SELECT case_id, (case_id % 5)::INT AS b, ((case_id * 3) % 5)::INT AS c, (100 + case_id % 40)::INT AS bt, (100 + case_id % 37)::INT AS ct FROM t),
+oc AS (SELECT rule_id, count(*) AS applied, count(*) FILTER (c > b) AS wins, count(*) FILTER (c = b) AS ties, count(*) FILTER (c < b) AS losses, count(*) FILTER (c - b <= -2) AS lr, sum(c - b) AS sd, round(avg(ct - bt), 4) AS td FROM rt JOIN pr USING (case_id) GROUP BY rule_id),
+ad AS (SELECT *, CASE WHEN lr > 0 OR losses > wins THEN 'quarantine' WHEN wins > losses THEN 'retain' ELSE 'unproven' END AS advice FROM oc)"""
+
+
+def _outcomes(spark, d):
+    cases, i = _cases(spark, d), F.col("case_id")
+    m = rules.route_manifest(cases, rules.route_rules(cases, _rules(spark)))
+    pairs = cases.select("case_id", (i % 5).cast("int").alias("b"), (i * 3 % 5).cast("int").alias("c"), (100 + i % 40).cast("int").alias("b_tokens"), (100 + i % 37).cast("int").alias("c_tokens")).withColumn("delta", F.col("c") - F.col("b"))
+    return rules.rule_outcomes(m, pairs)
+
+
+@query("e24_rule_outcomes", "E24", f"WITH {OUTCOMES} SELECT rule_id, applied::BIGINT AS applied, wins::BIGINT AS wins, ties::BIGINT AS ties, losses::BIGINT AS losses, lr::BIGINT AS large_regressions, sd::BIGINT AS score_delta, td::DOUBLE AS avg_token_delta, advice FROM ad")
+def e24(spark, d):
+    return _outcomes(spark, d)
+
+
+@query("x09_active_rules", "X9", f"WITH {OUTCOMES} SELECT rule_id, coalesce(advice, 'candidate') AS advice FROM x LEFT JOIN ad USING (rule_id) WHERE coalesce(advice, 'candidate') <> 'quarantine'")
+def x09(spark, d):
+    return rules.active_rules(_rules(spark), _outcomes(spark, d)).select("rule_id", "advice")
+
+
+RAW = f"""{CASES}, rw AS (SELECT case_id, CASE case_id % 4 WHEN 0 THEN 'content_query' WHEN 1 THEN 'answer_completeness' WHEN 2 THEN 'section_selection' ELSE 'elsewhere' END AS st, CASE case_id % 3 WHEN 0 THEN 'STOP_RULE' WHEN 1 THEN 'ANSWER_GUARD' ELSE 'guess' END AS op,
+ CASE WHEN case_id % 5 = 0 THEN ['trend'] ELSE []::VARCHAR[] END AS req, CASE WHEN case_id % 2 = 0 THEN ['entity', 'unit'] ELSE ['extraction'] END AS any_, trim(regexp_replace(left(question, 60), '\\s+', ' ', 'g'), ' ') AS ins, CASE WHEN case_id % 7 = 0 THEN 3 WHEN case_id % 7 = 1 THEN 2 ELSE 1 END AS conf FROM cs),
+ok AS (SELECT *, 'exp_' || left(sha1(op || '|' || st || '|' || array_to_string(req, ',') || '|' || array_to_string(any_, ',') || '|' || lower(ins)), 12) AS rule_id FROM rw WHERE st <> 'elsewhere' AND op <> 'guess' AND length(ins) > 0 AND (len(req) > 0 OR list_contains(any_, 'entity')))"""
+
+
+def _raw_rules(spark, d):
+    """Raw rules made of questions: stages, operators, tags and confidence by the id, some of them not allowed."""
+    i, none = F.col("case_id"), F.array().cast("array<string>")
+    return _cases(spark, d).select(
+        F.when(i % 4 == 0, "content_query").when(i % 4 == 1, "answer_completeness").when(i % 4 == 2, " section_selection").otherwise("elsewhere").alias("failure_stage"),
+        F.when(i % 3 == 0, "stop_rule").when(i % 3 == 1, "ANSWER_GUARD ").otherwise("guess").alias("repair_operator"), F.when(i % 5 == 0, F.array(F.lit("Trend"), F.lit("x"))).otherwise(none).alias("required_tags"),
+        F.when(i % 2 == 0, F.array(F.lit("unit"), F.lit("entity"))).otherwise(F.array(F.lit("extraction"))).alias("any_tags"), none.alias("excluded_tags"), F.left("question", F.lit(60)).alias("student_instruction"), F.lit("when").alias("trigger_description"),
+        F.lit(None).cast("string").alias("do_not_apply_when"), F.lit("seen").alias("causal_evidence"), F.array(i.cast("string"), F.lit("-1")).alias("supporting_case_ids"), F.when(i % 7 == 0, "High").when(i % 7 == 1, "medium").otherwise("?").alias("confidence"),
+    )
+
+
+@query("x01_checked_rules", "X1", f"WITH {RAW} SELECT rule_id, count(*)::BIGINT AS n FROM ok GROUP BY rule_id")
+def x01(spark, d):
+    return rules.checked_rules(_raw_rules(spark, d), _cases(spark, d)).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "x03_rule_library", "X2 X3 X10",
+    f"""WITH {RAW}, g AS (SELECT rule_id, count(DISTINCT case_id) AS supp, max(conf) AS conf, any_value(len(req)) AS nr, any_value(length(ins)) AS n FROM ok GROUP BY rule_id)
+SELECT rule_id, supp::INT AS n_supporters, conf::INT AS confidence, row_number() OVER (ORDER BY supp DESC, conf DESC, nr DESC, n, rule_id)::INT AS place FROM g QUALIFY place <= 40""",
+)
+def x03(spark, d):
+    """Duplicates merged, the first forty by supporters, confidence, required tags and brevity."""
+    top = rules.rule_library(rules.merged_rules(rules.checked_rules(_raw_rules(spark, d), _cases(spark, d))), 40)
+    c = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
+    return top.select("rule_id", F.size("supporting_case_ids").alias("n_supporters"), c.alias("confidence"), "place")
 
 
 @query(
-    "x02_merge_rules", "X2 X3 X10",
+    "x02_merge_rules", "",
     "SELECT o_orderpriority AS rule, count(DISTINCT o_custkey)::BIGINT AS supporters, max(o_totalprice) AS confidence, min(o_orderkey) AS first_case, row_number() OVER (ORDER BY count(DISTINCT o_custkey) DESC, o_orderpriority)::INT AS place FROM orders GROUP BY o_orderpriority",
 )
 def x02(spark, d):
