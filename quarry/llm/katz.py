@@ -101,7 +101,7 @@ def _pair(t: np.ndarray, h: np.ndarray) -> np.ndarray:
         return mix64(t) * np.uint64(3) + h
 
 
-def _deal(parts: int, hot: np.ndarray, hot_pairs: np.ndarray, limit: int = 4 << 20):
+def _deal(parts: int, hot: np.ndarray, hot_pairs: np.ndarray, limit: int = 8 << 20):
     """Packs the tokens of blocks of documents by partition."""
 
     def deal(batches):
@@ -393,13 +393,13 @@ def _finish(model: Discounts, hot: np.ndarray, hot_answer: np.ndarray, begin: fl
     return finish
 
 
-def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 2_000_000) -> DataFrame:
+def katz_scores(spark: SparkSession, docs: DataFrame, per_part: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text, ...).
 
     Training documents are those whose crc32(doc_id as text) mod 10 is not 0. A null or empty text is its end alone;
     a null doc_id trains and comes back as null; rows with the same doc_id are documents of their own. Without any
     training document every token is unknown and has probability 1. No documents give no rows. A text of any length
-    counts whole; a task holds one text and 4 million characters at a time. Other columns are neither read nor
+    counts whole; a task holds one text and 8 million characters at a time. Other columns are neither read nor
     returned.
     """
     small_batches(spark, 250)
