@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, read_table, small_batches
+from quarry.llm.common import Scratch, blocks, read_table, small_batches
 
 SKIPPABLE, INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-_CACHE = 200_000  # words whose ids a worker keeps
+_CACHE = 500_000  # words whose ids a task keeps
 
-
-#: Latin letters, for which small letters and composition are the same to every library, then punctuation without '.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Latin letters, for which small letters and composition are the same to every library, then punctuation without ';
+#: or else anything.
+_WORD = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)$|^(.+)$", re.M)
 
 
 class WordCache:
@@ -40,15 +40,16 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.lean = Tokenizer(self.tokenizer.model)
         # for words of plain small letters alone, which normalising and splitting leave as they are
-        self.lean.normalizer, self.lean.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}  # number of a word as written
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.lean.get_vocab_size(), bool)  # ids that end a word
+        self.ends[[i for piece, i in self.lean.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.at: dict[str, int] = {"": 0}  # number of a word as written
         self.part: dict[str, int] = {"": 0}  # number of a part: small letters, or punctuation, or any other word
-        self.first, self.second = array("i"), array("i")  # a word's parts
+        self.first, self.second = array("i", [0]), array("i", [0])  # a word's parts
         self.start, self.flat = array("q", [0, 0]), array("I")  # a part's ids
         self.hits = np.zeros(0, np.int32)
 
@@ -56,6 +57,7 @@ class WordCache:
         """Keeps the half of the words that came up most, and their parts."""
         keep = np.zeros(len(self.at), bool)
         keep[np.argsort(self.hits, kind="stable")[len(self.at) // 2 :]] = True
+        keep[0] = True
         new = (np.cumsum(keep) - 1).tolist()
         held = keep.tolist()
         self.at = {w: new[i] for w, i in self.at.items() if held[i]}
@@ -70,52 +72,72 @@ class WordCache:
         self.first, self.second = (array("i", move[x].astype(np.int32).tobytes()) for x in (first, second))
         self.hits = self.hits[keep] // 2
 
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of small letters, one after another, and how many each has."""
+        lines = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.lean.encode_batch_fast(lines, add_special_tokens=False)])
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words):
+            raise ValueError("this vocabulary does not mark the ends of words")
+        return ids, np.diff(stop, prepend=0)
+
     def _add(self, words: list[str]) -> None:
         """Numbers new words; one of letters and punctuation behind them is put together from the two parts."""
-        part, at, lean, full = self.part, self.at, [], []
-        for w in words:
-            at[w] = len(at)
-            a, b, new = w, "", full
-            if (m := _WORD.fullmatch(w)) is not None:
-                a, b, new = m[1].lower(), m[2], lean
-            if (i := part.get(a)) is None:
-                i = part[a] = len(part)
-                new.append((i, a))
-            self.first.append(i)
-            if (i := part.get(b)) is None:
-                i = part[b] = len(part)
-                full.append((i, b))
-            self.second.append(i)
-        ids: dict[int, list[int]] = {}
-        for tokenizer, own in ((self.lean, lean), (self.tokenizer, full)):
-            ids.update(zip([i for i, _ in own], [e.ids for e in tokenizer.encode_batch_fast([x for _, x in own], add_special_tokens=False)], strict=True))
-        for i in range(len(self.start) - 1, len(part)):
-            self.flat.extend(ids[i])
-            self.start.append(len(self.flat))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words, counts = [], []
-        for t in texts:
-            own = t.replace("\n", " ").split(" ") if t else []
-            words += own
-            counts.append(len(own))
-        if not words:
+        part = self.part
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        letters, marks, others = zip(*_WORD.findall("\n".join(words)), strict=True)
+        small = "\n".join(letters).lower().split("\n")
+        lean = list(set(small) - part.keys())
+        part.update(zip(lean, range(len(part), len(part) + len(lean)), strict=True))
+        full = list((set(marks) | set(others)) - part.keys())
+        part.update(zip(full, range(len(part), len(part) + len(full)), strict=True))
+        if lean:
+            self._extend(*self._letters(lean))
+        if full:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(full, add_special_tokens=False)]
+            self._extend(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+        first = [x or y for x, y in zip(small, others, strict=True)]
+        self.first.frombytes(np.fromiter(map(part.__getitem__, first), np.int32, len(words)).tobytes())
+        self.second.frombytes(np.fromiter(map(part.__getitem__, marks), np.int32, len(words)).tobytes())
+
+    def _extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.start.frombytes((np.cumsum(sizes) + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        counts = pc.list_value_length(lists).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        if not len(words.dictionary):
             return [np.zeros(0, np.uint32)] * len(texts)
+        own = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py().split("\n")
         if len(self.at) > _CACHE:
             self._halve()
-        self._add(list(set(words) - self.at.keys()))
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        hits = np.bincount(at, minlength=len(self.at))
+        if new := list(set(own) - self.at.keys()):
+            self._add(new)
+        at, which = np.fromiter(map(self.at.__getitem__, own), np.int32, len(own)), words.indices.to_numpy()
+        hits = np.bincount(at, np.bincount(which, minlength=len(own)), minlength=len(self.at))
         hits[: len(self.hits)] += self.hits
         self.hits = hits.astype(np.int32)
-        parts = np.column_stack((np.frombuffer(self.first, np.int32)[at], np.frombuffer(self.second, np.int32)[at])).ravel()
-        start = np.frombuffer(self.start, np.int64)
-        size = np.diff(start)[parts]
-        before = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(before[-1]) + np.repeat(start[parts] - before[:-1], size)
-        flat = np.frombuffer(self.flat, np.uint32)[place] if len(self.flat) else np.zeros(0, np.uint32)
-        del start
-        return np.split(flat, before[2 * np.cumsum(counts)[:-1]])
+        # the ids of each different word, then of all words
+        parts = np.column_stack((np.array(self.first)[at], np.array(self.second)[at])).ravel()
+        start = np.array(self.start)
+        flat, size = _gather(np.array(self.flat, np.uint32), start[parts], np.diff(start)[parts])
+        size = size.reshape(-1, 2).sum(axis=1)
+        flat, size = _gather(flat, (np.cumsum(size) - size)[which], size[which])
+        return np.split(flat, np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)[:-1]])
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of flat, one after another, and their sizes."""
+    stop = np.cumsum(size)
+    place = np.repeat((start - stop + size).astype(np.int32), size)
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place], size
 
 
 def _seek_frame(entries: list[tuple[int, int, int]]) -> bytes:
@@ -161,28 +183,31 @@ class TokenFile:
 def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, rows: int = 8192) -> DataFrame:
     """Writes documents (doc_id, text) in ascending doc_id order, about `rows` a file; returns (file, part, n_docs, n_tokens).
 
-    A null or empty text is the end id alone; rows with the same doc_id all stay, rows with a null doc_id go (no place
-    in the order is defined for them). A file gets its name when it is complete, so a task that is run again, or twice
-    at once, leaves one whole file.
+    A null or empty text is the end id alone; rows with the same doc_id all stay, in any order among themselves; rows
+    with a null doc_id go (no place in the order is defined for them). A text of any length is one frame; a task holds
+    eight megabytes of texts, or one longer text, at a time. Without documents there is no file. Other columns are not read. A file gets its name when it
+    is complete, so a task that is run again, or twice at once, leaves one whole file.
     """
-    small_batches(spark, 250)
+    small_batches(spark, 2000)
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, -(-held.count() // rows))
     ordered = held.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def write(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         import zstandard
         from pyarrow import fs
         from pyspark import TaskContext
 
         part, files, out, tokens = TaskContext.get().partitionId(), None, None, 0
         ids, entries = array("q"), []
-        cache, press = _cache(tokenizer), zstandard.ZstdCompressor(level=3)
+        cache, press = WordCache(tokenizer), zstandard.ZstdCompressor(level=3)
         for b in batches:
-            all_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                for doc_id, own in zip(all_ids[i : i + 200], cache.encode(texts[i : i + 200]), strict=True):
+            sizes = pc.coalesce(pc.binary_length(b.column(1)), 0).to_pylist()
+            for s in blocks(sizes, 1 << 23):
+                part_ids, part_texts = (x.slice(s.start, s.stop - s.start) for x in (b.column(0), b.column(1)))
+                for doc_id, own in zip(part_ids.to_pylist(), cache.encode(part_texts), strict=True):
                     if out is None:
                         files, name = fs.FileSystem.from_uri(folder)
                         files.create_dir(name, recursive=True)
@@ -206,20 +231,16 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, fold
     return ordered.mapInArrow(write, "file string, part long, n_docs long, n_tokens long")
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
-def _cache(path: str) -> WordCache:
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
-    return _CACHES[path]
-
-
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of all documents in the files of a manifest; ids is the binary of the document's frame."""
-    # one row a file: the running total of files, not of documents
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.withColumn("before", before).select("file", "before")
+    """(doc_id, start, ids) of all documents in the files of a manifest; ids is the binary of the document's frame.
+
+    `start` is the number of ids in all documents before. Files are summed up in groups of 1,024, and groups in order;
+    each task reads about four files. An empty manifest gives no rows.
+    """
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("file", "part", "n_tokens", F.floor(F.col("part") / 1024).alias("block"))
+    groups = files.groupBy("block").agg(F.sum("n_tokens").alias("n")).withColumn("ahead", before("n", Window.orderBy("block"))).drop("n")
+    placed = files.join(groups, "block").select("file", (F.col("ahead") + before("n_tokens", Window.partitionBy("block").orderBy("part"))).alias("before"))
 
     def read(batches):
         import pyarrow as pa
@@ -238,7 +259,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         rows, held = ([], [], []), 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return placed.repartition("file").mapInArrow(read, "doc_id long, start long, ids binary")
+    return placed.repartition(max(1, -(-manifest.count() // 4)), "file").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
