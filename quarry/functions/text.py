@@ -39,6 +39,11 @@ def answer_tokens(text: Column | str) -> Column:
     return F.filter(F.split(bare, r"\s+"), lambda x: ~x.isin("", "a", "an", "the", "and"))
 
 
+def measured_tokens(text: Column | str) -> Column:
+    """Tokens with their signs of measure, articles kept: letters, digits, . % $ and -."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[A-Za-z0-9.%$-]+"), 0)
+
+
 def is_refusal(text: Column | str) -> Column:
     return F.lower(_col(text)).rlike("|".join(REFUSALS))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,78 @@ def outcome(pairs: DataFrame, *by: str) -> DataFrame:
 def passes(o: DataFrame) -> Column:
     """A candidate passes if it nets no loss, wins more than it loses, has no large regression and at most 1.1 times the tokens."""
     return (F.col("net") >= 0) & (F.col("wins") > F.col("losses")) & (F.col("large_regressions") == 0) & (F.col("token_change") <= 0.1)
+
+
+def best_gold_f1(cases: DataFrame, key: str, predicted: Column, golds: Column, tokenise) -> DataFrame:
+    """(key, f1, n_golds): the best F1 of an answer's tokens against each of its golds (an array of texts); 0 without any."""
+    p = cases.select(key, predicted.alias("p"), F.posexplode(golds).alias("place", "gold")).select(key, "place", "p", tokenise("gold").alias("g"))
+    best = token_f1(p, F.col("p"), F.col("g"), key, "place").groupBy(key).agg(F.max("f1").alias("f1"), F.count("*").alias("n_golds"))
+    return cases.select(key).join(best, key, "left").fillna(0, ["f1", "n_golds"])
+
+
+def refusal_override(scored: DataFrame, refuses: Column, golds_refuse: Column) -> DataFrame:
+    """Where answer and a gold refuse alike the answer is right: F1 of 1, score of 4."""
+    both = refuses & golds_refuse
+    return scored.withColumn("f1", F.when(both, 1.0).otherwise(F.col("f1"))).withColumn("score", F.when(both, 4).otherwise(F.col("score")))
+
+
+def by_split(judged: DataFrame, splits: DataFrame) -> DataFrame:
+    """(split, n, avg_score, accuracy, avg_tokens) of each split, zeros for one without cases, and of all ("all")."""
+    m = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
+    out = judged.join(splits, "case_id").rollup("split").agg(F.count("*").alias("n"), m(F.avg("score")).alias("avg_score"), m(F.sum("score") / (4 * F.count("*"))).alias("accuracy"), m(F.avg("tokens")).alias("avg_tokens"))
+    out = out.withColumn("split", F.coalesce("split", F.lit("all")))
+    return splits.select("split").distinct().unionByName(out.select("split")).distinct().join(out, "split", "left").fillna(0)
+
+
+def select_candidate(arm_metrics: DataFrame, base: str) -> DataFrame:
+    """The one row of arms (arm, accuracy, net, tokens, latency) to go on with: among candidates no less accurate than the base
+    the best by accuracy, net score, fewer tokens, less latency; the base itself if there is none."""
+    at_least = arm_metrics.where(F.col("arm") == base).select(F.col("accuracy").alias("least"))
+    fine = arm_metrics.join(F.broadcast(at_least), F.col("accuracy") >= F.col("least")).drop("least")
+    order = (F.desc(F.col("arm") != base), F.desc("accuracy"), F.desc("net"), "tokens", "latency", "arm")
+    return fine.orderBy(*order).limit(1)
+
+
+def judged_again(answers: DataFrame, saved: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """Answers (case_id, answer) whose saved judgement (case_id, answer, judge_model, score) holds, and those to judge.
+
+    A judgement holds if the same model gave it; of several the largest score counts. With an unchanged answer the two arms
+    tie by the earlier score.
+    """
+    own = saved.where(F.col("judge_model") == model).groupBy("case_id", "answer").agg(F.max("score").alias("score"))
+    held = answers.join(own, ["case_id", "answer"])
+    return held, answers.join(own, ["case_id", "answer"], "left_anti")
+
+
+def ranking_assertions(tests: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(name, check, expected_top, actual_top, passed) of tests (name, query_id, expected_top, expected_text) on ranked rows.
+
+    The expected document is given, or said in words; without one the test only asks that the ranking ran.
+    """
+    said = [F.nullif(F.regexp_extract("expected_text", p, 1), F.lit("")) for p in (r"top result is\s+([A-Z][A-Z0-9_-]+)", r"([A-Z][A-Z0-9_-]+)\s+is ranked first", r"([A-Z][A-Z0-9_-]+)\s+is ranked before")]
+    want = F.coalesce(F.nullif(F.trim("expected_top"), F.lit("")), *said)
+    top = ranked.where("rank = 1").select("query_id", F.col("doc_id").cast("string").alias("actual_top"))
+    out = tests.select("name", "query_id", want.alias("expected_top")).join(top, "query_id", "left")
+    passed = F.col("expected_top").isNull() | F.coalesce(F.upper("actual_top") == F.upper("expected_top"), F.lit(False))
+    return out.select("name", F.when(F.col("expected_top").isNull(), "execution_only").otherwise("top_doc").alias("check"), "expected_top", "actual_top", passed.alias("passed"))
+
+
+def report_lines(pairs: DataFrame, text: str) -> DataFrame:
+    """(place, line): a Markdown table row for each pair, the largest gains first; bars and line ends of the text are taken out.
+
+    Places are given within blocks of the order, so no task numbers all rows.
+    """
+    clean = F.replace(F.regexp_replace(text, r"\s+", " "), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("case_id").cast("string"), F.col("b").cast("string"), F.col("c").cast("string"), F.col("delta").cast("string"), clean), F.lit(" |"))
+    rows = pairs.select("case_id", "delta", line.alias("line"))
+    counts = rows.groupBy("delta").agg(F.count("*").alias("k"))  # deltas are few
+    ahead = counts.withColumn("ahead", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("delta")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
+    within = F.row_number().over(Window.partitionBy("delta").orderBy("case_id"))
+    return rows.join(F.broadcast(ahead), "delta").select((F.col("ahead") + within).alias("place"), "case_id", "line")
+
+
+def completeness(expected: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, n_expected, n_found, n_missing, n_unexpected, complete) of ids (key, by) that should and do occur."""
+    both = expected.select(key, by, F.lit(1).alias("e")).join(found.select(key, F.col(by).alias("found_by"), F.lit(1).alias("f")).dropDuplicates([key]), key, "full")
+    g = both.groupBy(F.coalesce(by, "found_by").alias(by)).agg(F.count("e").alias("n_expected"), F.count("f").alias("n_found"), F.count_if(F.col("f").isNull()).alias("n_missing"), F.count_if(F.col("e").isNull()).alias("n_unexpected"))
+    return g.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_unexpected") == 0))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import answer_tokens, is_refusal
+from quarry.functions.text import answer_tokens, is_refusal, measured_tokens
 from quarry.operators import rules
-from quarry.operators.evaluation import arms, outcome, paired, passes, token_f1
+from quarry.operators.evaluation import (
+    arms, best_gold_f1, by_split, completeness, judged_again, outcome, paired, passes, ranking_assertions, refusal_override, report_lines, select_candidate, token_f1,
+)
 from quarry.operators.retrieval import bm25, top_k
-from quarry.operators.sampling import verbatim
+from quarry.operators.routing import route_titles
+from quarry.operators.sampling import hard_cases, verbatim, weak_and_strong
 from quarry.operators.traces import budget, paginate
 from quarry.plans.register import query
-from quarry.plans.retrieval import BM25, RANK, _par, _queries
+from quarry.plans.retrieval import BM25, RANK, _filings, _par, _queries
 from quarry.sources.tables import small, table
 from quarry.streaming.monitor import progress
 
@@ -56,8 +59,153 @@ def e01_whole(spark, d):
     return docs.select("doc_id").join(best, "doc_id", "left").fillna(0, ["n_golds", "f1"])
 
 
+GOLDS = """gd AS (SELECT conv_id * 1000 + turn AS case_id, text, list_filter([lead(text, 1) OVER w, lead(text, 2) OVER w], lambda x: x IS NOT NULL) AS golds FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+gx AS (SELECT case_id, unnest(golds) AS gold, generate_subscripts(golds, 1) AS place FROM gd)"""
+
+
+def _golds(spark, d):
+    """Turns as answers, the two turns behind each as its golds."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), "text", F.array_compact(F.array(F.lead("text", 1).over(w), F.lead("text", 2).over(w))).alias("golds"))
+
+
+def _best_f1_sql(tok):
+    return f"""WITH {GOLDS}, pg AS (SELECT case_id, place, {tok.format('text')} AS t, {tok.format('gold')} AS g FROM gx JOIN gd USING (case_id)),
+x AS (SELECT case_id, place, w, count(*) AS n FROM (SELECT case_id, place, unnest(g) AS w FROM pg) GROUP BY ALL), y AS (SELECT case_id, place, w, count(*) AS n FROM (SELECT case_id, place, unnest(t) AS w FROM pg) GROUP BY ALL),
+s AS (SELECT case_id, place, sum(least(x.n, y.n)) AS same FROM x JOIN y USING (case_id, place, w) GROUP BY ALL),
+f AS (SELECT case_id, place, round(coalesce(same * 2.0 / (len(g) + len(t)), 0), 4) AS f1 FROM pg LEFT JOIN s USING (case_id, place))
+SELECT gd.case_id, coalesce(max(f1), 0)::DOUBLE AS f1, count(f1)::BIGINT AS n_golds FROM gd LEFT JOIN f USING (case_id) GROUP BY gd.case_id"""
+
+
+@query("e02_best_gold_f1", "E1 E2", _best_f1_sql(ANS))
+def e02(spark, d):
+    return best_gold_f1(_golds(spark, d), "case_id", answer_tokens("text"), F.col("golds"), answer_tokens)
+
+
+@query("e05_measured_f1", "E5", _best_f1_sql("regexp_extract_all(lower({0}), '[A-Za-z0-9.%$-]+')"))
+def e05(spark, d):
+    """F1 over tokens that keep signs of measure and articles."""
+    return best_gold_f1(_golds(spark, d), "case_id", measured_tokens("text"), F.col("golds"), measured_tokens)
+
+
+@query(
+    "e04_refusals_of_both", "E4",
+    """SELECT doc_id, quality * 4 * CASE WHEN r AND g THEN 0 ELSE 1 END + CASE WHEN r AND g THEN 4 ELSE 0 END AS score, CASE WHEN r AND g THEN 1.0 ELSE 0.25 END::DOUBLE AS f1
+FROM (SELECT doc_id, quality, doc_id % 3 = 0 AS r, doc_id % 2 = 0 AS g FROM labels)""",
+)
+def e04_both(spark, d):
+    i = F.col("doc_id")
+    answer = F.when(i % 3 == 0, "This is Not Mentioned anywhere").otherwise("42")
+    golds = F.array(F.lit("43"), F.when(i % 2 == 0, "no information").otherwise("44"))
+    scored = table(spark, d, "labels").select("doc_id", (F.col("quality") * 4).alias("score"), F.lit(0.25).alias("f1"), answer.alias("answer"), golds.alias("golds"))
+    return refusal_override(scored, is_refusal("answer"), F.exists("golds", is_refusal)).select("doc_id", "score", "f1")
+
+
+@query(
+    "e09_metrics_by_split", "E6 E9",
+    f"""WITH {JUDGED}, s AS (SELECT j.*, CASE case_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split FROM j WHERE arm = 'base')
+SELECT coalesce(split, 'all') AS split, count(*)::BIGINT AS n, round(avg(score), 4)::DOUBLE AS avg_score, round(sum(score) / (4.0 * count(*)), 4)::DOUBLE AS accuracy, round(avg(tokens), 4)::DOUBLE AS avg_tokens FROM s GROUP BY ROLLUP (split)""",
+)
+def e09(spark, d):
+    j = _judged(spark, d).where("arm = 'base'")
+    return by_split(j, j.select("case_id", F.when(F.col("case_id") % 3 == 0, "train").when(F.col("case_id") % 3 == 1, "dev").otherwise("test").alias("split")))
+
+
+@query(
+    "e12_pair_metrics", "E7 E12 E13 E23",
+    f"""WITH {JUDGED}, p AS (SELECT b.case_id, b.score AS b, c.score AS c, b.tokens AS bt, c.tokens AS ct, b.latency AS bl, c.latency AS cl FROM (SELECT * FROM j WHERE arm = 'base') b JOIN (SELECT * FROM j WHERE arm = 'candidate') c USING (case_id))
+SELECT CASE WHEN c > b THEN 'candidate_better' WHEN c < b THEN 'baseline_better' ELSE 'tie' END AS relation, count(*)::BIGINT AS n, sum(bt)::BIGINT AS base_tokens, sum(ct)::BIGINT AS candidate_tokens, round((sum(ct) - sum(bt)) / sum(bt), 4)::DOUBLE AS token_change, round((sum(cl) - sum(bl)) / sum(bl), 4)::DOUBLE AS latency_change FROM p GROUP BY 1""",
+)
+def e12(spark, d):
+    j = _judged(spark, d)
+    latency = lambda arm, name: j.where(F.col("arm") == arm).select("case_id", F.col("latency").alias(name))
+    p = paired(j, "base", "candidate").join(latency("base", "b_latency"), "case_id").join(latency("candidate", "c_latency"), "case_id")
+    relation = F.when(F.col("delta") > 0, "candidate_better").when(F.col("delta") < 0, "baseline_better").otherwise("tie")
+    change = lambda a, b: F.round(F.coalesce(F.try_divide(F.sum(b) - F.sum(a), F.sum(a)), F.lit(0.0)), 4)
+    return p.groupBy(relation.alias("relation")).agg(
+        F.count("*").alias("n"), F.sum("b_tokens").cast("long").alias("base_tokens"), F.sum("c_tokens").cast("long").alias("candidate_tokens"), change("b_tokens", "c_tokens").alias("token_change"), change("b_latency", "c_latency").alias("latency_change")
+    )
+
+
+@query(
+    "e15_selected_candidate", "E15",
+    f"""WITH {JUDGED}, a AS (SELECT CASE WHEN arm = 'base' THEN 'base' ELSE 'k' || kind END AS arm, round(sum(score) / (4.0 * count(*)), 4) AS accuracy, count(*) AS net, round(avg(tokens), 4) AS tokens, round(avg(latency), 4) AS latency FROM j GROUP BY 1)
+SELECT arm, accuracy::DOUBLE AS accuracy, net::BIGINT AS net FROM a WHERE accuracy >= (SELECT accuracy FROM a WHERE arm = 'base') ORDER BY arm <> 'base' DESC, accuracy DESC, net DESC, tokens, latency, arm LIMIT 1""",
+)
+def e15(spark, d):
+    """The candidates are the kinds of cases, so each has its own metrics."""
+    j = _judged(spark, d).withColumn("arm", F.when(F.col("arm") == "base", "base").otherwise(F.concat(F.lit("k"), F.col("kind").cast("string"))))
+    m = arms(j).select("arm", "accuracy", F.col("n").alias("net"), F.col("avg_tokens").alias("tokens"), F.col("avg_latency").alias("latency"))
+    return select_candidate(m, "base").select("arm", "accuracy", "net")
+
+
+@query(
+    "e20_judged_again", "E19 E20",
+    """WITH a AS (SELECT doc_id AS case_id, md5(text) AS answer FROM documents), s AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE 'other' END AS answer, CASE WHEN doc_id % 2 = 0 THEN 'judge' ELSE 'former' END AS m, doc_id % 5 AS score FROM documents)
+SELECT a.case_id, coalesce(s.score, -1)::BIGINT AS score, s.score IS NOT NULL AS held FROM a LEFT JOIN (SELECT * FROM s WHERE m = 'judge') s USING (case_id, answer)""",
+)
+def e20(spark, d):
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    answers = docs.select(i.alias("case_id"), F.md5("text").alias("answer"))
+    saved = docs.select(i.alias("case_id"), F.when(i % 3 == 0, F.md5("text")).otherwise("other").alias("answer"), F.when(i % 2 == 0, "judge").otherwise("former").alias("judge_model"), (i % 5).alias("score"))
+    held, rest = judged_again(answers, saved, "judge")
+    return held.select("case_id", "score", F.lit(True).alias("held")).unionByName(rest.select("case_id", F.lit(-1).cast("long").alias("score"), F.lit(False).alias("held")))
+
+
+@query("e22_ranking_assertions", "E22")
+def e22(spark, d):
+    """Each filing's own name as a question: the expected document is given for some, and said in words for others (the rest only have to run)."""
+    docs = _filings(spark, d)
+    q = docs.select(F.col("doc_id").alias("query_id"), F.replace("doc_id", F.lit("_"), F.lit(" ")).alias("query"))
+    i = F.crc32("query_id") % 3
+    tests = q.select(F.col("query_id").alias("name"), "query_id", F.when(i == 0, F.col("query_id")).otherwise("").alias("expected_top"), F.when(i == 1, F.concat("query_id", F.lit(" is ranked first"))).otherwise("").alias("expected_text"))
+    ranked = route_titles(q, docs, 1).where("rank = 1")
+    return ranking_assertions(tests, ranked).groupBy("check").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+
+
+@query(
+    "e25_report_lines", "E25",
+    f"""WITH {PAIRED} SELECT row_number() OVER (ORDER BY delta DESC, case_id)::BIGINT AS place, case_id, '| ' || case_id || ' | ' || b || ' | ' || c || ' | ' || delta || ' | ' || replace(regexp_replace(text, '\\s+', ' ', 'g'), '|', '\\|') || ' |' AS line FROM p JOIN documents ON doc_id = case_id""",
+)
+def e25(spark, d):
+    p = paired(_judged(spark, d), "base", "candidate").join(table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "text"), "case_id")
+    return report_lines(p, "text")
+
+
+@query(
+    "e26_completeness", "E26",
+    """WITH e AS (SELECT doc_id, source FROM documents), f AS (SELECT doc_id, 'x' AS source FROM labels UNION SELECT -doc_id - 1, 'x' FROM labels WHERE doc_id % 4 = 0)
+SELECT coalesce(e.source, f.source) AS source, count(e.doc_id)::BIGINT AS n_expected, count(f.doc_id)::BIGINT AS n_found, count(*) FILTER (f.doc_id IS NULL)::BIGINT AS n_missing, count(*) FILTER (e.doc_id IS NULL)::BIGINT AS n_unexpected, count(*) FILTER (f.doc_id IS NULL OR e.doc_id IS NULL) = 0 AS complete FROM e FULL JOIN f USING (doc_id) GROUP BY 1""",
+)
+def e26(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.lit("x").alias("source"))
+    found = labels.unionByName(labels.where("doc_id % 4 = 0").withColumn("doc_id", -F.col("doc_id") - 1))
+    return completeness(table(spark, d, "documents").select("doc_id", "source"), found, "doc_id", "source")
+
+
+@query(
+    "p13_weak_and_strong", "P13",
+    f"WITH {JUDGED}, c AS (SELECT case_id, score FROM j WHERE arm = 'candidate') (SELECT case_id, score::INT AS score, 'failure' AS kind FROM c WHERE score <= 2 ORDER BY score, case_id LIMIT 30) UNION ALL (SELECT case_id, score::INT, 'success' FROM c WHERE score >= 4 ORDER BY score DESC, case_id LIMIT 10)",
+)
+def p13(spark, d):
+    return weak_and_strong(_judged(spark, d).where("arm = 'candidate'").select("case_id", "score"), 30, 10)
+
+
+@query(
+    "p14_hard_cases", "P14",
+    f"""WITH {JUDGED}, c AS (SELECT case_id, kind, score, (case_id * 7 % 100) / 100.0 AS recall, tokens FROM j WHERE arm = 'candidate'),
+t AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score, recall, tokens DESC, case_id) AS turn FROM c), h AS (SELECT * FROM t ORDER BY turn, score, recall, tokens DESC, case_id LIMIT 30),
+g AS (SELECT * FROM c WHERE score >= 4 ORDER BY tokens, case_id LIMIT 4)
+SELECT case_id, turn::INT AS turn, 'hard' AS why FROM h UNION ALL SELECT case_id, 0, 'cheap' FROM g WHERE case_id NOT IN (SELECT case_id FROM h)""",
+)
+def p14(spark, d):
+    c = _judged(spark, d).where("arm = 'candidate'").select("case_id", "kind", "score", (F.col("case_id") * 7 % 100 / 100).alias("recall"), "tokens")
+    return hard_cases(c, "kind", 30).select("case_id", "turn", "why")
+
+
 @query(
-    "e03_evidence_recall", "E3 E6 J1",
+    "e03_evidence_recall", "E3 J1",
     f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 5),
 h AS (SELECT query_id, string_agg(par.text, chr(10) ORDER BY rank) AS found FROM t JOIN par USING (doc_id, p_idx) GROUP BY query_id),
 r AS (SELECT query_id, query, found, list_distinct({ANS.format('query')}) AS e, list_distinct({ANS.format('found')}) AS f FROM q JOIN h USING (query_id))
@@ -72,33 +220,33 @@ def e03(spark, d):
     return r.select("query_id", (F.col("found").contains(F.col("query")) | ((F.size(e) >= 4) & (cover >= 0.8))).alias("hit"), F.round(cover, 4).alias("cover"))
 
 
-@query("e04_refusal_override", "E4", "SELECT item_id, CASE WHEN regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know') OR item_id % 7 = 0 THEN 4 ELSE 0 END::INT AS score FROM benchmark")
+@query("e04_refusal_override", "", "SELECT item_id, CASE WHEN regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know') OR item_id % 7 = 0 THEN 4 ELSE 0 END::INT AS score FROM benchmark")
 def e04(spark, d):
     b = table(spark, d, "benchmark").withColumn("answer", F.when(F.col("item_id") % 7 == 0, "Not mentioned").otherwise(F.col("text")))
     return b.select("item_id", F.when(is_refusal("answer"), 4).otherwise(0).alias("score"))
 
 
 @query(
-    "e08_arm_metrics", "E7 E8 E9 E23",
+    "e08_arm_metrics", "E7 E8",
     f"""WITH {JUDGED} SELECT arm, count(*)::BIGINT AS n, round(avg(score), 4)::DOUBLE AS avg_score, round(sum(score) / (4.0 * count(*)), 4)::DOUBLE AS accuracy, round(avg(tokens), 4)::DOUBLE AS avg_tokens, round(avg(latency), 4)::DOUBLE AS avg_latency FROM j GROUP BY arm""",
 )
 def e08(spark, d):
     return arms(_judged(spark, d))
 
 
-@query("e10_paired_ab", "E10 E11 E12 J1", f"WITH {PAIRED} SELECT {OUT} FROM p")
+@query("e10_paired_ab", "E10 E11 J1", f"WITH {PAIRED} SELECT {OUT} FROM p")
 def e10(spark, d):
     return outcome(paired(_judged(spark, d), "base", "candidate"))
 
 
-@query("e13_relations", "E13 E18 E25", f"WITH {PAIRED} SELECT case_id, delta::INT AS delta, CASE WHEN delta > 0 THEN 'candidate_better' WHEN delta < 0 THEN 'baseline_better' ELSE 'tie' END AS relation FROM p WHERE b <> c OR case_id % 2 = 0")
+@query("e13_relations", "E13 E18", f"WITH {PAIRED} SELECT case_id, delta::INT AS delta, CASE WHEN delta > 0 THEN 'candidate_better' WHEN delta < 0 THEN 'baseline_better' ELSE 'tie' END AS relation FROM p WHERE b <> c OR case_id % 2 = 0")
 def e13(spark, d):
     relation = F.when(F.col("delta") > 0, "candidate_better").when(F.col("delta") < 0, "baseline_better").otherwise("tie")
     return paired(_judged(spark, d), "base", "candidate").where("b <> c or case_id % 2 = 0").select("case_id", "delta", relation.alias("relation"))
 
 
 @query(
-    "e14_gate", "E14 E15 E24",
+    "e14_gate", "E14",
     f"""WITH {PAIRED}, o AS (SELECT kind, {OUT} FROM p GROUP BY kind)
 SELECT kind, wins, losses, net, net >= 0 AND wins > losses AND large_regressions = 0 AND token_change <= 0.1 AS passed, row_number() OVER (ORDER BY net DESC, token_change, kind)::INT AS place,
 CASE WHEN large_regressions > 0 THEN 'quarantine' WHEN wins > losses THEN 'retain' ELSE 'unproven' END AS advice FROM o""",
@@ -112,7 +260,7 @@ def e14(spark, d):
 
 
 @query(
-    "e16_disagreement", "E16 E19 E20 E26",
+    "e16_disagreement", "E16",
     f"""WITH {JUDGED}, r AS (SELECT case_id, score / 4.0 AS acc, (case_id * 7 % 100) / 100.0 AS recall FROM j WHERE arm = 'candidate')
 SELECT case_id, CASE WHEN recall >= 0.8 AND acc <= 0.2 THEN 'found_but_wrong' ELSE 'right_but_unfound' END AS "case" FROM r WHERE recall >= 0.8 AND acc <= 0.2 OR recall <= 0.2 AND acc >= 0.8""",
 )

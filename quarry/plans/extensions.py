@@ -30,7 +30,7 @@ def f28(spark, d):
 
 
 @query(
-    "e21_routing_accuracy", "E21 E22",
+    "e21_routing_accuracy", "E21",
     f"""WITH {BM25}, dd AS (SELECT query_id, doc_id, max(score) AS score FROM bm GROUP BY ALL), r AS (SELECT *, {RANK.format('doc_id')} FROM dd),
 g AS (SELECT item_id AS query_id, min(doc_id) AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)
 SELECT count(*)::BIGINT AS n, count(*) FILTER (rank = 1)::BIGINT AS top1, count(*) FILTER (rank <= 5)::BIGINT AS top5, round(avg(coalesce(1.0 / rank, 0)), 4)::DOUBLE AS mrr FROM g LEFT JOIN r ON g.query_id = r.query_id AND g.gold = r.doc_id""",
@@ -48,7 +48,7 @@ def e21(spark, d):
     return r.agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 
 
-@query("d28_tree_profile", "D28", "SELECT page_id, '- ' || regexp_extract(html, '<title>([^<]*)', 1) || ': ' || CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS line FROM pages")
+@query("d28_tree_profile", "", "SELECT page_id, '- ' || regexp_extract(html, '<title>([^<]*)', 1) || ': ' || CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS line FROM pages")
 def d28(spark, d):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
     short = F.when(F.length("url") > 30, F.concat(F.left("url", F.lit(30)), F.lit("..."))).otherwise(F.col("url"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.sampling import group_split, order, quota, round_robin, verbatim
+from quarry.operators.sampling import balance_errors, best_split, group_split, manifest, order, pilot, quota, round_robin, verbatim
 from quarry.plans.register import query
 from quarry.sources.formats import round_trip
 from quarry.sources.tables import small, table
@@ -22,6 +22,40 @@ def p01(spark, d):
     return first.select("o_orderkey", F.when(F.row_number().over(Window.orderBy("h")) <= 100, "train").otherwise("dev").alias("split"))
 
 
+TYPED = """e AS (SELECT *, sha1(seed || o_custkey) AS h FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey), (SELECT 's' || i AS seed FROM range(8) r(i))),
+c AS (SELECT seed, o_custkey, sum(k) OVER (PARTITION BY seed ORDER BY h, o_custkey) * 1.0 / sum(k) OVER (PARTITION BY seed) AS share FROM e),
+x AS (SELECT seed, o_custkey, CASE WHEN share <= 0.4 THEN 'train' WHEN share <= 0.6 THEN 'dev' ELSE 'test' END AS split FROM c),
+n AS (SELECT seed, split, o_orderpriority AS kind, count(*) AS n FROM x JOIN orders USING (o_custkey) GROUP BY ALL),
+w AS (SELECT seed, split, kind, total * part AS want FROM (SELECT o_orderpriority AS kind, count(*) AS total FROM orders GROUP BY 1), (SELECT DISTINCT seed FROM e), (VALUES ('train', 0.4), ('dev', 0.2), ('test', 0.4)) v(split, part)),
+err AS (SELECT seed, round(sum(abs(coalesce(n, 0) - want)), 4)::DOUBLE AS error FROM w LEFT JOIN n USING (seed, split, kind) GROUP BY seed)"""
+
+
+@query("p05_balance_errors", "P5 P7", f"WITH {TYPED} SELECT seed, error FROM err")
+def p05(spark, d):
+    return balance_errors(table(spark, d, "orders"), "o_custkey", "o_orderpriority", 8)
+
+
+@query(
+    "p10_best_split_manifest", "P5 P10 P11",
+    f"""WITH {TYPED}, b AS (SELECT seed FROM err ORDER BY error, seed LIMIT 1), s AS (SELECT orders.*, split FROM orders JOIN x USING (o_custkey) JOIN b USING (seed)),
+k AS (SELECT split, string_agg(o_orderpriority || '=' || n, ',' ORDER BY o_orderpriority || '=' || n) AS kinds FROM (SELECT split, o_orderpriority, count(*) AS n FROM s GROUP BY ALL) GROUP BY split)
+SELECT split, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS n_groups, any_value(kinds) AS kinds, bit_xor(('0x' || left(md5(o_orderkey::VARCHAR), 15))::BIGINT) AS digest, true AS disjoint FROM s JOIN k USING (split) GROUP BY split""",
+)
+def p10(spark, d):
+    s = best_split(table(spark, d, "orders"), "o_custkey", "o_orderpriority", 8)
+    return manifest(s, "o_custkey", "o_orderpriority", "o_orderkey", "best of 8").drop("seed")
+
+
+@query(
+    "p06_balanced_pilot", "P6",
+    """WITH o AS (SELECT *, sha1('s6' || o_orderkey) AS h FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY h, o_orderkey) AS k FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS j FROM a WHERE k = 1)
+SELECT o_orderkey, o_custkey, o_orderpriority, j > 10 AS topped_up FROM b ORDER BY j > 10, h, o_orderkey LIMIT 53""",
+)
+def p06(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return pilot(rows, "o_custkey", "o_orderpriority", "o_orderkey", "s6", 53, 5)
+
+
 @query("p02_round_robin", "P2", "SELECT o_orderkey, o_orderpriority, turn::INT AS turn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha1('s2' || o_orderkey), o_orderkey) AS turn FROM orders) ORDER BY turn, o_orderpriority LIMIT 203")
 def p02(spark, d):
     return round_robin(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "s2", 203)
