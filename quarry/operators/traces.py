@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def paginate(hits: DataFrame, k: int) -> DataFrame:
@@ -31,18 +32,57 @@ def paginate(hits: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query_id").applyInPandas(run, "query_id long, round int, rank int, chunk string, state string, first_seen_round int, times_seen int")
 
 
-def budget(calls: DataFrame, identical: int, searches: int) -> DataFrame:
-    """(query_id, seq, allowed, reason) of calls (query_id, seq, tool, key): a call that is blocked counts for nothing."""
+def budget(calls: DataFrame, identical: int, searches: int, structures: int | None = None, structure_tool: str = "structure") -> DataFrame:
+    """(query_id, seq, allowed, reason) of calls (query_id, seq, tool, key): a call that is blocked counts for nothing.
 
-    def run(frame):
-        import pandas as pd
+    Only the first `identical` calls of a key can count, of those of one tool the first `structures`, and of what is left
+    the first `searches`: once a limit is reached it stays so, so running counts tell all.
+    """
+    log = Window.partitionBy("query_id").orderBy("seq")
+    key = Window.partitionBy("query_id", "key").orderBy("seq")
+    c = calls.withColumn("first", F.row_number().over(key) <= identical)
+    structural = (F.col("tool") == structure_tool) if structures is not None else F.lit(False)
+    c = c.withColumn("nth", F.sum((F.col("first") & structural).cast("int")).over(log))
+    c = c.withColumn("open", F.col("first") & (~structural | (F.col("nth") <= (structures or 0))))
+    c = c.withColumn("allowed", F.col("open") & (F.sum(F.col("open").cast("int")).over(log) <= searches))
+    used = F.coalesce(F.sum(F.col("allowed").cast("int")).over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.coalesce(F.sum(F.col("allowed").cast("int")).over(log.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reason = F.when(F.col("allowed"), "").when(used >= identical, "duplicate").when(total >= searches, "budget").otherwise("structure budget")
+    return c.select("query_id", "seq", "allowed", reason.alias("reason"))
+
+
+#: Events that count rounds, and events that end a query.
+ROUND_EVENTS = ("llm_request", "llm_response", "llm_thinking_only", "llm_empty_message")
+END_EVENTS = ("final_answer", "max_rounds_reached")
+
+
+def rounds(log: DataFrame) -> DataFrame:
+    """(query_id, rounds, terminated_by) of a log (query_id, seq, event, round); the last ending event counts."""
+    return log.where("query_id is not null").groupBy("query_id").agg(
+        F.coalesce(F.max(F.when(F.col("event").isin(*ROUND_EVENTS), F.col("round"))), F.lit(0)).alias("rounds"),
+        F.coalesce(F.max_by("event", F.when(F.col("event").isin(*END_EVENTS), F.col("seq"))), F.lit("unknown")).alias("terminated_by"),
+    )
+
+
+def round_summary(per_query: DataFrame) -> DataFrame:
+    """One row: how many queries, and mean, median, largest and smallest number of rounds, and how often each occurs."""
+    dist = per_query.groupBy("rounds").agg(F.count("*").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rounds", "n"))).cast("array<string>"), " ").alias("distribution"))
+    one = per_query.agg(F.count("*").alias("n_queries"), F.round(F.avg("rounds"), 2).alias("mean"), F.percentile("rounds", F.lit(0.5)).alias("median"), F.max("rounds").alias("most"), F.min("rounds").alias("least"))
+    return one.crossJoin(F.broadcast(dist))
+
+
+def event_counts(log: DataFrame, events: tuple[str, ...]) -> DataFrame:
+    """(query_id, n_<event>...): how often each query has each of some events."""
+    return log.groupBy("query_id").agg(*(F.count_if(F.col("event") == e).alias(f"n_{e}") for e in events))
+
+
+def resumed(tasks: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks that are still to do, and those done with their results; a result that occurs twice counts once."""
+    own = done.dropDuplicates([key])
+    return tasks.join(own, key, "left_anti"), tasks.join(own, key)
 
-        used, total, rows = {}, 0, []
-        for r in frame.sort_values("seq").itertuples():
-            reason = "duplicate" if used.get(r.key, 0) >= identical else "budget" if total >= searches else ""
-            if not reason:
-                used[r.key], total = used.get(r.key, 0) + 1, total + 1
-            rows.append((r.query_id, r.seq, not reason, reason))
-        return pd.DataFrame(rows, columns=["query_id", "seq", "allowed", "reason"])
 
-    return calls.groupBy("query_id").applyInPandas(run, "query_id long, seq int, allowed boolean, reason string")
+def ingestion_totals(records: DataFrame, failed: DataFrame) -> DataFrame:
+    """(group, n, seconds, tokens) of ingestion records (group, seconds, tokens), without the groups that failed."""
+    fine = records.join(failed.select("group").distinct(), "group", "left_anti")
+    return fine.groupBy("group").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 4).alias("seconds"), F.sum("tokens").cast("long").alias("tokens"))

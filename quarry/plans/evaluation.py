@@ -13,7 +13,7 @@ from quarry.operators.evaluation import (
 from quarry.operators.retrieval import bm25, top_k
 from quarry.operators.routing import route_titles
 from quarry.operators.sampling import hard_cases, verbatim, weak_and_strong
-from quarry.operators.traces import budget, paginate
+from quarry.operators.traces import budget, event_counts, ingestion_totals, paginate, resumed, round_summary, rounds
 from quarry.plans.register import query
 from quarry.plans.retrieval import BM25, RANK, _filings, _par, _queries
 from quarry.sources.tables import small, table
@@ -431,14 +431,58 @@ def _log(spark, d):
 
 
 @query(
-    "t01_rounds", "T1 T5 M11",
+    "t01_rounds", "T5",
     f"WITH {LOG} SELECT query_id, max((seq - 1) // 5 + 1)::INT AS rounds, max_by(tool, seq) AS last_tool, array_to_string(list_sort(list_distinct(list(tool))), ',') AS tools, count(*)::BIGINT AS n FROM log GROUP BY query_id",
 )
 def t01(spark, d):
     return _log(spark, d).groupBy("query_id").agg(F.max(F.floor((F.col("seq") - 1) / 5) + 1).cast("int").alias("rounds"), F.max_by("tool", "seq").alias("last_tool"), F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"), F.count("*").alias("n"))
 
 
-@query("t02_tool_counts", "T2 T3 T12", "SELECT event_type AS tool, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS n_queries FROM events GROUP BY event_type")
+STEPS = f"""{LOG}, sp AS (SELECT query_id, seq, (seq - 1) // 5 + 1 AS round, CASE WHEN tool = 'purchase' THEN 'final_answer' WHEN tool = 'error' THEN 'max_rounds_reached' WHEN seq % 2 = 0 THEN 'llm_request' ELSE 'tool_call' END AS event FROM log),
+pq AS (SELECT query_id, coalesce(max(CASE WHEN event = 'llm_request' THEN round END), 0)::INT AS rounds, coalesce(max_by(event, seq) FILTER (event IN ('final_answer', 'max_rounds_reached')), 'unknown') AS terminated_by FROM sp GROUP BY query_id)"""
+
+
+def _steps(spark, d):
+    """The events as steps of queries: purchases end a query with an answer, errors for want of rounds."""
+    seq = F.col("seq")
+    event = F.when(F.col("tool") == "purchase", "final_answer").when(F.col("tool") == "error", "max_rounds_reached").when(seq % 2 == 0, "llm_request").otherwise("tool_call")
+    return _log(spark, d).select("query_id", "seq", (F.floor((seq - 1) / 5) + 1).cast("int").alias("round"), event.alias("event"))
+
+
+@query("t01_terminations", "T1", f"WITH {STEPS} SELECT query_id, rounds, terminated_by FROM pq")
+def t01_ends(spark, d):
+    return rounds(_steps(spark, d))
+
+
+@query("t01_round_summary", "T1", f"WITH {STEPS} SELECT count(*)::BIGINT AS n_queries, round(avg(rounds), 2)::DOUBLE AS mean, median(rounds)::DOUBLE AS median, max(rounds) AS most, min(rounds) AS least FROM pq")
+def t01_summary(spark, d):
+    return round_summary(rounds(_steps(spark, d))).drop("distribution")
+
+
+@query("t12_event_counts", "T3 T12", f"WITH {STEPS} SELECT query_id, count(*) FILTER (event = 'final_answer')::BIGINT AS n_final_answer, count(*) FILTER (event = 'max_rounds_reached')::BIGINT AS n_max_rounds_reached, count(*) FILTER (event = 'tool_call')::BIGINT AS n_tool_call FROM sp GROUP BY query_id")
+def t12(spark, d):
+    return event_counts(_steps(spark, d), ("final_answer", "max_rounds_reached", "tool_call"))
+
+
+@query("t10_resume", "T10", "SELECT item_id, item_id IN (SELECT doc_id FROM labels) AS is_done FROM benchmark")
+def t10(spark, d):
+    """Items are tasks; those whose id is labelled are done."""
+    pending, done = resumed(table(spark, d, "benchmark").select("item_id"), table(spark, d, "labels").select(F.col("doc_id").alias("item_id")), "item_id")
+    return pending.select("item_id", F.lit(False).alias("is_done")).unionByName(done.select("item_id", F.lit(True).alias("is_done")))
+
+
+@query(
+    "t11_ingestion_totals", "T11",
+    """SELECT source AS "group", count(*)::BIGINT AS n, round(sum(n_chars / 1000.0), 4)::DOUBLE AS seconds, sum(n_chars)::BIGINT AS tokens FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) > 20) GROUP BY source""",
+)
+def t11(spark, d):
+    """Sources are groups; those with over twenty toxic documents failed."""
+    docs = table(spark, d, "documents")
+    toxic = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").groupBy(F.col("source").alias("group")).agg(F.count("*").alias("n")).where("n > 20")
+    return ingestion_totals(docs.select(F.col("source").alias("group"), (F.col("n_chars") / 1000).alias("seconds"), F.col("n_chars").alias("tokens")), toxic)
+
+
+@query("t02_tool_counts", "T2", "SELECT event_type AS tool, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS n_queries FROM events GROUP BY event_type")
 def t02(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_queries"))
 
@@ -456,9 +500,17 @@ def t06(spark, d):
     return paginate(hits, k=2)
 
 
-@query("t07_budget", "T7")
+@query(
+    "t07_budget", "T7",
+    f"""WITH {LOG}, a AS (SELECT query_id, seq, tool, chunk, row_number() OVER k <= 1 AS f FROM log WINDOW k AS (PARTITION BY query_id, tool, chunk ORDER BY seq)),
+b AS (SELECT *, f AND (tool <> 'click' OR sum((f AND tool = 'click')::INT) OVER (PARTITION BY query_id ORDER BY seq) <= 2) AS o FROM a),
+c AS (SELECT *, o AND sum(o::INT) OVER (PARTITION BY query_id ORDER BY seq) <= 5 AS ok FROM b),
+e AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY query_id, tool, chunk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u, coalesce(sum(ok::INT) OVER (PARTITION BY query_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM c)
+SELECT query_id, seq::INT AS seq, ok AS allowed, CASE WHEN ok THEN '' WHEN u >= 1 THEN 'duplicate' WHEN t >= 5 THEN 'budget' ELSE 'structure budget' END AS reason FROM e""",
+)
 def t07(spark, d):
-    return budget(_log(spark, d).select("query_id", "seq", "tool", F.concat_ws("|", "tool", "chunk").alias("key")), identical=1, searches=5)
+    calls = _log(spark, d).select("query_id", "seq", "tool", F.concat_ws("|", "tool", "chunk").alias("key"))
+    return budget(calls, identical=1, searches=5, structures=2, structure_tool="click")
 
 
 @query(
@@ -477,8 +529,9 @@ def t08(spark, d):
 
 @query(
     "t09_progress_stream", "T9",
-    "SELECT date_trunc('hour', ts) AS hour, event_type AS tool, count(*)::BIGINT AS n FROM events GROUP BY ALL",
+    """WITH w AS (SELECT date_trunc('hour', ts) AS hour, event_type, value FROM events)
+SELECT hour, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'error')::BIGINT AS failed, round(count(*) / 3600.0, 6)::DOUBLE AS per_second, round(sum(value), 2)::DOUBLE AS tokens FROM w GROUP BY hour""",
 )
 def t09(spark, d):
-    """Tumbling counts as a stream, with a watermark, run over what is there."""
-    return progress(spark, f"{d}/events.parquet", "1 hour")
+    """Completed and failed events, their rate and tokens in tumbling windows, as a stream in append mode over what is there."""
+    return progress(spark, f"{d}/events.parquet", "1 hour", failed="error")

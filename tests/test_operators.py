@@ -181,6 +181,24 @@ def test_budget(spark):
     assert [(r.allowed, r.reason) for r in got] == [(True, ""), (False, "duplicate"), (True, ""), (False, "budget")]
 
 
+def test_budget_against_a_walk_through_the_log(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(q, n, r.choice(["structure", "search"]), r.choice("abcdefghij")) for q in range(60) for n in range(r.randint(1, 25))]
+    for identical, searches, structures in ((1, 5, 2), (2, 6, 3), (1, 100, 1)):
+        used, total, special, want = {}, {}, {}, []
+        for q, n, tool, key in rows:
+            k = (q, f"{tool}|{key}")
+            why = "duplicate" if used.get(k, 0) >= identical else "budget" if total.get(q, 0) >= searches else "structure budget" if tool == "structure" and special.get(q, 0) >= structures else ""
+            if not why:
+                used[k], total[q] = used.get(k, 0) + 1, total.get(q, 0) + 1
+                special[q] = special.get(q, 0) + (tool == "structure")
+            want.append((q, n, not why, why))
+        df = spark.createDataFrame([(q, n, tool, f"{tool}|{key}") for q, n, tool, key in rows], "query_id long, seq int, tool string, key string")
+        assert sorted(map(tuple, budget(df, identical, searches, structures).collect())) == want
+
+
 def test_tool_calls(spark):
     message = 'go <invoke name="search"><parameter name="q">a b</parameter></invoke> then read({"doc": {"id": 1}, "s": "}"}) end'
     got = mine_tool_calls(spark.createDataFrame([(1, message), (2, None)], "id long, text string"), "id").orderBy("n").collect()
