@@ -51,6 +51,54 @@ def sentence_chunks(spark: SparkSession, docs: DataFrame, size: int = 800, overl
     return docs.mapInPandas(part, "doc_id long, n int, chunk string")
 
 
+def chunk_policy(size: int, overlap: int, finance: bool = False) -> tuple[int, int]:
+    """Size and overlap of chunks; for filings at least 1,000 and 150."""
+    return (max(size, 1000), max(overlap, 150)) if finance else (size, overlap)
+
+
+#: Where a text is split, the widest first, then anywhere.
+SEPARATORS = ("\n\n", "\n", "。", ".", " ", "")
+
+
+def recursive_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
+    """(doc_id, n, chunk): pieces between the widest separators that are short enough, packed to `size` characters.
+
+    A piece that is longer is split at the next separator. A chunk begins with the last pieces of the one before, up to
+    `overlap` characters. Separators stay with the piece before them, so without overlap the chunks are the text.
+    """
+    if overlap >= size:
+        raise ValueError("the overlap has to be smaller than the size")
+
+    def pieces(text: str, level: int) -> list[str]:
+        if len(text) <= size:
+            return [text] if text else []
+        sep = SEPARATORS[level]
+        if not sep:
+            return [text[i : i + size] for i in range(0, len(text), size)]
+        parts = text.split(sep)
+        return [p for i, x in enumerate(parts) for p in pieces(x + sep if i < len(parts) - 1 else x, level + 1)]
+
+    def pack(text: str | None) -> list[str]:
+        out, now, length = [], [], 0
+        for p in pieces(text or "", 0):
+            if now and length + len(p) > size:
+                out.append("".join(now))
+                while now and (length > overlap or length + len(p) > size):
+                    length -= len(now.pop(0))
+            now.append(p)
+            length += len(p)
+        return [*out, "".join(now)] if now else out
+
+    def part(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(i, n, c) for i, t in zip(f["doc_id"], f["text"], strict=True) for n, c in enumerate(pack(t))]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "chunk"])
+
+    return docs.select("doc_id", "text").mapInPandas(part, "doc_id long, n int, chunk string")
+
+
 def conversation_markdown(turns: DataFrame) -> DataFrame:
     """(conv_id, n, markdown): one Markdown text of each conversation (conv_id, turn, role, text)."""
     line = F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n**"), F.col("role"), F.lit("**: "), F.col("text"), F.lit(" ["), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit("]"))

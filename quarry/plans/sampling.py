@@ -102,7 +102,7 @@ def _formats(name, ids, source, kind, sql, columns):
     return run
 
 
-_formats("s01_jsonl", "S1 S2 S4 S12 S13 S15", "benchmark", "json", "SELECT item_id, text FROM benchmark", ["item_id", "text"])
+_formats("s01_jsonl", "S15", "benchmark", "json", "SELECT item_id, text FROM benchmark", ["item_id", "text"])
 _formats("s05_csv", "S5 S15", "conversations", "csv", "SELECT conv_id, turn, role, text FROM conversations", ["conv_id", "turn", "role", "text"])
 _formats("s11_parquet", "S11 S15", "embeddings", "parquet", "SELECT vec_id, label FROM embeddings", ["vec_id", "label"])
 _formats("s10_orc", "S10 S15", "documents", "orc", "SELECT doc_id, lang, source FROM documents", ["doc_id", "lang", "source"])

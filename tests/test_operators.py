@@ -91,6 +91,18 @@ def test_sentence_chunks_keep_all_text(spark):
     assert "".join(r.chunk for r in got) == body and all(len(r.chunk) <= 1400 for r in got)
 
 
+def test_recursive_chunks(spark):
+    from quarry.operators.structuring import chunk_policy, recursive_chunks
+
+    body = "One two. " * 40 + "\n\n" + "x" * 1300 + "\n" + "Last line."
+    df = spark.createDataFrame([(1, body), (2, None), (3, "")], "doc_id long, text string")
+    got = [r.chunk for r in recursive_chunks(df, 100, 0).orderBy("n").collect()]
+    assert "".join(got) == body and all(len(c) <= 100 for c in got)
+    again = [r.chunk for r in recursive_chunks(df, 100, 20).orderBy("n").collect()]
+    assert all(len(c) <= 100 for c in again) and again[1].startswith(again[0][-18:])
+    assert chunk_policy(800, 100, finance=True) == (1000, 150) and chunk_policy(800, 100) == (800, 100)
+
+
 def test_markdown(spark):
     df = spark.createDataFrame([(1, "## A\ntext\n##### B\nmore\n## C\n\na | b\nc | d")], "doc_id long, text string")
     got = markdown_nodes(df).orderBy("node_id").collect()
