@@ -74,12 +74,56 @@ def content_tokens(text: Column | str) -> Column:
 
 
 def judge_score(reply: Column | str, two_way: bool = False) -> Column:
-    """A judge's score 0 to 4 from its reply: JSON, else "score": n, else the first lone digit 0 to 4, else 0."""
+    """A judge's score 0 to 4 from its reply: a JSON object's, else "score": n, else the first lone number 0 to 4, else 0.
+
+    With two_way only 4 and 0 are allowed, and whatever isn't 4 is 0.
+    """
     reply = _col(reply)
-    named = F.nullif(F.regexp_extract(reply, '"score"\\s*:\\s*"?([0-9]+)', 1), F.lit(""))
-    lone = F.nullif(F.regexp_extract(reply, "(^|[^0-9])([0-4])([^0-9]|$)", 2), F.lit(""))
-    score = F.greatest(F.lit(0), F.least(F.lit(4), F.coalesce(F.coalesce(named, lone).try_cast("int"), F.lit(0))))
-    return F.when(score >= 2, 4).otherwise(0) if two_way else score
+    whole = F.when(F.try_parse_json(reply).isNotNull() & F.ltrim(reply).startswith("{"), F.coalesce(F.get_json_object(reply, "$.score"), F.lit("0"))).try_cast("double")
+    part = lambda p: F.nullif(F.regexp_extract(reply, p, 1), F.lit("")).try_cast("double")
+    score = F.coalesce(whole, part('"score"\\s*:\\s*([0-4])'), part(r"\b([0-4])\b"), F.lit(0.0))
+    score = F.greatest(F.lit(0), F.least(F.lit(4), score.cast("int")))
+    return F.when(score == 4, 4).otherwise(0) if two_way else score
+
+
+def json_object(text: Column | str) -> Column:
+    """The JSON object of a text: the text itself, or what stands between its first and last brace; null if that is none."""
+    t = _col(text)
+    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    whole = F.when(F.try_parse_json(t).isNotNull() & F.trim(t).startswith("{"), F.trim(t))
+    return F.coalesce(whole, F.when((inner != "") & F.try_parse_json(inner).isNotNull(), inner))
+
+
+def truncated(vector: Column, dims: int) -> Column:
+    """The first `dims` numbers of a longer vector, then length one; a zero vector stays."""
+    v = F.when(F.size(vector) > dims, F.slice(vector, 1, dims)).otherwise(vector)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
+
+
+def leak_terms(terms: Column, exceptions: tuple[str, ...] = ("block",)) -> Column:
+    """Literals that must not occur: distinct small letters and digits, three at least, but for some exceptions."""
+    keys = F.transform(terms, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", ""))
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda x: (F.length(x) >= 3) & ~x.isin(*exceptions))))
+
+
+def instructions(text: Column | str) -> Column:
+    """The parts of a numbered list: 1. ... 2. ..."""
+    return F.filter(F.transform(F.split(_col(text), r"(?:^|\n)\s*\d+\.\s+"), F.trim), lambda x: x != "")
+
+
+RESULT = "ok boolean, query string, scope string, doc_id string, source_name string, title string, error string, results array<struct<score:string,source_name:string,title:string,text:string,ref:struct<doc_id:string,node_id:string>>>"
+
+
+def compact_result(result: Column | str) -> Column:
+    """A tool's result (JSON) in short: named texts clipped to 300, three hits clipped to 500, or a preview if there is neither."""
+    raw = _col(result)
+    r = F.from_json(raw, RESULT)
+    names = ("query", "scope", "doc_id", "source_name", "title", "error")
+    hits = F.transform(F.slice(r["results"], 1, 3), lambda x: F.struct(*(clip(x[c], 500).alias(c) for c in ("score", "source_name", "title", "text")), x["ref"].alias("ref")))
+    nothing = F.coalesce(*(r[c] for c in names)).isNull() & r["results"].isNull()
+    preview = F.when(F.try_parse_json(raw).isNull() | ~F.trim(raw).startswith("{"), clip(raw, 800)).when(nothing, clip(raw, 900))
+    return F.struct(r["ok"].alias("ok"), *(clip(r[c], 300).alias(c) for c in names), hits.alias("results"), preview.alias("preview"))
 
 
 def request_key(tool: Column, args: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import periods
 from quarry.functions.text import title_parts
 from quarry.operators.retrieval import top_k
-from quarry.sources.tables import small
+from quarry.sources.tables import against
 
 #: Words of names that say little; short names that stand for others; words of headings that say nothing.
 GENERIC = ("annual", "report", "quarter", "quarterly", "fiscal", "year", "the", "what", "which", "how", "was", "were", "is", "are", "10k", "10q", "20f", "8k")
@@ -113,7 +113,7 @@ def route_facets(queries: DataFrame, docs: DataFrame, k: int = 5, dated: bool =
     n_documents, counts of matches, n_strong): strong documents match the name and something else. A bounded set of
     questions is sent to all documents.
     """
-    pairs = document_facets(docs).join(small(question_facets(queries)))
+    pairs = against(document_facets(docs), question_facets(queries), "query_id")
     shared = lambda a, b: F.when(F.size(b) > 0, F.arrays_overlap(a, b))
     pairs = pairs.select(
         "query_id", "doc_id", "source_name", "tokens", "years", "q_years", "quarters", "q_quarters", "filing", "dates", _name_matches().alias("by_name"), shared(F.col("years"), F.col("q_years")).alias("by_year"),

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_tokens, dot, normalised, title_parts, tokens
-from quarry.operators.retrieval import Inverted, bm25, corpus_statistics, fused, neighbors, postings, regex_hits, term_statistics, top_k
+from quarry.operators.retrieval import Inverted, bm25, corpus_statistics, evidence_lines, fused, neighbors, postings, regex_hits, reranked, term_statistics, top_k
+from quarry.operators.rankers import gated
 from quarry.operators.routing import route_facets, route_titles, search_headings
 from quarry.operators.sampling import verbatim
 from quarry.plans.register import query
-from quarry.sources.tables import paragraphs, small, table
+from quarry.sources.tables import against, paragraphs, small, table
 
 PAR = """par AS (SELECT doc_id, p_idx, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
   unnest(range(len(string_split(text, chr(10))))) AS p_idx FROM documents) WHERE trim(text, ' ') <> '')"""
@@ -65,10 +66,10 @@ c AS (SELECT q.vec_id AS query_id, n.vec_id, q.label = n.label AS same, round(gr
 
 
 def _cosines(spark, d):
-    """Each vector whose id is divisible by 50 against all others."""
+    """Each vector whose id is divisible by 50 against all others, a block of queries at a time."""
     n = table(spark, d, "embeddings").select("vec_id", "label", normalised(F.col("embedding")).alias("e"))
     q = n.where(F.col("vec_id") % 50 == 0).toDF("query_id", "qlabel", "qe")
-    pairs = q.join(n, F.col("query_id") != F.col("vec_id"))
+    pairs = against(n, q, "query_id", F.col("query_id") != F.col("vec_id"))
     score = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("qe"), F.col("e")))), 4)
     return pairs.select("query_id", "vec_id", (F.col("qlabel") == F.col("label")).alias("same"), score.alias("score"))
 
@@ -114,24 +115,60 @@ def _hybrid(spark, d):
     return fused(a, b, keys)
 
 
-@query("r05_hybrid_topk", "R5 J3", f"{HYBRID} SELECT query_id, doc_id, p_idx::INT AS p_idx, score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM h) WHERE rank <= 5")
+@query("r05_hybrid_topk", "J3", f"{HYBRID} SELECT query_id, doc_id, p_idx::INT AS p_idx, score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM h) WHERE rank <= 5")
 def r05(spark, d):
     return top_k(_hybrid(spark, d), 5, "doc_id", "p_idx")
 
 
+DOC_VEC = f"""dv AS (SELECT vec_id AS doc_id, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-12)) AS e FROM embeddings),
+vc AS (SELECT q.query_id, dv.doc_id, 0 AS p_idx, round(greatest(-1, least(1, list_inner_product(qv.e, dv.e))), 2) AS score FROM q JOIN dv qv ON qv.doc_id = q.query_id, dv)"""
+
+
+@query(
+    "r05_vector_hybrid", "R5",
+    f"""WITH {BM25}, {DOC_VEC}, a AS (SELECT * FROM (SELECT query_id, doc_id, p_idx, round(score, 2) AS score, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 20), b AS (SELECT * FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM vc) WHERE rank <= 20),
+f AS (SELECT query_id, doc_id, p_idx, coalesce(a.score, 0) AS l, coalesce(b.score, 0) AS v FROM a FULL JOIN b USING (query_id, doc_id, p_idx)),
+g AS (SELECT query_id, doc_id, p_idx, l, v, max(l) OVER w AS ml, min(v) OVER w AS lo, max(v) OVER w AS hi FROM f WINDOW w AS (PARTITION BY query_id)),
+h AS (SELECT query_id, doc_id, p_idx, round(0.5 * CASE WHEN ml > 0 THEN l / ml ELSE 0 END + 0.5 * CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS score FROM g)
+SELECT query_id, doc_id, p_idx::INT AS p_idx, score, rank::INT AS rank FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM h) WHERE rank <= 5""",
+)
+def r05_vectors(spark, d):
+    """Words and vectors: the vector of a document stands at its beginning, that of a test item is its question's."""
+    q, keys = _queries(spark, d), ["query_id", "doc_id", "p_idx"]
+    a = top_k(bm25(_par(spark, d), q), 20, "doc_id", "p_idx").select(*keys, F.round("score", 2).alias("score"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), normalised(F.col("embedding")).alias("e"))
+    qv = v.select(F.col("doc_id").alias("query_id"), F.col("e").alias("qe")).join(q.select("query_id"), "query_id", "left_semi")
+    score = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("qe"), F.col("e")))), 2)
+    b = top_k(against(v, qv, "query_id").select("query_id", "doc_id", F.lit(0).alias("p_idx"), score.alias("score")), 20, "doc_id", "p_idx").select(*keys, "score")
+    return top_k(fused(a, b, keys), 5, "doc_id", "p_idx")
+
+
 @query(
-    "r06_two_stage", "R6",
+    "r06_two_stage", "R6 R16",
     f"""WITH {BM25}, s AS (SELECT * FROM (SELECT *, {RANK.format('doc_id, p_idx')} FROM bm) WHERE rank <= 30),
-x AS (SELECT s.*, CASE WHEN (doc_id + p_idx) % 3 <> 0 THEN ((doc_id * 31 + p_idx * 7) % 101) / 100.0 END AS rel FROM s),
+x AS (SELECT s.*, l.quality + 1.0 / (1 + s.doc_id % 97) AS rel FROM s LEFT JOIN labels l ON l.doc_id = s.doc_id),
 y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC NULLS LAST, rank) AS final FROM x)
 SELECT query_id, doc_id, p_idx::INT AS p_idx, rank::INT AS stage1_rank, rel IS NOT NULL AS rerank_ok, final::INT AS rank FROM y WHERE final <= 5""",
 )
 def r06(spark, d):
-    first = top_k(bm25(_par(spark, d), _queries(spark, d)), 30, "doc_id", "p_idx")
-    rel = F.when((F.col("doc_id") + F.col("p_idx")) % 3 != 0, ((F.col("doc_id") * 31 + F.col("p_idx") * 7) % 101) / 100)
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rel"), "stage1_rank")
-    out = first.withColumnRenamed("rank", "stage1_rank").withColumn("rel", rel).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return out.select("query_id", "doc_id", "p_idx", "stage1_rank", F.col("rel").isNotNull().alias("rerank_ok"), "rank")
+    """Thirty by words, then the quality that documents are labelled with as relevance; without a label the first order holds."""
+    q = _queries(spark, d)
+    first = top_k(bm25(_par(spark, d), q), 30, "doc_id", "p_idx")
+    rated = table(spark, d, "labels").select("doc_id", (F.col("quality") + 1 / (1 + F.col("doc_id") % 97)).alias("relevance"))
+    relevance = first.select("query_id", "doc_id", "p_idx").join(rated, "doc_id")
+    out = reranked(first, relevance, 5, "doc_id", "p_idx")
+    return out.select("query_id", "doc_id", "p_idx", "stage1_rank", "rerank_ok", "rank")
+
+
+@query(
+    "r22_evidence_lines", "R22",
+    r"""WITH l AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[- ]+', '')), lambda x: x <> '') AS l FROM conversations)
+SELECT query_id, greatest(len(l), 1)::BIGINT AS n, md5(array_to_string(l, chr(10))) AS content, CASE WHEN len(l) = 0 THEN 0 ELSE 1 END::DOUBLE AS score FROM l""".replace("\\\\", "\\"),
+)
+def r22(spark, d):
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"))
+    g = evidence_lines(c).groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "content"))).alias("l"), F.max("score").alias("score"))
+    return g.select("query_id", "n", F.md5(F.array_join(F.transform("l", lambda x: x["content"]), "\n")).alias("content"), "score")
 
 
 @query(
@@ -354,7 +391,7 @@ def r19(spark, d):
 
 
 @query(
-    "r20_two_level", "R20 D29",
+    "r20_two_level", "R20",
     f"""WITH {BM25}, dd AS (SELECT query_id, doc_id, max(score) AS score FROM bm GROUP BY ALL),
 t AS (SELECT * FROM (SELECT *, {RANK.format('doc_id')} FROM dd) WHERE rank <= 3)
 SELECT query_id, doc_id, rank::INT AS rank, count(*)::BIGINT AS n_lines, sum(length(text))::BIGINT AS chars FROM t JOIN par USING (doc_id) GROUP BY ALL""",
@@ -367,7 +404,7 @@ def r20(spark, d):
 
 
 @query(
-    "r21_keyword_lookup", "R21 R22",
+    "r21_keyword_lookup", "R21",
     "SELECT 'turn' AS kind, conv_id AS id, count(*)::BIGINT AS n FROM conversations WHERE text ILIKE '%tion the%' GROUP BY conv_id UNION ALL SELECT 'document', doc_id, 1 FROM documents WHERE text ILIKE '%tion the%'",
 )
 def r21(spark, d):
@@ -377,7 +414,7 @@ def r21(spark, d):
 
 
 @query(
-    "r23_gate", "R23 R16",
+    "r23_gate", "R16",
     f"""WITH {BM25}, n AS (SELECT query_id, count(*) AS n FROM bm GROUP BY query_id)
 SELECT query_id, query_id % 3 = 0 AND coalesce(n, 0) > 0 AS routed, greatest(2, least(30, 2 + (coalesce(n, 0) % 40)))::BIGINT AS depth FROM q LEFT JOIN n USING (query_id)""",
 )
@@ -386,3 +423,20 @@ def r23(spark, d):
     n = bm25(_par(spark, d), q).groupBy("query_id").agg(F.count("*").alias("n"))
     n0 = F.coalesce("n", F.lit(0))
     return q.join(n, "query_id", "left").select("query_id", ((F.col("query_id") % 3 == 0) & (n0 > 0)).alias("routed"), F.greatest(F.lit(2), F.least(F.lit(30), 2 + n0 % 40)).alias("depth"))
+
+
+@query(
+    "r23_gated_results", "R23",
+    f"""WITH {TITLES}, t AS (SELECT query_id, page_id AS hit, rank FROM (SELECT *, {RANK.format('title, page_id')} FROM r WHERE score > 0) WHERE rank <= 3),
+bs AS (SELECT query_id, page_id AS hit, rank FROM (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS rank FROM q, pg) WHERE rank <= 2),
+g AS (SELECT item_id AS query_id FROM benchmark WHERE item_id % 3 = 0 AND item_id IN (SELECT query_id FROM t))
+SELECT query_id, hit, rank::INT AS rank, true AS is_routed FROM t WHERE query_id IN (SELECT query_id FROM g) UNION ALL SELECT query_id, hit, rank::INT, false FROM bs WHERE query_id NOT IN (SELECT query_id FROM g)""",
+)
+def r23_gated(spark, d):
+    """Pages by title where the gate opens, else the first pages."""
+    q = _queries(spark, d)
+    docs = _pages(spark, d).select(F.col("page_id").alias("doc_id"), F.col("title").alias("source_name"))
+    routed = route_titles(q, docs, 3).where("rank is not null").select("query_id", F.col("doc_id").alias("hit"), "rank")
+    first = docs.orderBy("doc_id").limit(2).select(F.col("doc_id").alias("hit"))
+    base = q.select("query_id").crossJoin(F.broadcast(first)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hit")))
+    return gated(routed, base, q.where("query_id % 2 = 0 or query_id % 3 = 0").select("query_id", (F.col("query_id") % 3 == 0).alias("use_tool")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import answer_tokens, bounded_top_k, chunk_id, clip, content_tokens, is_refusal, judge_score, literal_key, request_key, title_parts, tokens
+from quarry.functions.text import answer_tokens, bounded_top_k, chunk_id, clip, content_tokens, is_refusal, json_object, judge_score, literal_key, request_key, title_parts, tokens
 from quarry.operators.structuring import chunks, conversation_markdown, markdown_nodes, markdown_paragraphs, sentence_chunks
 from quarry.plans.documents import LINES, MADE
 from quarry.plans.register import query
@@ -62,7 +62,7 @@ def d15(spark, d):
 
 
 @query(
-    "d18_wiki_to_markdown", "D19",
+    "d18_wiki_to_markdown", "",
     r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n+', chr(10), 'g'), '\. ', '.' || chr(10) || chr(10) || '## ', 'g')) AS md FROM documents""",
 )
 def d18(spark, d):
@@ -71,7 +71,7 @@ def d18(spark, d):
 
 
 @query(
-    "d20_conversation_markdown", "D20 D21 D22",
+    "d20_conversation_markdown", "D20",
     "SELECT conv_id, count(*)::BIGINT AS n, md5('# Chat History' || chr(10) || string_agg('## Turn ' || turn || chr(10) || '**' || role || '**: ' || text || ' [' || conv_id || ':' || turn || ']', chr(10) ORDER BY turn)) AS md FROM conversations GROUP BY conv_id",
 )
 def d20(spark, d):
@@ -79,7 +79,7 @@ def d20(spark, d):
 
 
 @query(
-    "d01_parse_markdown", "D1 D2 D3 D4 D9",
+    "d01_parse_markdown", "D1 D2 D4",
     "SELECT conv_id, count(*)::BIGINT + 1 AS n_nodes, count(*)::BIGINT AS n_children, min(turn)::BIGINT AS first_turn FROM conversations GROUP BY conv_id",
 )
 def d01(spark, d):
@@ -124,7 +124,7 @@ def f04_whole(spark, d):
 
 
 @query(
-    "f05_f08_scalars", "F5 F7 F8 F25 A12",
+    "f05_f08_scalars", "F5 F7 F8",
     r"""SELECT conv_id, turn, regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know') AS refusal,
 CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) > 60 THEN left(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 59) || '…' ELSE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') END AS clipped,
 left(sha1(text), 16) AS key, sha256(text) AS digest, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS literal FROM conversations""",
@@ -147,18 +147,19 @@ def f09(spark, d):
 
 @query(
     "f13_judge_parse", "F13 F14",
-    r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Fine. {"score": ' || (doc_id % 7) || '}' WHEN 1 THEN 'the score is ' || (doc_id % 6) || ' of 4' WHEN 2 THEN 'no verdict' ELSE '{"score": "' || (doc_id % 5) || '"}' END AS reply FROM documents)
-SELECT doc_id, greatest(0, least(4, coalesce(TRY_CAST(coalesce(nullif(regexp_extract(reply, '"score"\s*:\s*"?([0-9]+)', 1), ''), nullif(regexp_extract(reply, '(^|[^0-9])([0-4])([^0-9]|$)', 2), '')) AS INT), 0)))::INT AS score, coalesce(regexp_extract(reply, '\{.*\}'), '') AS object FROM r""",
+    r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Fine. {"score": ' || (doc_id % 7) || '}' WHEN 1 THEN 'the score is ' || (doc_id % 6) || ' of 4' WHEN 2 THEN 'no verdict' ELSE '{"score": "' || (doc_id % 7) || '"}' END AS reply FROM documents),
+s AS (SELECT *, CASE WHEN doc_id % 4 = 3 THEN least(4, doc_id % 7) ELSE coalesce(TRY_CAST(nullif(regexp_extract(reply, '"score"\s*:\s*([0-4])', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(reply, '\b([0-4])\b', 1), '') AS INT), 0) END::INT AS score FROM r)
+SELECT doc_id, score, CASE WHEN score = 4 THEN 4 ELSE 0 END AS two_way, CASE WHEN doc_id % 4 IN (0, 3) THEN regexp_extract(reply, '\{.*\}') ELSE '' END AS object FROM s""",
 )
 def f13(spark, d):
     i = F.col("doc_id")
-    reply = F.when(i % 4 == 0, F.concat(F.lit('Fine. {"score": '), i % 7, F.lit("}"))).when(i % 4 == 1, F.concat(F.lit("the score is "), i % 6, F.lit(" of 4"))).when(i % 4 == 2, "no verdict").otherwise(F.concat(F.lit('{"score": "'), i % 5, F.lit('"}')))
+    reply = F.when(i % 4 == 0, F.concat(F.lit('Fine. {"score": '), i % 7, F.lit("}"))).when(i % 4 == 1, F.concat(F.lit("the score is "), i % 6, F.lit(" of 4"))).when(i % 4 == 2, "no verdict").otherwise(F.concat(F.lit('{"score": "'), i % 7, F.lit('"}')))
     r = table(spark, d, "documents").select("doc_id", reply.alias("reply"))
-    return r.select("doc_id", judge_score("reply").alias("score"), F.regexp_extract("reply", r"\{.*\}", 0).alias("object"))
+    return r.select("doc_id", judge_score("reply").alias("score"), judge_score("reply", two_way=True).alias("two_way"), F.coalesce(json_object("reply"), F.lit("")).alias("object"))
 
 
 @query(
-    "f16_periods", "F16 F17 F18 F20 F21",
+    "f16_periods", "",
     r"""SELECT o_orderkey, year(o_orderdate)::INT AS y, 'Q' || quarter(o_orderdate) AS q, CASE WHEN o_orderpriority LIKE '1%' THEN '10-K' WHEN o_orderpriority LIKE '2%' THEN '10-Q' ELSE '8-K' END AS form, month(o_orderdate)::INT AS m, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE day(o_orderdate) END::INT AS day, o_orderkey % 3 = 0 OR day(o_orderdate) = 15 AS on_15th FROM orders""",
 )
 def f16(spark, d):
@@ -174,7 +175,7 @@ def f16(spark, d):
 
 
 @query(
-    "f22_content_tokens", "F22 F23 F26",
+    "f22_content_tokens", "",
     r"""SELECT item_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::INT AS n_words, regexp_matches(lower(text), 'tion') AS tag_tion, regexp_matches(text, '[0-9]') AS tag_number, len(list_filter(regexp_split_to_array(text, '\.\s+'), lambda x: x <> ''))::INT AS n_steps FROM benchmark""",
 )
 def f22(spark, d):
@@ -188,7 +189,7 @@ def f22b(spark, d):
 
 
 @query(
-    "a02_resolve_evidence", "A2 J2 M15",
+    "a02_resolve_evidence", "J2",
     """WITH e AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) || '; ' || conv_id || ':' || (turn + 50) AS ev FROM conversations WHERE turn > 0),
 x AS (SELECT conv_id, turn, unnest(string_split(ev, '; ')) AS id, unnest([0, 1]) AS pos FROM e)
 SELECT x.conv_id, x.turn, md5(string_agg(coalesce(c.role || ': ' || c.text, x.id), chr(10) ORDER BY pos)) AS evidence FROM x LEFT JOIN conversations c ON x.id = c.conv_id || ':' || c.turn GROUP BY ALL""",
@@ -205,7 +206,7 @@ def a02(spark, d):
 
 
 @query(
-    "a05_gold_evidence", "A1 A3 A4 A5 A6 A7 J7 J8",
+    "a05_gold_evidence", "",
     """SELECT o_orderkey AS case_id, count(*)::BIGINT AS n_lines, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), '; ') AS gold, count(DISTINCT l_partkey)::BIGINT AS n_evidence
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING NOT bool_and(l_returnflag = 'N')""",
 )
@@ -218,7 +219,7 @@ def a05(spark, d):
 
 
 @query(
-    "a10_prompts", "A8 A10 M8",
+    "a10_prompts", "A10",
     f"""WITH {PAR}, h AS (SELECT item_id, p_idx, left(par.text, 2000) AS t FROM benchmark JOIN par ON par.doc_id = item_id WHERE p_idx < 3)
 SELECT item_id, count(t)::BIGINT AS n_blocks, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY p_idx), '') || chr(10) || 'Question: ' || any_value(b.text)) AS prompt FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY item_id""",
 )

@@ -33,3 +33,14 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A side to broadcast if it has at most so many rows; else as it is, and Spark joins it in another way."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def against(rows: DataFrame, queries: DataFrame, key: str, condition=None, block: int = 10_000) -> DataFrame:
+    """All rows with each of a set of queries, a broadcast block of about `block` queries at a time."""
+    n = max(1, -(-queries.count() // block))
+    out = None
+    for k in range(n):
+        own = F.broadcast(queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else queries)
+        pairs = rows.crossJoin(own) if condition is None else rows.join(own, condition)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
