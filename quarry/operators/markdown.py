@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators.structuring import markdown_nodes
+from quarry.sources.tables import scratch_table
 
 #: The title of the section before the first heading, and how a source header begins.
 FRONT = "前言"
@@ -65,13 +66,13 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "seq", "line", "kind", "block", "section")
 
 
-def markdown_corpus(docs: DataFrame) -> DataFrame:
+def markdown_corpus(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(doc_id, node_id, p_idx, kind, text, image_path) of the paragraphs of documents (doc_id, text, folder or not).
 
     Text before the first heading is in a section of its own, the first. An image's text is its alternative text, and its
-    path is resolved against the document's folder.
+    path is resolved against the document's folder. lines: what markdown_lines gives, if it is there already.
     """
-    lines = markdown_lines(docs).where("kind not in ('blank', 'heading')")
+    lines = (markdown_lines(docs) if lines is None else lines).where("kind not in ('blank', 'heading')")
     g = lines.groupBy("doc_id", "block", "section", "kind").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
     g = g.withColumn("text", F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     front = F.max((F.col("section") == 0).cast("int")).over(Window.partitionBy("doc_id"))
@@ -91,9 +92,10 @@ def markdown_corpus(docs: DataFrame) -> DataFrame:
 
 def outline(docs: DataFrame) -> DataFrame:
     """(doc_id, node_id, level, title, parent_id, n_paragraphs, n_tokens, children) of each section, the front one too."""
-    corpus = markdown_corpus(docs)
+    lines = scratch_table(markdown_lines(docs), "lines")  # for sections and paragraphs alike
+    corpus = markdown_corpus(docs, lines)
     counts = corpus.groupBy("doc_id", "node_id").agg(F.count("*").alias("n_paragraphs"), F.sum(F.size(tokens("text"))).alias("n_tokens"))
-    nodes = markdown_nodes(docs, front=FRONT)
+    nodes = scratch_table(markdown_nodes(docs, front=FRONT, lines=lines), "sections")
     children = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.col("node_id"))).alias("children"))
     out = nodes.join(counts, ["doc_id", "node_id"], "left").join(children, ["doc_id", "node_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

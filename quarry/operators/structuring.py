@@ -106,7 +106,7 @@ def conversation_markdown(turns: DataFrame) -> DataFrame:
     return g.select("conv_id", "n", F.concat(F.lit("# Chat History\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("markdown"))
 
 
-def markdown_nodes(docs: DataFrame, front: str | None = None) -> DataFrame:
+def markdown_nodes(docs: DataFrame, front: str | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(doc_id, node_id, level, title, parent_id): headings of Markdown texts; levels start at 1 in each document.
 
     With `front`, text before the first heading is a section of that title, the first. A level deeper than its parent's
@@ -114,13 +114,13 @@ def markdown_nodes(docs: DataFrame, front: str | None = None) -> DataFrame:
     through one function.
     """
     heading = r"^\s*(#{1,6})\s+(.*)$"
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("seq", "line"))
     if front is None:
-        heads = lines.select("doc_id", "seq", F.length(F.regexp_extract("line", heading, 1)).alias("level"), F.trim(F.regexp_extract("line", heading, 2)).alias("title")).where("level > 0")
+        every = docs.select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("seq", "line"))
+        heads = every.select("doc_id", "seq", F.length(F.regexp_extract("line", heading, 1)).alias("level"), F.trim(F.regexp_extract("line", heading, 2)).alias("title")).where("level > 0")
     else:
         from quarry.operators.markdown import markdown_lines
 
-        own = markdown_lines(docs)
+        own = markdown_lines(docs) if lines is None else lines
         heads = own.where("kind = 'heading'").select("doc_id", "seq", F.length(F.regexp_extract("line", heading, 1)).alias("level"), F.trim(F.regexp_extract("line", heading, 2)).alias("title"))
         first = own.where("section = 0 and kind <> 'blank'").select("doc_id", F.lit(-1).alias("seq"), F.lit(0).alias("level"), F.lit(front).alias("title")).distinct()
         heads = heads.unionByName(first)

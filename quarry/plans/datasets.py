@@ -278,3 +278,14 @@ SELECT doc_id, md5('# ' || source || chr(10) || chr(10) || trim(regexp_replace(b
 )
 def d19(spark, d):
     return adapters.contract_markdown(table(spark, d, "documents").where("text is not null").select("doc_id", F.col("source").alias("title"), "text")).select("doc_id", F.md5("markdown").alias("body"))
+
+
+@query(
+    "d18_wiki_contents", "D18",
+    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(source || ' Contents (  hide ) ' || text || ' ## more', '\s+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, regexp_replace(regexp_replace(t, 'Contents\s*\(\s*hide\s*\)', '## Contents ( hide )' || chr(10), 'g'), '\s*## ', chr(10) || chr(10) || '## ', 'g') AS t FROM t)
+SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)) AS body FROM u""",
+)
+def d18_contents(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.md5(adapters.wiki_markdown(F.concat("source", F.lit(" Contents (  hide ) "), "text", F.lit(" ## more")))).alias("body"))

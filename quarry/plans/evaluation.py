@@ -37,15 +37,15 @@ def _judged(spark, d):
 
 
 @query(
-    "e01_token_f1", "",
-    f"""WITH p AS (SELECT b.item_id, d.doc_id, {ANS.format('b.text')} AS g, {ANS.format('left(d.text, 300)')} AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+    "e01_token_f1", "E1",
+    f"""WITH p AS (SELECT b.item_id, d.doc_id, {ANS.format('b.text')} AS g, {ANS.format('d.text')} AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
 x AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(g) AS w FROM p) GROUP BY ALL), y AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(t) AS w FROM p) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, sum(least(x.n, y.n)) AS same FROM x JOIN y USING (item_id, doc_id, w) GROUP BY ALL)
 SELECT item_id, doc_id, round(coalesce(same * 2.0 / (len(g) + len(t)), 0), 4)::DOUBLE AS f1 FROM p LEFT JOIN s USING (item_id, doc_id)""",
 )
 def e01(spark, d):
     b = table(spark, d, "benchmark").select("item_id", answer_tokens("text").alias("g"))
-    docs = table(spark, d, "documents").select("doc_id", answer_tokens(F.left("text", F.lit(300))).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", answer_tokens("text").alias("t"))
     p = docs.join(small(b), F.col("doc_id") % 40 == F.col("item_id") % 40)
     return token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id")
 
@@ -239,10 +239,16 @@ def e10(spark, d):
     return outcome(paired(_judged(spark, d), "base", "candidate"))
 
 
-@query("e13_relations", "E13 E18", f"WITH {PAIRED} SELECT case_id, delta::INT AS delta, CASE WHEN delta > 0 THEN 'candidate_better' WHEN delta < 0 THEN 'baseline_better' ELSE 'tie' END AS relation FROM p WHERE b <> c OR case_id % 2 = 0")
+@query("e13_relations", "E13", f"WITH {PAIRED} SELECT case_id, delta::INT AS delta, CASE WHEN delta > 0 THEN 'candidate_better' WHEN delta < 0 THEN 'baseline_better' ELSE 'tie' END AS relation FROM p")
 def e13(spark, d):
     relation = F.when(F.col("delta") > 0, "candidate_better").when(F.col("delta") < 0, "baseline_better").otherwise("tie")
-    return paired(_judged(spark, d), "base", "candidate").where("b <> c or case_id % 2 = 0").select("case_id", "delta", relation.alias("relation"))
+    return paired(_judged(spark, d), "base", "candidate").select("case_id", "delta", relation.alias("relation"))
+
+
+@query("e18_to_adjudicate", "E18", f"WITH {PAIRED} SELECT case_id, b, c FROM p WHERE b <> c")
+def e18(spark, d):
+    """Cases on whose score the two arms differ."""
+    return paired(_judged(spark, d), "base", "candidate").where("b <> c").select("case_id", "b", "c")
 
 
 @query(

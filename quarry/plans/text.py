@@ -100,25 +100,25 @@ def d05(spark, d):
 
 @query(
     "d23_safe_names", "D23 D25",
-    rf"WITH {PAGE} SELECT regexp_replace(lower(left(title, 12)), '[^a-z0-9]+', '_', 'g') AS name, count(*)::BIGINT AS n, left(sha1(array_to_string(list_sort(list(page_id::VARCHAR)), '|')), 16) AS key FROM pg GROUP BY 1 HAVING count(*) > 1",
+    rf"WITH {PAGE} SELECT regexp_replace(lower(title), '[^a-z]+', '_', 'g') AS name, count(*)::BIGINT AS n, left(sha1(array_to_string(list_sort(list(page_id::VARCHAR)), '|')), 16) AS key FROM pg GROUP BY 1 HAVING count(*) > 1",
 )
 def d23(spark, d):
-    name = F.regexp_replace(F.lower(F.left("title", F.lit(12))), "[^a-z0-9]+", "_")
+    name = F.regexp_replace(F.lower("title"), "[^a-z]+", "_")
     g = _pages(spark, d).groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("page_id").cast("string"))).alias("ids"))
     return g.where("n > 1").select("name", "n", F.left(F.sha1(F.array_join("ids", "|").cast("binary")), F.lit(16)).alias("key"))
 
 
 @query(
-    "f04_answer_tokens", "",
-    r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(translate(lower(replace(left(text, 400), ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and')), ' ') AS answer,
-len(regexp_extract_all(lower(left(text, 400)), '[a-z]+|[0-9]+'))::INT AS n_parts FROM documents""",
+    "f04_answer_tokens", "F3 F4",
+    r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(translate(lower(replace(text, ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and')), ' ') AS answer,
+len(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'))::INT AS n_parts FROM documents""",
 )
 def f04(spark, d):
-    head = F.left("text", F.lit(400))
+    head = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(answer_tokens(head), " ").alias("answer"), F.size(title_parts(head)).alias("n_parts"))
 
 
-@query("f04_whole_answer_tokens", "F4 F3")
+@query("f04_whole_answer_tokens", "")
 def f04_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(answer_tokens("text"), " ").alias("answer"), F.size(title_parts("text")).alias("n_parts"))
 

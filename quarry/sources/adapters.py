@@ -162,5 +162,13 @@ def contract_markdown(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.concat(F.lit("# "), "title", F.lit("\n\n"), F.trim(body)).alias("markdown"))
 
 
+def wiki_markdown(text: Column | str) -> Column:
+    """Running text of an encyclopedia as Markdown: white space squeezed, its list of contents a heading, a blank line before headings."""
+    t = F.trim(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"\s+", " "))
+    t = F.regexp_replace(t, r"Contents\s*\(\s*hide\s*\)", "## Contents ( hide )\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s*## ", "\n\n## "), r"\n{3,}", "\n\n")
+    return F.concat(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit("\n"))
+
+
 def plain_answer(raw: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.col(raw) if isinstance(raw, str) else raw, r"^\s+|\s+$", ""))
