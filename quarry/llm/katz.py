@@ -116,18 +116,22 @@ def _deal(parts: int, hot: np.ndarray, hot_pairs: np.ndarray, limit: int = 8 <<
             n += 1
             ids, texts = [x for x, _ in held], [x for _, x in held]
             held.clear()
-            pieces = [tokens(texts[s]) + (s.start,) for s in blocks([len(x or "") for x in texts])]
-            t, h = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
-            doc = np.concatenate([p[2] + p[3] for p in pieces])
+            pieces = []
+            for s in blocks([len(x or "") for x in texts]):
+                t, h, doc = tokens(texts[s])
+                with np.errstate(over="ignore"):
+                    key = _pair(t, h)
+                    by_block = key + mix64(np.array([block], np.uint64))
+                    part = _home(np.where(np.isin(key, hot_pairs), by_block, np.where(np.isin(t, hot), t * np.uint64(3) + h, t)), parts)
+                pieces.append((t, h, (doc + s.start).astype(np.int32), part.astype(np.int32)))
+            del texts
+            t, h, doc, part = (np.concatenate([p[i] for p in pieces]) for i in range(4))
+            del pieces
             out = np.array([_held(i) for i in ids])
             rows = [(META, block % parts, block, None, None, _pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), out.astype(np.uint8), np.bincount(doc, minlength=len(ids)).astype(np.uint32)))]
-            spread = np.isin(t, hot)
-            with np.errstate(over="ignore"):
-                key = _pair(t, h)
-                by_block = key + mix64(np.array([block], np.uint64))
-                part = _home(np.where(np.isin(key, hot_pairs), by_block, np.where(spread, t * np.uint64(3) + h, t)), parts)
             order = np.lexsort((h, t, part))
             t, h, doc, part = t[order], h[order], doc[order], part[order]
+            del order
             cut = np.searchsorted(part, np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)):
                 a, b = cut[p], cut[p + 1]
