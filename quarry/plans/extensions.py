@@ -80,7 +80,7 @@ def u02(spark, d):
     return search_with("by_length", q, docs, 3).select("query_id", "doc_id", "score", "rank")
 
 
-@query("f28_compacted", "F28", r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE left(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 299) END AS query, CASE WHEN turn % 3 = 0 THEN 0 WHEN turn % 3 = 1 THEN 3 ELSE -1 END::INT AS n_results, turn % 3 = 0 AS has_preview FROM conversations""".replace("\\\\", "\\"))
+@query("f28_compacted", "F28", r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE left(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 299) END AS query, CASE WHEN turn % 3 = 0 THEN 0 WHEN turn % 3 = 1 THEN 3 ELSE -1 END::INT AS n_results, turn % 3 = 0 AS has_preview FROM conversations""")
 def f28_compacted(spark, d):
     """Results with a query and four hits, with a query alone, and none that can be read."""
     hit = F.struct(F.lit(0.5).alias("score"), "text")

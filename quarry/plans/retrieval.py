@@ -163,7 +163,7 @@ def r06(spark, d):
 @query(
     "r22_evidence_lines", "R22",
     r"""WITH l AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[- ]+', '')), lambda x: x <> '') AS l FROM conversations)
-SELECT query_id, greatest(len(l), 1)::BIGINT AS n, md5(array_to_string(l, chr(10))) AS content, CASE WHEN len(l) = 0 THEN 0 ELSE 1 END::DOUBLE AS score FROM l""".replace("\\\\", "\\"),
+SELECT query_id, greatest(len(l), 1)::BIGINT AS n, md5(array_to_string(l, chr(10))) AS content, CASE WHEN len(l) = 0 THEN 0 ELSE 1 END::DOUBLE AS score FROM l""",
 )
 def r22(spark, d):
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"))
