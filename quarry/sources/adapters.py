@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.datasets import non_blank
 
+#: The fields that the data sets' files have.
 FINANCE = "financebench_id string, doc_name string, company string, question string, answer string, question_type string, question_reasoning string, justification string, evidence array<struct<evidence_text:string,doc_name:string>>"
 PAPER = "struct<title:string,abstract:string,full_text:array<struct<section_name:string,paragraphs:array<string>>>,figures_and_tables:array<struct<caption:string,file:string>>,qas:array<struct<question:string,question_id:string,answers:array<struct<answer:struct<unanswerable:boolean,extractive_spans:array<string>,free_form_answer:string,yes_no:boolean,evidence:array<string>>>>>>>"
 MULTI_HOP = "id string, question string, answer string, type string, level string, context struct<title:array<string>,sentences:array<array<string>>>, supporting_facts struct<title:array<string>,sent_id:array<int>>"
