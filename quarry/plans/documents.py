@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.markdown import descendants, inventory, markdown_corpus, markdown_lines, outline, section_bodies, tree_profile, with_source_header
 from quarry.plans.register import query
-from quarry.sources.tables import table
+from quarry.sources.tables import dealt, table
 
 MADE = """md AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE i % 13 WHEN 2 THEN '## ' || x WHEN 3 THEN '|' || x || '|' WHEN 4 THEN '|--|--|' WHEN 6 THEN '### ' || x
  WHEN 7 THEN '![' || left(x, 3) || '](img/' || i || '.png) ' WHEN 8 THEN '<table>' || x WHEN 10 THEN '</table>' WHEN 12 THEN '--|--' ELSE x END), chr(10)) AS text FROM documents)"""
@@ -34,7 +34,7 @@ def _made(spark, d):
             out = F.when(cond, value) if out is None else out.when(cond, value)
         return out.otherwise(x)
 
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
 @query("d03_markdown_sections", "D3 D5 D6 D7", f"WITH {LINES} SELECT doc_id, section::BIGINT AS section, kind, count(DISTINCT block)::BIGINT AS n_blocks, count(*)::BIGINT AS n_lines FROM n WHERE kind <> 'blank' GROUP BY ALL")

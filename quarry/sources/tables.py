@@ -12,9 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than there are cores, dealt out by a key, so that its rows aren't all worked on in one task.
+
+    Tables of many files stay as they are; what groups by the key later needs no other exchange then.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if len(df.inputFiles()) < n else df
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, p_idx, text): the lines of documents that aren't blank; p_idx counts all lines."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p_idx", "text")).where(F.trim("text") != "")
+    return dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p_idx", "text")).where(F.trim("text") != "")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
