@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from quarry.llm import decontaminate, embedding_dedup, html_text, katz, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity
+from quarry.llm import decontaminate, embedding_dedup, html_text, katz, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity, vector_codes
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_katz": katz.op9_katz,
     "op10_pieces": pieces.op10_pieces,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "pipeline": stages.run,
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.OP1_SQL,
     "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
