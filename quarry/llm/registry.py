@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from quarry.llm import decontaminate, embedding_dedup, html_text, katz, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity, vector_codes
+from quarry.llm import decontaminate, embedding_dedup, html_text, katz, lexical, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity, vector_codes
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_katz": katz.op9_katz,
     "op10_pieces": pieces.op10_pieces,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_lexical_search": lexical.op12_lexical_search,
     "pipeline": stages.run,
 }
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
 }
