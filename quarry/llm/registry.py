@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from quarry.llm import decontaminate, embedding_dedup, html_text, katz, lexical, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity, vector_codes
+from quarry.llm import decontaminate, embedding_dedup, html_text, katz, language, lexical, line_dedup, ngram_join, pieces, pii, stages, token_files, toxicity, vector_codes
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pieces": pieces.op10_pieces,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_language": language.op13_language,
     "pipeline": stages.run,
 }
 ORACLES = {

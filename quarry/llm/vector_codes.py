@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, read_table, small_batches
 
 SCALE = 256
-BLOCK = 4096
-LEAF = 16
+BLOCK = 8192
+LEAF = 32
 _COMBOS = 1 << 18
 
 
@@ -178,7 +178,7 @@ def compress(spark: SparkSession, vectors: DataFrame, scratch: Scratch, parts: i
 
     A component x counts as floor(256 x). Codebooks start as the parts of the rows with the smallest vec_ids; each round
     assigns all parts and takes the floors of the means; entries that no part has stay. The vectors are read once and
-    written as blocks of 4,096 with their trees; a round reads these and sends one sum for each entry and task, so what
+    written as blocks of 8,192 with their trees; a round reads these and sends one sum for each entry and task, so what
     travels is of a fixed size. Rows whose vector is null or empty, or holds null or non-finite components, or ones whose
     distances don't fit a long (over 2^19 for 64 components), are dropped; so are those of another length than the first
     row that can be coded, and of lengths that the parts don't divide. Rows that repeat a vec_id are coded each by their
