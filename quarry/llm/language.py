@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, blocks, column, mix64, others, read_table, small_batches
+from quarry.llm.common import Scratch, blocks, column, mix64, others, read_table, small_batches, spare
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -271,8 +271,9 @@ def name_languages(spark: SparkSession, docs: DataFrame, bound: int = 4000, char
 
     made = ("held_out", "lang_pred", "score", "rejected")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
-    named = docs.select(*map(column, others(docs, *made)), held, name("text").alias("_n.n"))
-    return named.select("*", "`_n.n`.*").drop("_n.n")
+    other, own = others(docs, *made), spare(docs, "_named")
+    named = docs.select(*map(column, other), held, name("text").alias(own))
+    return named.select(*map(column, other), "held_out", *(F.col(own)[x].alias(x) for x in made[1:]))
 
 
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
