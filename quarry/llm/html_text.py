@@ -14,6 +14,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import column, others, read_table, small_batches
 
 SIZE = 1 << 14
-SHORT = 300  # characters; words that tell notices and controls are looked for in shorter blocks, as articles hold them too
 MARK = "data-label-of-template"
 #: An attribute as browsers read it: a quote counts only behind =, and only if it is closed.
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*)))?")
@@ -50,6 +50,11 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _SIGNS = re.compile(r"©|\(c\)|copyright|cookie|subscrib|newsletter|sign in|log in|repl(?:y|ies)|comment|advert|sponsor|share|privacy|rights reserved", re.I)
 
+_SIGN_WORDS = ("comment", "comments", "cookies", "privacy", "share", "copyright", "reply", "subscribe", "newsletter", "sponsor", "advert", "sign in", "log in")
+#: Elements and class words that tell what is no article.
+_OFF = {"nav", "header", "footer", "aside", "form", "menu"}
+_OFF_WORDS = {"ad", "ads", "advert", "comments", "comment", "sidebar", "cookie", "nav", "menu", "footer", "related", "share"}
+
 
 @dataclass
 class Block:
@@ -62,7 +67,9 @@ class Block:
     linked: int = 0
     children: int = 0
     last: str = ""  # the last character of its text
-    short: str = ""  # its whole text if that is short
+    n_words: int = 0
+    signs: Counter = field(default_factory=Counter)  # words of notices and controls in its text
+    land: str = "-"  # the nearest landmark around it: "in" an article, "off" in what is none, or "-"
 
 
 @dataclass
@@ -83,6 +90,7 @@ def parse(html: str | None, mark: str | None = None) -> Page:
     #: Open elements whose text is skipped, how many blocks held each, and whether it is a control without an end.
     skipped: list[tuple[str, int, bool]] = []
     endless: set[str] = set()  # kinds of which no end tag follows
+    opened: Counter = Counter()  # open blocks by tag
 
     def flush() -> None:
         text = " ".join(_html.unescape("".join(parts)).split())
@@ -92,10 +100,12 @@ def parse(html: str | None, mark: str | None = None) -> Page:
             b = blocks[stack[-1]]
             page.runs.append((stack[-1], text))
             b.runs, b.chars, b.linked = b.runs + 1, b.chars + len(text), b.linked + min(linked, len(text))
-            b.last, b.short = text[-1], b.short + text if b.chars < SHORT else ""
+            b.last, b.n_words = text[-1], b.n_words + text.count(" ") + 1
+            b.signs.update(x.lower()[:7] for x in _SIGNS.findall(text))
 
     def close(k: int) -> None:
         flush()
+        opened.subtract(blocks[b].tag for b in stack[k:])
         del stack[k:]
         state["link"] = 0
         while skipped and skipped[-1][1] > k:
@@ -181,16 +191,15 @@ def parse(html: str | None, mark: str | None = None) -> Page:
         if skipped:  # the first block behind an unclosed control is no part of it
             del skipped[next((i for i, x in enumerate(skipped) if x[2]), len(skipped)) :]
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if blocks[stack[k]].tag == name:
-                    close(k)
-                    break
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if blocks[stack[k]].tag == name))
             else:
                 flush()
             continue
         if blocks[stack[-1]].tag == "p" or name in _CLOSES:
             shut, held = _CLOSES.get(name, ((), ()))
-            for k in range(len(stack) - 1, 0, -1):
+            some = blocks[stack[-1]].tag == "p" or any(opened[x] for x in shut)
+            for k in range(len(stack) - 1, 0, -1) if some else ():
                 tag = blocks[stack[k]].tag
                 if tag in held:
                     break
@@ -210,8 +219,10 @@ def parse(html: str | None, mark: str | None = None) -> Page:
                 label = int("".join(values))
         parent = blocks[stack[-1]]
         parent.children += 1
-        blocks.append(Block(name, stack[-1], tuple(words), label))
+        land = "off" if name in _OFF or not _OFF_WORDS.isdisjoint(words) else "in" if name in ("article", "main") else parent.land
+        blocks.append(Block(name, stack[-1], tuple(words), label, land=land))
         stack.append(len(blocks) - 1)
+        opened[name] += 1
     flush()
     return page
 
@@ -220,11 +231,13 @@ def _features(b: Block) -> list[int]:
     """Places of what is seen of a block."""
     size = 0 if not b.chars else 1 + sum(b.chars > x for x in (15, 40, 80, 200, 500))
     links = 0 if not b.linked else 1 + sum(b.linked > x * b.chars for x in (0.2, 0.5, 0.9))
-    seen = ["bias", f"tag {b.tag}", f"size {size}", f"links {links}", f"size {size} links {links}", f"tag {b.tag} links {links}"]
+    seen = ["bias", f"tag {b.tag}", f"size {size}", f"links {links} {b.land}", f"size {size} links {links} {b.land}", f"tag {b.tag} links {links} {b.land}"]
     seen += [f"word {w}" for w in b.words]
     if b.chars:
         seen.append(f"end {b.last in '.!?…:;\"”'}")
-        seen += [f"sign {x.lower()[:7]}" for x in set(_SIGNS.findall(b.short))]
+    if b.signs:  # by how many words they stand among, in texts of any length
+        dense = sum(b.signs.total() * x > b.n_words for x in (20, 6))
+        seen += [f"signs {dense} {b.land}", *(f"sign {x} {dense} {b.land}" for x in b.signs)]
     return [zlib.crc32(x.encode()) % SIZE for x in seen]
 
 
@@ -298,6 +311,13 @@ def template_pages(n: int = 240, seed: int = 5) -> list[str]:
             return f"<table><tr><th>{words(1)}</th><td>{words(2)}</td></tr></table>"
         if kind < 0.56:
             return f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>"
+        if kind < 0.59:
+            return f"<ul>{links(r.randint(1, 4))}</ul>"
+        if kind < 0.72:  # articles speak of comments and cookies too
+            text = sentence(3, 40).split()
+            for _ in range(r.randint(1, 4)):
+                text.insert(r.randint(1, len(text)), r.choice(_SIGN_WORDS))
+            return f"<p>{' '.join(text)}</p>"
         inside = f' <a href="/x">{words(2)}</a> ' if r.random() < 0.3 else " "
         return f"<p>{sentence()}{inside}{' '.join(sentence() for _ in range(r.randint(0, 6)))}" + ("</p>" if r.random() < 0.9 else "<br>")
 
@@ -334,10 +354,6 @@ def template_pages(n: int = 240, seed: int = 5) -> list[str]:
     return out
 
 
-_OFF = {"nav", "header", "footer", "aside", "form", "menu"}
-_OFF_WORDS = {"ad", "ads", "advert", "comments", "comment", "sidebar", "cookie", "nav", "menu", "footer", "related", "share"}
-
-
 def own_labels(page: Page) -> bool:
     """Labels a page's blocks by its own markup; False if it names no article."""
     named = False
@@ -355,7 +371,8 @@ def own_labels(page: Page) -> bool:
 def train(pages: list[Page]) -> Model:
     """Factors from labelled pages: logistic regression for a block alone, counts of pairs for parent and child.
 
-    A block without a label takes its parent's; one above all labels counts as content if most text below it is.
+    A block without a label takes its parent's; one above all labels counts as content if most text below it is. Pages
+    have to hold both kinds of blocks, else there is nothing to tell apart.
     """
     rows, y, pairs = [], [], np.ones((2, 2))
     for page in pages:
@@ -377,6 +394,8 @@ def train(pages: list[Page]) -> Model:
             y.append(final[i])
             if i:
                 pairs[final[b.parent], final[i]] += 1
+    if len(set(y)) < 2:
+        raise ValueError("the pages need blocks of both labels")
     size = np.array([len(x) for x in rows])
     col, row, target = np.concatenate(rows), np.repeat(np.arange(len(rows)), size), np.array(y, float)
     w, grad2 = np.zeros(SIZE), np.full(SIZE, 1e-6)
@@ -391,19 +410,20 @@ def train(pages: list[Page]) -> Model:
     return Model(w.tolist(), tuple(map(tuple, ratio.tolist())))
 
 
-def extract(spark: SparkSession, pages: DataFrame, bound: int = 400) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame, bound: int = 400, longest: int = 200_000) -> DataFrame:
     """Adds text, the main text of each page's whole html, to pages (page_id, html, ...).
 
     Trained on 240 template pages and `bound` pages of the table at most (the documented bound: different pages, chosen
-    by a hash of the html; only those whose markup names an article). Null and empty html give an empty text. Pages that
+    by a hash of the html, of `longest` characters at most; only those whose markup names an article). Null and empty html give an empty text. Pages that
     repeat, or repeat a page_id, come back as often; no pages give no rows. A page of any length is read whole, in
     memory in proportion to its own length. A column `text` is replaced; all others stay, whatever their names.
     """
     small_batches(spark, 250)
     place = F.pmod(F.xxhash64("html", F.lit(3)), F.lit(1 << 30))
-    n = pages.where("html is not null").count()
+    short = pages.where(F.length("html") <= longest).select("html")
+    n = short.count()
     share = min(1.0, 2 * bound / max(n, 1))  # with twice the bound, copies and chance leave enough
-    sample = pages.where("html is not null").where(place < int(share * (1 << 30))).select("html").distinct().orderBy(place, "html").limit(bound)
+    sample = short.where(place < int(share * (1 << 30))).distinct().orderBy(place, "html").limit(bound)
     known = [parse(x, MARK) for x in template_pages()]
     known += [p for (x,) in sample.collect() if own_labels(p := parse(x))]
     sent = spark.sparkContext.broadcast(train(known))
