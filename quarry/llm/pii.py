@@ -16,7 +16,10 @@ from quarry.llm.common import column as own
 from quarry.llm.common import read_table, spare
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-SECRET = r"(?i:api_?key|token|secret|password) ?[=:] ?\"[^\"\s]{8,}+\""
+#: The name of a secret with its sign; the name may end a quoted one, as in JSON.
+NAMED = r"(?i:api_?key|token|secret|password)[\"']?[ \t]*+[=:][ \t]*+"
+#: In quotes of either kind; without any, only what holds letters and digits and is no mail address.
+SECRET = NAMED + r"(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+'|(?=[^\s\"',;)}\]@]*+(?!@))(?=[^\s\"',;)}\]@]*?[0-9])(?=[^\s\"',;)}\]@]*?[A-Za-z])[^\s\"',;)}\]@]{8,}+)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?: ?(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}(?: ?(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?<mark>[/.])[0-9]{1,2}\k<mark>[0-9]{4})(?![0-9])"
@@ -218,10 +221,11 @@ def _iban(key: str, m: Column) -> Column:
 
 
 def _secret(key: str, m: Column) -> Column:
-    at = F.instr(m, '"')
-    inner = F.substr(m, at + 1, F.length(m) - at - 1)
+    head = F.regexp_extract(m, f"^{NAMED}[\"']?", 0)
+    quoted = F.right(head, F.lit(1)).isin('"', "'")
+    inner = F.substr(m, F.length(head) + 1, F.length(m) - F.length(head) - quoted.cast("int"))
     new = F.when(inner.rlike("^[0-9a-f]+$"), _string(key, "hex", inner, ("0123456789abcdef",))).otherwise(_string(key, "secret", inner))
-    return F.concat(F.left(m, at), new, F.lit('"'))
+    return F.concat(head, new, F.when(quoted, F.right(head, F.lit(1))).otherwise(F.lit("")))
 
 
 def _kind(m: Column) -> Column:
@@ -231,7 +235,7 @@ def _kind(m: Column) -> Column:
     area = F.left(m, F.lit(3)).cast("int")
     iban = F.replace(m, F.lit(" "), F.lit(""))
     return (
-        F.when(m.contains('"'), "secret")
+        F.when(m.rlike(f"^{NAMED}"), "secret")
         .when(m.contains("@"), F.when(F.substring_index(m, "@", -1).rlike(r"\.[A-Za-z]{2,}(?:\.|$)"), "email"))
         .when(m.rlike("^[A-Z]"), F.when(F.length(iban).between(15, 34) & (_mod97(F.concat(F.substr(iban, F.lit(5), F.lit(40)), F.left(iban, F.lit(4)))) == 1), "iban"))
         .when(whole(IP), F.when(octets, "ip"))
