@@ -170,9 +170,15 @@ class Restorer:
                 out.append(self.word(x) if _RUN.search(x) else x)
             elif any(ch.isalpha() for ch in x):
                 out.append(self.word(x.rstrip("!") or x))
-                out += [p for p in _PLAIN.findall(x) if len(p) > 3]
         return [w for part in out for w in part.split() if w]
 
+    def scored(self, token: str) -> list[str]:
+        """What is scored of a token: its restored words, and the runs of letters between the signs of a disguised one."""
+        bare = token.strip(_ENDS)
+        if bare.isalpha():
+            return self.words(token)
+        return self.words(token) + [p for x in _SPLIT.split(bare) if not x.isalpha() for p in _PLAIN.findall(x)]
+
 
 # --- classifier ----------------------------------------------------------------------------------------------------
 
@@ -226,11 +232,11 @@ def _restored(texts: list[str | None], restorer: Restorer, known: dict, made):
         split = []
         for t in texts[s]:
             low = (t or "").lower()
-            split.append((set(low.split()), [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split() if len(w) > 2]))
+            split.append((set(low.split()), [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split()]))
         if len(known) > 200_000:
             known.clear()
         new = list(set().union(*(tokens for tokens, _ in split)).difference(known))
-        words = [restorer.words(t) for t in new]
+        words = [restorer.scored(t) for t in new]
         joined = [w for _, spaced in split for w in spaced]
         values = iter(made([w for x in words for w in x] + joined))
         fresh = {t: [next(values) for _ in x] for t, x in zip(new, words, strict=True)}
