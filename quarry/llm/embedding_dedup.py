@@ -168,7 +168,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95,
     parts_of = components(spark, found.where("a <> b").select("a", "b"), scratch)
     known = groups.select("key", "rep", "mult").join(links, "rep", "left").join(parts_of.withColumnRenamed("id", "rep"), "rep", "left")
     known = scratch.save(known.select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
-    out = rows.select("vec_id", "key").join(known, "key", "left")
+    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

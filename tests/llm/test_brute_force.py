@@ -210,8 +210,8 @@ def test_op8_against_a_plain_version(spark, tmp_path):
 
     def words(text):
         low = (text or "").lower()
-        spaced = [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split() if len(w) > 2]
-        return [w for t in sorted(set(low.split())) for w in restorer.words(t)] + spaced
+        spaced = [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split()]
+        return [w for t in sorted(set(low.split())) for w in restorer.scored(t)] + spaced
 
     def places(word):
         whole, grams, _ = _features([word])

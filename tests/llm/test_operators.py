@@ -12,7 +12,7 @@ import pytest
 from quarry.llm.common import Scratch, components
 from quarry.llm.decontaminate import contaminated, least_distance, masks
 from quarry.llm.embedding_dedup import near_vectors
-from quarry.llm.html_text import extract, own_labels, parse, template_pages, train
+from quarry.llm.html_text import MARK, extract, own_labels, parse, template_pages, train
 from quarry.llm.katz import katz_scores
 from quarry.llm.line_dedup import drop_repeated_lines
 from quarry.llm.ngram_join import jaccard_components
@@ -196,10 +196,10 @@ def test_vectors(spark):
 
 def test_html(spark):
     known = template_pages(120, 1)
-    model = train([parse(x) for x in known])
+    model = train([parse(x, MARK) for x in known])
     wrong = total = 0
     for x in template_pages(60, 2):
-        page = parse(x)
+        page = parse(x, MARK)
         labels = [None]
         for b in page.blocks[1:]:
             labels.append(b.label if b.label is not None else labels[b.parent])
@@ -218,7 +218,7 @@ def test_marginals_are_exact():
     """Sum-product gives what summing over all labellings gives."""
     import itertools
 
-    model = train([parse(x) for x in template_pages(30, 4)])
+    model = train([parse(x, MARK) for x in template_pages(30, 4)])
     page = parse("<div><p>One two three.</p><ul><li><a href=/>x</a></li></ul></div>")
     alone = []
     for b in page.blocks:
