@@ -1,102 +1,11 @@
-"""Documents into sections, paragraphs and chunks."""
+"""Documents into sections and paragraphs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, start, chunk): chunks of `size` characters, each `size - overlap` after the last, while any text is left."""
-    if overlap >= size:
-        raise ValueError("the overlap has to be smaller than the size")
-    starts = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - overlap))).alias("start"))
-    return starts.select("doc_id", "start", F.substr("text", F.col("start") + 1, F.lit(size)).alias("chunk"))
-
-
-def sentence_chunks(spark: SparkSession, docs: DataFrame, size: int = 800, overlap: int = 100, least: int = 200, most: int = 1200) -> DataFrame:
-    """(doc_id, n, chunk): sentences packed to `size` characters, one more up to `most`; the next chunk repeats whole
-    sentences of up to `overlap` characters; a last chunk under `least` joins the one before."""
-
-    def pack(text: str) -> list[str]:
-        import re
-
-        out, now, fresh = [], [], 0
-        for s in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$", text or ""):
-            length = sum(map(len, now))
-            if now and fresh and length + len(s) > size and not (length < size and length + len(s) <= most):
-                out.append("".join(now))
-                kept: list[str] = []
-                for x in reversed(now):
-                    if sum(map(len, kept)) + len(x) > overlap:
-                        break
-                    kept.insert(0, x)
-                now, fresh = kept, 0
-            now.append(s)
-            fresh += len(s)
-        if fresh:
-            if out and fresh < least:
-                out[-1] += "".join(now)[-fresh:]
-            else:
-                out.append("".join(now))
-        return out
-
-    def part(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [(i, n, c) for i, t in zip(f["doc_id"], f["text"], strict=True) for n, c in enumerate(pack(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "chunk"])
-
-    return docs.mapInPandas(part, "doc_id long, n int, chunk string")
-
-
-def chunk_policy(size: int, overlap: int, finance: bool = False) -> tuple[int, int]:
-    """Size and overlap of chunks; for filings at least 1,000 and 150."""
-    return (max(size, 1000), max(overlap, 150)) if finance else (size, overlap)
-
-
-#: Where a text is split, the widest first, then anywhere.
-SEPARATORS = ("\n\n", "\n", "。", ".", " ", "")
-
-
-def recursive_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
-    """(doc_id, n, chunk): pieces between the widest separators that are short enough, packed to `size` characters.
-
-    A piece that is longer is split at the next separator. A chunk begins with the last pieces of the one before, up to
-    `overlap` characters. Separators stay with the piece before them, so without overlap the chunks are the text.
-    """
-    if overlap >= size:
-        raise ValueError("the overlap has to be smaller than the size")
-
-    def pieces(text: str, level: int) -> list[str]:
-        if len(text) <= size:
-            return [text] if text else []
-        sep = SEPARATORS[level]
-        if not sep:
-            return [text[i : i + size] for i in range(0, len(text), size)]
-        parts = text.split(sep)
-        return [p for i, x in enumerate(parts) for p in pieces(x + sep if i < len(parts) - 1 else x, level + 1)]
-
-    def pack(text: str | None) -> list[str]:
-        out, now, length = [], [], 0
-        for p in pieces(text or "", 0):
-            if now and length + len(p) > size:
-                out.append("".join(now))
-                while now and (length > overlap or length + len(p) > size):
-                    length -= len(now.pop(0))
-            now.append(p)
-            length += len(p)
-        return [*out, "".join(now)] if now else out
-
-    def part(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [(i, n, c) for i, t in zip(f["doc_id"], f["text"], strict=True) for n, c in enumerate(pack(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(part, "doc_id long, n int, chunk string")
+from quarry.operators.chunking import chunk_policy, chunks, recursive_chunks, sentence_chunks  # noqa: F401
 
 
 def conversation_markdown(turns: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.structuring import recursive_chunks
 from quarry.plans.register import query
 from quarry.sources import adapters, datasets
 from quarry.sources.tables import scratch_path, table
@@ -263,12 +262,6 @@ def a12(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(adapters.plain_answer(F.concat(F.lit(" \n"), "text", F.lit("\t")))).alias("answer"))
 
 
-@query("d17_recursive_chunks", "D16 D17")
-def d17(spark, d):
-    """Whole documents, split at the widest separators that make pieces short enough."""
-    return recursive_chunks(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n", F.length("chunk").alias("size"))
-
-
 @query(
     "d19_contract_markdown", "D19",
     r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS l, source FROM documents WHERE text IS NOT NULL),

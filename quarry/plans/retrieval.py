@@ -308,16 +308,16 @@ def r09_whole(spark, d):
     return top_k(s, 5, "title", "doc_id", "p_idx").select("query_id", "doc_id", "p_idx", "score", "rank")
 
 
-@query(
-    "r10_read_section", "R10 J6",
-    f"""WITH {PAR}, r AS (SELECT doc_id, doc_id % 4 AS a, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id % 4 + 2 END AS b FROM documents)
-SELECT r.doc_id, count(*)::BIGINT AS n, md5(string_agg(text, chr(10) ORDER BY p_idx)) AS body FROM r JOIN par USING (doc_id) WHERE p_idx >= a AND (b = -1 OR p_idx < b) GROUP BY r.doc_id""",
-)
+READ_SECTION = f"""WITH {PAR}, r AS (SELECT doc_id, doc_id % 4 AS a, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id % 4 + 2 END AS b FROM documents)
+SELECT r.doc_id, count(*)::BIGINT AS n, md5(string_agg(text, chr(10) ORDER BY p_idx)) AS body FROM r JOIN par USING (doc_id) WHERE p_idx >= a AND (b = -1 OR p_idx < b) GROUP BY r.doc_id"""
+
+
+@query("r10_read_section", "J6", READ_SECTION)
 def r10(spark, d):
     return _sections(spark, d, table(spark, d, "documents"))
 
 
-@query("r10_whole_read_section", "")
+@query("r10_whole_read_section", "J6", READ_SECTION)
 def r10_whole(spark, d):
     return _sections(spark, d, table(spark, d, "documents"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import answer_tokens, bounded_top_k, chunk_id, clip, content_tokens, is_refusal, json_object, judge_score, literal_key, request_key, title_parts, tokens
-from quarry.operators.structuring import chunks, conversation_markdown, markdown_nodes, markdown_paragraphs, sentence_chunks
+from quarry.operators.structuring import conversation_markdown, markdown_nodes, markdown_paragraphs
 from quarry.plans.documents import LINES, MADE
 from quarry.plans.register import query
 from quarry.plans.retrieval import PAGE, PAR, TOK, _pages, _par
@@ -47,20 +47,6 @@ def d24(spark, d):
     return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query(
-    "d14_fixed_chunks", "D14 D16",
-    "SELECT doc_id, s::INT AS start, length(substr(text, s + 1, 800))::INT AS n, md5(substr(text, s + 1, 800)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(0, length(text), 700)) AS s FROM documents)",
-)
-def d14(spark, d):
-    c = chunks(table(spark, d, "documents"), 800, 100)
-    return c.select("doc_id", "start", F.length("chunk").alias("n"), F.md5("chunk").alias("chunk_md5"))
-
-
-@query("d15_sentence_chunks", "D15 D17")
-def d15(spark, d):
-    return sentence_chunks(spark, table(spark, d, "documents").select("doc_id", "text"))
-
-
 @query(
     "d18_wiki_to_markdown", "",
     r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n+', chr(10), 'g'), '\. ', '.' || chr(10) || chr(10) || '## ', 'g')) AS md FROM documents""",
@@ -108,17 +94,17 @@ def d23(spark, d):
     return g.where("n > 1").select("name", "n", F.left(F.sha1(F.array_join("ids", "|").cast("binary")), F.lit(16)).alias("key"))
 
 
-@query(
-    "f04_answer_tokens", "F3 F4",
-    r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(translate(lower(replace(text, ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and')), ' ') AS answer,
-len(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'))::INT AS n_parts FROM documents""",
-)
+ANSWER_TOKENS = r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(translate(lower(replace(text, ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and')), ' ') AS answer,
+len(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'))::INT AS n_parts FROM documents"""
+
+
+@query("f04_answer_tokens", "F3 F4", ANSWER_TOKENS)
 def f04(spark, d):
     head = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(answer_tokens(head), " ").alias("answer"), F.size(title_parts(head)).alias("n_parts"))
 
 
-@query("f04_whole_answer_tokens", "")
+@query("f04_whole_answer_tokens", "F4", ANSWER_TOKENS)
 def f04_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(answer_tokens("text"), " ").alias("answer"), F.size(title_parts("text")).alias("n_parts"))
 

@@ -55,6 +55,13 @@ def results(spark: SparkSession, path: str, result: str) -> DataFrame:
     return last_per_id(rows, "question", "place").drop("place")
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files under a path, whose contents aren't read; a file that Spark wrote as a folder counts as one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    whole = F.regexp_replace(F.regexp_replace("path", r"/part-[^/]*$", ""), r"/file=([^/]*)$", "/$1")
+    return files.groupBy(whole.alias("path")).agg(F.sum("length").alias("length"))
+
+
 def inventory(names: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_name, path, kind) of wanted names: the Markdown file if there is one, else the PDF, else null ("missing").
 
