@@ -119,15 +119,10 @@ def inventory(nodes: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return g.withColumn("name", F.regexp_replace("source_name", "_doc$", "")).join(extra.select("name", "pages"), "name", "left").drop("name")
 
 
-def section_bodies(docs: DataFrame) -> DataFrame:
+def section_bodies(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(doc_id, node_id, first_line, last_line, body): each section's lines, from its heading to before the next one."""
-    lines = markdown_lines(docs)
-    heads = lines.where("kind = 'heading'").select("doc_id", "section", F.col("seq").alias("first_line"))
-    w = Window.partitionBy("doc_id").orderBy("first_line")
-    heads = heads.withColumn("next_line", F.lead("first_line").over(w))
-    inside = (F.col("seq") >= F.col("first_line")) & (F.col("next_line").isNull() | (F.col("seq") < F.col("next_line")))
-    hits = heads.join(lines.select("doc_id", "seq", "line"), "doc_id").where(inside)
-    g = hits.groupBy("doc_id", F.col("section").alias("node_id"), "first_line").agg(F.max("seq").alias("last_line"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    own = (markdown_lines(docs) if lines is None else lines).where("section > 0")  # lines carry their section's number
+    g = own.groupBy("doc_id", F.col("section").alias("node_id")).agg(F.min("seq").alias("first_line"), F.max("seq").alias("last_line"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
     return g.select("doc_id", "node_id", "first_line", "last_line", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
