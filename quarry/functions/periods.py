@@ -13,10 +13,14 @@ QUARTERS = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "third": 3, "3rd": 3, "
 NO_NAME = (
     "10", "8", "K", "Q", "10K", "10Q", "8K", "10-K", "10-Q", "8-K", "FY", "Q1", "Q2", "Q3", "Q4", "ANNUAL", "REPORT", "EARNINGS", "RELEASE", "SOURCE", "DOCUMENT", "FILE", "FILING", "PDF",
     "HTML", "TXT", "INC", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LLC", "PLC", "GROUP", "HOLDINGS", "THE", "AND", "OF", "FOR", "COM", "QUARTER", "QUARTERLY", "RESULTS", "PRESS",
-    "STATEMENT", "FORM", "ITEM", "PAGE", "CURRENT", "EXHIBIT", "EXHIBITS", "SEC", "COMMISSION", "UNITED", "STATES", "WASHINGTON", "DELAWARE", "JERSEY", "INCORPORATED", "DATED", "FILED",
+    "STATEMENT",
+)
+#: More of these, where dates count.
+NO_NAME_DATED = (
+    "FORM", "ITEM", "PAGE", "CURRENT", "EXHIBIT", "EXHIBITS", "SEC", "COMMISSION", "UNITED", "STATES", "WASHINGTON", "DELAWARE", "JERSEY", "INCORPORATED", "DATED", "FILED",
 )
 _YEAR, _MONTH, _NTH = "((?:19|20)[0-9]{2})", rf"((?:{'|'.join(MONTHS)})[a-z]*\.?)", "([0-9]{1,2})(?:st|nd|rd|th)?"
-#: Ways of writing a date, and which group of each is the year, the month and the day (0: none).
+#: Ways of writing a date, and which group of each is the year, the month and the day (0: none).
 DATES = (
     (f"(?i)(?<![0-9]){_YEAR}[-_/](0?[1-9]|1[0-2])[-_/](0?[1-9]|[12][0-9]|3[01])(?![0-9])", 1, 2, 3), (f"(?i){_MONTH}[ ]+{_NTH},?[ ]+{_YEAR}", 3, 1, 2),
     (f"(?i){_NTH}[ ]+{_MONTH}[ ]+{_YEAR}", 3, 2, 1), (f"(?i){_MONTH}[ ]+{_YEAR}", 2, 1, 0),
@@ -47,6 +51,16 @@ def quarters(text: Column | str, words: bool = False) -> Column:
     return _numbers(*out)
 
 
+def filing_undated(text: Column | str, question: bool = False) -> Column:
+    """The kind of filing by the first metadata ranking: a question may say it in words before it names another form."""
+    t = F.upper(_col(text))
+    alone = lambda p: t.rlike(f"(?<![A-Za-z0-9]){p}(?![A-Za-z0-9])")
+    k, q, e, annual, quarterly = alone("10-?K"), alone("10-?Q"), t.rlike("EARNINGS[ ]+RELEASE"), t.rlike("ANNUAL[ ]+REPORT"), t.rlike("QUARTERLY[ ]+REPORT")
+    if question:
+        return F.when(k | annual, "10-K").when(q | quarterly | t.rlike("QUARTER[ ]+ENDED"), "10-Q").when(alone("8-?K"), "8-K").when(e, "earnings")
+    return F.when(k, "10-K").when(q, "10-Q").when(alone("8-?K"), "8-K").when(e, "earnings").when(annual, "10-K").when(quarterly, "10-Q")
+
+
 def filing(text: Column | str) -> Column:
     """The kind of filing that a text names first in this order, or null."""
     t = F.upper(_col(text))
@@ -87,16 +101,17 @@ def without_dates(text: Column | str) -> Column:
     return F.regexp_replace(t, "(?i)dated", " ")
 
 
-def name_tokens(text: Column | str) -> Column:
-    """What is left of a document's name without dates, periods, forms, short numbers and common words."""
-    parts = F.split(without_dates(text), "[^A-Za-z0-9]+")
-    period = "^(?:(?:FY)?(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}Q[1-4]|Q[1-4]|(?:10|8)-?[KQ]|[0-9]{1,2})$"
-    return F.filter(parts, lambda x: (x != "") & ~F.upper(x).rlike(period) & ~F.upper(x).isin(*NO_NAME))
+def name_tokens(text: Column | str, dated: bool = True) -> Column:
+    """What is left of a document's name without periods, forms and common words; where dates count, without these and short numbers."""
+    parts = F.split(without_dates(text) if dated else _col(text), "[^A-Za-z0-9]+")
+    period = "^(?:(?:FY)?(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}Q[1-4]|Q[1-4]|(?:10|8)-?[KQ]" + ("|[0-9]{1,2})$" if dated else ")$")
+    return F.filter(parts, lambda x: (x != "") & ~F.upper(x).rlike(period) & ~F.upper(x).isin(*NO_NAME, *(NO_NAME_DATED if dated else ())))
 
 
-def is_generic_name(text: Column | str) -> Column:
-    """Whether a document's name says nothing: a number, doc_12, or a few letters and digits."""
-    return F.lower(F.trim(_col(text))).rlike("^(?:[0-9]*|(?:doc|document|file)[_-]?[0-9]*|[a-z]{1,4}[_-]?[0-9]{1,4})$")
+def is_generic_name(text: Column | str, dated: bool = True) -> Column:
+    """Whether a document's name says nothing: a number, doc_12, or, where dates count, a few letters and digits."""
+    short = "|[a-z]{1,4}[_-]?[0-9]{1,4}" if dated else ""
+    return F.lower(F.trim(_col(text))).rlike(f"^(?:[0-9]*|(?:doc|document|file)[_-]?[0-9]*{short})$")
 
 
 def aliases(tokens: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import content_tokens, dot, normalised, title_parts, tokens
 from quarry.operators.retrieval import Inverted, bm25, corpus_statistics, evidence_lines, fused, neighbors, postings, regex_hits, reranked, term_statistics, top_k
 from quarry.operators.rankers import gated
-from quarry.operators.routing import route_facets, route_titles, search_headings
+from quarry.operators.routing import FacetRouting, route_facets, route_titles, search_headings
 from quarry.operators.sampling import verbatim
 from quarry.plans.register import query
 from quarry.sources.tables import against, paragraphs, small, table
@@ -256,30 +256,57 @@ def _asked(spark, d):
     return q.select((F.col("n_nationkey") * 10_000 + F.col("y")).alias("query_id"), asked.alias("query"))
 
 
-@query("r12_document_inventory", "R12 R14 F16 F17 F18 F19 F20 F21")
+def _facet_sql(dated: bool) -> str:
+    """The filings and questions of the two functions above by facets, all pairs of them: fp."""
+    stop = "x NOT IN ('UNITED', 'STATES') AND NOT regexp_matches(x, '^[0-9]{1,2}$')" if dated else "x NOT IN ('10', '8')"
+    alias = "[array_to_string(t, ''), array_to_string(t, ' ')] || CASE WHEN length(ini) >= 2 THEN [ini, array_to_string(f, 'n'), array_to_string(f, 'and'), t[1] || 'n' || t[-1], left(t[1], 1) || 'n' || left(t[-1], 1)] ELSE [] END"
+    held = "length(name) >= 3 AND contains(qt, name) OR list_contains(qk, name)"
+    if dated:
+        held += " OR len(list_filter(al, lambda a: length(a) >= 2 AND (contains(qt, a) OR list_contains(pr, a)))) > 0 OR len(list_filter(pr, lambda p: length(p) >= 3 AND (starts_with(name, p) OR starts_with(p, name)))) > 0"
+    else:
+        held += " OR len(t) > 0 AND list_has_all(qk, t)"
+    return f"""fx AS (SELECT DISTINCT replace(n_name, ' ', '_') AS nat, year(o_orderdate) AS y, quarter(o_orderdate) AS qr, CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' ELSE '8-K' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+f1 AS (SELECT *, nat || '_' || y || 'Q' || qr || '_' || kind AS doc_id, list_transform(list_filter(string_split(nat, '_'), lambda x: x <> '' AND {stop}), lambda x: lower(x)) AS t FROM fx),
+f2 AS (SELECT *, list_transform(t, lambda x: left(x, 1)) AS f, array_to_string(list_transform(t, lambda x: left(x, 1)), '') AS ini, CASE WHEN len(t) > 0 THEN array_to_string(t, '') ELSE regexp_replace(lower(doc_id), '[^a-z0-9]+', '', 'g') END AS name FROM f1),
+f3 AS (SELECT *, CASE WHEN len(t) > 0 THEN {alias} ELSE [] END AS al FROM f2),
+qx AS (SELECT (n_nationkey * 10000 + y)::BIGINT AS query_id, y AS ay, lower(n_name) AS nn FROM nation, (SELECT DISTINCT year(o_orderdate) AS y FROM orders)),
+q2 AS (SELECT *, regexp_replace('whatdid' || nn || 'reportinits10qforthesecondquarteroffy' || ay, '[^a-z0-9]+', '', 'g') AS qt, ['what', 'did', 'report', 'in', 'its', '10', 'q', 'for', 'the', 'second', 'quarter', 'of', 'fy' || ay] || regexp_extract_all(nn, '[a-z0-9]+') AS qk, ['what', 'q'] || list_transform(string_split(nn, ' '), lambda x: regexp_extract(x, '^[a-z][a-z0-9]*')) AS pr FROM qx),
+fp AS (SELECT query_id, doc_id, t, name <> '' AND ({held}) AS bn, y, y = ay AS byr, qr, qr = 2 AS bq, kind, kind = '10-Q' AS bf FROM q2, f3),
+fs AS (SELECT *, (CASE WHEN bn THEN 3 ELSE 0 END + CASE WHEN byr THEN 1.5 ELSE 0 END + CASE WHEN bq THEN 1 ELSE 0 END + CASE WHEN bf THEN 1 ELSE 0 END)::DOUBLE AS score, bn::INT + byr::INT + bq::INT + bf::INT AS match_count FROM fp)"""
+
+
+@query(
+    "r12_document_inventory", "R12 R14 F16 F17 F18 F19 F20 F21",
+    f"""WITH {_facet_sql(True)}, rs AS (SELECT *, list_filter([CASE WHEN bn THEN 'company=' || array_to_string(t, ' ') END, CASE WHEN byr THEN 'year=' || y END, CASE WHEN bq THEN 'quarter=2' END, CASE WHEN bf THEN 'filing_type=10-Q' END], lambda x: x IS NOT NULL) AS r FROM fs)
+SELECT query_id, doc_id, score, match_count, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'no strong match' END AS reasons, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_count DESC, doc_id))::INT AS rank FROM rs QUALIFY rank <= 5""",
+)
 def r12_inventory(spark, d):
     """Names of filings made of orders; a question on each nation and year (golden cases: tests/test_routing.py)."""
     ranked, _ = route_facets(_asked(spark, d), _filings(spark, d))
     return ranked.select("query_id", "doc_id", "score", "match_count", F.array_join("reasons", "; ").alias("reasons"), "rank")
 
 
-@query("r13_document_inventory_undated", "R13")
+@query("r13_document_inventory_undated", "R13", f"WITH {_facet_sql(False)} SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM fs QUALIFY rank <= 5")
 def r13(spark, d):
-    """The same without dates. Years are taken as a whole."""
+    """The same without dates, names as a whole or in all their words. Years are taken as a whole."""
     ranked, _ = route_facets(_asked(spark, d), _filings(spark, d), dated=False)
     return ranked.select("query_id", "doc_id", "score", "rank")
 
 
+@query("r15_matched_documents", "R15", f"WITH {_facet_sql(True)} SELECT query_id, doc_id, byr OR bq OR bf AS strong FROM fp WHERE bn")
+def r15_matches(spark, d):
+    """The documents that each question names, a row each, and whether anything else matches."""
+    return FacetRouting(_asked(spark, d), _filings(spark, d)).matches()
+
+
 @query(
     "r15_routing_coverage", "R15",
-    r"""WITH x AS (SELECT DISTINCT replace(n_name, ' ', '_') AS name, year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderstatus AS k FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
-a AS (SELECT (n_nationkey * 10000 + y)::BIGINT AS query_id, n_name, y FROM nation, (SELECT DISTINCT year(o_orderdate) AS y FROM orders))
-SELECT query_id, count(*)::BIGINT AS n_documents, count(*) FILTER (x.y = a.y)::BIGINT AS n_by_year, count(*) FILTER (q = 2)::BIGINT AS n_by_quarter, count(*) FILTER (k = 'O')::BIGINT AS n_by_filing, 0::BIGINT AS n_by_date FROM a, x GROUP BY query_id""",
+    f"""WITH {_facet_sql(True)} SELECT query_id, count(*)::BIGINT AS n_documents, count(*) FILTER (bn)::BIGINT AS n_by_name, count(*) FILTER (byr)::BIGINT AS n_by_year, count(*) FILTER (bq)::BIGINT AS n_by_quarter, count(*) FILTER (bf)::BIGINT AS n_by_filing, 0::BIGINT AS n_by_date,
+count(*) FILTER (bn AND (byr OR bq OR bf))::BIGINT AS n_strong FROM fp GROUP BY query_id""",
 )
 def r15(spark, d):
     """How many documents each facet of a question matches."""
-    _, coverage = route_facets(_asked(spark, d), _filings(spark, d))
-    return coverage.select(F.col("query_id").cast("long"), "n_documents", "n_by_year", "n_by_quarter", "n_by_filing", "n_by_date")
+    return FacetRouting(_asked(spark, d), _filings(spark, d)).coverage()
 
 
 @query(

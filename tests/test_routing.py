@@ -82,3 +82,50 @@ def test_facets(spark):
     assert "date=2022-08-04" in got[4].reasons and got[4].match_count == 3
     c = {r.query_id: r for r in coverage.collect()}
     assert (c[1].n_documents, c[1].n_by_name, c[1].n_by_year, c[1].n_strong) == (6, 3, 5, 3)
+
+
+def _all_pairs(q, docs, k, dated):
+    """Every question with every document, by the facets of both."""
+    from quarry.operators.routing import document_facets, question_facets
+
+    dd, qq = document_facets(docs, dated).collect(), question_facets(q, dated).collect()
+    squeeze = lambda x: "".join(c for c in x.lower() if c.isascii() and c.isalnum())
+    ranked, coverage = set(), set()
+    for a in qq:
+        rows = []
+        for b in dd:
+            held = len(b.name) >= 3 and b.name in a.q_text or b.name in a.q_tokens
+            if dated:
+                held = held or any(len(x) >= 2 and (x in a.q_text or x in a.q_proper) for x in b.aliases) or any(len(p) >= 3 and (b.name.startswith(p) or p.startswith(b.name)) for p in a.q_proper)
+            else:
+                held = held or bool(b.tokens) and all(squeeze(t) in a.q_tokens for t in b.tokens)
+            flags = [bool(b.name) and held, bool(set(b.years) & set(a.q_years)) if a.q_years else None, bool(set(b.quarters) & set(a.q_quarters)) if a.q_quarters else None, b.filing == a.q_filing if a.q_filing else None,
+                     dated and any(x.y == y.y and x.m == y.m and (x.d == y.d or 0 in (x.d, y.d)) for x in a.q_dates for y in b.dates)]
+            score = 3 * flags[0] + sum(w * (0.5 if f is None else f) for w, f in zip((1.5, 1, 1), flags[1:4])) + 2 * flags[4]
+            rows.append((-score, -sum(f is True for f in flags) if dated else 0, b.doc_id, flags))
+        rows.sort(key=lambda r: r[:3])
+        ranked |= {(a.query_id, r[2], -r[0], i + 1) for i, r in enumerate(rows[:k])}
+        count = lambda i: sum(r[3][i] is True for r in rows)
+        coverage.add((a.query_id, len(rows), *map(count, range(5)), sum(r[3][0] and any(f is True for f in r[3][1:]) for r in rows)))
+    return ranked, coverage
+
+
+@pytest.mark.parametrize("dated", [True, False])
+def test_facets_as_all_pairs(spark, dated):
+    import random
+
+    r = random.Random(dated)
+    names = ["ACME", "ACME_WIDGETS", "ZED", "NORTH_STAR", "JOHNSON_JOHNSON", "AB_INC", "SOLAR_WIND_SEA", "doc", "10_TEN", "ACMEON"]
+    tails = ["2021_10K", "2022_10K", "2022Q2_10Q", "2021Q3_10Q", "2022_8K_dated-2022-08-04", "2022_8K_dated-2022-08-09", "EARNINGS", "EARNINGS_RELEASE_2022Q4", "", "FY2021_ANNUAL REPORT", "May 2021"]
+    docs = sorted({(f"{r.choice(names)}_{r.choice(tails)}_{r.randint(1, 40):03d}x", r.choice(["", "NORTH_STAR_2022_10K", "a"])) for _ in range(220)})
+    docs += [("7", "ZED_2021_10K"), ("doc_8", "SOLAR_WIND_SEA_2022"), ("", "")]
+    asked = ["What was Acme's revenue in the 10-K of FY2022?", "What did Zed file on August 4, 2022?", "How did NnS do in its annual report for the quarter ended May 2021?", "unrelated", "", "jnj and SWS 2021Q3", "JOHNSON widgets Acme 2nd quarter", "sea wind solar in 2022 8-K earnings release", "AB in August 2022", "Northern Star 10q"]
+    d = spark.createDataFrame(docs, "doc_id string, source_name string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    for k in (1, 5):
+        got, cover = route_facets(q, d, k, dated)
+        ranked, coverage = _all_pairs(q, d, k, dated)
+        assert {(x.query_id, x.doc_id, x.score, x.rank) for x in got.collect()} == ranked
+    assert {tuple(x) for x in cover.select("query_id", "n_documents", "n_by_name", "n_by_year", "n_by_quarter", "n_by_filing", "n_by_date", "n_strong").collect()} == coverage
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("NestedLoop") <= 1  # the first k documents of all
