@@ -16,8 +16,9 @@ from quarry.operators.sampling import hard_cases, verbatim, weak_and_strong
 from quarry.operators.traces import budget, event_counts, ingestion_totals, paginate, resumed, round_summary, rounds
 from quarry.plans.register import query
 from quarry.plans.retrieval import BM25, RANK, _filings, _par, _queries
-from quarry.sources.tables import small, table
+from quarry.sources.tables import scratch_path, small, table
 from quarry.streaming.monitor import progress
+from quarry.streaming.pagination import paginate_stream
 
 ANS = r"""list_filter(regexp_split_to_array(translate(lower(replace({0}, ',', '')), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and'))"""
 JUDGED = """j AS (SELECT doc_id AS case_id, 'base' AS arm, quality * 4 AS score, (100 + doc_id * 37 % 400) AS tokens, (10 + doc_id * 13 % 50) / 10.0 AS latency, doc_id % 5 AS kind FROM labels
@@ -499,11 +500,34 @@ def t04(spark, d):
     return g.select("query_id", F.array_join(F.transform("s", lambda x: x["s"]), " ").alias("steps"))
 
 
-@query("t06_pagination", "T6 M12")
-def t06(spark, d):
+#: A walk through each query's hits: what every chunk of seven was first seen in, how often, and how many of a round are new.
+PAGES = f"""{LOG}, hp AS (SELECT query_id, ((seq - 1) // 5)::INT AS round, ((seq - 1) % 5)::INT AS rank, chunk::INT % 7 AS c, row_number() OVER (PARTITION BY query_id ORDER BY seq) AS i FROM log),
+wk AS (SELECT query_id, 0::BIGINT AS i, -1 AS round, -1 AS rank, 0 AS c, 0 AS new, [0, 0, 0, 0, 0, 0, 0] AS firsts, [0, 0, 0, 0, 0, 0, 0] AS times, false AS shown, false AS old FROM hp GROUP BY query_id
+ UNION ALL SELECT query_id, i, round, rank, c, nw + ("show" AND NOT od)::INT, list_transform(firsts, lambda x, j: CASE WHEN j = c + 1 AND "show" AND times[c + 1] = 0 THEN round ELSE x END),
+ list_transform(times, lambda x, j: CASE WHEN j = c + 1 AND "show" THEN x + 1 ELSE x END), "show", od
+ FROM (SELECT h.query_id, h.i, h.round, h.rank, h.c, w.firsts, w.times, CASE WHEN h.round = w.round THEN w.new ELSE 0 END AS nw, CASE WHEN h.round = w.round THEN w.new ELSE 0 END < 2 AS "show", w.times[h.c + 1] > 0 AND w.firsts[h.c + 1] < h.round AS od
+ FROM wk w JOIN hp h ON h.query_id = w.query_id AND h.i = w.i + 1))"""
+PAGES_SQL = f"WITH RECURSIVE {PAGES} SELECT query_id, round, rank, c::VARCHAR AS chunk, CASE WHEN old THEN 'SEEN' ELSE 'NEW' END AS state, firsts[c + 1]::INT AS first_seen_round, times[c + 1]::INT AS times_seen FROM wk WHERE shown"
+
+
+def _hits(spark, d):
     log = _log(spark, d)
-    hits = log.select("query_id", F.floor((F.col("seq") - 1) / 5).cast("int").alias("round"), ((F.col("seq") - 1) % 5).cast("int").alias("rank"), (F.col("chunk").cast("int") % 7).cast("string").alias("chunk"))
-    return paginate(hits, k=2)
+    return log.select("query_id", F.floor((F.col("seq") - 1) / 5).cast("int").alias("round"), ((F.col("seq") - 1) % 5).cast("int").alias("rank"), (F.col("chunk").cast("int") % 7).cast("string").alias("chunk"))
+
+
+@query("t06_pagination", "T6", PAGES_SQL)
+def t06(spark, d):
+    return paginate(_hits(spark, d), k=2)
+
+
+@query("t06_pagination_stream", "T6", PAGES_SQL)
+def t06_stream(spark, d):
+    """The same by a stream over files of rounds, with what queries have seen as its state."""
+    rounds_ = _hits(spark, d).groupBy("query_id", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]).alias("chunks"))
+    last = F.col("round") == F.max("round").over(Window.partitionBy("query_id"))
+    path = scratch_path(spark, "rounds")
+    rounds_.withColumn("last", last).repartitionByRange(8, "round").write.parquet(path)
+    return paginate_stream(spark, path, k=2)
 
 
 @query(
