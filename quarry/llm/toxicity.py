@@ -11,6 +11,8 @@ import math
 import re
 import zlib
 from collections import Counter
+from heapq import nlargest
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -176,7 +178,7 @@ class Restorer:
         """What is scored of a token: its restored words, and the runs of letters between the signs of a disguised one."""
         bare = token.strip(_ENDS)
         if bare.isalpha():
-            return self.words(token)
+            return [bare] if not _RUN.search(bare) else self.words(token)
         return self.words(token) + [p for x in _SPLIT.split(bare) if not x.isalpha() for p in _PLAIN.findall(x)]
 
 
@@ -227,7 +229,10 @@ def _heaviest(words: list[str], weights: np.ndarray) -> list[float]:
 
 
 def _restored(texts: list[str | None], restorer: Restorer, known: dict, made):
-    """For each text made(words)'s values of its distinct restored words; known keeps them by token."""
+    """For each text made(words)'s values of its distinct restored words.
+
+    known keeps them by token: the value of its one word, or a list for the tokens in known[None].
+    """
     for s in blocks([len(t or "") for t in texts], 1 << 18):
         split = []
         for t in texts[s]:
@@ -235,19 +240,23 @@ def _restored(texts: list[str | None], restorer: Restorer, known: dict, made):
             split.append((set(low.split()), [w for m in _SPACED.finditer(low) for w in restorer.letters(m.group()).split()]))
         if len(known) > 200_000:
             known.clear()
+        several = known.setdefault(None, set())
         new = list(set().union(*(tokens for tokens, _ in split)).difference(known))
         words = [restorer.scored(t) for t in new]
         joined = [w for _, spaced in split for w in spaced]
         values = iter(made([w for x in words for w in x] + joined))
-        fresh = {t: [next(values) for _ in x] for t, x in zip(new, words, strict=True)}
-        known.update((t, v) for t, v in fresh.items() if len(t) <= 64)  # long tokens seldom come back
+        fresh = {t: next(values) if len(x) == 1 else [next(values) for _ in x] for t, x in zip(new, words, strict=True)}
+        many = {t for t, x in zip(new, words, strict=True) if len(x) != 1}
+        long = {t: v for t, v in fresh.items() if len(t) > 64}  # these seldom come back
+        known.update(fresh)
+        several |= many
         for tokens, spaced in split:
-            out = []
-            for t in tokens:
-                got = known.get(t)
-                out += fresh[t] if got is None else got
-            out += [next(values) for _ in spaced]
-            yield out
+            lists = tokens & several
+            found = [known[t] for t in tokens - lists] if lists else list(map(known.__getitem__, tokens))
+            yield [*found, *chain.from_iterable(map(known.__getitem__, lists)), *islice(values, len(spaced))]
+        for t in long:
+            del known[t]
+        several -= long.keys()
 
 
 def labelled_sample(labels: DataFrame, bound: int) -> DataFrame:
@@ -296,7 +305,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, boun
         restorer, known = state.setdefault("r", Restorer(chars.value)), state.setdefault("k", {})
         rows = []
         for values in _restored(text.tolist(), restorer, known, lambda words: _heaviest(words, weights.value)):
-            top = sorted(values, reverse=True)[:3]
+            top = nlargest(3, values)
             rows.append(top + [0.0] * (3 - len(top)))
         return pd.Series(rows)
 
