@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import scratch_table, small
+
 
 def token_f1(pairs: DataFrame, predicted: Column, gold: Column, *keys: str) -> DataFrame:
     """(keys, f1) of token arrays as multisets; 0 without overlap."""
@@ -14,6 +16,31 @@ def token_f1(pairs: DataFrame, predicted: Column, gold: Column, *keys: str) -> D
     return pairs.join(both, list(keys), "left").select(*keys, F.round(F.coalesce(n, F.lit(0.0)), 4).alias("f1"))
 
 
+def token_f1_by_words(pairs: DataFrame, docs: DataFrame, golds: DataFrame) -> DataFrame:
+    """(item_id, doc_id, f1) of pairs (item_id, doc_id) of documents (doc_id, t) and golds (item_id, g), arrays of tokens.
+
+    A document's words are counted once, whatever the number of its pairs, and only those that some gold has; of the rest
+    its length is enough.
+    """
+    count = lambda df, key, c, n: df.select(key, F.explode(c).alias("w")).groupBy(key, "w").agg(F.count("*").alias(n))
+    gold = count(golds, "item_id", "g", "n_gold")
+    said = docs.select("doc_id", F.explode("t").alias("w")).join(small(gold.select("w").distinct()), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("n_said"))
+    sized = pairs.join(docs.select("doc_id", F.size("t").alias("n_t")), "doc_id").join(small(golds.select("item_id", F.size("g").alias("n_g"))), "item_id")
+    same = pairs.join(said, "doc_id").join(small(gold), ["item_id", "w"]).groupBy("item_id", "doc_id").agg(F.sum(F.least("n_said", "n_gold")).alias("same"))
+    f1 = F.coalesce(F.col("same") * 2.0 / (F.col("n_t") + F.col("n_g")), F.lit(0.0))
+    return sized.join(same, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.round(f1, 4).alias("f1"))
+
+
+#: Scores lie between these.
+LEAST, MOST = 0, 4
+
+
+def relation(b: Column | str, c: Column | str) -> Column:
+    """Which of two scores is better, each brought into the scale first."""
+    clamp = lambda x: F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.col(x) if isinstance(x, str) else x))
+    return F.when(clamp(c) > clamp(b), "candidate_better").when(clamp(c) < clamp(b), "baseline_better").otherwise("tie")
+
+
 def arms(judged: DataFrame) -> DataFrame:
     """(arm, n, avg_score, accuracy, avg_tokens, avg_latency) of judged rows (case_id, arm, score, tokens, latency)."""
     return judged.groupBy("arm").agg(
@@ -97,17 +124,21 @@ def ranking_assertions(tests: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def report_lines(pairs: DataFrame, text: str) -> DataFrame:
-    """(place, line): a Markdown table row for each pair, the largest gains first; bars and line ends of the text are taken out.
+    """(place, case_id, line): a Markdown table row for each pair, the largest gains first; bars and line ends of the text are taken out.
 
-    Places are given within blocks of the order, so no task numbers all rows.
+    Rows are dealt out by ranges of the order and sorted within; a row's place is its number there and the sizes of the
+    ranges before, of which there are as many as partitions.
     """
     clean = F.replace(F.regexp_replace(text, r"\s+", " "), F.lit("|"), F.lit("\\|"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("case_id").cast("string"), F.col("b").cast("string"), F.col("c").cast("string"), F.col("delta").cast("string"), clean), F.lit(" |"))
-    rows = pairs.select("case_id", "delta", line.alias("line"))
-    counts = rows.groupBy("delta").agg(F.count("*").alias("k"))  # deltas are few
-    ahead = counts.withColumn("ahead", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("delta")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
-    within = F.row_number().over(Window.partitionBy("delta").orderBy("case_id"))
-    return rows.join(F.broadcast(ahead), "delta").select((F.col("ahead") + within).alias("place"), "case_id", "line")
+    order = (F.desc("delta"), F.asc("case_id"))
+    rows = pairs.select("case_id", "delta", line.alias("line")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.select("case_id", "line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
+    rows = scratch_table(rows, "report")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("k"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
+    ahead = sizes.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))
+    return rows.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("nth") + 1).alias("place"), "case_id", "line")
 
 
 def completeness(expected: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:

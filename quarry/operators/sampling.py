@@ -57,7 +57,7 @@ def pilot(rows: DataFrame, group: str, kind: str, key: str, seed: str, n: int, k
     """n rows, one of a group at most: n / kinds of each kind by hash order, then whatever comes first among the rest."""
     by = (order(seed, key), key)
     one = rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where("k = 1").drop("k")
-    one = one.withColumn("k", F.row_number().over(Window.partitionBy(kind).orderBy(*by)))
+    one = one.withColumn("k", F.row_number().over(Window.partitionBy(kind).orderBy(*by))).where(F.col("k") <= n)  # one past the nth of its kind is never among the first n
     return one.withColumn("topped_up", F.col("k") > n // kinds).drop("k").orderBy("topped_up", *by).limit(n)
 
 
@@ -76,6 +76,18 @@ def drifted(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.where(~F.col("now").eqNullSafe(F.col("before")))
 
 
+def unchanged(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The manifest, if no split has drifted from the earlier one; else an error when it is read."""
+    bad = drifted(now, before).agg(F.array_join(F.array_sort(F.collect_list("split")), ", ").alias("bad"))
+    fine = bad.select(F.when(F.col("bad") == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("splits differ from their manifest: "), "bad"))).alias("fine"))
+    return now.crossJoin(F.broadcast(fine)).where("fine").drop("fine")
+
+
+def indexed(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first n rows by an order, with their index from 0."""
+    return rows.orderBy(*by).limit(n).withColumn("index", F.row_number().over(Window.orderBy(*by)) - 1)  # over n rows
+
+
 def weak_and_strong(judged: DataFrame, n_weak: int, n_strong: int) -> DataFrame:
     """(case_id, score, kind): the lowest scores up to 2, and the highest from 4 on."""
     low = judged.where("score <= 2").orderBy("score", "case_id").limit(n_weak).withColumn("kind", F.lit("failure"))
@@ -85,7 +97,7 @@ def weak_and_strong(judged: DataFrame, n_weak: int, n_strong: int) -> DataFrame:
 def hard_cases(judged: DataFrame, kind: str, n: int, n_cheap: int = 4) -> DataFrame:
     """The weakest case of each kind in turn, n in all, then the cheapest full scores: judged (case_id, kind, score, recall, tokens)."""
     weakest = ("score", "recall", F.desc("tokens"), "case_id")
-    hard = judged.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(*weakest))).orderBy("turn", *weakest).limit(n).withColumn("why", F.lit("hard"))
+    hard = judged.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(*weakest))).where(F.col("turn") <= n).orderBy("turn", *weakest).limit(n).withColumn("why", F.lit("hard"))
     cheap = judged.where("score >= 4").orderBy("tokens", "case_id").limit(n_cheap).select("*", F.lit(0).alias("turn"), F.lit("cheap").alias("why"))
     return hard.unionByName(cheap.join(hard.select("case_id"), "case_id", "left_anti").select(*hard.columns))
 
@@ -93,7 +105,7 @@ def hard_cases(judged: DataFrame, kind: str, n: int, n_cheap: int = 4) -> DataFr
 def round_robin(rows: DataFrame, group: str, key: str, seed: str, n: int) -> DataFrame:
     """n rows, one of each group in turn, while groups last."""
     w = Window.partitionBy(group).orderBy(order(seed, key), key)
-    return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", group).limit(n)
+    return rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
 def quota(rows: DataFrame, group: str, key: str, seed: str, n: int) -> DataFrame:

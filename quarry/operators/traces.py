@@ -71,6 +71,38 @@ def round_summary(per_query: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(dist))
 
 
+def round_distribution(per_query: DataFrame) -> DataFrame:
+    """(rounds, n): how many queries had so many rounds."""
+    return per_query.groupBy("rounds").agg(F.count("*").alias("n"))
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """One row (n_questions, n_rounds, calls) of a log (query_id, event, tool): answers of the model, the queries that have any, and the calls of each tool."""
+    own = log.where("event = 'llm_response'").agg(F.countDistinct("query_id").alias("n_questions"), F.count("*").alias("n_rounds"))
+    calls = log.where("event = 'tool_call'").groupBy("tool").agg(F.count("*").alias("n"))  # a row a tool
+    said = calls.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "tool", F.col("n").cast("string")))), ",").alias("calls"))
+    return own.crossJoin(F.broadcast(said))
+
+
+def merged_results(tasks: DataFrame, done: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """Tasks (index, key) with the results of both tables (key, result) by index; a task done before keeps its result."""
+    both = done.select(key, "result", F.lit(0).alias("age")).unionByName(fresh.select(key, "result", F.lit(1).alias("age")))
+    first = both.groupBy(key).agg(F.min_by("result", "age").alias("result"))
+    return tasks.join(first, key)
+
+
+def candidate_depths(shown: DataFrame, rounds: DataFrame, k: int, limit: int) -> DataFrame:
+    """(query_id, round, seen, depth): how many hits to ask for in each round (query_id, round), k and those shown before, up to a limit.
+
+    shown is what paginate gives.
+    """
+    new = shown.select("query_id", "chunk", F.col("first_seen_round").alias("round")).distinct().groupBy("query_id", "round").agg(F.count("*").alias("new"))
+    w = Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.coalesce("new", F.lit(0))).over(w), F.lit(0))
+    out = rounds.select("query_id", "round").distinct().join(new, ["query_id", "round"], "left").withColumn("seen", seen)
+    return out.select("query_id", "round", "seen", F.greatest(F.lit(k), F.least(F.lit(limit), F.lit(k) + F.col("seen"))).alias("depth"))
+
+
 def event_counts(log: DataFrame, events: tuple[str, ...]) -> DataFrame:
     """(query_id, n_<event>...): how often each query has each of some events."""
     return log.groupBy("query_id").agg(*(F.count_if(F.col("event") == e).alias(f"n_{e}") for e in events))

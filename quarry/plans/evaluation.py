@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quarry.functions.text import answer_tokens, is_refusal, measured_tokens
 from quarry.operators import rules
 from quarry.operators.evaluation import (
-    arms, best_gold_f1, by_split, completeness, judged_again, outcome, paired, passes, ranking_assertions, refusal_override, report_lines, select_candidate, token_f1,
+    arms, best_gold_f1, by_split, completeness, judged_again, outcome, paired, passes, ranking_assertions, refusal_override, relation, report_lines, select_candidate, token_f1_by_words,
 )
 from quarry.operators.retrieval import bm25, top_k
-from quarry.operators.routing import route_titles
-from quarry.operators.sampling import hard_cases, verbatim, weak_and_strong
-from quarry.operators.traces import budget, event_counts, ingestion_totals, paginate, resumed, round_summary, rounds
+from quarry.operators.routing import FacetRouting, route_titles
+from quarry.operators.sampling import hard_cases, indexed, verbatim, weak_and_strong
+from quarry.operators.traces import budget, candidate_depths, event_counts, ingestion_totals, log_summary, merged_results, paginate, resumed, round_distribution, round_summary, rounds
 from quarry.plans.register import query
-from quarry.plans.retrieval import BM25, RANK, _filings, _par, _queries
-from quarry.sources.tables import scratch_path, small, table
+from quarry.plans.retrieval import BM25, RANK, _asked, _facet_sql, _filings, _par, _queries
+from quarry.sources.tables import scratch_path, scratch_table, small, table
 from quarry.streaming.monitor import progress
 from quarry.streaming.pagination import paginate_stream
 
@@ -46,17 +46,26 @@ SELECT item_id, doc_id, round(coalesce(same * 2.0 / (len(g) + len(t)), 0), 4)::D
 )
 def e01(spark, d):
     b = table(spark, d, "benchmark").select("item_id", answer_tokens("text").alias("g"))
-    docs = table(spark, d, "documents").select("doc_id", answer_tokens("text").alias("t"))
-    p = docs.join(small(b), F.col("doc_id") % 40 == F.col("item_id") % 40)
-    return token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id")
+    docs = scratch_table(table(spark, d, "documents").select("doc_id", answer_tokens("text").alias("t")), "answers")
+    p = docs.select("doc_id").join(small(b.select("item_id")), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    return token_f1_by_words(p, docs, b)
 
 
-@query("e01_whole_token_f1", "E1 E2")
+@query(
+    "e01_whole_token_f1", "E1 E2",
+    f"""WITH p AS (SELECT b.item_id, d.doc_id, {ANS.format('b.text')} AS g, {ANS.format('d.text')} AS t FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+x AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(g) AS w FROM p) GROUP BY ALL), y AS (SELECT item_id, doc_id, w, count(*) AS n FROM (SELECT item_id, doc_id, unnest(t) AS w FROM p) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(least(x.n, y.n)) AS same FROM x JOIN y USING (item_id, doc_id, w) GROUP BY ALL),
+f AS (SELECT doc_id, count(*) AS n_golds, max(round(coalesce(same * 2.0 / (len(g) + len(t)), 0), 4)) AS f1 FROM p LEFT JOIN s USING (item_id, doc_id) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_golds, 0)::BIGINT AS n_golds, coalesce(f1, 0)::DOUBLE AS f1 FROM documents d LEFT JOIN f USING (doc_id)""",
+)
 def e01_whole(spark, d):
     """Each whole document against the items that it holds verbatim: the best F1, 0 without any."""
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text")
-    p = verbatim(docs, items).join(docs.select("doc_id", answer_tokens("text").alias("t")), "doc_id").join(items.select("item_id", answer_tokens("text").alias("g")), "item_id")
-    best = token_f1(p, F.col("t"), F.col("g"), "item_id", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_golds"), F.max("f1").alias("f1"))
+    p = scratch_table(verbatim(docs, items), "pairs")
+    said = docs.join(p.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", answer_tokens("text").alias("t"))
+    f1 = token_f1_by_words(p, said, items.select("item_id", answer_tokens("text").alias("g")))
+    best = f1.groupBy("doc_id").agg(F.count("*").alias("n_golds"), F.max("f1").alias("f1"))
     return docs.select("doc_id").join(best, "doc_id", "left").fillna(0, ["n_golds", "f1"])
 
 
@@ -386,8 +395,8 @@ def x09(spark, d):
 
 
 RAW = f"""{CASES}, rw AS (SELECT case_id, CASE case_id % 4 WHEN 0 THEN 'content_query' WHEN 1 THEN 'answer_completeness' WHEN 2 THEN 'section_selection' ELSE 'elsewhere' END AS st, CASE case_id % 3 WHEN 0 THEN 'STOP_RULE' WHEN 1 THEN 'ANSWER_GUARD' ELSE 'guess' END AS op,
- CASE WHEN case_id % 5 = 0 THEN ['trend'] ELSE []::VARCHAR[] END AS req, CASE WHEN case_id % 2 = 0 THEN ['entity', 'unit'] ELSE ['extraction'] END AS any_, trim(regexp_replace(left(question, 60), '\\s+', ' ', 'g'), ' ') AS ins, CASE WHEN case_id % 7 = 0 THEN 3 WHEN case_id % 7 = 1 THEN 2 ELSE 1 END AS conf FROM cs),
-ok AS (SELECT *, 'exp_' || left(sha1(op || '|' || st || '|' || array_to_string(req, ',') || '|' || array_to_string(any_, ',') || '|' || lower(ins)), 12) AS rule_id FROM rw WHERE st <> 'elsewhere' AND op <> 'guess' AND length(ins) > 0 AND (len(req) > 0 OR list_contains(any_, 'entity')))"""
+ CASE WHEN case_id % 5 = 0 THEN ['trend'] ELSE []::VARCHAR[] END AS req, CASE WHEN case_id % 2 = 0 THEN ['entity', 'unit'] ELSE ['extraction'] END AS any_, trim(regexp_replace(question, '\\s+', ' ', 'g'), ' ') AS ins, CASE WHEN case_id % 7 = 0 THEN 3 WHEN case_id % 7 = 1 THEN 2 ELSE 1 END AS conf FROM cs),
+ok AS (SELECT *, 'exp_' || left(sha1(op || '|' || st || '|' || array_to_string(req, ',') || '|' || array_to_string(any_, ',') || '|' || lower(ins)), 12) AS rule_id FROM rw WHERE st <> 'elsewhere' AND op <> 'guess' AND length(ins) BETWEEN 1 AND 700 AND len(string_split(ins, ' ')) <= 90 AND (len(req) > 0 OR list_contains(any_, 'entity')))"""
 
 
 def _raw_rules(spark, d):
@@ -396,7 +405,7 @@ def _raw_rules(spark, d):
     return _cases(spark, d).select(
         F.when(i % 4 == 0, "content_query").when(i % 4 == 1, "answer_completeness").when(i % 4 == 2, " section_selection").otherwise("elsewhere").alias("failure_stage"),
         F.when(i % 3 == 0, "stop_rule").when(i % 3 == 1, "ANSWER_GUARD ").otherwise("guess").alias("repair_operator"), F.when(i % 5 == 0, F.array(F.lit("Trend"), F.lit("x"))).otherwise(none).alias("required_tags"),
-        F.when(i % 2 == 0, F.array(F.lit("unit"), F.lit("entity"))).otherwise(F.array(F.lit("extraction"))).alias("any_tags"), none.alias("excluded_tags"), F.left("question", F.lit(60)).alias("student_instruction"), F.lit("when").alias("trigger_description"),
+        F.when(i % 2 == 0, F.array(F.lit("unit"), F.lit("entity"))).otherwise(F.array(F.lit("extraction"))).alias("any_tags"), none.alias("excluded_tags"), F.col("question").alias("student_instruction"), F.lit("when").alias("trigger_description"),
         F.lit(None).cast("string").alias("do_not_apply_when"), F.lit("seen").alias("causal_evidence"), F.array(i.cast("string"), F.lit("-1")).alias("supporting_case_ids"), F.when(i % 7 == 0, "High").when(i % 7 == 1, "medium").otherwise("?").alias("confidence"),
     )
 
@@ -407,7 +416,7 @@ def x01(spark, d):
 
 
 @query(
-    "x03_rule_library", "X2 X3 X10",
+    "x03_rule_library", "X2 X3",
     f"""WITH {RAW}, g AS (SELECT rule_id, count(DISTINCT case_id) AS supp, max(conf) AS conf, any_value(len(req)) AS nr, any_value(length(ins)) AS n FROM ok GROUP BY rule_id)
 SELECT rule_id, supp::INT AS n_supporters, conf::INT AS confidence, row_number() OVER (ORDER BY supp DESC, conf DESC, nr DESC, n, rule_id)::INT AS place FROM g QUALIFY place <= 40""",
 )
@@ -466,7 +475,7 @@ def t01_summary(spark, d):
     return round_summary(rounds(_steps(spark, d))).drop("distribution")
 
 
-@query("t12_event_counts", "T3 T12", f"WITH {STEPS} SELECT query_id, count(*) FILTER (event = 'final_answer')::BIGINT AS n_final_answer, count(*) FILTER (event = 'max_rounds_reached')::BIGINT AS n_max_rounds_reached, count(*) FILTER (event = 'tool_call')::BIGINT AS n_tool_call FROM sp GROUP BY query_id")
+@query("t12_event_counts", "T12", f"WITH {STEPS} SELECT query_id, count(*) FILTER (event = 'final_answer')::BIGINT AS n_final_answer, count(*) FILTER (event = 'max_rounds_reached')::BIGINT AS n_max_rounds_reached, count(*) FILTER (event = 'tool_call')::BIGINT AS n_tool_call FROM sp GROUP BY query_id")
 def t12(spark, d):
     return event_counts(_steps(spark, d), ("final_answer", "max_rounds_reached", "tool_call"))
 
@@ -565,3 +574,126 @@ SELECT hour, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'error')::BIGI
 def t09(spark, d):
     """Completed and failed events, their rate and tokens in tumbling windows, as a stream in append mode over what is there."""
     return progress(spark, f"{d}/events.parquet", "1 hour", failed="error")
+
+
+# --- measures and summaries of the rows above ---------------------------------------------------------------------
+
+
+@query(
+    "e06_summary_means", "E6",
+    f"""WITH e AS ({_best_f1_sql(ANS)}), r AS (SELECT case_id, coalesce(max(contains(text, gold)::INT), 0) AS recall FROM gd LEFT JOIN gx USING (case_id) GROUP BY case_id),
+s AS (SELECT f1, recall, CASE WHEN recall = 1 THEN 4 ELSE floor(4 * f1) END AS score FROM e JOIN r USING (case_id))
+SELECT count(*)::BIGINT AS n, round(avg(f1), 4)::DOUBLE AS f1, round(avg(recall), 4)::DOUBLE AS recall, round(avg(score), 4)::DOUBLE AS accuracy, round(sum(score) / (4.0 * count(*)), 4)::DOUBLE AS accuracy_share FROM s""".replace(
+        f"WITH e AS (WITH {GOLDS}, ", f"WITH {GOLDS}, e AS (WITH "
+    ),
+)
+def e06(spark, d):
+    """Turns against the two behind them: F1, whether one stands in the turn, and a score of 4 for that, else by F1."""
+    g = scratch_table(_golds(spark, d), "golds")
+    recall = g.select("case_id", F.exists("golds", lambda x: F.col("text").contains(x)).cast("int").alias("recall"))
+    s = best_gold_f1(g, "case_id", answer_tokens("text"), F.col("golds"), answer_tokens).join(recall, "case_id")
+    s = s.withColumn("score", F.when(F.col("recall") == 1, 4).otherwise(F.floor(4 * F.col("f1"))))
+    mean = lambda c: F.round(F.avg(c), 4).alias
+    return s.agg(F.count("*").alias("n"), mean("f1")("f1"), mean("recall")("recall"), mean("score")("accuracy"), F.round(F.sum("score") / (4 * F.count("*")), 4).alias("accuracy_share"))
+
+
+@query("e13_clamped_relations", "E13", "SELECT doc_id AS case_id, CASE WHEN c > b THEN 'candidate_better' WHEN c < b THEN 'baseline_better' ELSE 'tie' END AS relation FROM (SELECT doc_id, quality * 4 AS b, greatest(0, least(4, quality * 4 + doc_id % 7 - 3)) AS c FROM labels)")
+def e13_clamped(spark, d):
+    """Candidate scores that leave the scale are brought back into it."""
+    return table(spark, d, "labels").select(F.col("doc_id").alias("case_id"), relation(F.col("quality") * 4, F.col("quality") * 4 + F.col("doc_id") % 7 - 3).alias("relation"))
+
+
+@query("e17_generated_means", "E17", "SELECT count(*)::BIGINT AS n_generated, count(quality)::BIGINT AS n_judged, round(coalesce(sum(quality * 4), 0) / count(*), 4)::DOUBLE AS avg_score FROM documents LEFT JOIN labels USING (doc_id)")
+def e17_generated(spark, d):
+    """Means over shards are taken over all generated answers, judged or not."""
+    g = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", (F.col("quality") * 4).alias("score")), "doc_id", "left")
+    return g.agg(F.count("*").alias("n_generated"), F.count("score").alias("n_judged"), F.round(F.coalesce(F.sum("score"), F.lit(0)) / F.count("*"), 4).alias("avg_score"))
+
+
+@query(
+    "e22_expected_filings", "E22",
+    f"""WITH {_facet_sql(False)}, tp AS (SELECT query_id, doc_id FROM fs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1),
+ex AS (SELECT (n_nationkey * 10000 + a.y)::BIGINT AS query_id, max(CASE WHEN x.qr = 2 AND x.kind = '10-Q' AND x.y = a.y AND x.nat = replace(n_name, ' ', '_') THEN x.doc_id END) AS want FROM nation, (SELECT DISTINCT y FROM fx) a, f1 x GROUP BY 1)
+SELECT CASE WHEN want IS NULL THEN 'execution_only' ELSE 'top_doc' END AS "check", count(*)::BIGINT AS n, count(*) FILTER (want IS NULL OR want = doc_id)::BIGINT AS n_passed FROM ex JOIN tp USING (query_id) GROUP BY 1""",
+)
+def e22_filings(spark, d):
+    """The filing that a question on a nation's second quarter is for, taken from the orders, against the one ranked first; half are said in words."""
+    asked, docs = _asked(spark, d), _filings(spark, d)
+    o = table(spark, d, "orders").where("o_orderstatus = 'O' and quarter(o_orderdate) = 2").select("o_custkey", F.year("o_orderdate").alias("y"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    want = o.join(c, "o_custkey").select("n_nationkey", "y").distinct().join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), "n_nationkey")
+    name = F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("y").cast("string"), F.lit("Q2_10-Q"))
+    want = want.select((F.col("n_nationkey") * 10_000 + F.col("y")).alias("query_id"), name.alias("want"))
+    t, said = asked.select("query_id").join(want, "query_id", "left"), F.col("query_id") % 2 == 0
+    tests = t.select(F.col("query_id").cast("string").alias("name"), "query_id", F.when(said, "").otherwise(F.col("want")).alias("expected_top"), F.when(said, F.concat(F.lit("top result is "), "want")).otherwise("").alias("expected_text")).fillna("")
+    out = ranking_assertions(tests, FacetRouting(asked, docs, dated=False).ranked(1))
+    return out.groupBy("check").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+
+
+@query(
+    "x10_instructions", "X10",
+    f"""WITH {CASES}, i AS (SELECT case_id, trim(question, ' ') AS q, CASE WHEN case_id % 3 = 0 THEN 'the figure is rounded...' ELSE '' END AS b FROM cs)
+SELECT case_id, md5(CASE WHEN b = '' THEN q ELSE q || ' Do not apply this rule when the figure is rounded.' END) AS instruction FROM i""",
+)
+def x10(spark, d):
+    """Questions as instructions; a third of them have a boundary."""
+    boundary = F.when(F.col("case_id") % 3 == 0, " the figure is rounded... ")
+    return _cases(spark, d).select("case_id", F.md5(rules.instruction_text(F.col("question"), boundary)).alias("instruction"))
+
+
+@query("t01_round_distribution", "T1", f"WITH {STEPS} SELECT rounds, count(*)::BIGINT AS n FROM pq GROUP BY rounds")
+def t01_distribution(spark, d):
+    return round_distribution(rounds(_steps(spark, d)))
+
+
+@query(
+    "t03_log_summary", "T3",
+    f"""WITH {LOG}, e AS (SELECT query_id, tool, CASE WHEN seq % 2 = 0 THEN 'llm_response' ELSE 'tool_call' END AS event FROM log)
+SELECT count(DISTINCT query_id) FILTER (event = 'llm_response')::BIGINT AS n_questions, count(*) FILTER (event = 'llm_response')::BIGINT AS n_rounds, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT tool || '=' || count(*) AS s FROM e WHERE event = 'tool_call' GROUP BY tool)) AS calls FROM e""",
+)
+def t03(spark, d):
+    log = _log(spark, d).withColumn("event", F.when(F.col("seq") % 2 == 0, "llm_response").otherwise("tool_call"))
+    return log_summary(log.select("query_id", "event", "tool"))
+
+
+@query(
+    "t12_enrichment", "T12",
+    f"""WITH {LOG}, nx AS (SELECT query_id, seq, tool, lead(tool) OVER (PARTITION BY query_id ORDER BY seq) AS after, row_number() OVER (PARTITION BY query_id, tool, chunk ORDER BY seq) AS k FROM log)
+SELECT query_id, count(*) FILTER (k > 2)::BIGINT AS n_tool_budget_blocked, count(*) FILTER (tool = 'purchase')::BIGINT AS n_gate_decision, count(*) FILTER (tool = 'error' AND after IS NOT NULL AND after <> 'error')::BIGINT AS n_tool_call_recovered, count(*) FILTER (tool = 'error')::BIGINT AS n_http_error FROM nx GROUP BY query_id""",
+)
+def t12_enrichment(spark, d):
+    """Calls blocked by a budget of two alike, gates at purchases, errors, and those that the next call recovers from."""
+    log = scratch_table(_log(spark, d), "log")
+    blocked = budget(log.select("query_id", "seq", "tool", F.concat_ws("|", "tool", "chunk").alias("key")), identical=2, searches=1_000_000).where("not allowed")
+    after = log.withColumn("after", F.lead("tool").over(Window.partitionBy("query_id").orderBy("seq")))
+    kind = lambda df, event: df.select("query_id", F.lit(event).alias("event"))
+    error = F.col("tool") == "error"
+    every = kind(log, "step").unionByName(kind(blocked, "tool_budget_blocked")).unionByName(kind(log.where("tool = 'purchase'"), "gate_decision"))
+    every = every.unionByName(kind(after.where(error & (F.col("after") != "error")), "tool_call_recovered")).unionByName(kind(log.where(error), "http_error"))
+    return event_counts(every, ("tool_budget_blocked", "gate_decision", "tool_call_recovered", "http_error"))
+
+
+@query(
+    "t10_merged_results", "T10 P8",
+    """WITH t AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS "index", conv_id || '-' || turn AS task FROM conversations ORDER BY conv_id, turn LIMIT 300)
+SELECT "index"::INT AS "index", task, CASE WHEN turn % 2 = 0 THEN 'kept' ELSE 'new' END AS result FROM t""",
+)
+def t10_merged(spark, d):
+    """The first 300 turns as tasks with a global index; every other one was done before, and some of these again."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("task"))
+    tasks = scratch_table(indexed(turns, 300, "conv_id", "turn"), "tasks")
+    done = tasks.where("turn % 2 = 0").select("task", F.lit("kept").alias("result"))
+    pending, _ = resumed(tasks, done, "task")
+    fresh = pending.unionByName(tasks.where("turn % 4 = 0")).select("task", F.lit("new").alias("result"))
+    return merged_results(tasks, done, fresh, "task").select("index", "task", "result")
+
+
+@query(
+    "r16_candidate_depth", "R16",
+    f"""WITH RECURSIVE {PAGES}, rd AS (SELECT DISTINCT query_id, round FROM hp), fs AS (SELECT DISTINCT query_id, c, firsts[c + 1] AS first FROM wk WHERE shown)
+SELECT rd.query_id, rd.round, count(fs.c)::BIGINT AS seen, greatest(2, least(6, 2 + count(fs.c)))::BIGINT AS depth FROM rd LEFT JOIN fs ON fs.query_id = rd.query_id AND fs.first < rd.round GROUP BY rd.query_id, rd.round""",
+)
+def r16_depth(spark, d):
+    """Two hits a round, and as many more as the query was shown before, up to six."""
+    hits = scratch_table(_hits(spark, d), "hits")
+    return candidate_depths(paginate(hits, k=2), hits, 2, 6)

@@ -74,9 +74,10 @@ def _cosines(spark, d):
     return pairs.select("query_id", "vec_id", (F.col("qlabel") == F.col("label")).alias("same"), score.alias("score"))
 
 
-@query("r04_vector_topk", "R4 F24", f"WITH {VEC} SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, {RANK.format('vec_id')} FROM c) WHERE rank <= 5")
+@query("r04_vector_topk", "R4 F24", f"WITH {VEC} SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, {RANK.format('vec_id DESC')} FROM c) WHERE rank <= 5")
 def r04(spark, d):
-    return top_k(_cosines(spark, d), 5, "vec_id").select("query_id", "vec_id", "score", "rank")
+    """Equal scores in reversed order."""
+    return top_k(_cosines(spark, d), 5, F.desc("vec_id")).select("query_id", "vec_id", "score", "rank")
 
 
 @query(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.sampling import balance_errors, best_split, group_split, manifest, order, pilot, quota, round_robin, verbatim
+from quarry.operators.sampling import balance_errors, best_split, drifted, group_split, manifest, order, pilot, quota, round_robin, unchanged, verbatim
 from quarry.plans.register import query
 from quarry.sources.formats import round_trip
-from quarry.sources.tables import small, table
+from quarry.sources.tables import scratch_table, table
 
 SPLIT = """g AS (SELECT o_custkey, count(*) AS k, sha1('s1' || o_custkey) AS h FROM orders GROUP BY o_custkey),
 c AS (SELECT o_custkey, sum(k) OVER (ORDER BY h) * 1.0 / sum(k) OVER () AS share FROM g),
@@ -46,6 +46,21 @@ def p10(spark, d):
     return manifest(s, "o_custkey", "o_orderpriority", "o_orderkey", "best of 8").drop("seed")
 
 
+@query(
+    "p10_drift", "P10",
+    f"""WITH {TYPED}, b AS (SELECT seed FROM err ORDER BY error, seed LIMIT 1), s AS (SELECT orders.*, split FROM orders JOIN x USING (o_custkey) JOIN b USING (seed))
+SELECT split, 'changed' AS "case" FROM s WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) UNION ALL SELECT DISTINCT split, 'accepted' FROM s""",
+)
+def p10_drift(spark, d):
+    """A stored manifest against the same split without its first order, and against the split as it was."""
+    s = scratch_table(best_split(table(spark, d, "orders"), "o_custkey", "o_orderpriority", 8), "split")
+    made = lambda df: manifest(df, "o_custkey", "o_orderpriority", "o_orderkey", "best of 8")
+    before = scratch_table(made(s), "manifest")
+    less = s.join(F.broadcast(s.agg(F.min("o_orderkey").alias("o_orderkey"))), "o_orderkey", "left_anti")
+    bad = drifted(made(less), before).select("split", F.lit("changed").alias("case"))
+    return bad.unionByName(unchanged(made(s), before).select("split", F.lit("accepted").alias("case")))
+
+
 @query(
     "p06_balanced_pilot", "P6",
     """WITH o AS (SELECT *, sha1('s6' || o_orderkey) AS h FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY h, o_orderkey) AS k FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS j FROM a WHERE k = 1)

@@ -215,3 +215,28 @@ def a10(spark, d):
     g = h.groupBy("item_id").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
     blocks = F.coalesce(F.transform("blocks", lambda x: x["t"]), F.array().cast("array<string>"))
     return b.join(g, "item_id", "left").select("item_id", F.size(blocks).cast("long").alias("n_blocks"), F.md5(F.concat(F.array_join(blocks, "\n\n"), F.lit("\nQuestion: "), F.col("text"))).alias("prompt"))
+
+
+#: How questions are asked, what to say without an answer, and what is added to those of a category.
+MISSING_RULE = "If no information is available to answer the question, write 'Not mentioned'."
+SHORT_ANSWER = "Based on the above context, write an answer in the form of a short phrase for the following question. Answer with exact words from the context whenever possible.\n\nQuestion: {} Short answer:\n"
+BY_CATEGORY = {"2": " Use DATE of CONVERSATION to answer with an approximate date."}
+_SQL_TEXT = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_ASK = SHORT_ANSWER.split("{}")
+
+
+@query(
+    "a10_category_prompts", "A10",
+    f"""WITH {PAR}, h AS (SELECT item_id, p_idx, left(par.text, 2000) AS t FROM benchmark JOIN par ON par.doc_id = item_id WHERE p_idx < 3),
+p AS (SELECT item_id, any_value(b.text) AS q, string_agg(t, chr(10) || chr(10) ORDER BY p_idx) AS c FROM benchmark b LEFT JOIN h USING (item_id) GROUP BY item_id)
+SELECT item_id, md5(coalesce(c, '') || chr(10) || chr(10) || {_SQL_TEXT(MISSING_RULE)} || chr(10) || chr(10) || {_SQL_TEXT(_ASK[0])} || q || CASE WHEN item_id % 5 = 2 THEN {_SQL_TEXT(BY_CATEGORY["2"])} ELSE '' END || {_SQL_TEXT(_ASK[1])}) AS prompt FROM p""",
+)
+def a10_category(spark, d):
+    """Context, what to say without an answer, and the question with its category's instruction."""
+    b = table(spark, d, "benchmark").withColumn("category", (F.col("item_id") % 5).cast("string"))
+    rules = spark.createDataFrame(list(BY_CATEGORY.items()), "category string, more string")
+    h = _par(spark, d).where("p_idx < 3").select(F.col("doc_id").alias("item_id"), F.struct("p_idx", F.left("text", F.lit(2000)).alias("t")).alias("block"))
+    g = h.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda x: x["t"]), "\n\n").alias("context"))
+    asked = F.concat(F.lit(_ASK[0]), "text", F.coalesce("more", F.lit("")), F.lit(_ASK[1]))
+    out = b.join(g, "item_id", "left").join(F.broadcast(rules), "category", "left")
+    return out.select("item_id", F.md5(F.concat(F.coalesce("context", F.lit("")), F.lit(f"\n\n{MISSING_RULE}\n\n"), asked)).alias("prompt"))

@@ -39,9 +39,10 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A side to broadcast if it has at most so many rows; else as it is, and Spark joins it in another way."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 100_000, chars: int = 64_000_000) -> DataFrame:
+    """A side to broadcast if it has at most so many rows and characters; else as it is, and Spark joins it in another way."""
+    some = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("c")).first()
+    return F.broadcast(df) if some.n <= rows and some.c <= chars else df
 
 
 def against(rows: DataFrame, queries: DataFrame, key: str, condition=None, block: int = 10_000) -> DataFrame:
