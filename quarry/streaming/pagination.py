@@ -35,7 +35,7 @@ def paginate_stream(spark: SparkSession, path: str, k: int, checkpoint: str | No
     Files hold rows (query_id, round, chunks, last); a few of them make a batch, so a batch never has the whole log of a
     query. Rounds count from 0 and are shown in their order, whatever order they come in: one that comes early waits in the
     state. The state of a query goes with its last round, or after `idle` seconds without any. The stream reads all
-    files there are and ends; with its checkpoint it goes on later with what has come since.
+    files there are and ends; with its checkpoint it goes on later with what has come since, and gives all that it ever showed.
     """
 
     def step(key, frames, state):
@@ -63,7 +63,8 @@ def paginate_stream(spark: SparkSession, path: str, k: int, checkpoint: str | No
             state.setTimeoutDuration(idle * 1000)
         yield pd.DataFrame(rows, columns=["query_id", "round", "rank", "chunk", "state", "first_seen_round", "times_seen"])
 
-    out, seen = scratch_path(spark, "pages-out"), checkpoint or scratch_path(spark, "pages-log")
+    seen = (checkpoint or scratch_path(spark, "pages-log")).rstrip("/")
+    out = f"{seen}-shown"  # a sink keeps its own log, which goes with the checkpoint
     rounds = spark.readStream.schema(ROUNDS).option("maxFilesPerTrigger", files).parquet(path)
     shown = rounds.groupBy("query_id").applyInPandasWithState(step, SHOWN, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
     before = spark.conf.get(_EMPTY, None)
