@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import scratch_table, small
+from quarry.sources.tables import placed, small
 
 
 def token_f1(pairs: DataFrame, predicted: Column, gold: Column, *keys: str) -> DataFrame:
@@ -125,20 +125,11 @@ def ranking_assertions(tests: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def report_lines(pairs: DataFrame, text: str) -> DataFrame:
     """(place, case_id, line): a Markdown table row for each pair, the largest gains first; bars and line ends of the text are taken out.
-
-    Rows are dealt out by ranges of the order and sorted within; a row's place is its number there and the sizes of the
-    ranges before, of which there are as many as partitions.
     """
     clean = F.replace(F.regexp_replace(text, r"\s+", " "), F.lit("|"), F.lit("\\|"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("case_id").cast("string"), F.col("b").cast("string"), F.col("c").cast("string"), F.col("delta").cast("string"), clean), F.lit(" |"))
-    order = (F.desc("delta"), F.asc("case_id"))
-    rows = pairs.select("case_id", "delta", line.alias("line")).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = rows.select("case_id", "line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
-    rows = scratch_table(rows, "report")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("k"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as partitions
-    ahead = sizes.select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))
-    return rows.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("nth") + 1).alias("place"), "case_id", "line")
+    rows = placed(pairs.select("case_id", "delta", line.alias("line")), F.desc("delta"), F.asc("case_id"))
+    return rows.select((F.col("place") + 1).alias("place"), "case_id", "line")
 
 
 def completeness(expected: DataFrame, found: DataFrame, key: str, by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators.structuring import markdown_nodes
-from quarry.sources.tables import scratch_table
+from quarry.sources.tables import placed, scratch_table
 
 #: The title of the section before the first heading, and how a source header begins.
 FRONT = "前言"
@@ -102,6 +102,19 @@ def outline(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "node_id", "level", "title", "parent_id", zero("n_paragraphs"), zero("n_tokens"), F.coalesce("children", F.array().cast("array<int>")).alias("children"))
 
 
+def embedding_inputs(corpus: DataFrame) -> DataFrame:
+    """(row, doc_id, node_id, p_idx, text): the trimmed text of each paragraph that has any, and the row that its vector has."""
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    rows = corpus.select("doc_id", "node_id", "p_idx", text.alias("text")).where("text <> ''")
+    return placed(rows, F.asc("doc_id"), F.asc("node_id"), F.asc("p_idx")).select(F.col("place").alias("row"), "doc_id", "node_id", "p_idx", "text")
+
+
+def unambiguous(nodes: DataFrame, name: str) -> DataFrame:
+    """(name, doc_id) of the names of sections that one document alone has."""
+    g = nodes.groupBy(name).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    return g.where("doc_id = last").select(name, "doc_id")
+
+
 def missing_documents(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """The wanted doc_ids that have no section."""
     return wanted.select("doc_id").distinct().join(nodes, "doc_id", "left_anti")

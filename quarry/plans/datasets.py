@@ -282,3 +282,67 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10)
 def d18_contents(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", F.md5(adapters.wiki_markdown(F.concat("source", F.lit(" Contents (  hide ) "), "text", F.lit(" ## more")))).alias("body"))
+
+
+# --- canonical cases of the other sets --------------------------------------------------------------------------------
+
+
+@query(
+    "a08_canonical_cases", "A8",
+    """WITH t AS (SELECT conv_id, turn, role || ': ' || text AS said FROM conversations), c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT 'conversation' AS kind, c.conv_id || '#' || c.turn AS case_id, c.conv_id::VARCHAR AS source_id, md5(c.text) AS gold, md5(coalesce(t.said, (c.turn + 1)::VARCHAR) || '|none') AS excerpts, (c.turn % 6)::VARCHAR AS category FROM conversations c LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn + 1 WHERE c.turn % 6 <> 5
+UNION ALL SELECT 'papers', 'q' || doc_id, doc_id::VARCHAR, md5(CASE WHEN doc_id % 4 = 0 THEN 'Not mentioned；' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN source || '; b' ELSE 'free' END), md5(source), 'x' FROM documents WHERE text IS NOT NULL AND doc_id % 8 <> 0
+UNION ALL SELECT 'hops', conv_id::VARCHAR, conv_id::VARCHAR, md5('a'), md5(t[1] || CASE WHEN len(t) > 1 THEN '|' || t[2] ELSE '' END), 'k' FROM c
+UNION ALL SELECT 'syllabus', conv_id || '-' || turn, conv_id::VARCHAR, md5('a'), md5(text || CASE WHEN turn % 2 = 0 THEN '|step' ELSE '' END), 'multi' FROM conversations WHERE turn % 4 <> 3
+UNION ALL SELECT 'open', doc_id::VARCHAR, doc_id::VARCHAR, md5(CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END), md5(text), 'x' FROM documents WHERE text IS NOT NULL""",
+)
+def a08(spark, d):
+    """Conversations, papers, multi-hop, syllabus and open questions as rows of one shape."""
+    c, turn, docs = table(spark, d, "conversations"), F.col("turn"), table(spark, d, "documents").where("text is not null")
+    sample, none = F.col("conv_id").cast("string").alias("sample_id"), F.lit(None).cast("string")
+    qa = c.select(sample, turn.cast("int").alias("place"), F.lit("?").alias("question"), F.col("text").alias("answer"), F.array(F.concat((turn + 1).cast("string"), F.lit(" ; none"))).alias("evidence"), (turn % 6).cast("int").alias("category"))
+    sets = {"conversation": (adapters.conversation_qa(qa, c.select(sample, turn.cast("string").alias("dia_id"), F.col("role").alias("speaker"), "text")), None)}
+    sets["papers"] = (adapters.papers(_papers(spark, d)).withColumn("category", F.lit("x")), F.col("question_id"))
+    hops = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t")).select(
+        F.col("conv_id").cast("string").alias("id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.lit("k").alias("type"), F.lit("l").alias("level"), F.struct(F.array(F.lit("A")).alias("title"), F.array("t").alias("sentences")).alias("context"),
+        F.struct(F.array(F.lit("A"), F.lit("A")).alias("title"), F.array(F.lit(0), F.lit(1)).alias("sent_id")).alias("supporting_facts"),
+    )
+    sets["hops"] = (adapters.multi_hop(hops), F.col("sample_id"))
+    rows = c.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("id"), F.col("conv_id").cast("string").alias("syllabus_name"), F.when(turn % 4 == 3, "no answer").otherwise("multi").alias("question_type"), F.lit("q").alias("question"), F.lit("a").alias("answer"),
+        F.col("text").alias("answer_span_1"), *(none.alias(f"answer_span_{i}") for i in range(2, 6)), F.when(turn % 2 == 0, "step").alias("reasoning_step_1"), *(none.alias(f"reasoning_step_{i}") for i in range(2, 6)),
+    )
+    sets["syllabus"] = (adapters.syllabus(rows), F.col("case_id"))
+    said = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("q").alias("input"), F.array(F.struct(F.col("source").alias("title"), F.lit("t").alias("text"))).alias("passages"),
+                       F.array(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(" ").alias("answer"), F.array("text").alias("selected_sentences"))).alias("output"))
+    sets["open"] = (adapters.open_domain(said).withColumn("category", F.lit("x")), F.col("sample_id"))
+    out = None
+    for kind, (samples, own) in sets.items():
+        rows = adapters.canonical_cases(samples, own).select(F.lit(kind).alias("kind"), "case_id", "source_id", F.md5("gold").alias("gold"), F.md5(F.array_join("excerpts", "|")).alias("excerpts"), "category")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("s04_multi_hop_joined", "S4", "SELECT conv_id::VARCHAR AS sample_id, role AS title, (n - 1)::INT AS sent_id, md5(text) AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n <= 2")
+def s04_joined(spark, d):
+    """Facts looked up in the contexts as a table of their own: what each role says is an article, its first two sentences are facts."""
+    c = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    c = c.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.struct("role", "t"))).alias("l"))
+    names = F.transform("l", lambda x: x["role"])
+    facts = F.struct(F.concat(names, names, names).alias("title"), F.flatten(F.array(*(F.array_repeat(F.lit(k), F.size("l")) for k in (0, 1, 9999)))).alias("sent_id"))
+    rows = c.select("id", F.struct(names.alias("title"), F.transform("l", lambda x: x["t"]).alias("sentences")).alias("context"), facts.alias("supporting_facts"))
+    path = scratch_path(spark, "hops")
+    _text(rows, "*").write.text(path)
+    back = datasets.json_lines(spark, path, "id string, context struct<title:array<string>,sentences:array<array<string>>>, supporting_facts struct<title:array<string>,sent_id:array<int>>")
+    return adapters.multi_hop_joined(back).withColumn("sentence", F.md5("sentence"))
+
+
+@query("s13_result_files", "S13", "SELECT doc_id::VARCHAR AS question, (doc_id * 3)::VARCHAR AS answer FROM documents")
+def s13_files(spark, d):
+    """Result files of one object each, whose list `results` answers each question twice; the second answer counts."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select(F.floor(i / 2000).alias("file"), i.cast("string").alias("question"), F.explode(F.array(F.struct(F.lit(1).alias("k"), F.lit("first").alias("answer")), F.struct(F.lit(2).alias("k"), (i * 3).cast("string").alias("answer")))).alias("x"))
+    files = docs.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("x.k", "question", "x.answer"))), lambda r: F.struct(r["question"].alias("question"), r["answer"].alias("answer"))).alias("results"))
+    path = scratch_path(spark, "results")
+    files.select("file", F.concat(F.lit("{\n"), F.substr(F.to_json(F.struct("results")), F.lit(2))).alias("value")).write.partitionBy("file").text(path)
+    return datasets.results(spark, path, "struct<question:string,answer:string>").select("question", "answer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import tree
-from quarry.operators.markdown import FRONT, markdown_corpus, markdown_lines
+from quarry.operators.markdown import FRONT, embedding_inputs, markdown_corpus, markdown_lines, unambiguous
 from quarry.operators.retrieval import bm25
 from quarry.operators.routing import search_headings
 from quarry.operators.sampling import verbatim
@@ -117,3 +117,39 @@ def r20_nodes(spark, d):
     chosen = scratch_table(tree.two_level(every, scored, table(spark, d, "documents"), 3, search), "chosen")
     out = chosen.join(tree.subtree_bodies(chosen, nodes, bodies), ["doc_id", "node_id"]).where("trim(body) <> ''")
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "node_id", F.md5("body").alias("body"))
+
+
+@query("d11_unambiguous_nodes", "D11", f"WITH {SECTIONS} SELECT md5(title) AS title, min(doc_id) AS doc_id FROM tr GROUP BY title HAVING count(DISTINCT doc_id) = 1")
+def d11_nodes(spark, d):
+    """Headings that tell their document."""
+    nodes, _, _ = _tree(spark, d)
+    return unambiguous(nodes, "title").select(F.md5("title").alias("title"), "doc_id")
+
+
+@query(
+    "d13_embedding_inputs", "D13",
+    rf"""WITH {SECTIONS}, tx AS (SELECT doc_id, node_id, p_idx, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM pp)
+SELECT (row_number() OVER (ORDER BY doc_id, node_id, p_idx) - 1)::BIGINT AS "row", doc_id, node_id, p_idx, md5(x) AS text FROM tx WHERE x <> ''""",
+)
+def d13_inputs(spark, d):
+    _, corpus, _ = _tree(spark, d)
+    return embedding_inputs(corpus).withColumn("text", F.md5("text"))
+
+
+@query(
+    "d31_corpus_census", "D31",
+    f"""WITH {SECTIONS}, nn AS (SELECT doc_id, count(*) AS n FROM tr GROUP BY doc_id), np AS (SELECT doc_id, count(*) AS n FROM pp GROUP BY doc_id)
+SELECT coalesce(source, '*') AS source, count(*)::BIGINT AS n_docs, sum(coalesce(nn.n, 0))::BIGINT AS n_nodes, sum(coalesce(np.n, 0))::BIGINT AS n_paragraphs, sum(coalesce(len(embedding) * 4, 0))::BIGINT AS n_bytes, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END)::BIGINT AS n_same_name
+FROM (SELECT *, count(*) OVER (PARTITION BY source, n_chars) AS k FROM documents) dc LEFT JOIN nn ON nn.doc_id = dc.doc_id LEFT JOIN np ON np.doc_id = dc.doc_id LEFT JOIN embeddings ON vec_id = dc.doc_id GROUP BY ROLLUP (source)""",
+)
+def d31_census(spark, d):
+    """Sections, paragraphs and bytes of vectors of each source and of all; a file is named by source and length, and some names come twice."""
+    nodes, corpus, _ = _tree(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    names = docs.groupBy("source", "n_chars").agg(F.count("*").alias("k"))
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.size("embedding") * 4).alias("n_bytes"))
+    own = docs.join(n(nodes, "n_nodes"), "doc_id", "left").join(n(corpus, "n_paragraphs"), "doc_id", "left").join(vec, "doc_id", "left").join(names, ["source", "n_chars"])
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    out = own.rollup("source").agg(F.count("*").alias("n_docs"), total("n_nodes"), total("n_paragraphs"), total("n_bytes"), F.count_if(F.col("k") > 1).alias("n_same_name"))
+    return out.withColumn("source", F.coalesce("source", F.lit("*")))
