@@ -53,7 +53,10 @@ _SIGNS = re.compile(r"©|\(c\)|copyright|cookie|subscrib|newsletter|sign in|log
 _SIGN_WORDS = ("comment", "comments", "cookies", "privacy", "share", "copyright", "reply", "subscribe", "newsletter", "sponsor", "advert", "sign in", "log in")
 #: Elements and class words that tell what is no article.
 _OFF = {"nav", "header", "footer", "aside", "form", "menu"}
-_OFF_WORDS = {"ad", "ads", "advert", "comments", "comment", "sidebar", "cookie", "nav", "menu", "footer", "related", "share"}
+_OFF_WORDS = {
+    "ad", "ads", "advert", "advertisement", "banner", "breadcrumbs", "comment", "comments", "consent", "cookie", "footer", "menu", "nav", "navigation", "newsletter", "notice", "promo", "recommended", "related",
+    "reply", "share", "sidebar", "social", "sponsored", "subscribe", "widget",
+}
 
 
 @dataclass
