@@ -265,3 +265,13 @@ def test_whole_queries_read_whole_texts_of_all_documents(spark, tmp_path):
     hits = [r for r in run("r09_whole_heading_search") if r.query_id == 1]
     assert len(hits) == 5 and all(r.p_idx == 1 and r.score == 5 for r in hits)
     assert len(run("r10_whole_read_section")) > 30
+
+
+def test_places_are_row_numbers(spark):
+    from quarry.sources.tables import placed
+
+    rows = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("g"))
+    got = [(r.k, r.g, r.place) for r in placed(rows, F.desc("g"), F.asc("k")).collect()]
+    want = sorted(((i * 7919 % 5000, i % 3) for i in range(5000)), key=lambda x: (-x[1], x[0]))
+    assert sorted(got, key=lambda x: x[2]) == [(*x, n) for n, x in enumerate(want)]
+    assert placed(rows.limit(0), F.asc("k")).count() == 0
