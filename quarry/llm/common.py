@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
@@ -40,6 +41,23 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def lean(function):
+    """The function of a task's batches; when it is done, memory that is free goes back to the system.
+
+    Python workers stay for other tasks, several of them on an executor, and would hold what the largest task took.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, which all executors share.
 
@@ -284,4 +302,4 @@ def summed(df: DataFrame, fill, size: int) -> np.ndarray:
         for chunk, data in packed(fill(batches)):
             yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": [own], "n": [data]}, schema=pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("n", pa.binary())]))
 
-    return add_tables(df.mapInArrow(part, _TABLE), size)
+    return add_tables(df.mapInArrow(lean(part), _TABLE), size)

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, read_table, small_batches
+from quarry.llm.common import Scratch, lean, read_table, small_batches
 
 _BLANK = re.compile(r"\s+")
 
@@ -141,7 +141,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, err
                 rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in matcher.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], schema=schema)
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, item_id long, edits long, ends_at long")
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(part), "doc_id long, item_id long, edits long, ends_at long")
         out = found if out is None else out.unionByName(found)
     return out
 

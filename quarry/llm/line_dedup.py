@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quarry.llm.common import Scratch, column, mix64, others, read_table, small_batches
+from quarry.llm.common import Scratch, column, lean, mix64, others, read_table, small_batches
 
 _STRIP = " \t\n\x0b\x0c\r"
 _CHUNK = 1 << 14  # bytes of a filter that are merged together
@@ -77,7 +77,7 @@ def seen_twice(spark: SparkSession, docs: DataFrame, min_chars: int, bits: int)
     import pyarrow as pa
 
     kinds, arrow = "chunk int, part int, once binary, twice binary", pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-    filled = docs.select("text").mapInArrow(fill, kinds)
+    filled = docs.select("text").mapInArrow(lean(fill), kinds)
     merged = filled
     for _ in range(3):  # 64 tasks' chunks at a time: for up to 262,144 tasks
         merged = merged.groupBy("chunk", "part").applyInArrow(merge, kinds)
@@ -126,7 +126,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 4
             yield pa.RecordBatch.from_pydict({"key": keys, "doc_id": ids}, schema=pa.schema([("key", pa.binary()), ("doc_id", pa.int64())]))
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = scratch.save(base.mapInArrow(suspects, "key binary, doc_id long").where("doc_id is not null").distinct(), "held")
+    held = scratch.save(base.mapInArrow(lean(suspects), "key binary, doc_id long").where("doc_id is not null").distinct(), "held")
     common = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     common = scratch.save(common, "common")  # so that both sides of the join are dealt out for it, and a hot key can be split
     lost = held.join(common, "key").where("doc_id <> last").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("lost"))
@@ -155,7 +155,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 4
                     column.append(x)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=kinds.names)
 
-    return joined.mapInArrow(kept, kinds).toDF(*other, "n_lines", "n_dropped", "kept")
+    return joined.mapInArrow(lean(kept), kinds).toDF(*other, "n_lines", "n_dropped", "kept")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, add_tables, blocks, components, id_filter, in_filter, mix64, packed, read_table, small_batches, word_hashes
+from quarry.llm.common import Scratch, add_tables, blocks, components, id_filter, in_filter, lean, mix64, packed, read_table, small_batches, word_hashes
 
 SKETCH = 1 << 21
 CLASSES = 256
@@ -118,7 +118,7 @@ def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
             fits = (num + den) * np.abs(va - vb).sum(axis=1, dtype=np.int64) <= (den - num) * (na + nb)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(fits))
 
-    near = scratch.save(near.mapInArrow(close, "a long, b long"), f"{name}-near")
+    near = scratch.save(near.mapInArrow(lean(close), "a long, b long"), f"{name}-near")
     if near.isEmpty():
         return near
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -131,7 +131,7 @@ def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
             h = shingle_sets(b.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "h"])
 
-    whole = scratch.save(some.mapInArrow(gather, "doc_id long, h binary").join(ends.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
+    whole = scratch.save(some.mapInArrow(lean(gather), "doc_id long, h binary").join(ends.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
 
     def check(batches):
         import pyarrow as pa
@@ -145,7 +145,7 @@ def _verify(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFr
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = near.join(whole.toDF("a", "ha"), "a").join(whole.toDF("b", "hb"), "b")
-    out = scratch.save(both.mapInArrow(check, "a long, b long"), f"{name}-edges")
+    out = scratch.save(both.mapInArrow(lean(check), "a long, b long"), f"{name}-edges")
     scratch.drop(f"{name}-near", f"{name}-sets")
     return out
 
@@ -212,7 +212,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, words: int = 5
         for chunk, data in packed(counts):
             yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [None], "f1": [None], "f2": [None], "vec": [None], "chunk": [chunk], "part": [TaskContext.get().partitionId() // 64], "counts": [data]}, schema=schema)
 
-    passed = scratch.save(docs.mapInArrow(first, "doc_id long, n long, f1 long, f2 long, vec binary, chunk int, part int, counts binary"), "first")
+    passed = scratch.save(docs.mapInArrow(lean(first), "doc_id long, n long, f1 long, f2 long, vec binary, chunk int, part int, counts binary"), "first")
     counts = add_tables(passed.where("chunk is not null").select("chunk", "part", F.col("counts").alias("n")), SKETCH)
     own = passed.where("chunk is null").drop("chunk", "part", "counts")
     # equal sets: one document stands for all
@@ -234,7 +234,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, words: int = 5
                 )
 
     distinct = docs.join(reps.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    posts = scratch.save(distinct.mapInArrow(entries, "key long, id long, n long"), "posts")
+    posts = scratch.save(distinct.mapInArrow(lean(entries), "key long, id long, n long"), "posts")
     order = F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("o"), "id", "n")
     heads = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(order).alias("head")).where("m > 1").select("key", "m", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"))
     heads = scratch.save(heads, "heads")

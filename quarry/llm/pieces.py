@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from quarry.llm.common import blocks, column, mix64, others, read_table, small_batches
+from quarry.llm.common import blocks, column, lean, mix64, others, read_table, small_batches
 
 _MARK = "▁"
 _SEGMENT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -295,7 +295,7 @@ def encode_sampled(spark: SparkSession, docs: DataFrame, model: str, key: str =
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=schema.names)
 
     keyed = docs.select(*(column(c).alias(n) for c, n in zip(other, rest, strict=True)), column(key).cast("long").alias("key"))
-    return keyed.mapInArrow(part, schema).toDF(*other, "ids")
+    return keyed.mapInArrow(lean(part), schema).toDF(*other, "ids")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -313,7 +313,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [pieces.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(texts, pa.string())], names=schema.names)
 
-    return kept.mapInArrow(part, schema).toDF(*other, "decoded")
+    return kept.mapInArrow(lean(part), schema).toDF(*other, "decoded")
 
 
 def piece_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:

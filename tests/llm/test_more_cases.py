@@ -169,3 +169,15 @@ def test_op10_against_a_plain_version(spark, tmp_path):
         ids = [x for k, s in enumerate(re.findall(r"\n| +[^ \n]*|[^ \n]+", t or "")) for x in segment(s, mix(row ^ (k * 0xD6E8FEB86659FD93 & mask)))]
         want.append((i, len(t or ""), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True))
     assert sorted(map(tuple, op10_pieces(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_lean_tasks_give_the_same_rows(spark):
+    from quarry.llm.common import lean
+
+    def twice(batches):
+        for b in batches:
+            yield b
+            yield b
+
+    assert spark.range(100).mapInArrow(lean(twice), "id long").count() == 200
+    assert list(lean(lambda batches: iter(()))([1, 2])) == []
