@@ -154,7 +154,7 @@ def contract_markdown(texts: DataFrame) -> DataFrame:
 
     All capitals: second level; Article or Section: third; numbered: third; (a): an item of a list. Blank lines are squeezed.
     """
-    lines = F.transform(F.split("text", "\n"), F.trim)
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))  # F.trim itself would take a line's number as what to trim
     capitals = lambda x: (F.length(x) > 3) & x.rlike("[A-Z]") & ~x.rlike("[a-z]")
     made = F.transform(
         lines, lambda x: F.when(x == "", x).when(capitals(x), F.concat(F.lit("## "), x)).when(x.rlike(r"(?i)^(article|section)\s+\S+"), F.concat(F.lit("### "), x)).when(x.rlike(r"^\d+(\.\d+)*\.?\s+\S"), F.concat(F.lit("### "), x)).when(x.rlike(r"^\([a-z0-9]+\)\s"), F.concat(F.lit("- "), x)).otherwise(x)

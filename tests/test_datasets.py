@@ -103,6 +103,11 @@ def test_syllabus(spark):
     assert (r.case_id, r.evidence) == ("1", ["s1", "s1", "r1"])
 
 
+def test_contract_lines_keep_the_digits_of_their_own_number(spark):
+    md = A.contract_markdown(spark.createDataFrame([(1, "T", "0 first 0\n1 second 1\n 2 third 2")], "doc_id int, title string, text string")).first().markdown
+    assert md == "# T\n\n### 0 first 0\n### 1 second 1\n### 2 third 2"
+
+
 def test_legal(spark):
     files = spark.createDataFrame([("maud", [("q1", [("f1", [1, 3], "x"), ("f2", [0, 2], "y")]), ("q2", [])])], f"subset string, {A.LEGAL}")
     r, = A.legal(files, spark.createDataFrame([("f1", "abcdef")], "path string, text string")).collect()
