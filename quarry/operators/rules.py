@@ -29,13 +29,20 @@ TAG_PATTERNS = {
     "complete_set": r"\b(highest|lowest|largest|smallest|most|least|all (?:segments|regions|years|categories))\b",
     "source_scope": r"\b(only has access|only use|primarily within|based only|statement of|according to)\b",
 }
+#: What words are made of. `\b` and `\w` of the patterns mean these letters, whatever an engine takes them for.
+LETTER = r"[\p{L}\p{N}_]"
 _NONE = "array<string>"
 
 
+def whole_words(pattern: str, before: str = f"(?<!{LETTER})", after: str = f"(?!{LETTER})") -> str:
+    """A pattern of TAG_PATTERNS with the edges of its words written out; engines without lookaround take others."""
+    return before + pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\w", LETTER) + after
+
+
 def question_tags(question: Column | str, reasoning: Column | str | None = None) -> Column:
     """The tags of a question, sorted; a kind of reasoning that names numbers counts as numerical."""
     q = F.lower(F.col(question) if isinstance(question, str) else question)
-    made = {tag: q.rlike(p) for tag, p in TAG_PATTERNS.items()}
+    made = {tag: q.rlike(whole_words(p)) for tag, p in TAG_PATTERNS.items()}
     if reasoning is not None:
         made["numerical"] = made["numerical"] | F.coalesce(F.lower(F.col(reasoning) if isinstance(reasoning, str) else reasoning).contains("numerical"), F.lit(False))
     return F.array_sort(F.array_compact(F.array(*(F.when(c, tag) for tag, c in made.items()))))

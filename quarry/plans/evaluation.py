@@ -302,7 +302,8 @@ def e17(spark, d):
 # --- rules -------------------------------------------------------------------------------------------------------
 
 CASES = """cs AS (SELECT item_id AS case_id, 'What growth rate is highest here? ' || text AS question FROM benchmark UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations)"""
-TAG_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{t}' END" for t, p in rules.TAG_PATTERNS.items())
+TAG_EDGES = f"(?:^|[^{rules.LETTER[1:]})", f"(?:$|[^{rules.LETTER[1:]})"
+TAG_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(question), '{rules.whole_words(p, *TAG_EDGES)}') THEN '{t}' END" for t, p in rules.TAG_PATTERNS.items())
 TAGS = f"{CASES}, t AS (SELECT case_id, question, list_sort(list_filter([{TAG_SQL}], lambda x: x IS NOT NULL)) AS tags FROM cs)"
 #: Rules of the queries below: operator, required, other and excluded tags, confidence, trigger, boundary.
 RULES = (

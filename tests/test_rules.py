@@ -64,3 +64,18 @@ def test_instruction_text(spark):
     df = spark.createDataFrame([("Do it.", "none is there."), (" Do ", None)], "a string, b string")
     assert [r.x for r in df.select(R.instruction_text("a", "b").alias("x")).collect()] == ["Do it. Do not apply this rule when none is there.", "Do"]
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_letters_of_all_alphabets_end_a_word_in_query_and_sql(spark, tmp_path):
+    import duckdb
+
+    from quarry.plans.catalogue import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, 0, "u", "ñdollar cióndoga"), (1, 1, "u", "a dollar, ñ"), (1, 2, "u", "declinó é"), (1, 3, "u", "yearé vs.x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "é")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, QUERIES["f23_question_tags"](spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    for name in ("conversations", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(duck.execute(ORACLES["f23_question_tags"]).fetchall())
+    assert dict(got)[1001000] == "" and dict(got)[1001001] == "unit" and dict(got)[1001002] == "trend" and dict(got)[1001003] == "comparison"
