@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import compact_result, instructions, leak_terms, truncated
 from quarry.operators.rankers import gate_with, rank_with, register_gate, register_ranker, register_tool, search_with
-from quarry.operators.retrieval import bm25
+from quarry.operators.retrieval import Weighed
 from quarry.operators.tools import mine_tool_calls
 from quarry.plans.register import query
 from quarry.plans.retrieval import BM25, RANK, _pages, _par, _queries
-from quarry.sources.tables import table
+from quarry.sources.tables import scratch_table, small, table
 
 
 @query(
@@ -39,12 +39,9 @@ SELECT count(*)::BIGINT AS n, count(*) FILTER (rank = 1)::BIGINT AS top1, count(
 def e21(spark, d):
     from quarry.plans.sampling import p15
 
-    docs = bm25(_par(spark, d), _queries(spark, d)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    gold = p15(spark, d).groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("gold"))
-    own = gold.join(docs.withColumnRenamed("score", "own"), (docs["query_id"] == gold["query_id"]) & (docs["doc_id"] == gold["gold"]), "left").select(gold["query_id"], "gold", "own")
-    # the gold document's rank is one more than the number of documents before it, so nothing is sorted
-    before = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("doc_id") < F.col("gold")))
-    r = docs.join(own, "query_id").groupBy("query_id").agg(F.when(F.max("own").isNotNull(), F.count_if(before) + 1).alias("rank"))
+    par = _par(spark, d)
+    gold = scratch_table(p15(spark, d).groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("doc_id")), "gold")
+    r = Weighed(par, _queries(spark, d)).places(gold, par.join(small(gold.select("doc_id").distinct()), "doc_id", "left_semi"))
     r = gold.join(r, "query_id", "left")
     return r.agg(F.count("*").alias("n"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 5).alias("top5"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"))
 
