@@ -19,8 +19,7 @@ def markdown_nodes(docs: DataFrame, front: str | None = None, lines: DataFrame |
     """(doc_id, node_id, level, title, parent_id): headings of Markdown texts; levels start at 1 in each document.
 
     With `front`, text before the first heading is a section of that title, the first. A level deeper than its parent's
-    by more than one is taken as one deeper, which depends on all before it, so a document's headings, which are few, go
-    through one function.
+    by more than one is taken as one deeper.
     """
     heading = r"^\s*(#{1,6})\s+(.*)$"
     if front is None:
@@ -36,20 +35,14 @@ def markdown_nodes(docs: DataFrame, front: str | None = None, lines: DataFrame |
     least = F.min(F.when(F.col("level") > 0, F.col("level"))).over(Window.partitionBy("doc_id"))
     heads = heads.withColumn("level", F.when(F.col("level") == 0, 1).otherwise(F.col("level") - least + 1))
 
-    def nest(frame):
-        import pandas as pd
-
-        rows, stack = [], []
-        for n, r in enumerate(frame.sort_values("seq").itertuples(), 1):
-            while stack and stack[-1][1] >= r.level:
-                stack.pop()
-            level = min(r.level, stack[-1][1] + 1) if stack else 1
-            rows.append((r.doc_id, n, level, r.title, stack[-1][0] if stack else None))
-            stack.append((n, level))
-        out = pd.DataFrame(rows, columns=["doc_id", "node_id", "level", "title", "parent_id"])
-        return out.astype({"parent_id": "Int64"})
-
-    return heads.groupBy("doc_id").applyInPandas(nest, "doc_id long, node_id int, level int, title string, parent_id int")
+    # a level is at most one deeper than the one before, so it is the least of what the headings up to it allow
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    heads = heads.withColumn("node_id", F.row_number().over(w))
+    room = F.min(F.col("level") - F.col("node_id")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    heads = heads.withColumn("level", F.col("node_id") + F.least(F.lit(0), room))
+    before, n = w.rowsBetween(Window.unboundedPreceding, -1), F.col("node_id")
+    parent = F.coalesce(*(F.when(F.col("level") == k, F.last(F.when(F.col("level") == k - 1, n), ignorenulls=True).over(before)) for k in range(2, 7)))
+    return heads.select(F.col("doc_id").cast("long").alias("doc_id"), "node_id", "level", "title", parent.alias("parent_id"))
 
 
 def markdown_paragraphs(docs: DataFrame) -> DataFrame:

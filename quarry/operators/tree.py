@@ -18,7 +18,7 @@ def numbered(nodes: DataFrame) -> DataFrame:
     """Adds enter, leave (the first and last number of a section's subtree) and path (array of the sections above) to nodes (doc_id, node_id, level, ...)."""
     w = Window.partitionBy("doc_id").orderBy("node_id")
     level = F.col("level")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)  # running: a frame to the end is made anew for each row
     stop = F.coalesce(*(F.when(level == n, F.min(F.when(level <= n, F.col("node_id"))).over(after)) for n in range(1, LEVELS + 1)))
     last = F.max("node_id").over(Window.partitionBy("doc_id"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
