@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import tree
 from quarry.operators.markdown import FRONT, embedding_inputs, markdown_corpus, markdown_lines, unambiguous
-from quarry.operators.retrieval import bm25
+from quarry.operators.retrieval import Weighed
 from quarry.operators.routing import search_headings
 from quarry.operators.sampling import verbatim
 from quarry.operators.structuring import markdown_nodes
@@ -107,7 +107,7 @@ def r20_nodes(spark, d):
     """Three documents for each item, then the sections whose headings fit it, with all below them; as many queries find no document."""
     nodes, _, bodies = _tree(spark, d)
     q = _queries(spark, d)
-    scored = bm25(_par(spark, d), q).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    scored = scratch_table(Weighed(_par(spark, d), q).best(3, documents=True).select("query_id", "doc_id", "score"), "scored")  # all that can be among three
     every = q.unionByName(q.select((F.col("query_id") + 1_000_000).alias("query_id"), F.lit("~~ ~~~").alias("query")))
 
     def search(asked):
