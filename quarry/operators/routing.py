@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import periods
 from quarry.functions.text import title_parts
+from quarry.operators.blocks import best_of_terms, in_order, term_blocks
 from quarry.operators.retrieval import top_k
-from quarry.sources.tables import scratch_table
+from quarry.sources.tables import scratch_table, small
 
 #: Words of names that say little; short names that stand for others; words of headings that say nothing.
 GENERIC = ("annual", "report", "quarter", "quarterly", "fiscal", "year", "the", "what", "which", "how", "was", "were", "is", "are", "10k", "10q", "20f", "8k")
@@ -29,26 +30,31 @@ def route_titles(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     A name's components count where the question, written without gaps, holds them: 0.5 if generic, 2 for a year, 10 for
     a word, 8 for letters and digits, else 1; its other parts that are words of the question count 2 or 1; a name that
     stands there as a whole counts 5 more. A question without letters or digits gives one row, not ok. Components are
-    found by joining them with the stretches of the question that are as long, so nothing is compared pair by pair.
+    found by joining them with the stretches of the question that are as long; names are scored in blocks within a task.
     """
     q = queries.select("query_id", _question_parts("query").alias("parts")).withColumn("compact", F.array_join("parts", ""))
-    names = docs.select("doc_id", F.col("source_name"), F.lower("source_name").alias("low"))
-    comps = names.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), 0))).alias("w"))
-    sizes = comps.select(F.length("w").alias("n")).distinct()  # a few dozen numbers
+    low = F.lower("source_name")
+    comps, parts, full = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)), F.array_distinct(title_parts(low)), F.array_join(title_parts(low), "")
+    # what a name can be found by, its kind in front: c a component, p a part that is none, f the name without gaps
+    kinds = F.concat(F.transform(comps, lambda x: F.concat(F.lit("c"), x)), F.transform(F.array_except(parts, comps), lambda x: F.concat(F.lit("p"), x)), F.filter(F.array(F.concat(F.lit("f"), full)), lambda x: x != "f"))
+    names = docs.select("doc_id", F.lit(0).alias("p_idx"), "source_name", kinds.alias("t"))
+    words = names.select(F.explode("t").alias("term")).distinct()
+    sizes = words.where("term not like 'p%'").select((F.length("term") - 1).alias("n")).distinct()  # a few dozen numbers
     spans = q.select("query_id", "compact").join(F.broadcast(sizes), F.col("n") <= F.length("compact"))
-    spans = spans.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("compact") - F.col("n") + 1), lambda i: F.substr("compact", i, F.col("n")))).alias("w")).distinct()
+    spans = spans.select("query_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("compact") - F.col("n") + 1), lambda i: F.substr("compact", i, F.col("n"))))).alias("w"))
     w = F.col("w")
     year = w.rlike("^[0-9]{4}$")
     weight = F.when(w.isin(*GENERIC), 0.5).when(year, 2.0).when(w.rlike("^[a-z]{3,}$"), 10.0).when(w.rlike("[a-z]"), 8.0).otherwise(1.0)
-    whole = comps.join(spans, "w").select("query_id", "doc_id", "w", weight.alias("score"))
-    parts = names.select("doc_id", F.explode(F.array_distinct(title_parts("low"))).alias("w")).join(q.select("query_id", F.explode(F.array_distinct("parts")).alias("w")), "w")
+    whole = spans.select("query_id", F.concat(F.lit("c"), w).alias("term"), weight.alias("weight")).unionByName(spans.select("query_id", F.concat(F.lit("f"), w).alias("term"), F.lit(5.0).alias("weight")))
     weight = F.when(year, 2.0).when(~w.isin(*GENERIC) & (F.length(w) >= 2), 1.0).otherwise(0.0)
-    parts = parts.join(whole.select("query_id", "doc_id", "w"), ["query_id", "doc_id", "w"], "left_anti").select("query_id", "doc_id", "w", weight.alias("score"))
-    s = whole.unionByName(parts).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list("w")).alias("matched_terms"))
-    s = s.join(names, "doc_id").join(q.select("query_id", "compact"), "query_id")
-    full = F.when(F.col("compact").contains(F.array_join(title_parts("low"), "")), 5.0).otherwise(0.0)
-    s = s.withColumn("score", F.round(F.col("score") + full, 3)).where("score > 0").select("query_id", "doc_id", "source_name", "score", "matched_terms")
-    best = top_k(s, max(1, min(k, 20)), "source_name", "doc_id")
+    single = q.select("query_id", F.explode(F.array_distinct("parts")).alias("w")).select("query_id", F.concat(F.lit("p"), w).alias("term"), weight.alias("weight"))
+    terms = scratch_table(whole.unionByName(single).join(words, "term", "left_semi").select("query_id", "term", "weight"), "terms")
+    k = max(1, min(k, 20))
+    s = best_of_terms(in_order(names), list(term_blocks(terms)), terms.schema["query_id"].dataType, k, lambda tf, size: 1.0 * (tf > 0), 3, ["source_name", "doc_id"])
+    best = scratch_table(top_k(s, k, "source_name", "doc_id").select("query_id", "doc_id", "source_name", "score", "rank"), "best")
+    found = names.join(small(best.select("query_id", "doc_id")), "doc_id").select("query_id", "doc_id", F.explode("t").alias("term")).join(terms.where("term not like 'f%'"), ["query_id", "term"])
+    found = found.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.substr("term", F.lit(2)))).alias("matched_terms"))
+    best = best.join(found, ["query_id", "doc_id"]).select("query_id", "doc_id", "source_name", "score", "matched_terms", "rank")
     return q.select("query_id", (F.col("compact") != "").alias("ok")).join(best, "query_id", "left").where("not ok or rank is not null")
 
 
