@@ -75,3 +75,18 @@ def test_nesting_of_headings_needs_no_function_for_a_document(spark):
     assert "FlatMapGroups" not in plan(nodes)
     for made in (numbered(nodes), descendants(nodes)):
         assert "unboundedfollowing" not in plan(made).replace("unboundedpreceding$(), unboundedfollowing", "")
+
+
+def test_titles_and_whole_headings_leave_only_the_best_of_a_task(spark, tmp_path):
+    from quarry.operators.routing import route_titles
+
+    spark.createDataFrame([(i, "The growth of state 7\nZ\n7") for i in range(40)] + [(99, "growth state seven")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Growth of the state 7"), (2, "seven"), (3, "-")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    heads = QUERIES["r09_whole_heading_search"](spark, str(tmp_path))
+    assert "MapInArrow" in heads._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.rank, r.doc_id, r.p_idx, r.score) for r in heads.collect()) == [(1, i + 1, i, 0, 6) for i in range(5)] + [(2, 1, 99, 0, 1)]
+    q = spark.createDataFrame([(1, "Growth of the state 7"), (2, "?")], "query_id long, query string")
+    docs = spark.createDataFrame([(i, "growth-state7 x") for i in range(2)] + [(50, "of the"), (51, None), (52, "--"), (53, "ofthe")], "doc_id long, source_name string")
+    got = route_titles(q, docs, 4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.ok, r.doc_id, r.score) for r in got] == [(1, True, 0, 19.0), (1, True, 1, 19.0), (1, True, 53, 15.0), (1, True, 50, 13.5), (2, False, None, None)]
+    assert [r.matched_terms for r in got] == [["7", "growth", "state", "state7"]] * 2 + [["ofthe"], ["of", "the"], None]
