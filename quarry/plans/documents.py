@@ -79,11 +79,11 @@ def d26(spark, d):
 
 @query("d27_inventory", "D27")
 def d27(spark, d):
-    """All sections of a document in one row, with what the pages table says of its name."""
-    names = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("_doc")).alias("source_name"))
+    """Every document in one row, also one without sections: all its sections with titles and counts, and what a table of names has on its own."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("_doc")).alias("source_name"))
     extra = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").cast("string").alias("pages"))
-    out = inventory(outline(_made(spark, d)).join(names, "doc_id"), extra)
-    return out.select("doc_id", F.size("sections").alias("n_sections"), F.element_at("sections", 1)["title"].alias("first"), "pages")
+    out = inventory(outline(_made(spark, d)), extra, docs)
+    return out.select("doc_id", "source_name", "title", "sections", F.size("sections").alias("n_sections"), F.get("sections", F.lit(0))["title"].alias("first"), "pages")
 
 
 @query(

@@ -275,3 +275,24 @@ def test_places_are_row_numbers(spark):
     want = sorted(((i * 7919 % 5000, i % 3) for i in range(5000)), key=lambda x: (-x[1], x[0]))
     assert sorted(got, key=lambda x: x[2]) == [(*x, n) for n, x in enumerate(want)]
     assert placed(rows.limit(0), F.asc("k")).count() == 0
+
+
+def test_inventory_lists_every_document_and_all_of_its_sections(spark, tmp_path):
+    from quarry.operators.markdown import inventory, outline
+    from quarry.plans.catalogue import QUERIES
+
+    docs = spark.createDataFrame([(1, "a b\n# A\none two\n\nthree\n## B", "x_doc"), (2, None, "x_doc"), (3, " \n", "y"), (4, "# C", "z_doc")], "doc_id long, text string, source_name string")
+    extra = spark.createDataFrame([("x", ["p1", "p2"]), ("y", None)], "name string, pages array<string>")
+    rows = {r.doc_id: r for r in inventory(outline(docs), extra, docs).collect()}
+    assert {i: [tuple(x) for x in r.sections] for i, r in rows.items()} == {1: [(1, "前言", 1, 2), (2, "A", 2, 3), (3, "B", 0, 0)], 2: [], 3: [], 4: [(1, "C", 0, 0)]}
+    assert {i: (r.source_name, r.title, r.pages) for i, r in rows.items()} == {1: ("x_doc", "x_doc", ["p1", "p2"]), 2: ("x_doc", "x_doc", ["p1", "p2"]), 3: ("y", "y", []), 4: ("z_doc", "z_doc", None)}
+    with pytest.raises(ValueError):
+        inventory(outline(docs), extra)
+
+    made = [(1, "a b\nT\nc\nd\n\nS", "s"), (2, None, "s"), (3, "", "t"), (4, "only", None)]
+    spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["d27_inventory"](spark, str(tmp_path)).collect()}
+    assert {i: [tuple(x) for x in r.sections] for i, r in got.items()} == {1: [(1, "前言", 1, 2), (2, "T", 1, 2), (3, "S", 0, 0)], 2: [], 3: [], 4: [(1, "前言", 1, 1)]}
+    assert {i: (r.source_name, r.title, r.n_sections, r.first, r.pages) for i, r in got.items()} == {
+        1: ("s_doc", "s_doc", 3, "前言", "2"), 2: ("s_doc", "s_doc", 0, None, "2"), 3: ("t_doc", "t_doc", 0, None, "1"), 4: (None, None, 1, "前言", None),
+    }
